@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import sharding, warc
+from callweave.llm import quality, sharding, warc
 from callweave.plans.scratch import new_path
 
 
@@ -25,8 +25,14 @@ def op8_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.even_tree(40))
 
 
+def op10_ngram_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratio = quality.fit(docs, quality.trusted_ids(_table(spark, sf_dir, "labels")))
+    return quality.score(docs, ratio).select("doc_id", *quality.OUT)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_chunk_table, op8_weighted_hash_tree)}
+    return {f.__name__: f for f in (op2_warc_chunk_table, op8_weighted_hash_tree, op10_ngram_log_ratio)}
 
 
 def oracle_sql() -> dict[str, str]:
