@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callweave.llm import quality, sharding, warc
+from callweave.llm import bpe, quality, sharding, warc
 from callweave.plans.scratch import new_path
 
 
@@ -21,6 +23,13 @@ def op2_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_heads(warc.read_archives(spark, path))
 
 
+def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.even_tree(40))
 
@@ -32,7 +41,7 @@ def op10_ngram_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_chunk_table, op8_weighted_hash_tree, op10_ngram_log_ratio)}
+    return {f.__name__: f for f in (op2_warc_chunk_table, op4_pair_index_bpe, op8_weighted_hash_tree, op10_ngram_log_ratio)}
 
 
 def oracle_sql() -> dict[str, str]:
