@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -267,7 +268,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator
     """Parts of a batch with about ``most`` bytes of text each, one row at least."""
     texts = batch.column(column)
     start, held = 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     for i, n in enumerate(sizes):
         if held and held + n > most:
             yield batch.slice(start, i - start)
