@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,9 +32,12 @@ CONTROLS = "\x1c\x1d\x1e\x1f"
 #: What Unicode 16 added, which the splitter knows and Python 3.13 does not.
 ADDED = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113E2), (0x116D0, 0x116E3), (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF)]
 ADDED_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+RUN = re.compile(r"\s ")
 ENDS = {".", ",", ";", ":", "!", "?"}
 #: Pre-tokens that a worker remembers; beyond that it forgets them all.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Chunks that share one pair index.
+TOGETHER = 200_000
 NONE = -1
 
 
@@ -106,7 +110,7 @@ class Vocabulary:
         """The rank of each pair, NONE where the vocabulary has no such merge."""
         if not len(self.keys):
             return np.full(len(a), NONE)
-        want = a * self.size + b
+        want = a.astype(np.int64) * self.size + b
         at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
         return np.where((self.keys[at] == want) & (a >= 0) & (b >= 0), self.ranks[at], NONE)
 
@@ -139,33 +143,34 @@ class Vocabulary:
 
     def chunks(self, text: str) -> list[str]:
         """Parts that encode alone: white space always ends one where pre-tokens never hold any."""
-        if not self.squeeze:
-            return self.cut(text)
+        if not self.squeeze:  # a space starts a part, unless white space before it may go with it
+            return self.cut(text) if "\0" in text or RUN.search(text) else text.replace(" ", "\0 ").split("\0")
         return WHITE.split(text) if any(c in text for c in CONTROLS) else text.split()
 
     def learn(self, new: set[str]) -> None:
         """Encode chunks that are not known yet."""
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        chunks = list(new)
-        if not self.squeeze:
-            self.known.update(zip(chunks, encode_words(self, [c.encode() for c in chunks]), strict=True))
-            return
-        cuts = [self.cut(c) for c in chunks]
-        words = list({w for c in cuts for w in c})
-        ids = dict(zip(words, encode_words(self, [w.encode() for w in words]), strict=True))
-        self.known.update((c, ids[w[0]] if len(w) == 1 else b"".join(map(ids.__getitem__, w))) for c, w in zip(chunks, cuts, strict=True))
+        for chunks in groups(list(new), TOGETHER):
+            cuts = [self.cut(c) for c in chunks]
+            words = list({w for c in cuts for w in c})
+            ids = dict(zip(words, encode_words(self, [w.encode() for w in words]), strict=True))
+            self.known.update((c, ids[w[0]] if len(w) == 1 else b"".join(map(ids.__getitem__, w))) for c, w in zip(chunks, cuts, strict=True))
+
+    def meet(self, texts: list[str], known: dict) -> set[str]:
+        """The distinct chunks of the texts that ``known`` lacks; it is emptied first where it would grow too large."""
+        new: set[str] = set()
+        for text in texts:  # chunks are split again later, as holding all of them takes many times the text
+            for part, _ in self.segments(text):
+                new.update(self.chunks(part))
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+        return new - known.keys()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        parts = [[(self.chunks(t), special) for t, special in self.segments(text)] for text in texts]
-        new = set().union(*(c for p in parts for c, _ in p))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        self.learn(new - self.known.keys())
+        self.learn(self.meet(texts, self.known))
         get = self.known.__getitem__
         tail = {i: int(i).to_bytes(4, "little") for i in self.special.values()} | {None: b""}
-        return [b"".join(map(get, p[0][0])) if len(p) == 1 else b"".join(b"".join(map(get, c)) + tail[i] for c, i in p) for p in parts]
+        return [b"".join([b"".join(map(get, self.chunks(part))) + tail[i] for part, i in self.segments(text)]) for text in texts]
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids, special tokens included."""
@@ -176,6 +181,11 @@ class Vocabulary:
         return b"".join(self.bytes[i] if i in special else self.raw[i] for i in ids).decode(errors="replace")
 
 
+def groups(items: list, most: int) -> Iterator[list]:
+    for at in range(0, len(items), most):
+        yield items[at : at + most]
+
+
 def _grouped(ranks: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The positions of each rank, in ascending order; ``at`` ascends already."""
     keep = ranks != NONE
@@ -195,16 +205,15 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> list[bytes]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     raw = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum(lengths)
-    symbol = v.first[raw]
+    symbol = v.first[raw].astype(np.int32)
     filled = lengths > 0
     symbol[ends[filled] - 1] = v.final[raw[ends[filled] - 1]]
     n = len(symbol)
-    word = np.repeat(np.arange(len(words)), lengths)
-    nxt, prev = np.arange(1, n + 1), np.arange(-1, n - 1)  # neighbours within the word, or -1
+    nxt, prev = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)  # neighbours within the word, or -1
     last = ends[filled] - 1
     nxt[last] = -1
     prev[(ends - lengths)[filled]] = -1
-    inner = np.flatnonzero(nxt >= 0)
+    inner = np.flatnonzero(nxt >= 0).astype(np.int32)
     index: dict[int, list[np.ndarray]] = {}
     ends_word = (nxt[nxt[inner]] < 0).astype(np.int64)
     for rank, at in _grouped(v.start[ends_word, raw[inner], raw[inner + 1]], inner):
@@ -247,7 +256,7 @@ def encode_words(v: Vocabulary, words: list[bytes]) -> list[bytes]:
                 heapq.heappush(active, r)
             index[r].append(p)
     live = symbol != NONE
-    counts = np.bincount(word[live], minlength=len(words))
+    counts = np.diff(np.r_[0, np.cumsum(live)[ends - 1]] if filled.all() else np.r_[0, np.r_[0, np.cumsum(live)][ends]])
     packed, out, at = symbol[live].astype("<u4").tobytes(), [], 0
     for c in counts.tolist():
         out.append(packed[at : at + 4 * c])
@@ -264,7 +273,7 @@ def vocabulary(path: str) -> Vocabulary:
         return Vocabulary(SparkFiles.get(path.rsplit("/", 1)[-1]))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, one row at least."""
     texts = batch.column(column)
     start, held = 0, 0
@@ -278,7 +287,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20) -> Iterator
         yield batch.slice(start)
 
 
-def _plus(batch: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
+def plus(batch: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with columns replaced or added."""
     kept = [i for i, n in enumerate(batch.schema.names) if n not in more]
     return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *more.values()], names=[*(batch.schema.names[i] for i in kept), *more])
@@ -288,12 +297,13 @@ def _widened(df: DataFrame, **fields: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema if f.name not in fields), *(T.StructField(n, t) for n, t in fields.items())])
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens") -> DataFrame:
+def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", count_col: str = "n_tokens", decoded_col: str | None = None) -> DataFrame:
     """Adds the ids of each whole text, packed as little-endian unsigned 32-bit integers, and their number.
 
     The same ids as the tokenizers library gives without added special tokens; special
     strings inside a text become their tokens. Null texts count as empty and have no ids.
-    Columns named as a result are replaced; all others pass through.
+    ``decoded_col``: also decodes the ids, in the same worker. Columns named as a result are
+    replaced; all others pass through.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,9 +311,13 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         for whole in batches:
             for batch in slices(whole, text_col):
                 ids = v.encode([t or "" for t in batch.column(text_col).to_pylist()])
-                yield _plus(batch, {ids_col: pa.array(ids, pa.binary()), count_col: pa.array([len(x) // 4 for x in ids], pa.int64())})
+                more = {ids_col: pa.array(ids, pa.binary()), count_col: pa.array([len(x) // 4 for x in ids], pa.int64())}
+                if decoded_col:
+                    more[decoded_col] = pa.array(map(v.decode, ids), pa.string())
+                yield plus(batch, more)
 
-    return df.mapInArrow(make, _widened(df, **{ids_col: T.BinaryType(), count_col: T.LongType()}))
+    added = {ids_col: T.BinaryType(), count_col: T.LongType()} | ({decoded_col: T.StringType()} if decoded_col else {})
+    return df.mapInArrow(make, _widened(df, **added))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -318,6 +332,6 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
         for whole in batches:
             for batch in slices(whole, ids_col):
                 texts = [v.decode(x or b"") for x in batch.column(ids_col).to_pylist()]
-                yield _plus(batch, {text_col: pa.array(texts, pa.string())})
+                yield plus(batch, {text_col: pa.array(texts, pa.string())})
 
     return df.mapInArrow(make, _widened(df, **{text_col: T.StringType()}))
