@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, quality, sharding, warc
+from callweave.llm import bpe, minhash, quality, sharding, token_counts, token_orc, warc
 from callweave.plans.scratch import new_path
 
 
@@ -26,10 +26,29 @@ def op2_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    coded = bpe.encode(docs, path, decoded_col="decoded")
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op5_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    rows = token_orc.encode_sorted(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    token_orc.write_tokens(rows, path)
+    return token_orc.checksums(token_orc.read_tokens(spark, path))
+
+
+def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), minhash.Params(words=2))
+
+
+def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.with_prefix_table(docs, public_tokenizers.path("word_bpe_49k.json"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    totals = counted.select("doc_id", n_bytes.alias("n_bytes"), token_counts.total_tokens().alias("n_tokens"))
+    return totals.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def op8_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.even_tree(40))
 
@@ -41,11 +60,11 @@ def op10_ngram_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_chunk_table, op4_pair_index_bpe, op8_weighted_hash_tree, op10_ngram_log_ratio)}
+    return {f.__name__: f for f in (op2_warc_chunk_table, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op10_ngram_log_ratio)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_chunk_table": OP2}
+    return {"op2_warc_chunk_table": OP2, "op6_minhash_near_duplicates": OP6}
 
 
 OP2 = """
@@ -62,3 +81,22 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id <> kept THEN kept END AS refers_to
 FROM d
 """
+
+OP6 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w
+), sets AS (SELECT min(doc_id) AS doc_id, sh, len(sh) AS n FROM (SELECT doc_id, list_sort(sh) AS sh FROM s) GROUP BY sh),
+u AS (SELECT doc_id, n, unnest(sh) AS g FROM sets WHERE n > 0),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+  UNION SELECT m.doc_id, s.doc_id FROM s JOIN sets m ON list_sort(s.sh) = m.sh WHERE m.n > 0
+), sides AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, b.y FROM reach r JOIN sides b ON r.y = b.x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.y) AS component_id, min(r.y) = s.doc_id AS kept
+FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.sh)
+"""
