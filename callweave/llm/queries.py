@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, minhash, quality, sharding, token_counts, token_orc, warc
+from callweave.llm import bpe, language, minhash, quality, sharding, token_counts, token_orc, warc
 from callweave.plans.scratch import new_path
 
 
@@ -53,6 +53,13 @@ def op8_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), sharding.even_tree(40))
 
 
+def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.fit(docs.where(language.in_training()))
+    predicted = language.predict(docs.select("doc_id", "text"), profiles)
+    return predicted.select("doc_id", (~language.in_training()).alias("held_out"), "lang_pred", "score")
+
+
 def op10_ngram_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     ratio = quality.fit(docs, quality.trusted_ids(_table(spark, sf_dir, "labels")))
@@ -60,7 +67,7 @@ def op10_ngram_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_chunk_table, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op10_ngram_log_ratio)}
+    return {f.__name__: f for f in (op2_warc_chunk_table, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio)}
 
 
 def oracle_sql() -> dict[str, str]:
