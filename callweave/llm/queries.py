@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import bpe, language, minhash, quality, sharding, token_counts, token_orc, warc
+from callweave.llm import ann, bpe, language, minhash, quality, sharding, token_counts, token_orc, warc
 from callweave.plans.scratch import new_path
 
 
@@ -23,6 +23,10 @@ def op2_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_heads(warc.read_archives(spark, path))
 
 
+def op3_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -67,7 +71,7 @@ def op10_ngram_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_chunk_table, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio)}
+    return {f.__name__: f for f in (op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio)}
 
 
 def oracle_sql() -> dict[str, str]:
