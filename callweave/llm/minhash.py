@@ -31,7 +31,7 @@ from callweave.plans.scratch import materialise
 
 @dataclass(frozen=True)
 class Params:
-    """``bands`` of ``rows`` minima: two sets of similarity 0.8 share no band once in 130,000 times.
+    """``bands`` of ``rows`` minima: two sets of similarity 0.8 share no band 8 times in a million.
 
     ``block``: classes compared within one task. ``slack``: standard deviations that a
     signature's agreement may fall below ``percent`` before a pair is passed over.
@@ -39,8 +39,8 @@ class Params:
 
     words: int = 5
     percent: int = 80
-    bands: int = 64
-    rows: int = 8
+    bands: int = 50
+    rows: int = 7
     block: int = 512
     slack: float = 6.0
     seed: int = 7
@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     sized = groups.groupBy("component").agg(F.count("*").alias("__m"))
     # a class is read again by its smallest document; texts that share the id with it come along
     member = groups.join(sized, "component").select("node", "component", "__m", F.ceil(F.col("__m") / p.block).cast("int").alias("blocks"))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(member, "node").where("text is not null")
+    # "merge": one plan at every size, as members grow with the input
+    texts = docs.select(F.col("doc_id").alias("node"), "text").where("text is not null").join(member.hint("merge"), "node")
     group_texts = materialise(texts.withColumn("block", F.pmod(F.xxhash64("node", F.lit(p.seed)), F.col("blocks").cast("bigint")).cast("int")), "texts")
     one = group_texts.select(F.concat_ws("/", "component", "block").alias("cell"), "node", F.lit(True).alias("first"), "text", "blocks")
     small = linked(one.where("blocks = 1").drop("blocks"), p)
