@@ -95,7 +95,7 @@ def _weights(good: list[int], raw: list[int]) -> list[int]:
 
 
 def repeated_words(hashed: DataFrame) -> DataFrame:
-    """Adds ``n_repeat_words``: words within a 5-word window that the text has twice or more.
+    """Adds ``__repeats``: words within a 5-word window that the text has twice or more.
 
     Windows are compared by 64-bit hashes. They are sorted within the row only where a
     repeat exists, and the positions of repeats are laid over each other by their gaps.
@@ -109,34 +109,45 @@ def repeated_words(hashed: DataFrame) -> DataFrame:
     found = ordered.withColumn("__p", F.filter("__s", lambda x, k: same(x, k - 1) | same(x, k + 1))).drop("__s")
     placed = found.withColumn("__p", F.sort_array(F.transform("__p", lambda x: x["i"])))
     steps = F.transform("__p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__p", k + 1) - p, F.lit(WINDOW))))
-    return placed.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("__p")
+    return placed.withColumn("__repeats", F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x)).drop("__p")
+
+
+def passed(scored: DataFrame, kept: str = "kept") -> DataFrame:
+    """The rows that are kept.
+
+    The row number keeps the optimiser from moving the condition below the steps that make
+    it, where it would recompute whole arrays for each of their elements.
+    """
+    held = scored.withColumn("__row", F.monotonically_increasing_id())
+    return held.where((F.col("__row") >= 0) & F.col(kept)).drop("__row")
 
 
 OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
-def score(docs: DataFrame, ratio: Ratio, text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """Every row of ``docs`` with the base counts, ``base_failed``, ``llr`` and ``kept``.
+def score(docs: DataFrame, ratio: Ratio, text_col: str = "text", threshold: int = THRESHOLD, prefix: str = "") -> DataFrame:
+    """Every row of ``docs`` with the base counts, ``base_failed``, ``llr`` and ``kept``, their names after ``prefix``.
 
     ``llr``: mean micronats an n-gram, rounded down; null without words. ``kept``: false if
     ``base_failed``, else whether ``llr`` reaches the threshold. A null text counts as
     empty. Input columns with the name of a result are replaced; all others stay.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.drop(*(c for c in OUT if c != text_col))
+    docs = docs.drop(*(prefix + c for c in OUT if prefix + c != text_col))
     lines = docs.withColumn("__l", F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     counted = lines.withColumns({
-        "n_symbols": F.length(F.regexp_replace(text, NOT_SYMBOLS, "")).cast("bigint"),
-        "n_dup_lines": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint"),
+        "__symbols": F.length(F.regexp_replace(text, NOT_SYMBOLS, "")).cast("bigint"),
+        "__dups": (F.size("__l") - F.size(F.array_distinct("__l"))).cast("bigint"),
     }).drop("__l")
     hashed = repeated_words(with_words(counted, text_col))
     sized = hashed.withColumns({
-        "n_words": F.size("__w").cast("bigint"),
-        "word_chars": F.aggregate("__w", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)),
+        "__n": F.size("__w").cast("bigint"),
+        "__chars": F.aggregate("__w", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)),
     })
     table = ratio.column()
     total = F.aggregate("__g", F.lit(0).cast("bigint"), lambda a, g: a + F.get(table, g.cast("int")))
-    summed = with_grams(sized, ratio.buckets).withColumn("llr", F.when(F.size("__g") > 0, F.floor(total / F.size("__g")).cast("bigint"))).drop("__g", "__w", "__h")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = summed.withColumn("base_failed", failed)
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+    summed = with_grams(sized, ratio.buckets).withColumn("__llr", F.when(F.size("__g") > 0, F.floor(total / F.size("__g")).cast("bigint")))
+    failed = (F.col("__n") < 10) | (100 * F.col("__repeats") > 20 * F.col("__n"))
+    judged = summed.withColumn("__failed", failed).withColumn("__kept", ~F.col("__failed") & F.coalesce(F.col("__llr") >= threshold, F.lit(False)))
+    inner = ("__n", "__chars", "__symbols", "__dups", "__repeats", "__failed", "__llr", "__kept")
+    return judged.select(*docs.columns, *(F.col(i).alias(prefix + o) for i, o in zip(inner, OUT, strict=True)))

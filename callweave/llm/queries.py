@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import ann, bpe, language, minhash, quality, sharding, token_counts, token_orc, warc
+from callweave.llm import ann, bpe, language, minhash, mixing, quality, sharding, token_counts, token_orc, warc
 from callweave.plans.scratch import new_path
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op2_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     pages = warc.with_roles(_table(spark, sf_dir, "pages"))
@@ -71,7 +75,7 @@ def op10_ngram_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio)}
+    return {f.__name__: f for f in (op1_temperature_mixing, op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio)}
 
 
 def oracle_sql() -> dict[str, str]:
