@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import ann, bpe, language, minhash, mixing, quality, sharding, token_counts, token_orc, warc
-from callweave.plans.scratch import new_path
+from callweave.plans.scratch import materialise, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +40,10 @@ def op4_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    rows = token_orc.encode_sorted(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    rows = token_orc.encode_sorted(_table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")), end_id=2)
     token_orc.write_tokens(rows, path)
-    return token_orc.checksums(token_orc.read_tokens(spark, path))
+    # the checksums are written, so that the totals of the parts do not read all ids again
+    return token_orc.with_starts(materialise(token_orc.checksums(token_orc.read_tokens(spark, path)), "checksums"))
 
 
 def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,16 @@ an id skips files, stripes and row groups by their statistics and Bloom filters.
 
 from __future__ import annotations
 
+import base64
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +29,27 @@ FILE = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids arra
 ROW_GROUP = 2_000
 
 
-def encode_sorted(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Runs from which on one pre-token could be so long that the rank encoder takes quadratic time.
+LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+
+
+@lru_cache(2)
+def encoder(vocabulary_path: str, ranks_path: str) -> Callable[[str], bytes]:
+    """Packed ids of a text: by the rank file of the same vocabulary, or by the pair index where a run is very long."""
+    v = bpe.vocabulary(vocabulary_path)
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=v.special)
+
+    def encode(text: str) -> bytes:
+        if LONG_RUN.search(text):
+            return v.encode([text])[0]
+        return np.array(fast.encode(text, allowed_special="all"), "<u4").tobytes()
+
+    return encode
+
+
+def encode_sorted(docs: DataFrame, vocabulary_path: str, ranks_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of a token file in ascending id order, each document ended by ``end_id``.
 
     Null texts hold the end id alone; null ids come first; rows with one id are ordered by
@@ -34,11 +59,11 @@ def encode_sorted(docs: DataFrame, vocabulary_path: str, end_id: int, id_col: st
     placed = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, part, at = bpe.vocabulary(vocabulary_path), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(vocabulary_path, ranks_path), TaskContext.get().partitionId(), 0
         tail = int(end_id).to_bytes(4, "little")
         for whole in batches:
             for batch in bpe.slices(whole, "text"):
-                packed = [x + tail for x in v.encode(batch.column("text").to_pylist())]
+                packed = [encode(t) + tail for t in batch.column("text").to_pylist()]
                 sizes = np.fromiter((len(x) // 4 for x in packed), np.int64, len(packed))
                 ends = np.cumsum(sizes)
                 values = np.frombuffer(b"".join(packed), "<i4")
@@ -59,13 +84,22 @@ def write_tokens(rows: DataFrame, path: str) -> None:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids``: start counts the ids of all documents before."""
-    rows = spark.read.schema(FILE).orc(path)
+    """The rows of token files, in FILE's columns."""
+    return spark.read.schema(FILE).orc(path)
+
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """``start`` in place of the part and the place in it: the ids of all documents before.
+
+    Best given rows without their ids, as rows may be shuffled for the join with the
+    parts' totals.
+    """
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
     # one row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("__base") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
+    joined = rows.join(bases, "part").withColumn("start", F.col("__base") + F.col("start_in_part"))
+    return joined.select("doc_id", "start", *(c for c in rows.columns if c not in ("doc_id", "part", "start_in_part")))
 
 
 def find(spark: SparkSession, path: str, doc_ids: Iterable[int]) -> DataFrame:
