@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.operators import evaluate, explore
+from callweave.operators import annotate, eligibility, evaluate, explore, ingest, matching, normalise, requirements
 from callweave.plans.views import load, with_views
+from callweave.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,3 +199,456 @@ def v23_probability_scores(t):
 def v23_calibration(t):
     right = F.when(F.col("label") == F.col("rated"), 1).otherwise(0)
     return evaluate.calibration(t("annotations").select("chunk_id", F.col("confidence").cast("double").alias("p"), right.alias("y")), "chunk_id", "p", "y")
+
+
+# --- discovery and merge
+
+
+@query("SELECT concat('p_', substr(sha256(url), 1, 12)) AS id, page_id FROM pages")
+def c01_make_id(t):
+    return t("pages").select(ingest.make_id(F.col("url"), "p").alias("id"), "page_id")
+
+
+LINKS_SQL = """
+  anchors AS (SELECT page_id AS key, url AS base, unnest(a) AS a, unnest(range(len(a))) AS pos FROM (
+    SELECT page_id, url, regexp_extract_all(CASE WHEN regexp_extract(html, '(?s)<main[^>]*>(.*?)</main>', 1) <> '' THEN regexp_extract(html, '(?s)<main[^>]*>(.*?)</main>', 1) ELSE html END, '(?s)<a [^>]*>.*?</a>') AS a FROM pages)),
+  parts AS (SELECT key, base, pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href,
+    regexp_replace(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'), '^ | $', '', 'g') AS title FROM anchors),
+  cut AS (SELECT *, regexp_replace(regexp_replace(href, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'), '#.*$', '') AS link FROM parts),
+  whole AS (SELECT *, CASE WHEN regexp_matches(link, '^[a-z]+://') THEN link WHEN starts_with(link, '//') THEN concat('https:', link)
+    WHEN starts_with(link, '/') THEN concat(regexp_extract(base, '^([a-z]+://[^/?#]+)', 1), link) ELSE concat(regexp_extract(regexp_replace(base, '[?#].*$', ''), '^(.*/)', 1), link) END AS url FROM cut),
+  links AS (SELECT key, pos, url, title FROM (SELECT *, row_number() OVER (PARTITION BY key, url ORDER BY pos) AS r FROM whole
+    WHERE NOT regexp_matches(href, '^(#|mailto:|tel:|javascript:)') AND link <> '' AND title <> ''
+      AND regexp_extract(url, '^[a-z]+://(?:www\\.)?([^/?#:]+)', 1) NOT IN ('facebook.com', 'instagram.com', 'twitter.com', 'x.com', 'linkedin.com', 'youtube.com')) WHERE r = 1)"""
+
+
+def _links(t):
+    return ingest.harvest_links(t("pages"), "page_id", "url", "html")
+
+
+@query(f"WITH {LINKS_SQL} SELECT key, CAST(pos AS INTEGER) AS pos, url, title FROM links")
+def c02_c03_harvest_links(t):
+    return _links(t)
+
+
+@query(f"WITH {LINKS_SQL} SELECT key, sha256(string_agg(concat(url, '|', title), chr(10) ORDER BY concat(url, '|', title))) AS hash FROM links GROUP BY key")
+def c04_fingerprint(t):
+    return ingest.fingerprint(_links(t))
+
+
+@query(f"WITH {LINKS_SQL}, h AS (SELECT key, string_agg(concat(url, '|', title), chr(10) ORDER BY concat(url, '|', title)) AS h FROM links GROUP BY key) SELECT key FROM h WHERE key % 3 = 0")
+def c05_changed_pages(t):
+    now = ingest.fingerprint(_links(t))
+    before = now.where("key % 3 > 0")
+    return ingest.changed(now, before)
+
+
+@query("""WITH c AS (SELECT concat(id, '/', CAST(CAST(ts AS DATE) AS VARCHAR)) AS id, event_type FROM crawl)
+  SELECT DISTINCT id FROM c WHERE id NOT IN (SELECT id FROM c WHERE event_type = 'error' UNION SELECT id FROM c WHERE event_type = 'signup')""")
+def s04_c06_unseen_ids(t):
+    crawl = t("crawl").withColumn("id", F.concat("id", F.lit("/"), F.col("ts").cast("date").cast("string")))
+    seen = ingest.seen_ids(crawl.where("event_type = 'error'"), crawl.where("event_type = 'signup'"))
+    return ingest.unseen(crawl.select("id").distinct(), seen)
+
+
+@query("""SELECT opportunity_id AS id, title, price FROM calls WHERE opportunity_id % 3 > 0
+  UNION ALL SELECT opportunity_id, concat(title, ' again'), price + 1 FROM calls WHERE opportunity_id % 3 = 0""")
+def c08_merge_by_id(t):
+    calls = t("calls").select(F.col("opportunity_id").alias("id"), "title", "price")
+    return ingest.merge_by_id(calls, calls.where("id % 3 = 0").select("id", F.concat("title", F.lit(" again")).alias("title"), (F.col("price") + 1).alias("price")))
+
+
+@query("SELECT user_id AS url, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def s05_last_per_key(t):
+    return ingest.last_per_key(t("events").select(F.col("user_id").alias("url"), "event_id"), "url", "event_id")
+
+
+@query(f"""WITH {LINKS_SQL}, s AS (SELECT key, pos, url, CASE WHEN regexp_matches(lower(translate(concat(url, ' ', title), 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc')), 'th|en') THEN 3 ELSE 0 END + CASE WHEN pos % 2 = 0 THEN 2 ELSE 0 END + 1 AS score,
+    lower(concat(url, ' ', title)) AS f FROM links)
+  SELECT key, rank, url, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, pos) AS INTEGER) AS rank FROM s WHERE score >= 2 AND NOT regexp_matches(f, 'login')) WHERE rank <= 3""")
+def c09_rank_documents(t):
+    links = _links(t).withColumns({"in_content": F.col("pos") % 2 == 0, "same_host": F.lit(True)})
+    return ingest.rank_documents(links, "th|en", "login")
+
+
+@query(f"WITH {LINKS_SQL} SELECT url, count(DISTINCT key) AS n_pages FROM links GROUP BY url HAVING count(DISTINCT key) >= 2")
+def c10_site_wide(t):
+    return ingest.site_wide(_links(t), least=2)
+
+
+@query("""SELECT opportunity_id, CASE WHEN discipline IS NULL THEN 'no discipline' WHEN has_fee THEN 'fee' WHEN price > 200000 THEN 'too large' END AS reason FROM calls""")
+def c16_gate(t):
+    rules = [("no discipline", F.col("discipline").isNull()), ("fee", F.col("has_fee")), ("too large", F.col("price") > 200000)]
+    return ingest.gate(t("calls"), rules).select("opportunity_id", "reason")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'published' WHEN o_orderkey % 5 = 0 THEN 'raw' WHEN o_orderkey % 3 = 0 THEN 'rejected' ELSE 'not added' END AS stage FROM orders""")
+def c20_furthest_stage(t):
+    ids = t("orders").select(F.col("o_orderkey").alias("id"))
+    return ingest.furthest_stage(ids, [("published", ids.where("id % 7 = 0")), ("raw", ids.where("id % 5 = 0")), ("rejected", ids.where("id % 3 = 0"))])
+
+
+@query("SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'de' AND doc_id % 4 = 0)")
+def c21_never_extracted(t):
+    docs = t("documents")
+    return ingest.never_extracted(docs, docs.where("lang = 'de' AND doc_id % 4 = 0"))
+
+
+# --- normalisation
+
+
+@query("""WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'en' ELSE lang END AS lang FROM documents WHERE doc_id % 7 > 0)
+  SELECT r.doc_id AS id, r.lang FROM documents r LEFT JOIN d ON r.doc_id = d.id WHERE d.id IS NULL OR r.lang IS DISTINCT FROM d.lang""")
+def n02_needs_processing(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), "lang")
+    return normalise.needs_processing(docs, docs.where("id % 7 > 0").withColumn("lang", F.when(F.col("id") % 5 == 0, "en").otherwise(F.col("lang"))))
+
+
+@query("""WITH n AS (SELECT id, list_max(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]{1,2}\\.[0-9]{1,2}\\.20[0-9]{2}'), lambda x: CAST(try_strptime(x, '%d.%m.%Y') AS DATE)), lambda d: d IS NOT NULL)) AS a,
+    CAST(try_strptime(regexp_extract(coalesce(text, ''), '[0-9]{4}-[0-9]{2}-[0-9]{2}'), '%Y-%m-%d') AS DATE) AS b FROM deadlines),
+  d AS (SELECT id, coalesce(a, CASE WHEN abs(year(b) - 2020) <= 10 THEN b END) AS deadline FROM n)
+  SELECT id, CAST(deadline AS VARCHAR) AS deadline, coalesce(deadline < DATE '2020-06-01', false) AS closed FROM d""")
+def n03_n04_deadlines(t):
+    read = t("deadlines").select("id", normalise.parse_deadline(F.col("text"), "2020-06-01").alias("deadline"))
+    return read.select("id", F.col("deadline").cast("string").alias("deadline"), normalise.is_closed(F.col("deadline"), "2020-06-01").alias("closed"))
+
+
+@query("SELECT source AS value, max(CASE WHEN lang = 'en' THEN true ELSE false END) AS english FROM documents GROUP BY 1")
+def n05_distinct_values(t):
+    return normalise.distinct_values(t("documents"), "source", "lang")
+
+
+@query("SELECT opportunity_id, CASE discipline WHEN 'painting' THEN 'visual' WHEN 'sculpture' THEN 'spatial,visual' WHEN 'all' THEN '' END AS canonical FROM calls")
+def n06_n07_value_map(t):
+    calls = t("calls")
+    labels = F.when(F.col("value") == "painting", F.array(F.lit("visual"), F.lit("odd"))).when(F.col("value") == "sculpture", F.array(F.lit("spatial"), F.lit("visual")))
+    mapping = normalise.distinct_values(calls.withColumn("lang", F.lit("en")), "discipline", "lang").select("value", labels.alias("labels")).where("labels is not null")
+    mapped = normalise.apply_value_map(calls, "discipline", mapping, ["spatial", "visual"])
+    return mapped.select("opportunity_id", F.when(F.col("canonical").isNotNull(), F.concat_ws(",", "canonical")).alias("canonical"))
+
+
+@query("""SELECT opportunity_id, pos, CASE WHEN currency = 'eur?' THEN NULL ELSE amount END AS amount, CASE WHEN currency = 'eur?' THEN NULL ELSE currency END AS currency,
+  CASE WHEN period = 'sometime' THEN NULL ELSE period END AS period FROM funding WHERE category = 'O'""")
+def n10_valid_component(t):
+    return normalise.valid_component(t("funding"), ["month", "total"], ["O"]).select("opportunity_id", "pos", "amount", "currency", "period")
+
+
+@query("""SELECT opportunity_id, pos FROM funding WHERE pos % 2 = 0""")
+def n11_ungrounded(t):
+    told = F.when(F.col("pos") % 2 == 0, F.lit("no sum")).otherwise(F.concat(F.lit("a sum of "), F.format_number(F.col("amount").cast("bigint"), 0), F.lit(" each")))
+    return normalise.ungrounded(t("funding").withColumn("told", told), "amount", "told").select("opportunity_id", "pos")
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 15 AS batch, (row_number() OVER (ORDER BY doc_id) - 1) % 15 AS pos FROM documents WHERE lang <> 'en'")
+def n12_n13_work_batches(t):
+    return normalise.work_batches(t("documents").where("lang <> 'en'"), "doc_id", 15)
+
+
+@query("""WITH g AS (SELECT doc_id, source, lower(trim(split_part(text, '.', 1))) AS k, length(text) AS n FROM documents),
+  r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY source, k ORDER BY n DESC, doc_id DESC) AS kept FROM g)
+  SELECT doc_id AS dropped, kept FROM r WHERE doc_id <> kept""")
+def n15_content_duplicates(t):
+    docs = t("documents").withColumn("title", F.trim(F.substring_index("text", ".", 1)))
+    return normalise.drop_duplicates(docs, "source", "title", F.length("text"), "doc_id")
+
+
+@query("""WITH g AS (SELECT opportunity_id, currency, period, min(amount) AS lo, max(amount) AS hi FROM funding GROUP BY ALL)
+  SELECT opportunity_id, string_agg(m, '; ' ORDER BY m) AS label FROM (SELECT opportunity_id, concat(CASE WHEN lo < hi THEN 'up to ' ELSE '' END, CAST(CAST(round(hi) AS BIGINT) AS VARCHAR), ' ', currency, ' per ', period) AS m FROM g) GROUP BY 1""")
+def n16_funding_labels(t):
+    return normalise.funding_labels(t("funding"))
+
+
+@query("""SELECT opportunity_id, round(max(amount * CASE currency WHEN 'EUR' THEN 1.0 WHEN 'USD' THEN 2.0 END), 2) AS eur FROM funding GROUP BY 1
+  HAVING count(*) = 1 AND max(amount * CASE currency WHEN 'EUR' THEN 1.0 WHEN 'USD' THEN 2.0 END) BETWEEN 100 AND 50000""")
+def n17_headline_funding(t):
+    return normalise.headline_funding(t("funding"), {"EUR": 1.0, "USD": 2.0}, 100, 50000)
+
+
+# --- requirement sentences
+
+
+CHUNK_SQL = r"""
+  blocks AS (SELECT doc_id, unnest(b) AS b, unnest(range(len(b))) AS bi FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(^|\s)[-\x{2022}\x{25AA}\x{25E6}\x{00B7}*\x{2013}\x{2014}](\s)', '\1' || chr(10) || '\2', 'g'), '[\r\n]+') AS b FROM documents)),
+  cuts AS (SELECT doc_id, bi, string_split(regexp_replace(regexp_replace(regexp_replace(b, '^\s*(?:[-\x{2022}\x{25AA}\x{25E6}\x{00B7}*\x{2013}\x{2014}]|\(?[0-9]+(?:\.[0-9]+)*[.)]|[a-z][.)])\s+', ''), '^\s+|\s+$', '', 'g'),
+    '([.;!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS c FROM blocks),
+  pieces AS (SELECT doc_id, bi, ci, regexp_replace(c, '^\s+|\s+$', '', 'g') AS c FROM (SELECT doc_id, bi, unnest(c) AS c, unnest(range(len(c))) AS ci FROM cuts)),
+  chunks AS (SELECT doc_id AS key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY bi, ci) - 1 AS INTEGER) AS idx, c AS chunk FROM pieces WHERE c <> '')"""
+
+
+@query(f"WITH {CHUNK_SQL} SELECT key, idx, chunk FROM chunks")
+def t01_sentence_chunks(t):
+    return requirements.split_sentences(t("documents"), "doc_id", "text")
+
+
+HEADING_SQL = """SELECT opportunity_id, idx, text, CASE WHEN (regexp_matches(text, '[?:!]$') OR NOT regexp_matches(text, '[.;]$')) AND regexp_matches(text, 'apply') AND NOT regexp_matches(text, 'years') THEN text END AS h FROM sentences"""
+
+
+@query(f"""SELECT opportunity_id, idx, last_value(h IGNORE NULLS) OVER (PARTITION BY opportunity_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading FROM ({HEADING_SQL})""")
+def t02_t03_headings(t):
+    heading = requirements.is_heading(F.col("text"), "apply", "years")
+    return requirements.with_heading(t("sentences"), "opportunity_id", "idx", "text", heading).select("opportunity_id", "idx", "heading")
+
+
+RULES_SQL = """
+  once AS (SELECT DISTINCT text, lower(text) AS low FROM sentences),
+  read AS (SELECT text, concat_ws(',', CASE WHEN regexp_matches(low, '\\b(years old|aged|age limit|under [0-9]+|over [0-9]+)\\b') THEN 'AGE' END, CASE WHEN regexp_matches(low, '\\bbased in\\b') THEN 'RESIDENCE' END,
+      CASE WHEN regexp_matches(low, '\\bcollectives?\\b') THEN 'APPLICANT_TYPE' END, CASE WHEN regexp_matches(low, '\\bstudents?\\b') THEN 'STUDENT_STATUS' END, CASE WHEN regexp_matches(low, '\\bdegree\\b') THEN 'EDUCATION' END,
+      CASE WHEN regexp_matches(low, '\\b(must|only|eligible)\\b') THEN 'GENERIC' END) AS hits,
+    CASE WHEN low LIKE '%no age limit%' THEN 'WAIVES' WHEN low LIKE '%not eligible%' THEN 'EXCLUDES' ELSE 'REQUIRES' END AS polarity,
+    CASE WHEN low LIKE '%preferably%' THEN 'PREFERENCE' ELSE 'APPLICANT' END AS scope,
+    CASE WHEN low LIKE '%aged%' THEN CAST(regexp_extract(low, '([0-9]+) to', 1) AS INTEGER) WHEN low LIKE '%at least%' THEN CAST(regexp_extract(low, 'at least ([0-9]+)', 1) AS INTEGER) END AS least_age,
+    CASE WHEN low LIKE '%aged%' THEN CAST(regexp_extract(low, 'to ([0-9]+)', 1) AS INTEGER) WHEN low LIKE '%under%' THEN CAST(regexp_extract(low, 'under ([0-9]+)', 1) AS INTEGER) - 1 END AS most_age,
+    CASE WHEN low LIKE '%collectives%' THEN 'group' ELSE '' END AS types FROM once)"""
+
+
+@query(f"WITH {RULES_SQL} SELECT s.opportunity_id, s.idx, r.hits, r.polarity, r.scope, r.least_age, r.most_age, r.types FROM sentences s JOIN read r ON s.text = r.text")
+def t04_t06_t07_t08_t10_rules(t):
+    def rules(once):
+        text = F.col("text")
+        least, most = requirements.age_bounds(text)
+        return once.select(
+            "text", F.concat_ws(",", requirements.keyword_hits(text)).alias("hits"), requirements.polarity(text).alias("polarity"), requirements.scope(text).alias("scope"),
+            requirements.gated(least, text).alias("least_age"), requirements.gated(most, text).alias("most_age"), F.concat_ws(",", requirements.applicant_types(text)).alias("types"),
+        )
+
+    return requirements.over_distinct(t("sentences"), "text", rules).drop("text")
+
+
+@query("""SELECT s.opportunity_id, s.idx, n.n_name AS country_named FROM sentences s LEFT JOIN nation n ON upper(regexp_extract(s.text, 'based in ([A-Za-z ]+)', 1)) = n.n_name""")
+def t09_country_named(t):
+    named = requirements.over_distinct(t("sentences"), "text", lambda once: requirements.country_named(once, "text", t("nation"), "n_name"))
+    return named.select("opportunity_id", "idx", "country_named")
+
+
+@query("""SELECT label, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(CASE WHEN confidence >= 0.07 THEN 1.0 ELSE 0.0 END), 6) AS confident,
+  round(count(*) / sum(count(*)) OVER (), 6) AS share FROM requirements GROUP BY label""")
+def t22_requirement_report(t):
+    return requirements.requirement_report(t("requirements"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding, 4 * embedding[1] - 2 * embedding[2] + 0.1 AS za, 3 * embedding[3] - 0.2 AS zb FROM embeddings),
+  p AS (SELECT vec_id, 1 / (1 + exp(-za)) AS pa, 1 / (1 + exp(-zb)) AS pb FROM e)
+  SELECT vec_id AS key, 'first' AS label, round(pa, 4) AS p FROM p WHERE pa >= 0.5 UNION ALL SELECT vec_id, 'second', round(pb, 4) FROM p WHERE pb >= 0.5
+  UNION ALL SELECT vec_id, 'NONE', round(greatest(pa, pb), 4) FROM p WHERE pa < 0.5 AND pb < 0.5""")
+def t19_linear_scores(t):
+    table = t("embeddings")
+    width = 64
+    weights = np.zeros((2, width))
+    weights[0, :2], weights[1, 2] = (4, -2), 3
+    scored = requirements.linear_scores(table, "vec_id", "embedding", ["first", "second"], weights, np.array([0.1, -0.2]))
+    return scored.select("key", "label", F.round("p", 4).alias("p"))
+
+
+# --- eligibility
+
+
+ITEMS_SQL = """
+  rows AS (SELECT o.o_custkey AS profile_id, r.opportunity_id, r.chunk_index, r.label, r.polarity, p.birth_year, c.deadline_date AS d, r.max_age, p.residence_country, r.country, p.applicant_type AS own, r.applicant_type AS want
+    FROM orders o JOIN calls c ON o.o_orderkey = c.opportunity_id JOIN requirements r ON r.opportunity_id = c.opportunity_id JOIN profiles p ON p.profile_id = o.o_custkey),
+  ins AS (SELECT *, CASE label
+      WHEN 'AGE' THEN CASE WHEN birth_year IS NULL THEN NULL WHEN d < DATE '1996-06-01' THEN year(d) - birth_year <= max_age
+        WHEN (1996 - birth_year <= max_age) = (year(d) - birth_year <= max_age) THEN 1996 - birth_year <= max_age END
+      WHEN 'RESIDENCE' THEN residence_country = country
+      WHEN 'APPLICANT_TYPE' THEN CASE WHEN own IS NULL THEN NULL WHEN own = want THEN true WHEN own = 'organisation' AND want = 'group' THEN NULL ELSE false END END AS i FROM rows),
+  items AS (SELECT profile_id, opportunity_id, chunk_index, label, polarity, CASE WHEN label = 'OTHER' THEN 'CHECK' WHEN polarity = 'WAIVES' THEN 'NO_RESTRICTION' WHEN polarity = 'UNCLEAR' OR i IS NULL THEN 'CHECK'
+    WHEN (polarity = 'REQUIRES') = i THEN 'PASS' ELSE 'FAIL' END AS outcome FROM ins)"""
+
+GROUPS_SQL = f"""{ITEMS_SQL},
+  st AS (SELECT *, CASE WHEN chunk_index = lag(chunk_index) OVER w + 1 THEN 0 ELSE 1 END AS s FROM items WHERE outcome NOT IN ('NO_RESTRICTION', 'INFO') WINDOW w AS (PARTITION BY profile_id, opportunity_id, label ORDER BY chunk_index)),
+  rn AS (SELECT *, sum(s) OVER (PARTITION BY profile_id, opportunity_id, label ORDER BY chunk_index) AS run FROM st),
+  gs AS (SELECT profile_id, opportunity_id, label, run, count(*) AS n, bool_and(outcome = 'FAIL') AS af, bool_and(polarity <> 'EXCLUDES' OR outcome = 'PASS') AS cl,
+    bool_or(polarity <> 'EXCLUDES' AND outcome = 'PASS') OR NOT bool_or(polarity <> 'EXCLUDES') AS sm FROM rn GROUP BY ALL),
+  grouped AS (SELECT r.profile_id, r.opportunity_id, r.chunk_index, r.label, CASE WHEN n = 1 THEN outcome WHEN af THEN 'FAIL' WHEN cl AND sm THEN 'PASS' ELSE 'CHECK' END AS effective
+    FROM rn r JOIN gs g ON r.profile_id = g.profile_id AND r.opportunity_id = g.opportunity_id AND r.label = g.label AND r.run = g.run)"""
+
+
+def _items(t):
+    pairs = t("orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("opportunity_id"))
+    return pairs, eligibility.assess(pairs, t("profiles").select("profile_id", "birth_year", "residence_country", "applicant_type"), t("calls"), t("requirements").drop("confidence"), "1996-06-01")
+
+
+@query(f"WITH {ITEMS_SQL} SELECT profile_id, opportunity_id, chunk_index, label, polarity, outcome FROM items")
+def e03_e06_e13_outcomes(t):
+    return _items(t)[1]
+
+
+@query(f"WITH {GROUPS_SQL} SELECT profile_id, opportunity_id, chunk_index, label, effective FROM grouped")
+def e15_e16_or_groups(t):
+    return eligibility.or_groups(_items(t)[1]).select("profile_id", "opportunity_id", "chunk_index", "label", "effective")
+
+
+@query(f"""WITH {GROUPS_SQL}, sums AS (SELECT profile_id, opportunity_id, count(*) FILTER (WHERE effective = 'FAIL') AS f, count(*) FILTER (WHERE effective = 'CHECK') AS c, count(*) FILTER (WHERE effective = 'PASS') AS p FROM grouped GROUP BY 1, 2)
+  SELECT o_custkey AS profile_id, o_orderkey AS opportunity_id, coalesce(f, 0) AS n_fail, coalesce(c, 0) AS n_check, coalesce(p, 0) AS n_pass,
+    CASE WHEN f > 0 THEN 'LIKELY_NOT_ELIGIBLE' WHEN c > 0 OR coalesce(p, 0) = 0 THEN 'CHECK' ELSE 'ELIGIBLE' END AS status
+  FROM orders LEFT JOIN sums ON o_custkey = profile_id AND o_orderkey = opportunity_id""")
+def e17_verdicts(t):
+    pairs, items = _items(t)
+    return eligibility.verdicts(pairs, eligibility.or_groups(items))
+
+
+@query("""WITH r AS (SELECT text, min(CASE WHEN idx % 3 = 0 THEN 'PROJECT' WHEN idx % 3 = 1 THEN 'APPLICANT' ELSE 'OBLIGATION' END) FILTER (WHERE idx % 3 <> 1) AS scope FROM sentences GROUP BY text) SELECT text, scope FROM r""")
+def e02_reviewed_scope(t):
+    scope = F.when(F.col("idx") % 3 == 0, "PROJECT").when(F.col("idx") % 3 == 1, "APPLICANT").otherwise("OBLIGATION")
+    return eligibility.reviewed_scope(t("sentences").select("text", scope.alias("scope")))
+
+
+# --- matching
+
+
+@query("SELECT opportunity_id AS id, substr(sha256(concat_ws(chr(10), title, discipline)), 1, 16) AS text_hash FROM calls")
+def m01_text_hash(t):
+    return t("calls").select(F.col("opportunity_id").alias("id"), matching.text_hash(F.col("title"), F.col("discipline")).alias("text_hash"))
+
+
+CENTRES_SQL = """
+  u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y)))) AS v FROM embeddings),
+  dims AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS i FROM u) GROUP BY 1, 2),
+  m AS (SELECT label AS key, list(x ORDER BY i) AS m FROM dims GROUP BY 1),
+  centres AS (SELECT key, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda y: y * y)))) AS v FROM m)"""
+
+
+def _centres(t):
+    return matching.mean_vectors(t("embeddings"), "label", "embedding").select(F.col("key").cast("bigint").alias("key"), "v")
+
+
+@query(f"WITH {CENTRES_SQL} SELECT CAST(key AS BIGINT) AS key, i, round(x, 6) AS x FROM (SELECT key, unnest(v) AS x, unnest(range(len(v))) AS i FROM centres)")
+def m02_m06_mean_vectors(t):
+    return _centres(t).select("key", F.posexplode("v").alias("i", "x")).select("key", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
+
+
+TOPK_SQL = f"""{CENTRES_SQL}, sims AS (SELECT CAST(c.key AS BIGINT) AS key, u.vec_id AS item, round(list_dot_product(c.v, u.v), 12) AS sim FROM centres c, u)"""
+
+
+@query(f"WITH {TOPK_SQL} SELECT key, item, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sim DESC, item) AS rank FROM sims) WHERE rank <= 10")
+def m07_top_k(t):
+    items = t("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    return matching.top_k(_centres(t), items, 10, 8).select("key", "item", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query("""SELECT opportunity_id FROM calls WHERE coalesce(deadline_date >= DATE '1996-01-01', true) AND coalesce(kind IN ('O', 'P'), true) AND coalesce(discipline IN ('all', 'painting'), true) AND coalesce(NOT has_fee, true)""")
+def m03_preference_filter(t):
+    return matching.preference_filter(t("calls"), "1996-01-01", ["O", "P"], ["painting"], no_fee=True).select("opportunity_id")
+
+
+@query("""SELECT o_custkey AS profile_id, o_orderkey AS opportunity_id, o_orderstatus AS grp, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders""")
+def m09_grouped_ranking(t):
+    rows = t("orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("opportunity_id"), F.col("o_orderstatus").alias("grp"), "o_totalprice")
+    return matching.grouped_ranking(rows, F.desc("o_totalprice")).drop("o_totalprice")
+
+
+WORDS_SQL = """
+  words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]{4,}'))) AS word FROM documents),
+  freq AS (SELECT word, count(*) AS df FROM words GROUP BY 1),
+  forms AS (SELECT a.word, b.word AS form FROM freq a JOIN freq b ON substr(a.word, 1, 5) = substr(b.word, 1, 5) AND a.word <> b.word AND length(a.word) >= 5 AND length(b.word) >= 5
+    AND left(a.word, greatest(5, least(length(a.word), length(b.word)) - 2)) = left(b.word, greatest(5, least(length(a.word), length(b.word)) - 2))),
+  more AS (SELECT f.word, sum(q.df) AS m FROM forms f JOIN freq q ON f.form = q.word GROUP BY 1),
+  specific AS (SELECT freq.word, df + coalesce(m, 0) AS n FROM freq LEFT JOIN more ON freq.word = more.word WHERE df + coalesce(m, 0) < 0.10 * (SELECT count(*) FROM documents))"""
+
+
+@query(f"WITH {WORDS_SQL} SELECT word, df FROM freq")
+def m11_m12_word_frequency(t):
+    return matching.word_frequency(t("documents"), "text")
+
+
+@query(f"WITH {WORDS_SQL} SELECT word, CAST(n AS BIGINT) AS n FROM specific")
+def m12_m13_specific_words(t):
+    return matching.specific_words(t("documents"), "text")
+
+
+@query(f"""WITH {WORDS_SQL}, b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]{{4,}}'))) AS word FROM benchmark)
+  SELECT b.item_id AS a, w.doc_id AS b, count(*) AS n_shared FROM b JOIN specific s ON b.word = s.word JOIN words w ON w.word = b.word GROUP BY 1, 2""")
+def m14_shared_words(t):
+    return matching.shared_words(t("benchmark"), t("documents"), matching.specific_words(t("documents"), "text"), "item_id", "text", "doc_id", "text")
+
+
+@query(f"""WITH {TOPK_SQL}, z AS (SELECT key, item, (sim - avg(sim) OVER (PARTITION BY key)) / stddev_pop(sim) OVER (PARTITION BY key) AS z FROM sims)
+  SELECT key, item, CAST(round_even(100 / (1 + exp(-(-1 + z + 0.3 * least(item % 7, 5) - 0.5 * (item % 2)))), 0) AS INTEGER) AS percent FROM z""")
+def m16_match_percent(t):
+    items = t("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    n = items.count()
+    near = matching.top_k(_centres(t), items, n, 1)
+    return matching.match_percent(near.withColumns({"n_shared": F.col("item") % 7, "mismatch": F.col("item") % 2 == 1}), (1.0, 0.3, -0.5), -1.0).select("key", "item", "percent")
+
+
+# --- annotation
+
+
+@query("""WITH n AS (SELECT *, lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text FROM sentences WINDOW w AS (PARTITION BY opportunity_id ORDER BY idx)),
+  q AS (SELECT text, CASE WHEN idx < 4 THEN 'early' ELSE 'late' END AS label, opportunity_id, idx, previous_text, next_text FROM n),
+  g AS (SELECT text, label, count(*) OVER (PARTITION BY text, label) AS occurrences, opportunity_id AS example_key, previous_text, next_text, row_number() OVER (PARTITION BY text, label ORDER BY opportunity_id, idx) AS r FROM q)
+  SELECT text, label, occurrences, example_key, previous_text, next_text FROM g WHERE r = 1 AND NOT (label = 'early' AND text LIKE 'Artists%')""")
+def a04_review_queue(t):
+    rows = t("sentences").withColumn("label", F.when(F.col("idx") < 4, "early").otherwise("late"))
+    reviews = rows.where("label = 'early' and text like 'Artists%'")
+    return annotate.review_queue(rows, reviews, "opportunity_id", "idx", "text", "label")
+
+
+@query("SELECT doc_id, source, pos FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat('1/', CAST(doc_id AS VARCHAR))), doc_id) AS pos FROM documents) WHERE pos <= 5")
+def a13_a14_capped_sample(t):
+    return annotate.capped_sample(t("documents").select("doc_id", "source"), "doc_id", "source", 5)
+
+
+@query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
+def a02_a15_extended_pool(t):
+    return annotate.extended_pool(t("documents").select("doc_id"), t("labels"), "doc_id")
+
+
+@query("""SELECT chunk_id, CASE WHEN confidence > 0.9 THEN 'q1t1' WHEN confidence < 0.1 THEN 'SKIP' WHEN confidence < 0.3 THEN rated ELSE label END AS final_label,
+  CASE WHEN confidence > 0.9 THEN CASE WHEN label = 'q1t1' THEN 'confirmed' ELSE 'changed' END WHEN confidence < 0.1 THEN 'moved' WHEN confidence < 0.3 THEN CASE WHEN label = rated THEN 'confirmed' ELSE 'changed' END ELSE 'kept' END AS state FROM annotations""")
+def a09_apply_review(t):
+    a = t("annotations")
+    human = a.where("confidence < 0.3").select("chunk_id", F.when(F.col("confidence") < 0.1, "SKIP").otherwise(F.col("rated")).alias("label"))
+    return annotate.apply_review(a, human, a.where("confidence > 0.9").select("chunk_id", F.lit("q1t1").alias("label")))
+
+
+@query("SELECT grp, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM annotations GROUP BY grp")
+def a03_dominance(t):
+    return annotate.dominance(t("annotations"), "grp")
+
+
+@query("""SELECT opportunity_id AS base, coalesce(string_agg(DISTINCT label, '|' ORDER BY label) FILTER (WHERE label <> 'NONE'), 'NONE') AS labels FROM (SELECT opportunity_id, CASE label WHEN 'OTHER' THEN 'NONE' ELSE label END AS label FROM requirements) GROUP BY 1""")
+def a12_multilabel_union(t):
+    rows = t("requirements").withColumn("label", F.when(F.col("label") == "OTHER", "NONE").otherwise(F.col("label")))
+    return annotate.multilabel_union(rows, "opportunity_id", "label")
+
+
+@query("SELECT grp, CAST((row_number() OVER (ORDER BY md5(concat('1/', grp))) - 1) % 5 AS INTEGER) AS fold FROM (SELECT DISTINCT grp FROM annotations)")
+def v01_group_folds(t):
+    return annotate.group_folds(t("annotations"), "grp", 5)
+
+
+# --- streams: the oracle is the batch result
+
+
+def stream(sql: str) -> Callable:
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+@stream("SELECT DISTINCT concat('d_', substr(sha256(CAST(user_id AS VARCHAR)), 1, 12)) AS id, CAST(user_id AS VARCHAR) AS url FROM events WHERE user_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de')")
+def w01_discovered(spark, sf_dir):
+    seen = load(spark, sf_dir, "documents").where("lang = 'de'").select(jobs.make_id(F.col("doc_id").cast("string"), "d").alias("id"))
+    events = jobs.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("url"), "ts")
+    return jobs.drain(jobs.discovered(events, seen, "5000 days")).select("id", "url")
+
+
+@stream("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def w02_upsert(spark, sf_dir):
+    return jobs.upsert(jobs.stream_of(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@stream("""WITH b AS (SELECT CAST(user_id AS VARCHAR) AS id, unnest(range(3)) AS k, time_bucket(INTERVAL '1 day', ts) AS day FROM events WHERE event_type = 'error'),
+  w AS (SELECT id, day - to_days(CAST(k AS INTEGER)) AS start FROM b) SELECT id, start, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2""")
+def w04_blocked(spark, sf_dir):
+    events = jobs.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("id"), "ts", "event_type")
+    return jobs.drain_complete(jobs.blocked(events, "error", 2, "3 days", "1 day"))
+
+
+@stream("SELECT date_trunc('hour', ts) AS start, CASE WHEN event_type = 'error' THEN 'error' WHEN value IS NULL THEN 'no value' END AS reason, count(*) AS n FROM events GROUP BY 1, 2")
+def w05_routed(spark, sf_dir):
+    events = jobs.stream_of(spark, f"{sf_dir}/events.parquet")
+    return jobs.drain_complete(jobs.routed(events, [("error", F.col("event_type") == "error"), ("no value", F.col("value").isNull())]))

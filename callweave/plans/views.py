@@ -22,13 +22,21 @@ VIEWS = {
           CASE WHEN c_custkey % 7 = 3 THEN NULL WHEN c_custkey % 3 = 0 THEN 'individual' WHEN c_custkey % 3 = 1 THEN 'group' ELSE 'organisation' END AS applicant_type
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "requirements": """
-        SELECT l_orderkey AS opportunity_id, l_linenumber AS chunk_index,
+        SELECT l_orderkey AS opportunity_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS chunk_index,
           CASE l_partkey % 4 WHEN 0 THEN 'AGE' WHEN 1 THEN 'RESIDENCE' WHEN 2 THEN 'APPLICANT_TYPE' ELSE 'OTHER' END AS label,
           CASE l_suppkey % 4 WHEN 0 THEN 'REQUIRES' WHEN 1 THEN 'EXCLUDES' WHEN 2 THEN 'WAIVES' ELSE 'UNCLEAR' END AS polarity,
           CAST(l_quantity AS INTEGER) + 18 AS max_age, n_name AS country,
           CASE l_returnflag WHEN 'A' THEN 'individual' WHEN 'N' THEN 'group' ELSE 'organisation' END AS applicant_type,
           l_discount AS confidence
         FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
+    "sentences": """
+        SELECT l_orderkey AS opportunity_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS idx, CASE l_partkey % 8
+          WHEN 0 THEN concat('Applicants must be under ', CAST(CAST(l_quantity AS INTEGER) + 15 AS VARCHAR(9)), ' years old.')
+          WHEN 1 THEN concat('Applicants must be at least ', CAST(CAST(l_quantity AS INTEGER) + 5 AS VARCHAR(9)), ' years old.')
+          WHEN 2 THEN 'Students are not eligible.' WHEN 3 THEN concat('Artists based in ', n_name, '.')
+          WHEN 4 THEN 'There is no age limit.' WHEN 5 THEN 'Who can apply?' WHEN 6 THEN 'Preferably applicants have a degree.'
+          ELSE concat('Open to artists aged ', CAST(CAST(l_quantity AS INTEGER) + 10 AS VARCHAR(9)), ' to ', CAST(CAST(l_quantity AS INTEGER) + 20 AS VARCHAR(9)), ', and only collectives.') END AS text
+        FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
     "deadlines": """
         SELECT o_orderkey AS id, CASE o_orderkey % 5
           WHEN 0 THEN concat(CAST(day(o_orderdate) AS VARCHAR(9)), '.', CAST(month(o_orderdate) AS VARCHAR(9)), '.', CAST(year(o_orderdate) + 25 AS VARCHAR(9)))
