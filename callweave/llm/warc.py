@@ -155,11 +155,13 @@ def write_archives(records: DataFrame, path: str) -> None:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The chunk table that the archives at ``path`` hold, with ``intact``: length and digest agree."""
-    value = F.regexp_replace(F.regexp_replace("value", "^WARC/1\\.1\r\n", ""), "\r\n\r\n$", "")
     raw = spark.read.schema("value string").option("lineSep", SEPARATOR).text(path)
-    parts = raw.where("value <> ''").select(value.alias("__v")).select(
-        F.substring_index("__v", "\r\n\r\n", 1).alias("__h"), F.expr("substring(__v, locate('\\r\\n\\r\\n', __v) + 4)").alias("data")
+    cut = raw.where("value <> ''").select(F.regexp_replace("value", "^WARC/1\\.1\r\n", "").alias("__v")).select(
+        F.substring_index("__v", "\r\n\r\n", 1).alias("__h"), F.expr("substring(__v, locate('\\r\\n\\r\\n', __v) + 4)").alias("__d")
     )
+    # the last record of a file still has the blank lines that end it
+    over = F.octet_length("__d") - F.regexp_extract("__h", "\nContent-Length: ([0-9]+)", 1).cast("bigint")
+    parts = cut.select("__h", F.when(over == 4, F.expr("left(__d, length(__d) - 4)")).otherwise(F.col("__d")).alias("data"))
     field = lambda name: F.nullif(F.regexp_extract("__h", f"(?:^|\n){name}: ([^\r]*)", 1), F.lit(""))
     digest = lambda name: F.substring_index(field(name), ":", -1)
     return parts.select(
