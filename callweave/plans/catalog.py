@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.operators import annotate, eligibility, evaluate, explore, ingest, matching, normalise, requirements
+from callweave.operators import annotate, documents, eligibility, evaluate, explore, ingest, matching, normalise, requirements
 from callweave.plans.views import load, with_views
 from callweave.streaming import jobs
 
@@ -652,3 +652,52 @@ def w04_blocked(spark, sf_dir):
 def w05_routed(spark, sf_dir):
     events = jobs.stream_of(spark, f"{sf_dir}/events.parquet")
     return jobs.drain_complete(jobs.routed(events, [("error", F.col("event_type") == "error"), ("no value", F.col("value").isNull())]))
+
+
+# --- documents
+
+
+LINES_SQL = r"""
+  l AS (SELECT doc_id AS key, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: regexp_replace(regexp_replace(x, '[ \t\f\x0B]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+  lines AS (SELECT key, CAST(pos AS INTEGER) AS pos, line FROM (SELECT key, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM l))"""
+
+
+@query(f"WITH {LINES_SQL}, n AS (SELECT *, sum(length(line)) OVER (PARTITION BY key ORDER BY pos) AS n FROM lines) SELECT key, pos, regexp_replace(line, '^#{{1,6}} ', '') AS line FROM n WHERE n <= 2000")
+def s11_line_table(t):
+    return documents.line_table(t("documents"), "doc_id", "text", most=2000).drop("marked")
+
+
+@query(f"WITH {LINES_SQL}, h AS (SELECT *, CASE WHEN len(string_split(line, ' ')) <= 8 AND NOT regexp_matches(line, '[.,;]$') AND regexp_matches(line, '\\p{{L}}{{3}}') AND upper(line) = line THEN line END AS h FROM lines) SELECT key, pos, last_value(h IGNORE NULLS) OVER (PARTITION BY key ORDER BY pos) AS section FROM h")
+def d01_d05_sections(t):
+    lines = documents.line_table(t("documents"), "doc_id", "text")
+    return documents.with_section(lines, documents.heading_like(F.col("line"), ["contact"])).select("key", "pos", "section")
+
+
+@query(f"""WITH {LINES_SQL}, f AS (SELECT key, pos, line, 'mail' AS field, regexp_extract(line, '([a-z0-9.]+@[a-z0-9.]+[a-z])', 1) AS value FROM lines UNION ALL SELECT key, pos, line, 'number', regexp_extract(line, '([0-9]{{3,}})', 1) FROM lines)
+  SELECT key, field, value, line AS quote, pos FROM (SELECT *, row_number() OVER (PARTITION BY key, field ORDER BY pos) AS r FROM f WHERE value <> '') WHERE r = 1""")
+def d06_d11_facts(t):
+    lines = documents.line_table(t("documents"), "doc_id", "text")
+    return documents.facts(lines, {"mail": "([a-z0-9.]+@[a-z0-9.]+[a-z])", "number": "([0-9]{3,})"})
+
+
+@query("""WITH s AS (SELECT o_custkey AS artist_id, o_orderstatus AS field, o_clerk_kind AS kind, o_orderkey AS pos FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'cv' WHEN 1 THEN 'statement' ELSE 'other' END AS o_clerk_kind FROM orders))
+  SELECT artist_id, field, kind, pos FROM (SELECT *, row_number() OVER (PARTITION BY artist_id, field ORDER BY CASE kind WHEN 'cv' THEN 1 WHEN 'statement' THEN 2 ELSE 3 END, pos) AS r FROM s) WHERE r = 1""")
+def d12_merge_suggestions(t):
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "cv").when(F.col("o_orderkey") % 3 == 1, "statement").otherwise("other")
+    rows = t("orders").select(F.col("o_custkey").alias("artist_id"), F.col("o_orderstatus").alias("field"), kind.alias("kind"), F.col("o_orderkey").alias("pos"), F.lit("v").alias("value"))
+    return documents.merge_suggestions(rows, "artist_id", ["cv", "statement"]).drop("value")
+
+
+@query("""SELECT o_custkey AS artist_id, lower(o_orderpriority_text) AS title_key, max(summary) AS summary, min(year(o_orderdate)) AS first_year, max(year(o_orderdate)) AS last_year, string_agg(DISTINCT o_orderstatus, '; ' ORDER BY o_orderstatus) AS venues
+  FROM (SELECT *, trim(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', ' ', 'g')) AS o_orderpriority_text, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS summary FROM orders) GROUP BY 1, 2""")
+def d16_merge_projects(t):
+    rows = t("orders").select(F.col("o_custkey").alias("artist_id"), F.col("o_orderpriority").alias("title"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("summary"), F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("venue"))
+    return documents.merge_projects(rows)
+
+
+@query("""WITH i AS (SELECT opportunity_id AS key, pos, pos % 4 AS item, period FROM funding), d AS (SELECT DISTINCT key, pos, period FROM i)
+  SELECT key, count(*) FILTER (WHERE period = 'month') AS done, count(*) FILTER (WHERE period = 'total') AS started, count(*) FILTER (WHERE period = 'sometime') AS missing FROM d GROUP BY 1""")
+def d19_item_state(t):
+    items = t("funding").select(F.col("opportunity_id").alias("key"), F.concat_ws("/", F.col("opportunity_id").cast("string"), F.col("pos").cast("string"), "period").alias("item_id"), "period").distinct()
+    drafts = items.where("period <> 'sometime'").select("item_id", (F.col("period") == "month").alias("final"))
+    return documents.item_state(items, drafts)
