@@ -87,3 +87,33 @@ def verdicts(pairs: DataFrame, grouped: DataFrame) -> DataFrame:
     joined = pairs.join(sums, ["profile_id", "opportunity_id"], "left").fillna(0, ["n_fail", "n_check", "n_pass"])
     status = F.when(F.col("n_fail") > 0, "LIKELY_NOT_ELIGIBLE").when((F.col("n_check") > 0) | (F.col("n_pass") == 0), "CHECK").otherwise("ELIGIBLE")
     return joined.select("profile_id", "opportunity_id", "n_fail", "n_check", "n_pass", status.alias("status"))
+
+
+def country_membership(fields: Column, countries: Column, broad: Column, region_members: Column) -> Column:
+    """A listed country or member of a broad region is true; all fields known and no broad region is false; else unknown."""
+    known = F.filter(fields, lambda x: x.isNotNull())
+    hit = F.coalesce(F.arrays_overlap(known, countries), F.lit(False)) | F.coalesce(F.arrays_overlap(known, region_members), F.lit(False))
+    whole = (F.size(known) == F.size(fields)) & (F.coalesce(F.size(broad), F.lit(0)) <= 0)
+    return F.when(hit, True).when(whole, False)
+
+
+def any_of(parts: DataFrame, key: str, inside: str) -> DataFrame:
+    """Three-valued "or" over alternatives: one true is true, all false is false, else unknown."""
+    yes, unknown = F.max(F.coalesce(F.col(inside), F.lit(False))), F.max(F.col(inside).isNull())
+    return parts.groupBy(key).agg(F.when(yes, True).when(~unknown, False).alias("inside"))
+
+
+def coverage(calls: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Calls with no requirement row."""
+    return calls.join(requirements.select("opportunity_id"), "opportunity_id", "left_anti").select("opportunity_id")
+
+
+def no_rules(items: DataFrame) -> DataFrame:
+    """Calls of which no row restricts the applicant."""
+    return items.groupBy("opportunity_id").agg(F.max(~F.col("outcome").isin("INFO", "NO_RESTRICTION")).alias("__any")).where("not __any").select("opportunity_id")
+
+
+def verdict_rows(grouped: DataFrame) -> DataFrame:
+    """A row a pair and sentence: its outcome by rank FAIL, PASS, CHECK, and its labels."""
+    rank = F.when(F.col("effective") == "FAIL", 0).when(F.col("effective") == "PASS", 1).otherwise(2)
+    return grouped.groupBy("profile_id", "opportunity_id", "chunk_index").agg(F.min_by("effective", rank).alias("shown"), F.concat_ws("|", F.array_sort(F.collect_set("label"))).alias("labels"))

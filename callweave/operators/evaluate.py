@@ -128,3 +128,47 @@ def calibration(df: DataFrame, key: str, p: str, y: str, bins: int = 5) -> DataF
     """Equal-count bins of a probability with its mean and the share that came true."""
     ranked = df.select(F.ntile(bins).over(Window.orderBy(p, key)).alias("bin"), F.col(p).alias("p"), F.col(y).alias("y"))
     return ranked.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("share_true"))
+
+
+def best_thresholds(df: DataFrame, label: str, p: str, y: str, steps: Sequence[float]) -> DataFrame:
+    """For each label the threshold of best F1, the lowest on a tie."""
+    each = df.select(F.col(label).alias("label"), F.col(p).alias("p"), F.col(y).alias("y"), F.explode(F.array(*map(F.lit, steps))).alias("threshold"))
+    said = F.col("p") >= F.col("threshold")
+    sums = each.groupBy("label", "threshold").agg(F.count_if(said & F.col("y")).alias("tp"), F.count_if(said).alias("given"), F.count_if(F.col("y")).alias("real"))
+    f1 = sums.withColumn("f1", _ratio(2 * F.col("tp"), F.col("given") + F.col("real")))
+    return f1.groupBy("label").agg(F.max(F.struct("f1", (-F.col("threshold")).alias("t"))).alias("m")).select("label", (-F.col("m.t")).alias("threshold"), F.round("m.f1", 6).alias("f1"))
+
+
+def field_scores(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Right, wrong, missed, extra and rightly empty by field, over a full join on (doc, field)."""
+    both = truth.select("doc", "field", F.col("value").alias("t")).join(found.select("doc", "field", F.col("value").alias("f")), ["doc", "field"], "full")
+    kind = F.when(F.col("t").isNull() & F.col("f").isNull(), "ok_null").when(F.col("t").isNull(), "extra").when(F.col("f").isNull(), "missed").when(F.col("t") == F.col("f"), "right").otherwise("wrong")
+    return both.groupBy("field", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def hit_rates(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Share of questions whose wanted item ranks first, and among the first three."""
+    best = wanted.join(ranked.select("key", "item", "rank"), ["key", "item"], "left").groupBy("key").agg(F.min("rank").alias("r"))
+    at = lambda k: F.round(F.avg(F.coalesce(F.col("r") <= k, F.lit(False)).cast("double")), 6)
+    return best.agg(F.count("*").alias("n"), at(1).alias("top1"), at(3).alias("top3"))
+
+
+def missed_causes(df: DataFrame) -> DataFrame:
+    """By persona the status that rejections were most often missed with, and whether it was the only one."""
+    missed = df.where("expected = 'NOT_ELIGIBLE' AND status <> 'NOT_ELIGIBLE'")
+    per = missed.groupBy("persona", "status").agg(F.count("*").alias("n"))
+    return per.groupBy("persona").agg(F.max_by("status", F.struct("n", "status")).alias("cause"), (F.count("*") == 1).alias("only"), F.sum("n").alias("n"))
+
+
+def aligned_sentences(left: DataFrame, right: DataFrame, share: float = 0.8) -> DataFrame:
+    """Pairs of one call's sentences whose common words make up a share of the smaller set; by an index of words within the call."""
+    words = lambda d, n: d.select("opportunity_id", F.col("idx").alias(n), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")).withColumn(f"{n}_n", F.size("w")).withColumn("word", F.explode("w")).drop("w")
+    both = words(left, "a").join(words(right, "b"), ["opportunity_id", "word"]).groupBy("opportunity_id", "a", "b", "a_n", "b_n").agg(F.count("*").alias("n"))
+    return both.where(F.col("n") >= share * F.least("a_n", "b_n")).select("opportunity_id", "a", "b")
+
+
+def learning_curve(df: DataFrame, group: str, right: Column, shares: Sequence[float]) -> DataFrame:
+    """Accuracy over nested shares of groups, taken in seeded order."""
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit("curve/"), F.col(group))), 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
+    each = df.select(digits.alias("u"), right.cast("double").alias("ok"), F.explode(F.array(*map(F.lit, shares))).alias("share"))
+    return each.where(F.col("u") < F.col("share")).groupBy("share").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("accuracy"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from callweave.operators import annotate, documents, eligibility, evaluate, explore, ingest, matching, normalise, requirements
 from callweave.plans.views import load, with_views
@@ -701,3 +702,127 @@ def d19_item_state(t):
     items = t("funding").select(F.col("opportunity_id").alias("key"), F.concat_ws("/", F.col("opportunity_id").cast("string"), F.col("pos").cast("string"), "period").alias("item_id"), "period").distinct()
     drafts = items.where("period <> 'sometime'").select("item_id", (F.col("period") == "month").alias("final"))
     return documents.item_state(items, drafts)
+
+
+# --- more of the requirement, eligibility and evaluation operators
+
+
+@query("""WITH s AS (SELECT opportunity_id, idx, text, lower(text) AS low, 0.1 * (idx % 5) AS pa, 0.1 * (idx % 4) AS pr FROM sentences),
+  h AS (SELECT *, low LIKE '%years old%' OR low LIKE '%aged%' OR regexp_matches(low, 'under [0-9]') OR low LIKE '%age limit%' AS age, low LIKE '%based in%' AS res, low LIKE '%collectives%' AS typ, low LIKE '%students%' AS stu, low LIKE '%degree%' AS edu,
+    regexp_matches(low, '\\b(must|only|eligible)\\b') AS gen FROM s)
+  SELECT opportunity_id, idx, CASE WHEN age AND pa > 0 THEN 'AGE' WHEN age AND typ THEN 'AGE' WHEN age THEN 'AGE' WHEN res THEN 'RESIDENCE' WHEN typ THEN 'APPLICANT_TYPE' WHEN stu THEN 'STUDENT_STATUS' WHEN edu THEN 'EDUCATION'
+      WHEN gen OR greatest(pa, pr) >= 0.3 THEN CASE WHEN pa > pr THEN 'AGE' ELSE 'RESIDENCE' END END AS suspected,
+    CASE WHEN age OR res OR typ OR stu OR edu THEN 'topic word' WHEN gen THEN 'general word' WHEN greatest(pa, pr) >= 0.3 THEN 'classifier unsure' END AS why FROM h""")
+def t05_safety_net(t):
+    p = F.create_map(F.lit("AGE"), F.lit(0.1) * (F.col("idx") % 5), F.lit("RESIDENCE"), F.lit(0.1) * (F.col("idx") % 4))
+    rows = t("sentences").withColumns({"p": p, "hits": requirements.keyword_hits(F.col("text"))})
+    return requirements.safety_net(rows, "hits", "p").select("opportunity_id", "idx", "suspected", "why")
+
+
+@query("""SELECT DISTINCT text, regexp_matches(lower(text), 'students?') AS enrolled, CASE WHEN lower(text) LIKE '%emerging%' THEN 'emerging' END AS stage, CASE WHEN text LIKE '%rtists%' THEN 'artist' ELSE '' END AS named FROM sentences""")
+def t11_t13_t17_values(t):
+    once = t("sentences").select("text").distinct()
+    enrolled, _ = requirements.student_status(F.col("text"))
+    return once.select("text", F.coalesce(enrolled, F.lit(False)).alias("enrolled"), requirements.career_stage(F.col("text")).alias("stage"), F.concat_ws(",", requirements.disciplines_named(F.col("text"), ["artist", "painter"])).alias("named"))
+
+
+@query("""WITH r AS (SELECT opportunity_id, chunk_index // 2 AS sentence, CASE label WHEN 'AGE' THEN 'NATIONALITY' ELSE label END AS label, polarity, confidence AS p, chunk_index, max_age AS value FROM requirements),
+  k AS (SELECT *, label IN ('NATIONALITY', 'RESIDENCE') AND polarity <> 'WAIVES' AS geo FROM r),
+  n AS (SELECT *, row_number() OVER (PARTITION BY opportunity_id, sentence, geo ORDER BY p DESC, label) AS rn FROM k)
+  SELECT opportunity_id, sentence, count(*) AS n_rows, count(CASE WHEN polarity <> 'WAIVES' THEN value END) AS n_values FROM n WHERE NOT geo OR rn = 1 GROUP BY 1, 2""")
+def t20_readings(t):
+    rows = t("requirements").withColumns({"sentence": F.floor(F.col("chunk_index") / 2), "label": F.when(F.col("label") == "AGE", "NATIONALITY").otherwise(F.col("label")), "p": F.col("confidence"), "value": F.col("max_age")})
+    keyed = rows.withColumn("key", F.struct("opportunity_id", "sentence"))
+    return requirements.readings(keyed, "key").groupBy("opportunity_id", "sentence").agg(F.count("*").alias("n_rows"), F.count("value").alias("n_values"))
+
+
+@query("""WITH r AS (SELECT DISTINCT text, CASE WHEN idx % 2 = 0 THEN 'NATIONALITY' ELSE 'AGE' END AS label FROM sentences WHERE text LIKE 'Artists%'),
+  s AS (SELECT opportunity_id, idx, text, CASE WHEN idx % 3 = 0 THEN 'RESIDENCE' ELSE 'NATIONALITY' END AS label FROM sentences)
+  SELECT opportunity_id, idx, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.text = s.text AND r.label = 'NATIONALITY') THEN 'confirm' END AS decision FROM s""")
+def e01_find_review(t):
+    rows = t("sentences").withColumn("label", F.when(F.col("idx") % 3 == 0, "RESIDENCE").otherwise("NATIONALITY"))
+    label = F.when(F.col("idx") % 2 == 0, "NATIONALITY").otherwise("AGE").alias("label")
+    reviews = t("sentences").where("text like 'Artists%'").select("text", label, F.lit("confirm").alias("decision")).distinct()
+    return eligibility.find_review(rows, reviews).select("opportunity_id", "idx", "decision")
+
+
+@query("""WITH m AS (SELECT p.profile_id, n.n_name AS wanted, p.residence_country AS own, n.n_nationkey % 3 = 0 AS b, CASE WHEN n.n_nationkey % 3 = 0 THEN (SELECT list(x.n_name) FROM nation x WHERE x.n_regionkey = n.n_regionkey) END AS members
+    FROM profiles p JOIN nation n ON p.profile_id % 25 = n.n_nationkey)
+  SELECT profile_id, CASE WHEN own = wanted OR list_contains(members, own) THEN 'true' WHEN NOT b THEN 'false' ELSE 'unknown' END AS inside FROM m""")
+def e04_country_membership(t):
+    nation = t("nation")
+    region = nation.groupBy(F.col("n_regionkey").alias("r")).agg(F.collect_list("n_name").alias("m"))
+    table = nation.join(region, F.col("n_regionkey") == F.col("r")).select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 3 == 0, F.col("m")).alias("m"))
+    rows = t("profiles").join(table, F.col("profile_id") % 25 == F.col("n_nationkey"))
+    broad = F.when(F.col("m").isNotNull(), F.array(F.lit("region")))
+    inside = eligibility.country_membership(F.array("residence_country"), F.array("n_name"), broad, F.col("m"))
+    return rows.select("profile_id", F.coalesce(inside.cast("string"), F.lit("unknown")).alias("inside"))
+
+
+@query("""WITH p AS (SELECT opportunity_id AS key, CASE polarity WHEN 'REQUIRES' THEN true WHEN 'UNCLEAR' THEN NULL ELSE false END AS i FROM requirements)
+  SELECT key, CASE WHEN bool_or(coalesce(i, false)) THEN 'true' WHEN NOT bool_or(i IS NULL) THEN 'false' ELSE 'unknown' END AS inside FROM p GROUP BY key""")
+def e08_any_of(t):
+    inside = F.when(F.col("polarity") == "REQUIRES", True).when(F.col("polarity") != "UNCLEAR", False)
+    joined = eligibility.any_of(t("requirements").select(F.col("opportunity_id").alias("key"), inside.alias("i")), "key", "i")
+    return joined.select("key", F.coalesce(F.col("inside").cast("string"), F.lit("unknown")).alias("inside"))
+
+
+@query("SELECT opportunity_id FROM calls WHERE opportunity_id NOT IN (SELECT opportunity_id FROM requirements)")
+def e18_e19_coverage(t):
+    return eligibility.coverage(t("calls"), t("requirements"))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT opportunity_id FROM items GROUP BY 1 HAVING bool_and(outcome IN ('INFO', 'NO_RESTRICTION'))")
+def e21_no_rules(t):
+    return eligibility.no_rules(_items(t)[1])
+
+
+@query(f"""WITH {GROUPS_SQL} SELECT profile_id, opportunity_id, chunk_index, CASE min(CASE effective WHEN 'FAIL' THEN 0 WHEN 'PASS' THEN 1 ELSE 2 END) WHEN 0 THEN 'FAIL' WHEN 1 THEN 'PASS' ELSE 'CHECK' END AS shown,
+  string_agg(DISTINCT label, '|' ORDER BY label) AS labels FROM grouped GROUP BY 1, 2, 3""")
+def e20_verdict_rows(t):
+    return eligibility.verdict_rows(eligibility.or_groups(_items(t)[1]))
+
+
+@query("""WITH b AS (SELECT label, confidence::DOUBLE AS p, label = rated AS y FROM annotations),
+  s AS (SELECT label, t AS threshold, count(*) FILTER (WHERE p >= t AND y) AS tp, count(*) FILTER (WHERE p >= t) AS g, count(*) FILTER (WHERE y) AS r FROM b, (SELECT unnest([0.1, 0.3, 0.5, 0.7])::DOUBLE AS t) GROUP BY 1, 2),
+  f AS (SELECT *, CASE WHEN g + r = 0 THEN 0.0 ELSE 2 * tp / (g + r) END AS f1 FROM s)
+  SELECT label, threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, threshold) AS rn FROM f) WHERE rn = 1""")
+def v08_best_thresholds(t):
+    rows = t("annotations").select("label", F.col("confidence").cast("double").alias("p"), (F.col("label") == F.col("rated")).alias("y"))
+    return evaluate.best_thresholds(rows, "label", "p", "y", [0.1, 0.3, 0.5, 0.7])
+
+
+@query("""WITH t AS (SELECT doc_id AS doc, 'quality' AS field, CASE WHEN quality = 1 THEN 'good' END AS value FROM labels), f AS (SELECT doc_id AS doc, 'quality' AS field, CASE WHEN lang = 'en' THEN 'good' WHEN lang = 'de' THEN 'bad' END AS value FROM documents)
+  SELECT coalesce(t.field, f.field) AS field, CASE WHEN t.value IS NULL AND f.value IS NULL THEN 'ok_null' WHEN t.value IS NULL THEN 'extra' WHEN f.value IS NULL THEN 'missed' WHEN t.value = f.value THEN 'right' ELSE 'wrong' END AS kind, count(*) AS n
+  FROM t FULL JOIN f ON t.doc = f.doc AND t.field = f.field GROUP BY 1, 2""")
+def v24_field_scores(t):
+    truth = t("labels").select(F.col("doc_id").alias("doc"), F.lit("quality").alias("field"), F.when(F.col("quality") == 1, "good").alias("value"))
+    found = t("documents").select(F.col("doc_id").alias("doc"), F.lit("quality").alias("field"), F.when(F.col("lang") == "en", "good").when(F.col("lang") == "de", "bad").alias("value"))
+    return evaluate.field_scores(truth, found)
+
+
+@query("""WITH r AS (SELECT persona AS key, item, row_number() OVER (PARTITION BY persona ORDER BY sim DESC, item) AS rank FROM judgments), w AS (SELECT persona AS key, item FROM judgments WHERE grade = 2),
+  b AS (SELECT w.key, min(rank) AS r FROM w JOIN r ON w.key = r.key AND w.item = r.item GROUP BY 1)
+  SELECT count(*) AS n, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS top3 FROM b""")
+def v25_hit_rates(t):
+    j = t("judgments").withColumnRenamed("persona", "key")
+    order = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), "item"))
+    return evaluate.hit_rates(j.withColumn("rank", order), j.where("grade = 2").select("key", "item"))
+
+
+@query("""WITH m AS (SELECT persona, status, count(*) AS n FROM verdicts WHERE expected = 'NOT_ELIGIBLE' AND status <> 'NOT_ELIGIBLE' GROUP BY 1, 2)
+  SELECT persona, arg_max(status, lpad(CAST(n AS VARCHAR), 9, '0') || status) AS cause, count(*) = 1 AS only, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1""")
+def v17_missed_causes(t):
+    return evaluate.missed_causes(t("verdicts"))
+
+
+@query("""WITH w AS (SELECT opportunity_id, idx, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM sentences)
+  SELECT a.opportunity_id, a.idx AS a, b.idx AS b FROM w a JOIN w b ON a.opportunity_id = b.opportunity_id WHERE len(list_intersect(a.w, b.w)) >= 0.8 * least(len(a.w), len(b.w)) AND len(list_intersect(a.w, b.w)) > 0""")
+def v18_aligned_sentences(t):
+    return evaluate.aligned_sentences(t("sentences"), t("sentences"))
+
+
+@query("""WITH u AS (SELECT ('0x' || substr(md5(concat('curve/', grp)), 1, 8))::BIGINT / 4294967296.0 AS u, CASE WHEN label = rated THEN 1.0 ELSE 0.0 END AS ok FROM annotations)
+  SELECT share, count(*) AS n, round(avg(ok), 6) AS accuracy FROM u, (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS share) WHERE u < share GROUP BY 1""")
+def v09_learning_curve(t):
+    return evaluate.learning_curve(t("annotations"), "grp", F.col("label") == F.col("rated"), [0.25, 0.5, 0.75, 1.0])
