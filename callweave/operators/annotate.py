@@ -64,3 +64,29 @@ def group_folds(df: DataFrame, group: str, folds: int, seed: int = 1) -> DataFra
 def leakage(df: DataFrame, group: str, fold: str) -> DataFrame:
     """Groups found in more than one fold."""
     return df.groupBy(group).agg(F.countDistinct(fold).alias("n")).where("n > 1")
+
+
+def capped_calls(df: DataFrame, most: int, seed: int = 1) -> DataFrame:
+    """Whole calls in seeded order until their chunks reach a target.
+
+    ``opportunity_id, source, n_chunks`` in. A call that would take its source beyond
+    ``most`` chunks is deferred: its running sum counts only calls before it that fit alone.
+    """
+    order = seeded(F.col("opportunity_id"), seed=seed)
+    w = Window.partitionBy("source").orderBy(order, "opportunity_id")
+    run = F.sum(F.when(F.col("n_chunks") <= most, F.col("n_chunks")).otherwise(0)).over(w)
+    return df.withColumn("run", run).withColumn("deferred", (F.col("run") > most) | (F.col("n_chunks") > most))
+
+
+def invalid_rows(df: DataFrame, scopes: list[str], decisions: list[str], polarities: list[str]) -> DataFrame:
+    """Reviewed rows with the first thing wrong with them."""
+    why = F.coalesce(F.when(~F.coalesce(F.col("scope").isin(*scopes), F.lit(True)), "scope"), F.when(~F.coalesce(F.col("decision").isin(*decisions), F.lit(False)), "decision"), F.when(~F.coalesce(F.col("polarity").isin(*polarities), F.lit(True)), "polarity"))
+    return df.withColumn("error", why).where("error is not null")
+
+
+def relabel(df: DataFrame, changes: DataFrame, tag: str) -> DataFrame:
+    """New labels where a change exists and the note does not hold its tag yet."""
+    c = changes.select("chunk_id", F.col("new_label").alias("__n"))
+    joined = df.join(c, "chunk_id", "left")
+    due = F.col("__n").isNotNull() & ~F.contains(F.coalesce("notes", F.lit("")), F.lit(tag))
+    return joined.withColumns({"label": F.when(due, F.col("__n")).otherwise(F.col("label")), "notes": F.when(due, F.concat_ws(" ", "notes", F.lit(tag))).otherwise(F.col("notes"))}).drop("__n")

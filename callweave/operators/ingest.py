@@ -152,3 +152,32 @@ def never_extracted(sources: DataFrame, *tables: DataFrame) -> DataFrame:
     for other in tables[1:]:
         done = done.union(other.select("source"))
     return sources.select("source").distinct().join(done, "source", "left_anti")
+
+
+def attach_texts(pages: DataFrame, attached: DataFrame, most: int = 6000) -> DataFrame:
+    """Page texts with their documents' texts below, each cut to ``most`` characters, in rank order."""
+    part = F.concat(F.lit("## "), F.col("title"), F.lit("\n"), F.substring("text", 1, most))
+    more = attached.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("t")))).alias("m"))
+    joined = pages.join(more, "key", "left")
+    return joined.withColumn("text", F.concat_ws("\n", "text", F.transform("m", lambda x: x["t"]))).drop("m")
+
+
+def deadline_passed(deadline_text: Column, title: Column, parsed: Column, as_of: str) -> Column:
+    """Whether a call is over: rolling or no text is not; then years alone, then the parsed date.
+
+    Without a year in the deadline the title's only year counts. A last year before this
+    one is over; else the parsed date decides, and an unknown one is not over.
+    """
+    years = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("\\b(20[0-9]{2})\\b"), F.lit(1)))
+    mine, titled = years(deadline_text), years(title)
+    used = F.when(F.size(mine) > 0, mine).when(F.size(titled) == 1, titled).otherwise(F.array().cast("array<string>"))
+    today = F.to_date(F.lit(as_of))
+    rolling = F.lower(deadline_text).rlike("\\b(rolling|ongoing|open-ended)\\b")
+    return F.when(deadline_text.isNull() | rolling | (F.size(used) == 0), False).when(F.array_max(used).cast("int") < F.year(today), True).otherwise(F.coalesce(parsed <= today, F.lit(False)))
+
+
+def extraction_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """C17: per outcome of a second extraction: rows, and mean lengths before and after."""
+    both = old.select("id", F.length("text").alias("a")).join(new.select("id", F.length("text").alias("b")), "id", "full")
+    kind = F.when(F.col("a").isNull() & F.col("b").isNotNull(), "new").when(F.col("b").isNull() & F.col("a").isNotNull(), "gone").when(F.col("a") == F.col("b"), "same").otherwise("changed")
+    return both.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("a"), 4).alias("mean_before"), F.round(F.avg("b"), 4).alias("mean_after"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -135,3 +137,39 @@ def match_percent(df: DataFrame, weights: tuple[float, float, float], intercept:
     z = (F.col("sim") - F.avg("sim").over(w)) / F.when(std == 0, 1.0).otherwise(std)
     x = F.lit(intercept) + weights[0] * F.col("z") + weights[1] * F.least("n_shared", F.lit(5)) + weights[2] * F.col("mismatch").cast("int")
     return df.withColumn("z", z).withColumn("percent", F.bround(100 / (1 + F.exp(-x))).cast("int"))
+
+
+def discipline_mismatch(mine: Column, theirs: Column) -> Column:
+    """Both sides state disciplines, none is for all, and none is shared."""
+    return F.coalesce((F.size(mine) > 0) & (F.size(theirs) > 0) & ~F.array_contains(theirs, "all") & ~F.arrays_overlap(mine, theirs), F.lit(False))
+
+
+def suggested(df: DataFrame, key: Sequence[str], order: Column, tie: str, more: int = 3) -> DataFrame:
+    """The closest item and the next ``more`` for each key."""
+    w = Window.partitionBy(*key).orderBy(order, tie)
+    return df.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= 1 + more)
+
+
+def saved_stage(df: DataFrame, as_of: str) -> DataFrame:
+    """The stage of a saved call: closed, completed, draft or saved."""
+    closed = F.coalesce(F.col("deadline_date") < F.to_date(F.lit(as_of)), F.lit(False))
+    stage = F.when(F.col("n_items").isNotNull() & (F.col("n_done") == F.col("n_items")), "completed").when(closed, "closed").when(F.col("n_items").isNotNull(), "draft").otherwise("saved")
+    return df.withColumn("stage", stage)
+
+
+def passages(chunks: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """Each question's k nearest passages of the same artist, ties in file order.
+
+    The join stays within an artist; scores are sums over the vectors' dimensions.
+    """
+    both = questions.select("artist_id", "question_id", F.col("v").alias("qv")).join(chunks, "artist_id")
+    score = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    w = Window.partitionBy("artist_id", "question_id").orderBy(F.desc(F.round("score", 9)), "chunk_index")
+    return both.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("qv", "v")
+
+
+def gathered(ranked: DataFrame) -> DataFrame:
+    """Of each artist all passages found by any question, once, in file order."""
+    once = ranked.select("artist_id", "chunk_index").distinct()
+    return once.groupBy("artist_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("chunk_index")), lambda x: x.cast("string"))).alias("passages"))
+

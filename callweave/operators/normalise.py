@@ -125,3 +125,36 @@ def headline_funding(df: DataFrame, rates: dict[str, float], least: float, most:
     rate = F.create_map(*(F.lit(x) for kv in rates.items() for x in kv))[F.col("currency")]
     one = df.where("amount is not null").groupBy("opportunity_id").agg(F.count("*").alias("n"), F.first(F.col("amount") * rate).alias("eur"))
     return one.where((F.col("n") == 1) & F.col("eur").between(least, most)).select("opportunity_id", F.round("eur", 2).alias("eur"))
+
+
+def language_profiles(df: DataFrame, lang: str, text: str, most: int = 500) -> DataFrame:
+    """``lang, gram, logp``: each language's most frequent letter trigrams; counts are summed in tasks first."""
+    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " ")), F.lit(" "))
+    # letters by place in an array, as a substring would walk the text from its start for each trigram
+    at = lambda i: F.coalesce(F.get("c", i), F.lit(""))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("c") - 3, F.lit(0))), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
+    letters = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.split(padded, "").alias("c"))
+    counts = letters.select("lang", F.explode_outer(grams).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    return top.select("lang", "gram", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).alias("logp"))
+
+
+def trusted_language(df: DataFrame, sources: DataFrame, detected: str, confidence: str, least: float = 0.9) -> DataFrame:
+    """A source's language unless it is English; else the detected one where it is sure; else English."""
+    tag = sources.select("source", F.col("lang").alias("__tag"))
+    joined = df.join(tag, "source", "left")
+    return joined.withColumn("row_language", F.when(F.col("__tag") != "en", F.col("__tag")).when(F.col(confidence) >= least, F.col(detected)).otherwise("en")).drop("__tag")
+
+
+def quoted_disciplines(labels: Column, quotes: Column, text: Column, own: Column, vocabulary: Sequence[str]) -> Column:
+    """A call's disciplines with those whose quote is in its text, in the vocabulary's order."""
+    body = F.lower(F.regexp_replace(text, "\\s+", " "))
+    found = F.filter(F.arrays_zip(labels.alias("l"), quotes.alias("q")), lambda x: F.contains(body, F.lower(x["q"])))
+    every = F.array_union(F.coalesce(own, F.array().cast("array<string>")), F.transform(found, lambda x: x["l"]))
+    return F.filter(F.array(*map(F.lit, vocabulary)), lambda v: F.array_contains(every, v))
+
+
+def accepted_translation(original: Column, translated: Column) -> Column:
+    """A translated list only where it has as many items; kinds are copied by position."""
+    return F.when(F.size(original) == F.size(translated), F.zip_with(original, translated, lambda o, t: F.struct(o["kind"].alias("kind"), t.alias("item"))))

@@ -826,3 +826,140 @@ def v18_aligned_sentences(t):
   SELECT share, count(*) AS n, round(avg(ok), 6) AS accuracy FROM u, (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS share) WHERE u < share GROUP BY 1""")
 def v09_learning_curve(t):
     return evaluate.learning_curve(t("annotations"), "grp", F.col("label") == F.col("rated"), [0.25, 0.5, 0.75, 1.0])
+
+
+# --- the rest of ingest, normalisation, matching, documents and annotation
+
+
+@query("""WITH c AS (SELECT conv_id AS key, string_agg('## ' || role || chr(10) || substr(text, 1, 100), chr(10) ORDER BY turn) AS m FROM conversations GROUP BY 1)
+  SELECT doc_id AS key, d.lang || CASE WHEN m IS NULL THEN '' ELSE chr(10) || m END AS text FROM documents d LEFT JOIN c ON d.doc_id = c.key""")
+def c12_attach_texts(t):
+    pages = t("documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("text"))
+    attached = t("conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("rank"), F.col("role").alias("title"), "text")
+    return ingest.attach_texts(pages, attached, most=100)
+
+
+@query("""WITH p AS (SELECT id, text, CASE WHEN id % 5 = 1 THEN CAST(try_strptime(regexp_extract(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), '%Y-%m-%d') AS DATE) END AS d, list_max(regexp_extract_all(text, '20[0-9]{2}')) AS y FROM deadlines)
+  SELECT id, CASE WHEN text IS NULL OR y IS NULL THEN false WHEN CAST(y AS INTEGER) < 2020 THEN true ELSE coalesce(d <= DATE '2020-06-01', false) END AS passed FROM p""")
+def c15_deadline_passed(t):
+    rows = t("deadlines").withColumn("d", F.when(F.col("id") % 5 == 1, normalise.parse_deadline(F.col("text"), "2020-06-01")))
+    return rows.select("id", ingest.deadline_passed(F.col("text"), F.lit("Call 2001 to 2002"), F.col("d"), "2020-06-01").alias("passed"))
+
+
+@query("""WITH a AS (SELECT doc_id AS id, length(text) AS a FROM documents WHERE lang <> 'de'), b AS (SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN length(text) + 1 ELSE length(text) END AS b FROM documents WHERE lang <> 'es'),
+  f AS (SELECT a, b FROM a FULL JOIN b ON a.id = b.id)
+  SELECT CASE WHEN a IS NULL THEN 'new' WHEN b IS NULL THEN 'gone' WHEN a = b THEN 'same' ELSE 'changed' END AS outcome, count(*) AS n, round(avg(a), 4) AS mean_before, round(avg(b), 4) AS mean_after FROM f GROUP BY 1""")
+def c17_extraction_diff(t):
+    docs = t("documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    new = docs.where("lang <> 'es'").withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    return ingest.extraction_diff(docs.where("lang <> 'de'"), new)
+
+
+@query("""WITH s AS (SELECT source, min(lang) AS tag FROM documents GROUP BY 1)
+  SELECT d.doc_id, CASE WHEN s.tag <> 'en' THEN s.tag WHEN d.n_chars >= 1000 THEN d.lang ELSE 'en' END AS row_language FROM documents d LEFT JOIN s ON d.source = s.source""")
+def n01_row_language(t):
+    docs = t("documents")
+    tags = docs.groupBy("source").agg(F.min("lang").alias("lang"))
+    return normalise.trusted_language(docs, tags, "lang", "n_chars", 1000).select("doc_id", "row_language")
+
+
+@query("""WITH t AS (SELECT lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
+  g AS (SELECT lang, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) AS gram FROM t), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c), k AS (SELECT * FROM r WHERE r <= 100)
+  SELECT lang, gram, round(ln(n / sum(n) OVER (PARTITION BY lang)), 6) AS logp FROM k""")
+def n01_language_profiles(t):
+    return normalise.language_profiles(t("documents"), "lang", "text", 100).select("lang", "gram", F.round("logp", 6).alias("logp"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'REVIEWED' WHEN c_nationkey % 2 = 0 THEN n_name ELSE c_mktsegment END AS place_country,
+  CASE WHEN c_custkey % 10 = 0 THEN true WHEN c_nationkey % 2 = 0 THEN n_name <> c_mktsegment ELSE false END AS changed FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def n08_correct_places(t):
+    rows = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("city"), F.col("c_mktsegment").alias("country"))
+    cities = t("nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("city"), F.col("n_name").alias("country"))
+    reviewed = rows.where("id % 10 = 0").select("id", F.lit("REVIEWED").alias("country"))
+    return normalise.correct_places(rows, "city", "country", cities, reviewed).select("id", "place_country", "changed")
+
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN contains(lower(text), 'tion') THEN 'painting' END, CASE WHEN lang = 'de' OR contains(lower(text), 'eau') THEN 'sculpture' END) AS disciplines FROM documents""")
+def n09_quoted_disciplines(t):
+    found = normalise.quoted_disciplines(F.array(F.lit("sculpture"), F.lit("painting"), F.lit("odd")), F.array(F.lit("EAU"), F.lit("tion"), F.lit("a")), F.col("text"), F.when(F.col("lang") == "de", F.array(F.lit("sculpture"))), ["painting", "sculpture"])
+    return t("documents").select("doc_id", F.concat_ws(",", found).alias("disciplines"))
+
+
+@query("""SELECT p.profile_id, o.o_orderkey AS opportunity_id, coalesce(c.discipline <> 'all' AND c.discipline <> CASE WHEN p.discipline = 'BUILDING' THEN 'painting' ELSE 'sculpture' END, false) AS mismatch
+  FROM orders o JOIN profiles p ON o.o_custkey = p.profile_id JOIN calls c ON c.opportunity_id = o.o_orderkey""")
+def m08_discipline_mismatch(t):
+    pairs = t("orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("opportunity_id"))
+    mine = F.when(F.col("p") == "BUILDING", "painting").otherwise("sculpture")
+    rows = pairs.join(t("profiles").select("profile_id", F.col("discipline").alias("p")), "profile_id").join(t("calls").select("opportunity_id", "discipline"), "opportunity_id")
+    theirs = F.when(F.col("discipline").isNotNull(), F.array("discipline"))
+    return rows.select("profile_id", "opportunity_id", matching.discipline_mismatch(F.array(mine), theirs).alias("mismatch"))
+
+
+@query("SELECT persona, item, pos FROM (SELECT persona, item, row_number() OVER (PARTITION BY persona ORDER BY sim DESC, item) AS pos FROM judgments) WHERE pos <= 4")
+def m18_suggested(t):
+    return matching.suggested(t("judgments"), ["persona"], F.desc("sim"), "item").select("persona", "item", "pos")
+
+
+@query("""WITH i AS (SELECT opportunity_id, count(*) AS n_items, count(*) FILTER (WHERE period = 'month') AS n_done FROM funding GROUP BY 1)
+  SELECT CASE WHEN n_items IS NOT NULL AND n_done = n_items THEN 'completed' WHEN deadline_date < DATE '1995-01-01' THEN 'closed' WHEN n_items IS NOT NULL THEN 'draft' ELSE 'saved' END AS stage, count(*) AS n
+  FROM calls LEFT JOIN i ON calls.opportunity_id = i.opportunity_id GROUP BY 1""")
+def m19_saved_stage(t):
+    items = t("funding").groupBy("opportunity_id").agg(F.count("*").alias("n_items"), F.count_if(F.col("period") == "month").alias("n_done"))
+    return matching.saved_stage(t("calls").join(items, "opportunity_id", "left"), "1995-01-01").groupBy("stage").agg(F.count("*").alias("n"))
+
+
+PASSAGE_SQL = """
+  q AS (SELECT label, vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
+  s AS (SELECT q.label AS artist_id, q.qid AS question_id, e.vec_id AS chunk_index, round(list_dot_product(q.qv::DOUBLE[], e.embedding::DOUBLE[]), 9) AS s FROM q JOIN embeddings e ON q.label = e.label),
+  ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artist_id, question_id ORDER BY s DESC, chunk_index) AS rank FROM s) WHERE rank <= 3)"""
+
+
+def _passages(t):
+    e = t("embeddings").select(F.col("label").alias("artist_id"), F.col("vec_id").alias("chunk_index"), F.col("embedding").cast("array<double>").alias("v"))
+    first = e.groupBy("artist_id").agg(F.min("chunk_index").alias("chunk_index"))
+    return matching.passages(e, e.join(first, ["artist_id", "chunk_index"]).withColumnRenamed("chunk_index", "question_id"))
+
+
+@query(f"WITH {PASSAGE_SQL} SELECT artist_id, question_id, chunk_index, rank FROM ranked")
+def d03_passages(t):
+    return _passages(t).select("artist_id", "question_id", "chunk_index", "rank")
+
+
+@query(f"WITH {PASSAGE_SQL} SELECT artist_id, string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS passages FROM (SELECT DISTINCT artist_id, chunk_index FROM ranked) GROUP BY 1")
+def d04_gathered(t):
+    return matching.gathered(_passages(t))
+
+
+@query("""WITH i AS (SELECT opportunity_id AS key, 'q ' || lower(category) AS q, 'm ' || period AS m, pos FROM funding)
+  SELECT key, 'material' AS kind, m AS item FROM (SELECT DISTINCT key, m FROM i) UNION ALL SELECT key, 'question', q FROM (SELECT DISTINCT key, q FROM i)""")
+def d17_checklist(t):
+    lists = t("funding").groupBy(F.col("opportunity_id").alias("key")).agg(F.collect_list(F.concat(F.lit("Q: "), "category")).alias("q"), F.collect_list(F.concat(F.lit("M - "), "period")).alias("m"))
+    return documents.checklist(lists, "key", "q", "m").drop("item_id")
+
+
+@query("""WITH t AS (SELECT opportunity_id, idx, CASE idx % 3 WHEN 0 THEN 'Max. 1,500 characters' WHEN 1 THEN 'no more than 300 words' END AS s FROM sentences)
+  SELECT opportunity_id, idx, CASE idx % 3 WHEN 0 THEN 1500 WHEN 1 THEN 300 END AS n, CASE idx % 3 WHEN 0 THEN 'characters' WHEN 1 THEN 'words' END AS unit FROM t""")
+def d18_text_limit(t):
+    n, unit = documents.text_limit(F.when(F.col("idx") % 3 == 0, "Max. 1,500 characters").when(F.col("idx") % 3 == 1, "no more than 300 words"))
+    return t("sentences").select("opportunity_id", "idx", n.alias("n"), unit.alias("unit"))
+
+
+@query("""WITH c AS (SELECT opportunity_id, (opportunity_id % 7) AS source, count(*) AS n FROM requirements GROUP BY 1, 2)
+  SELECT opportunity_id, CAST(run AS BIGINT) AS run, run > 500 OR n > 500 AS deferred FROM (SELECT *, sum(CASE WHEN n <= 500 THEN n ELSE 0 END) OVER (PARTITION BY source ORDER BY md5(concat('1/', CAST(opportunity_id AS VARCHAR))), opportunity_id) AS run FROM c)""")
+def a01_capped_calls(t):
+    calls = t("requirements").groupBy("opportunity_id", (F.col("opportunity_id") % 7).alias("source")).agg(F.count("*").alias("n_chunks"))
+    return annotate.capped_calls(calls, 500).select("opportunity_id", "run", "deferred")
+
+
+@query("""SELECT opportunity_id, chunk_index, CASE WHEN label NOT IN ('AGE', 'RESIDENCE') THEN 'scope' WHEN applicant_type NOT IN ('individual', 'group') THEN 'decision' WHEN polarity NOT IN ('REQUIRES', 'EXCLUDES', 'WAIVES') THEN 'polarity' END AS error
+  FROM requirements WHERE label NOT IN ('AGE', 'RESIDENCE') OR applicant_type NOT IN ('individual', 'group') OR polarity NOT IN ('REQUIRES', 'EXCLUDES', 'WAIVES')""")
+def a07_invalid_rows(t):
+    rows = t("requirements").select("opportunity_id", "chunk_index", F.col("label").alias("scope"), F.col("applicant_type").alias("decision"), "polarity")
+    return annotate.invalid_rows(rows, ["AGE", "RESIDENCE"], ["individual", "group"], ["REQUIRES", "EXCLUDES", "WAIVES"]).select("opportunity_id", "chunk_index", "error")
+
+
+@query("""SELECT chunk_id, CASE WHEN confidence > 0.5 AND chunk_id % 2 > 0 THEN 'q0t0' ELSE label END AS label, CASE WHEN chunk_id % 2 = 0 THEN 'old [r3]' WHEN confidence > 0.5 THEN '[r3]' END AS notes FROM annotations""")
+def a11_relabel(t):
+    a = t("annotations").withColumn("notes", F.when(F.col("chunk_id") % 2 == 0, "old [r3]"))
+    return annotate.relabel(a, a.where("confidence > 0.5").select("chunk_id", F.lit("q0t0").alias("new_label")), "[r3]").select("chunk_id", "label", "notes")
