@@ -39,9 +39,10 @@ def x01_null_profile(t):
     return explore.null_profile(t("calls"), ["discipline", "has_fee", "title"])
 
 
-@query("SELECT count(*) AS n_rows, count(DISTINCT source) AS n_sources, min(deadline_date) AS first_day, max(deadline_date) AS last_day FROM calls")
+@query("SELECT count(*) AS n_rows, count(DISTINCT source) AS n_sources, CAST(min(deadline_date) AS VARCHAR) AS first_day, CAST(max(deadline_date) AS VARCHAR) AS last_day FROM calls")
 def x01_corpus_card(t):
-    return explore.corpus_card(t("calls"), "source", "deadline_date")
+    card = explore.corpus_card(t("calls"), "source", "deadline_date")
+    return card.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
 
 
 @query("SELECT coalesce(discipline, '(not stated)') AS value, count(*) AS n FROM calls GROUP BY 1")

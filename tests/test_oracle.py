@@ -20,7 +20,7 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return ""
         if isinstance(x, (int, float)) and not isinstance(x, bool):
             return repr(float(x))
