@@ -117,3 +117,33 @@ def verdict_rows(grouped: DataFrame) -> DataFrame:
     """A row a pair and sentence: its outcome by rank FAIL, PASS, CHECK, and its labels."""
     rank = F.when(F.col("effective") == "FAIL", 0).when(F.col("effective") == "PASS", 1).otherwise(2)
     return grouped.groupBy("profile_id", "opportunity_id", "chunk_index").agg(F.min_by("effective", rank).alias("shown"), F.concat_ws("|", F.array_sort(F.collect_set("label"))).alias("labels"))
+
+
+def city_membership(city: Column, also: Column) -> Column:
+    """Whether one of the places of ``also`` ("A / B") names the profile's city; null where it is unknown."""
+    named = F.transform(F.split(also, " / "), lambda p: F.concat(F.lit(" "), F.lower(F.regexp_replace(p, "[^\\p{L}]+", " ")), F.lit(" ")))
+    return F.when(city.isNotNull(), F.exists(named, lambda p: F.contains(p, F.concat(F.lit(" "), F.lower(city), F.lit(" ")))))
+
+
+def graduate_membership(graduation_year: Column, within: Column, dates: Column) -> Column:
+    """Graduated less than ``within`` years before each date; the year itself, and a later graduation, are unknown."""
+    one = lambda d: F.when((F.year(d) - graduation_year < 0) | (F.year(d) - graduation_year == within), F.lit(None)).otherwise(F.year(d) - graduation_year < within)
+    each = F.array_distinct(F.transform(dates, one))
+    return F.when(F.size(each) == 1, each[0])
+
+
+def languages_met(spoken: Column, wanted: Column) -> Column:
+    """All wanted languages are spoken; null where the profile states none."""
+    return F.when(F.size(spoken) > 0, F.size(F.array_except(wanted, spoken)) == 0)
+
+
+def discipline_outcome(mine: Column, named: Column, excluded: Column) -> Column:
+    """PASS where a discipline is named, or some are left of "all except"; else CHECK; never FAIL."""
+    left = F.size(F.array_except(mine, excluded)) > 0
+    return F.when(F.coalesce(F.arrays_overlap(mine, named), F.lit(False)), "PASS").when((F.size(excluded) > 0) & left, "PASS").otherwise("CHECK")
+
+
+def in_favour(hits: Column, label: Column, polarity: Column, inside: Column) -> Column:
+    """An unreviewed sentence on one topic that requires, and is surely met, passes; else it is to be checked."""
+    topics = F.filter(hits, lambda h: (h != "GENERIC") & (h != label))
+    return F.when((F.size(topics) == 0) & (polarity == "REQUIRES") & F.coalesce(inside, F.lit(False)), "PASS").otherwise("CHECK")

@@ -172,3 +172,34 @@ def learning_curve(df: DataFrame, group: str, right: Column, shares: Sequence[fl
     digits = F.conv(F.substring(F.md5(F.concat(F.lit("curve/"), F.col(group))), 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
     each = df.select(digits.alias("u"), right.cast("double").alias("ok"), F.explode(F.array(*map(F.lit, shares))).alias("share"))
     return each.where(F.col("u") < F.col("share")).groupBy("share").agg(F.count("*").alias("n"), F.round(F.avg("ok"), 6).alias("accuracy"))
+
+
+def share_report(df: DataFrame, truth: str, guess: str, positive: str, unclear: str) -> DataFrame:
+    """Recall and precision of one class, share of the unclear one, and confident errors in favour of the rest."""
+    t, g = F.col(truth), F.col(guess)
+    s = df.agg(F.count_if((t == positive) & (g == positive)).alias("tp"), F.count_if(t == positive).alias("real"), F.count_if(g == positive).alias("given"), F.count_if(g == unclear).alias("u"), F.count_if((t == positive) & (g != positive) & (g != unclear)).alias("dangerous"), F.count("*").alias("n"))
+    return s.select(F.round(_ratio(F.col("tp"), F.col("given")), 6).alias("prec"), F.round(_ratio(F.col("tp"), F.col("real")), 6).alias("rec"), F.round(F.col("u") / F.col("n"), 6).alias("unclear_share"), "dangerous")
+
+
+def ranking_variants(df: DataFrame, variants: dict[str, Column], k: int = 10) -> DataFrame:
+    """P@k of several orders of the same candidates, stacked; one window an order, all on one partitioning."""
+    out = df
+    for name, order in variants.items():
+        out = out.withColumn(f"__{name}", F.row_number().over(Window.partitionBy("persona").orderBy(order, "item")))
+    at = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), F.col(f"__{n}").alias("pos")) for n in variants))).alias("v")
+    ranked = out.select("persona", "grade", at).where(F.col("v.pos") <= k)
+    per = ranked.groupBy("v.variant", "persona").agg((F.sum((F.col("grade") >= 1).cast("int")) / k).alias("p"))
+    return per.groupBy("variant").agg(F.round(F.avg("p"), 6).alias("mean_p"), F.count("*").alias("n_personas"))
+
+
+def spaced_indexes(df: DataFrame, key: str, pos: str, group: str) -> DataFrame:
+    """Indexes that step by one within an alternative group and by two elsewhere, so that groups form runs."""
+    w = Window.partitionBy(key).orderBy(pos)
+    step = F.when(F.lag(group).over(w) == F.col(group), 1).otherwise(2)
+    return df.withColumn("__s", step).withColumn("chunk_index", F.sum("__s").over(w)).drop("__s")
+
+
+def safety_net_report(df: DataFrame) -> DataFrame:
+    """Per rule the misses it caught and its false alarms. ``why, suspected, truth``."""
+    raised = df.where("why is not null")
+    return raised.groupBy("why").agg(F.count_if(F.col("suspected") == F.col("truth")).alias("caught"), F.count_if(F.col("truth") == "NONE").alias("false_alarms"), F.count("*").alias("raised"))

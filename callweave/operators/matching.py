@@ -173,3 +173,13 @@ def gathered(ranked: DataFrame) -> DataFrame:
     once = ranked.select("artist_id", "chunk_index").distinct()
     return once.groupBy("artist_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("chunk_index")), lambda x: x.cast("string"))).alias("passages"))
 
+
+
+def page_of(df: DataFrame, key: str, offset: int, limit: int) -> DataFrame:
+    """One page of each key's ranking; ``pos`` counts from 1."""
+    return df.where((F.col("pos") > offset) & (F.col("pos") <= offset + limit))
+
+
+def options(df: DataFrame, values: str, wildcard: str = "all") -> DataFrame:
+    """The distinct values that a filter offers, without the wildcard."""
+    return df.where(F.col(values).isNotNull() & (F.col(values) != wildcard)).select(F.col(values).alias("value")).distinct()

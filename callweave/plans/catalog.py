@@ -964,3 +964,50 @@ def a07_invalid_rows(t):
 def a11_relabel(t):
     a = t("annotations").withColumn("notes", F.when(F.col("chunk_id") % 2 == 0, "old [r3]"))
     return annotate.relabel(a, a.where("confidence > 0.5").select("chunk_id", F.lit("q0t0").alias("new_label")), "[r3]").select("chunk_id", "label", "notes")
+
+
+@query("""SELECT profile_id, CASE WHEN birth_year IS NULL OR d = within OR d < 0 THEN 'unknown' WHEN d < within THEN 'true' ELSE 'false' END AS inside
+  FROM (SELECT profile_id, birth_year, 1990 - birth_year AS d, 10 + profile_id % 20 AS within FROM profiles)""")
+def e07_graduate_membership(t):
+    inside = eligibility.graduate_membership(F.col("birth_year"), 10 + F.col("profile_id") % 20, F.array(F.lit("1990-05-01").cast("date"), F.lit("1990-09-01").cast("date")))
+    return t("profiles").select("profile_id", F.coalesce(inside.cast("string"), F.lit("unknown")).alias("inside"))
+
+
+@query("""SELECT profile_id, coalesce(CAST(CASE WHEN birth_year IS NOT NULL THEN residence_country IN ('FRANCE', 'GERMANY') END AS VARCHAR), 'unknown') AS city,
+  CASE WHEN discipline = 'BUILDING' THEN 'PASS' WHEN discipline <> 'MACHINERY' THEN 'PASS' ELSE 'CHECK' END AS discipline FROM profiles""")
+def e05_e10_city_and_discipline(t):
+    city = eligibility.city_membership(F.when(F.col("birth_year").isNotNull(), F.col("residence_country")), F.lit("in France / Germany"))
+    named = eligibility.discipline_outcome(F.array("discipline"), F.array(F.lit("BUILDING")), F.array(F.lit("MACHINERY")))
+    return t("profiles").select("profile_id", F.coalesce(city.cast("string"), F.lit("unknown")).alias("city"), named.alias("discipline"))
+
+
+@query("""SELECT round(count(*) FILTER (WHERE expected = 'NOT_ELIGIBLE' AND status = 'NOT_ELIGIBLE') / count(*) FILTER (WHERE status = 'NOT_ELIGIBLE'), 6) AS prec,
+  round(count(*) FILTER (WHERE expected = 'NOT_ELIGIBLE' AND status = 'NOT_ELIGIBLE') / count(*) FILTER (WHERE expected = 'NOT_ELIGIBLE'), 6) AS rec,
+  round(count(*) FILTER (WHERE status = 'CHECK') / count(*), 6) AS unclear_share, count(*) FILTER (WHERE expected = 'NOT_ELIGIBLE' AND status = 'ELIGIBLE') AS dangerous FROM verdicts""")
+def v12_v14_share_report(t):
+    return evaluate.share_report(t("verdicts"), "expected", "status", "NOT_ELIGIBLE", "CHECK")
+
+
+@query("""WITH r AS (SELECT persona, grade, row_number() OVER (PARTITION BY persona ORDER BY sim DESC, item) AS a, row_number() OVER (PARTITION BY persona ORDER BY sim, item) AS b FROM judgments),
+  p AS (SELECT 'near' AS variant, persona, count(*) FILTER (WHERE a <= 10 AND grade >= 1) / 10 AS p FROM r GROUP BY 2 UNION ALL SELECT 'far', persona, count(*) FILTER (WHERE b <= 10 AND grade >= 1) / 10 FROM r GROUP BY 2)
+  SELECT variant, round(avg(p), 6) AS mean_p, count(*) AS n_personas FROM p GROUP BY 1""")
+def v21_ranking_variants(t):
+    return evaluate.ranking_variants(t("judgments"), {"near": F.desc("sim"), "far": F.asc("sim")})
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY opportunity_id ORDER BY chunk_index) = label THEN 1 ELSE 2 END AS s FROM requirements)
+  SELECT opportunity_id, chunk_index AS pos, CAST(sum(s) OVER (PARTITION BY opportunity_id ORDER BY chunk_index) AS BIGINT) AS chunk_index FROM s""")
+def v19_spaced_indexes(t):
+    rows = t("requirements").select("opportunity_id", F.col("chunk_index").alias("pos"), "label")
+    return evaluate.spaced_indexes(rows, "opportunity_id", "pos", "label").select("opportunity_id", "pos", F.col("chunk_index").cast("bigint").alias("chunk_index"))
+
+
+@query("SELECT DISTINCT discipline AS value FROM calls WHERE discipline IS NOT NULL AND discipline <> 'all'")
+def m17_options(t):
+    return matching.options(t("calls"), "discipline")
+
+
+@query("""SELECT persona, item, pos FROM (SELECT persona, item, row_number() OVER (PARTITION BY persona ORDER BY sim DESC, item) AS pos FROM judgments) WHERE pos > 5 AND pos <= 10""")
+def m17_page(t):
+    order = F.row_number().over(Window.partitionBy("persona").orderBy(F.desc("sim"), "item"))
+    return matching.page_of(t("judgments").withColumn("pos", order), "persona", 5, 5).select("persona", "item", "pos")
