@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VALUE = T._parse_datatype_string(
+#: The parsed value of a requirement, one struct for all classes.
+VALUE = (
     "min_age int, max_age int, countries array<string>, nationality_or_residence boolean, broad_regions array<string>, types array<string>, enrolled boolean, "
     "graduated_within_years int, also_requires string, institutions array<string>, study_places array<string>, study_countries array<string>"
 )
@@ -32,15 +33,16 @@ def export_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
     """One flat table: lists and structs as JSON, bulky columns left out."""
     flat = df.drop(*drop)
     cells = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f.name) for f in flat.schema]
-    flat.select(*cells).write.mode("overwrite").option("header", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    flat.select(*cells).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def import_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table that ``export_csv`` wrote, JSON cells parsed."""
+def import_csv(spark: SparkSession, path: str, schema: T.StructType, keep_empty: tuple[str, ...] = ()) -> DataFrame:
+    """The table that ``export_csv`` wrote, JSON cells parsed; empty cells are null, but for the text columns of ``keep_empty``."""
     nested = lambda f: isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
     text = T.StructType([T.StructField(f.name, T.StringType() if nested(f) else f.dataType) for f in schema])
-    raw = spark.read.schema(text).option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "").csv(path)
-    return raw.select(*(F.from_json(f.name, f.dataType).alias(f.name) if nested(f) else F.col(f.name) for f in schema))
+    raw = spark.read.schema(text).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    parsed = raw.select(*(F.from_json(f.name, f.dataType).alias(f.name) if nested(f) else F.nullif(f.name, F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in schema))
+    return parsed.fillna("", list(keep_empty)) if keep_empty else parsed
 
 
 def typed_reviews(df: DataFrame, position: str) -> DataFrame:
