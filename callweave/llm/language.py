@@ -70,7 +70,7 @@ def bundles(texts: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.ndarray
     at = 0
     while at < len(texts):
         end, held = at, 0
-        while end < len(texts) and (end == at or held + len(texts[end]) <= TOGETHER) and end - at < 512:
+        while end < len(texts) and (end == at or held + len(texts[end]) <= TOGETHER) and end - at < 256:
             held += len(texts[end])
             end += 1
         part = [t for t in texts[at:end]]
@@ -88,8 +88,8 @@ def bundles(texts: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.ndarray
             names, inverse = np.unique(flat, return_inverse=True)
             rows = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
         grams = np.stack([codes[names // (base * base)], codes[names // base % base], codes[names % base]], axis=1) if len(names) else np.zeros((0, 3), np.int64)
-        for lo in range(0, len(names), 8192):
-            hi = min(len(names), lo + 8192)
+        for lo in range(0, len(names), 4096):
+            hi = min(len(names), lo + 4096)
             counts = np.stack([np.bincount(r, minlength=len(names))[lo:hi] if len(r) else np.zeros(hi - lo, np.int64) for r in rows]).astype(np.float32)
             out[at:end] += counts @ gram_vectors(grams[lo:hi], dimensions)
         at = end
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in bpe.slices(whole, "text"):
+            for batch in bpe.slices(whole, "text", 2 << 20):
                 langs = np.array(batch.column("lang").to_pylist(), object)
                 vectors = bundles([letters(t) for t in batch.column("text").to_pylist()], dimensions)
                 for name in set(langs.tolist()):
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_co
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prototypes = np.frombuffer(base64.b64decode(packed), np.float32).reshape(-1, dimensions)
         for whole in batches:
-            for batch in bpe.slices(whole, text_col):
+            for batch in bpe.slices(whole, text_col, 2 << 20):
                 seqs = [letters(t or "") for t in batch.column(text_col).to_pylist()]
                 vectors = bundles(seqs, dimensions)
                 norms = np.linalg.norm(vectors, axis=1)
