@@ -9,19 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_CHARS = 200_000
 
-
-def line_table(df: DataFrame, key: str, text: str, most: int = MOST_CHARS) -> DataFrame:
+def line_table(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """A row a non-empty line with its place, whitespace collapsed and markdown heading marks off.
 
-    Lines beyond ``most`` characters of a document are left out.
+    All lines are kept; only where ``most`` is given are those beyond so many characters of a document left out.
     """
     clean = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\\r?\\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \\t\\f\\x0B]+", " "), "^ | $", ""))
     rows = df.select(F.col(key).alias("key"), F.posexplode(F.filter(clean, lambda x: x != "")).alias("pos", "raw"))
-    so_far = F.sum(F.length("raw")).over(Window.partitionBy("key").orderBy("pos"))
-    kept = rows.withColumn("__n", so_far).where(F.col("__n") <= most)
-    return kept.select("key", "pos", F.col("raw").rlike("^#{1,6} ").alias("marked"), F.regexp_replace("raw", "^#{1,6} ", "").alias("line"))
+    if most is not None:
+        so_far = F.sum(F.length("raw")).over(Window.partitionBy("key").orderBy("pos"))
+        rows = rows.withColumn("__n", so_far).where(F.col("__n") <= most)
+    return rows.select("key", "pos", F.col("raw").rlike("^#{1,6} ").alias("marked"), F.regexp_replace("raw", "^#{1,6} ", "").alias("line"))
 
 
 def heading_like(line: Column, vocabulary: Sequence[str]) -> Column:

@@ -154,9 +154,10 @@ def never_extracted(sources: DataFrame, *tables: DataFrame) -> DataFrame:
     return sources.select("source").distinct().join(done, "source", "left_anti")
 
 
-def attach_texts(pages: DataFrame, attached: DataFrame, most: int = 6000) -> DataFrame:
-    """Page texts with their documents' texts below, each cut to ``most`` characters, in rank order."""
-    part = F.concat(F.lit("## "), F.col("title"), F.lit("\n"), F.substring("text", 1, most))
+def attach_texts(pages: DataFrame, attached: DataFrame, most: int | None = None) -> DataFrame:
+    """Page texts with their documents' whole texts below, in rank order; only a given ``most`` cuts each to so many characters."""
+    body = F.col("text") if most is None else F.substring("text", 1, most)
+    part = F.concat(F.lit("## "), F.col("title"), F.lit("\n"), body)
     more = attached.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("t")))).alias("m"))
     joined = pages.join(more, "key", "left")
     return joined.withColumn("text", F.concat_ws("\n", "text", F.transform("m", lambda x: x["t"]))).drop("m")

@@ -669,6 +669,11 @@ def s11_line_table(t):
     return documents.line_table(t("documents"), "doc_id", "text", most=2000).drop("marked")
 
 
+@query(f"WITH {LINES_SQL} SELECT key, pos, regexp_replace(line, '^#{{1,6}} ', '') AS line FROM lines")
+def s11_whole_lines(t):
+    return documents.line_table(t("documents"), "doc_id", "text").drop("marked")
+
+
 @query(f"WITH {LINES_SQL}, h AS (SELECT *, CASE WHEN len(string_split(line, ' ')) <= 8 AND NOT regexp_matches(line, '[.,;]$') AND regexp_matches(line, '\\p{{L}}{{3}}') AND upper(line) = line THEN line END AS h FROM lines) SELECT key, pos, last_value(h IGNORE NULLS) OVER (PARTITION BY key ORDER BY pos) AS section FROM h")
 def d01_d05_sections(t):
     lines = documents.line_table(t("documents"), "doc_id", "text")
@@ -840,6 +845,14 @@ def c12_attach_texts(t):
     return ingest.attach_texts(pages, attached, most=100)
 
 
+@query("""WITH c AS (SELECT conv_id AS key, string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn) AS m FROM conversations GROUP BY 1)
+  SELECT doc_id AS key, d.lang || CASE WHEN m IS NULL THEN '' ELSE chr(10) || m END AS text FROM documents d LEFT JOIN c ON d.doc_id = c.key""")
+def c12_whole_texts(t):
+    pages = t("documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("text"))
+    attached = t("conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("rank"), F.col("role").alias("title"), "text")
+    return ingest.attach_texts(pages, attached)
+
+
 @query("""WITH p AS (SELECT id, text, CASE WHEN id % 5 = 1 THEN CAST(try_strptime(regexp_extract(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}'), '%Y-%m-%d') AS DATE) END AS d, list_max(regexp_extract_all(text, '20[0-9]{2}')) AS y FROM deadlines)
   SELECT id, CASE WHEN text IS NULL OR y IS NULL THEN false WHEN CAST(y AS INTEGER) < 2020 THEN true ELSE coalesce(d <= DATE '2020-06-01', false) END AS passed FROM p""")
 def c15_deadline_passed(t):
