@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.operators.ordered import running_sum
+
 
 def seeded(*keys: Column, seed: int = 1) -> Column:
     """An order that looks random and repeats: MD5 over the seed and the keys."""
@@ -72,10 +74,9 @@ def capped_calls(df: DataFrame, most: int, seed: int = 1) -> DataFrame:
     ``opportunity_id, source, n_chunks`` in. A call that would take its source beyond
     ``most`` chunks is deferred: its running sum counts only calls before it that fit alone.
     """
-    order = seeded(F.col("opportunity_id"), seed=seed)
-    w = Window.partitionBy("source").orderBy(order, "opportunity_id")
-    run = F.sum(F.when(F.col("n_chunks") <= most, F.col("n_chunks")).otherwise(0)).over(w)
-    return df.withColumn("run", run).withColumn("deferred", (F.col("run") > most) | (F.col("n_chunks") > most))
+    rows = df.withColumn("__order", seeded(F.col("opportunity_id"), seed=seed))
+    summed = running_sum(rows, F.when(F.col("n_chunks") <= most, F.col("n_chunks")).otherwise(0), ["__order", "opportunity_id"], ["source"]).drop("__order", "total")
+    return summed.withColumn("deferred", (F.col("run") > most) | (F.col("n_chunks") > most))
 
 
 def invalid_rows(df: DataFrame, scopes: list[str], decisions: list[str], polarities: list[str]) -> DataFrame:

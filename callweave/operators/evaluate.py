@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.operators.ordered import running_sum
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
@@ -117,8 +119,7 @@ def probability_scores(df: DataFrame, p: str, y: str) -> DataFrame:
     """ROC AUC by rank sums over distinct scores, Brier score and log loss."""
     q = F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
     per = df.groupBy(F.col(p).alias("p")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"), F.sum((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("sq"), F.sum(-(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))).alias("ll"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # distinct scores
-    ranked = per.withColumn("before", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    ranked = running_sum(per, F.col("n"), ["p"]).withColumn("before", F.col("run") - F.col("n"))
     s = ranked.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("r"), F.sum("pos").alias("m"), F.sum("n").alias("n"), F.sum("sq").alias("sq"), F.sum("ll").alias("ll"))
     m, n = F.col("m"), F.col("n")
     return s.select(F.round(_ratio(F.col("r") - m * (m + 1) / 2, m * (n - m)), 6).alias("auc"), F.round(F.col("sq") / n, 6).alias("brier"), F.round(F.col("ll") / n, 6).alias("log_loss"))
@@ -126,7 +127,11 @@ def probability_scores(df: DataFrame, p: str, y: str) -> DataFrame:
 
 def calibration(df: DataFrame, key: str, p: str, y: str, bins: int = 5) -> DataFrame:
     """Equal-count bins of a probability with its mean and the share that came true."""
-    ranked = df.select(F.ntile(bins).over(Window.orderBy(p, key)).alias("bin"), F.col(p).alias("p"), F.col(y).alias("y"))
+    rows = df.select(F.col(key).alias("key"), F.col(p).alias("p"), F.col(y).alias("y"))
+    least, longer = F.floor(F.col("total") / bins), F.col("total") % bins  # so many bins have one row more
+    at = F.col("run") - 1
+    bin_ = F.when(at < longer * (least + 1), F.floor(at / (least + 1))).otherwise(longer + F.floor((at - longer * (least + 1)) / F.greatest(least, F.lit(1)))) + 1
+    ranked = running_sum(rows, F.lit(1), ["p", "key"]).withColumn("bin", bin_.cast("int"))
     return ranked.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("share_true"))
 
 

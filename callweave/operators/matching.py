@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ITEMS_IN_BLOCK = 8192
+QUERIES_IN_BLOCK = 128
 
 
 def text_hash(*fields: Column) -> Column:
@@ -40,36 +41,65 @@ def mean_vectors(df: DataFrame, key: str, vector: str, weight: Column | None = N
     return lists.select("key", unit(F.transform("s", lambda e: e["x"])).alias("v"))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, blocks: int) -> DataFrame:
+def _cells(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Queries and items dealt into cells of a grid, about ``QUERIES_IN_BLOCK`` by ``ITEMS_IN_BLOCK``, in which every pair meets once.
+
+    The numbers of blocks come from the counted rows. A query's ``mean`` and ``std`` come along.
+    """
+    parts = max(1, -(-queries.count() // QUERIES_IN_BLOCK))
+    blocks = max(1, -(-items.count() // ITEMS_IN_BLOCK))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("bigint"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    vector = unit(F.col("v").cast("array<double>")).alias("v")
+    spread = [F.col(c) if c in queries.columns else F.lit(None).cast("double").alias(c) for c in ("mean", "std")]
+    i = items.select(dealt("item", blocks).alias("block"), each(parts).alias("part"), F.col("item").alias("id"), F.lit(False).alias("q"), vector)
+    q = queries.select(each(blocks).alias("block"), dealt("key", parts).alias("part"), F.col("key").alias("id"), F.lit(True).alias("q"), vector, *spread)
+    return i.unionByName(q, allowMissingColumns=True)
+
+
+def _scored(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A cell's places of queries, ids, items' ids, and the matrix of cosines."""
+    side, ids = table.column("q").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
+    at, base = np.flatnonzero(side), np.flatnonzero(~side)
+    x = np.array(table.column("v").combine_chunks().flatten().to_numpy()).reshape(len(ids), -1)
+    return at, ids[at], ids[base], np.round(x[at] @ x[base].T, 12)
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """``key, item, sim``: each query's k nearest items by cosine, ties to the smaller item.
 
-    Items are dealt into ``blocks`` blocks and the queries sent to each; a block's task
-    multiplies matrices and returns k items a query, so only these are shuffled.
+    A cell's task multiplies matrices and returns k items a query, so only these are shuffled.
     """
-    i = items.select(F.pmod(F.xxhash64("item"), F.lit(blocks).cast("bigint")).alias("block"), F.col("item").alias("id"), F.lit(False).alias("q"), unit(F.col("v").cast("array<double>")).alias("v"))
-    q = queries.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.col("key").alias("id"), F.lit(True).alias("q"), unit(F.col("v").cast("array<double>")).alias("v"))
 
     def best(table: pa.Table) -> pa.Table:
-        side, ids = table.column("q").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
-        x = np.array(table.column("v").combine_chunks().flatten().to_numpy()).reshape(len(ids), -1)
-        at, base = np.flatnonzero(side), np.flatnonzero(~side)
-        keys, found, sims = [], [], []
-        for lo in range(0, len(at) if len(base) else 0, 256):
-            part = at[lo : lo + 256]
-            s = np.round(x[part] @ x[base].T, 12)
-            for r, j in enumerate(part):
-                order = np.lexsort((ids[base], -s[r]))[:k]
-                keys += [int(ids[j])] * len(order)
-                found.append(ids[base][order])
-                sims.append(s[r][order])
+        _, keys, base, s = _scored(table)
+        order = [np.lexsort((base, -row))[:k] for row in s]
         cat = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)]).astype(t)
-        return pa.table({"key": pa.array(keys, pa.int64()), "item": pa.array(cat(found, np.int64)), "sim": pa.array(cat(sims, np.float64))})
+        found, sims = cat([base[o] for o in order], np.int64), cat([row[o] for row, o in zip(s, order, strict=True)], np.float64)
+        return pa.table({"key": pa.array(np.repeat(keys, [len(o) for o in order]), pa.int64()), "item": pa.array(found), "sim": pa.array(sims)})
 
-    near = i.unionByName(q).groupBy("block").applyInArrow(best, "key bigint, item bigint, sim double")
+    near = _cells(queries, items).groupBy("block", "part").applyInArrow(best, "key bigint, item bigint, sim double")
     w = Window.partitionBy("key").orderBy(F.desc("sim"), "item")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def similarities(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """``key, item, sim, mean, std`` of every pair, cell by cell; the last two are the query's own, null without."""
+
+    def all_pairs(table: pa.Table) -> pa.Table:
+        at, keys, base, s = _scored(table)
+        own = {c: np.repeat(table.column(c).to_numpy()[at], len(base)) for c in ("mean", "std")}
+        return pa.table({"key": pa.array(np.repeat(keys, len(base)), pa.int64()), "item": pa.array(np.tile(base, len(keys)), pa.int64()), "sim": pa.array(s.ravel())} | {c: pa.array(x, pa.float64()) for c, x in own.items()})
+
+    return _cells(queries, items).groupBy("block", "part").applyInArrow(all_pairs, "key bigint, item bigint, sim double, mean double, std double")
+
+
+def with_spread(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """Queries with mean and deviation of their similarity to all items, from partial sums; pairs aren't shuffled."""
+    spread = similarities(queries, items).groupBy("key").agg(F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("std"))
+    return queries.join(spread, "key")
+
+
 def preference_filter(calls: DataFrame, as_of: str, kinds: list[str] | None = None, disciplines: list[str] | None = None, no_fee: bool = False, text: str = "") -> DataFrame:
     """Calls that a preference does not rule out; what a call does not state never does."""
     keep = F.coalesce(F.col("deadline_date") >= F.to_date(F.lit(as_of)), F.lit(True))
@@ -131,10 +161,8 @@ def shared_words(left: DataFrame, right: DataFrame, specific: DataFrame, key: st
 
 
 def match_percent(df: DataFrame, weights: tuple[float, float, float], intercept: float) -> DataFrame:
-    """Z of the similarity within its query, logistic probability, and whole percent rounded half-even."""
-    w = Window.partitionBy("key")
-    std = F.stddev_pop("sim").over(w)
-    z = (F.col("sim") - F.avg("sim").over(w)) / F.when(std == 0, 1.0).otherwise(std)
+    """Z of the similarity by its query's ``mean`` and ``std``, logistic probability, and whole percent rounded half-even."""
+    z = (F.col("sim") - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
     x = F.lit(intercept) + weights[0] * F.col("z") + weights[1] * F.least("n_shared", F.lit(5)) + weights[2] * F.col("mismatch").cast("int")
     return df.withColumn("z", z).withColumn("percent", F.bround(100 / (1 + F.exp(-x))).cast("int"))
 

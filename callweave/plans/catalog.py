@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callweave.operators import annotate, documents, eligibility, evaluate, explore, ingest, matching, normalise, requirements
+from callweave.plans.scratch import materialise
 from callweave.plans.views import load, with_views
 from callweave.streaming import jobs
 
@@ -524,7 +525,7 @@ TOPK_SQL = f"""{CENTRES_SQL}, sims AS (SELECT CAST(c.key AS BIGINT) AS key, u.ve
 @query(f"WITH {TOPK_SQL} SELECT key, item, round(sim, 6) AS sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sim DESC, item) AS rank FROM sims) WHERE rank <= 10")
 def m07_top_k(t):
     items = t("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
-    return matching.top_k(_centres(t), items, 10, 8).select("key", "item", F.round("sim", 6).alias("sim"), "rank")
+    return matching.top_k(materialise(_centres(t), "centres"), items, 10).select("key", "item", F.round("sim", 6).alias("sim"), "rank")
 
 
 @query("""SELECT opportunity_id FROM calls WHERE coalesce(deadline_date >= DATE '1996-01-01', true) AND coalesce(kind IN ('O', 'P'), true) AND coalesce(discipline IN ('all', 'painting'), true) AND coalesce(NOT has_fee, true)""")
@@ -567,8 +568,8 @@ def m14_shared_words(t):
   SELECT key, item, CAST(round_even(100 / (1 + exp(-(-1 + z + 0.3 * least(item % 7, 5) - 0.5 * (item % 2)))), 0) AS INTEGER) AS percent FROM z""")
 def m16_match_percent(t):
     items = t("embeddings").select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
-    n = items.count()
-    near = matching.top_k(_centres(t), items, n, 1)
+    centres = matching.with_spread(materialise(_centres(t), "centres"), items)
+    near = matching.similarities(materialise(centres, "spread"), items)
     return matching.match_percent(near.withColumns({"n_shared": F.col("item") % 7, "mismatch": F.col("item") % 2 == 1}), (1.0, 0.3, -0.5), -1.0).select("key", "item", "percent")
 
 
