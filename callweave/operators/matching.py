@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.plans.scratch import materialise
+
 ITEMS_IN_BLOCK = 8192
 QUERIES_IN_BLOCK = 128
 
@@ -160,6 +162,29 @@ def shared_words(left: DataFrame, right: DataFrame, specific: DataFrame, key: st
     return a.join(b, "word").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
+def same_word(a: Column, b: Column) -> Column:
+    """Equal, or one a form of the other by the rule of ``same_word_forms``."""
+    k = F.greatest(F.lit(5), F.least(F.length(a), F.length(b)) - 2)
+    return (a == b) | ((F.least(F.length(a), F.length(b)) >= 5) & (F.left(a, k) == F.left(b, k)))
+
+
+def shared_word_forms(left: DataFrame, right: DataFrame, specific: DataFrame, key: str, text: str, other_key: str, other_text: str) -> DataFrame:
+    """How many specific words of the right text the left one holds in any form, each word in one form.
+
+    Left words go through their forms to the specific words, which the inverted index then
+    joins exactly. Of each pair the matched words are taken in text order, without those
+    that are a form of one taken before.
+    """
+    word = materialise(specific.select("word"), "specific")
+    mine = left.select(F.col(key).alias("a"), F.explode(topic_words(F.col(text))).alias("word"))
+    forms = same_word_forms(mine.select("word").union(word).distinct()).join(word.withColumnRenamed("word", "form"), "form")
+    a = materialise(mine.join(word, "word").select("a", "word").union(mine.join(forms, "word").select("a", "form")).distinct(), "wanted")
+    b = right.select(F.col(other_key).alias("b"), F.posexplode(topic_words(F.col(other_text))).alias("pos", "word"))
+    pairs = a.join(b, "word").groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("pos", "word")))["word"].alias("ws"))
+    taken = F.aggregate("ws", F.array().cast("array<string>"), lambda seen, w: F.when(F.exists(seen, lambda s: same_word(s, w)), seen).otherwise(F.array_append(seen, w)))
+    return pairs.select("a", "b", F.size(taken).cast("bigint").alias("n_shared"))
+
+
 def match_percent(df: DataFrame, weights: tuple[float, float, float], intercept: float) -> DataFrame:
     """Z of the similarity by its query's ``mean`` and ``std``, logistic probability, and whole percent rounded half-even."""
     z = (F.col("sim") - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))

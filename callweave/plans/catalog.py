@@ -564,6 +564,20 @@ def m14_shared_words(t):
     return matching.shared_words(t("benchmark"), t("documents"), matching.specific_words(t("documents"), "text"), "item_id", "text", "doc_id", "text")
 
 
+SAME_SQL = """({a} = {b} OR (least(length({a}), length({b})) >= 5 AND left({a}, greatest(5, least(length({a}), length({b})) - 2)) = left({b}, greatest(5, least(length({a}), length({b})) - 2))))"""
+
+
+@query(f"""WITH {WORDS_SQL}, b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]{{4,}}'))) AS word FROM benchmark),
+  ordered AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-zà-öø-ÿ]{{4,}}') AS ws FROM documents)),
+  firsts AS (SELECT doc_id, word, min(pos) AS pos FROM ordered GROUP BY 1, 2),
+  pairs AS (SELECT v.word AS mine, s.word AS theirs FROM (SELECT DISTINCT word FROM b) v JOIN specific s ON left(v.word, 4) = left(s.word, 4) AND {SAME_SQL.format(a='v.word', b='s.word')}),
+  wanted AS (SELECT DISTINCT item_id, theirs FROM b JOIN pairs ON b.word = pairs.mine),
+  met AS (SELECT item_id AS a, doc_id AS b, list([word] ORDER BY pos) AS ws FROM wanted JOIN firsts ON theirs = word GROUP BY 1, 2)
+  SELECT a, b, len(list_reduce(ws, lambda s, x: CASE WHEN len(list_filter(s, lambda y: {SAME_SQL.format(a='y', b='x[1]')})) > 0 THEN s ELSE list_concat(s, x) END)) AS n_shared FROM met""")
+def m14_shared_word_forms(t):
+    return matching.shared_word_forms(t("benchmark"), t("documents"), matching.specific_words(t("documents"), "text"), "item_id", "text", "doc_id", "text")
+
+
 @query(f"""WITH {TOPK_SQL}, z AS (SELECT key, item, (sim - avg(sim) OVER (PARTITION BY key)) / stddev_pop(sim) OVER (PARTITION BY key) AS z FROM sims)
   SELECT key, item, CAST(round_even(100 / (1 + exp(-(-1 + z + 0.3 * least(item % 7, 5) - 0.5 * (item % 2)))), 0) AS INTEGER) AS percent FROM z""")
 def m16_match_percent(t):

@@ -85,3 +85,11 @@ def test_blocks_grow_in_number_not_in_size(spark, monkeypatch):
     assert not windows(spread)
     pairs = matching.similarities(spread, items).collect()
     assert len(pairs) == 1000 and all(abs(r.sim - s[r.key, r.item]) < 1e-8 and abs(r["mean"] - s[r.key].mean()) < 1e-8 and abs(r["std"] - s[r.key].std()) < 1e-8 for r in pairs)
+
+
+def test_shared_words_meet_in_any_form(spark):
+    artist = spark.createDataFrame([(1, "Paintings and translations, sound"), (2, "nothing here")], "k int, t string")
+    calls = spark.createDataFrame([(7, "A painting, two paintings, translate it"), (8, "sounds")], "k int, t string")
+    specific = spark.createDataFrame([("painting",), ("paintings",), ("translate",), ("sounds",)], "word string")
+    rows = matching.shared_word_forms(artist, calls, specific, "k", "t", "k", "t").collect()
+    assert sorted((r.a, r.b, r.n_shared) for r in rows) == [(1, 7, 2), (1, 8, 1)]
