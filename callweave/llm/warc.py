@@ -1,10 +1,12 @@
 """WARC archives as chunked record tables.
 
 A payload of any length becomes rows (record, chunk number, bytes so far, digest so far),
-made one after another from a view of the payload, with one running SHA-1. Each chunk is a
+cut one after another from the column's own buffer, with one running SHA-1. Each chunk is a
 complete WARC record: the first is the response, the others are its continuations with
 segment numbers. An archive is thus written by Spark's text writer, one record a row, to
-any file system that Spark reaches, and is read back by splitting at record starts.
+any file system that Spark reaches. It is read back by splitting at record starts, and the
+chunks of a record, which lie one after another in one file, are digested again as they
+stream by.
 """
 
 from __future__ import annotations
@@ -14,13 +16,16 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START = "WARC/1.1\r\n"
-SEPARATOR = "\r\n\r\n" + START
+END = "\r\n\r\n"
 CHUNK_BYTES = 1 << 18
+#: Bytes of chunks that are handed on together.
+TOGETHER = 4 << 20
 
 CHUNKS = "page_id bigint, url string, role string, refers_to bigint, payload_bytes bigint, payload_digest string, chunk_no int, chunk_bytes bigint, bytes_so_far bigint, digest_so_far string, last boolean, data string"
 
@@ -36,22 +41,32 @@ def sha1_base32(column: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def cut(payload: str, most: int = CHUNK_BYTES) -> Iterator[memoryview]:
-    """Views of at most ``most`` bytes that end between characters, none holding a record start.
+def cut(raw: memoryview, most: int = CHUNK_BYTES) -> Iterator[memoryview]:
+    """Views of at most ``most`` bytes of UTF-8 that end between characters, none holding a record start.
 
     A payload may hold the text that starts a record; a cut within it keeps archives
-    unambiguous, since continuations may be of any length.
+    unambiguous, since continuations may be of any length. Nothing is copied.
     """
-    raw = payload.encode()
-    view, at, inside = memoryview(raw), 0, START.encode()
-    ends = [m.start() + 4 for m in re.finditer(re.escape(inside), raw)] + [len(raw)]
-    for end in ends:
+    starts = re.compile(re.escape(START.encode()))
+    at, found = 0, starts.search(raw)
+    while at < len(raw):
+        end = len(raw) if found is None else found.start() + 4
         while at < end:
             to = min(end, at + most)
             while to < end and raw[to] & 0xC0 == 0x80:  # within a character
                 to -= 1
-            yield view[at:to]
+            yield raw[at:to]
             at = to
+        found = starts.search(raw, at)
+
+
+def views(column: pa.StringArray) -> Iterator[memoryview]:
+    """The bytes of each string, in the column's buffer; a null is empty."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield whole[a:b]
 
 
 def chunk_rows(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -59,31 +74,43 @@ def chunk_rows(df: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 
     Responses give a row for each chunk, one at least; revisits give one row without data.
     ``digest_so_far`` is the SHA-1 of all bytes up to the chunk's end, so that a reader can
-    check a prefix, and the last one equals the payload's.
+    check a prefix, and the last one equals the payload's. A very long payload is never
+    copied whole: chunks are handed on by TOGETHER bytes. Empty payloads give one empty
+    chunk; an empty table gives none.
     """
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
+    types = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, types[x.split()[1]]) for n, x in zip(names, CHUNKS.split(", "), strict=True)])
+
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        heads = [batch.column(n) for n in names[:6]]
+        for i, payload in enumerate(views(batch.column("payload"))):
+            head = [c[i].as_py() for c in heads]
+            sha, total, k = hashlib.sha1(), 0, 0
+            parts = cut(payload if head[2] == "response" else payload[:0], chunk_bytes)
+            part = next(parts, payload[:0])
+            while part is not None:
+                after = next(parts, None)
+                sha.update(part)
+                total += len(part)
+                yield (*head, k, len(part), total, _b32(sha.digest()), after is None, bytes(part))
+                part, k = after, k + 1
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        *rest, data = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(rest, schema, strict=False)), pa.array(data, pa.binary()).cast(pa.string())], schema=schema)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in CHUNKS.split(", ")]
-        types = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-        schema = pa.schema([(n, types[x.split()[1]]) for n, x in zip(names, CHUNKS.split(", "), strict=True)])
         for batch in batches:
             out, held = [], 0
-            heads = [batch.column(n) for n in names[:6]]
-            payloads = batch.column("payload")
-            for i in range(batch.num_rows):
-                head = [c[i].as_py() for c in heads]
-                payload = payloads[i].as_py() or "" if head[2] == "response" else ""
-                sha, total, views = hashlib.sha1(), 0, list(cut(payload, chunk_bytes)) or [memoryview(b"")]
-                for k, view in enumerate(views):
-                    sha.update(view)
-                    total += len(view)
-                    out.append((*head, k, len(view), total, _b32(sha.digest()), k == len(views) - 1, bytes(view).decode()))
-                    held += len(view)
-                    if held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out, held = [], 0
+            for row in rows(batch):
+                out.append(row)
+                held += len(row[-1])
+                if held > TOGETHER:
+                    yield packed(out)
+                    out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield packed(out)
 
     return df.select("page_id", "url", "role", "refers_to", "payload_bytes", "payload_digest", "payload").mapInArrow(make, CHUNKS)
 
@@ -94,8 +121,9 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Of pages whose payloads are equal and have ``least_bytes`` or more, the one with the
     largest id is the response and the others revisit it; shorter ones are all responses.
     Rows that repeat the largest id with that payload are responses too. Null ids never
-    win against others; a null payload is an empty one. Partial maxima are made before the
-    shuffle, and the join back can split a digest that many pages share.
+    win against others; a null payload is an empty one; an empty table gives none, and other
+    columns are left out. Partial maxima are made before the shuffle, and the join back can
+    split a digest that many pages share.
     """
     base = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
@@ -150,18 +178,21 @@ def record_text(chunks: DataFrame) -> DataFrame:
 
 def write_archives(records: DataFrame, path: str) -> None:
     """Gzip-compressed archives, one for each partition."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table that the archives at ``path`` hold, with ``intact``: length and digest agree."""
-    raw = spark.read.schema("value string").option("lineSep", SEPARATOR).text(path)
-    cut = raw.where("value <> ''").select(F.regexp_replace("value", "^WARC/1\\.1\r\n", "").alias("__v")).select(
-        F.substring_index("__v", "\r\n\r\n", 1).alias("__h"), F.expr("substring(__v, locate('\\r\\n\\r\\n', __v) + 4)").alias("__d")
-    )
-    # the last record of a file still has the blank lines that end it
-    over = F.octet_length("__d") - F.regexp_extract("__h", "\nContent-Length: ([0-9]+)", 1).cast("bigint")
-    parts = cut.select("__h", F.when(over == 4, F.expr("left(__d, length(__d) - 4)")).otherwise(F.col("__d")).alias("data"))
+    """The chunk table that the archives at ``path`` hold, in the order of each file, with ``intact``: length and digest agree.
+
+    Files are split at record starts alone: no chunk holds one, and no end of one is the
+    beginning of another, so a reader's buffer may end anywhere. The blank lines after a
+    record come off by its length.
+    """
+    raw = spark.read.schema("value string").option("lineSep", START).text(path)
+    cut_at = F.expr("locate('\\r\\n\\r\\n', value)")
+    split = raw.where("value <> ''").select(F.substring("value", F.lit(1), cut_at - 1).alias("__h"), F.substring("value", cut_at + 4, F.length("value")).alias("__d"))
+    # a record is written with the blank lines that end it, so it always has them
+    parts = split.select("__h", F.endswith("__d", F.lit(END)).alias("__ended"), F.expr("left(__d, length(__d) - 4)").alias("data"))
     field = lambda name: F.nullif(F.regexp_extract("__h", f"(?:^|\n){name}: ([^\r]*)", 1), F.lit(""))
     digest = lambda name: F.substring_index(field(name), ":", -1)
     return parts.select(
@@ -170,32 +201,65 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Type").alias("record_type"),
         F.coalesce(field("WARC-Segment-Number").cast("int"), F.lit(1)).alias("segment"),
         field("WARC-Segment-Total-Length").cast("bigint").alias("segments_bytes"),
-        F.regexp_extract("__h", "WARC-Refers-To: <urn:page:(-?[0-9]+):0>", 1).alias("__r"),
+        F.nullif(F.regexp_extract("__h", "WARC-Refers-To: <urn:page:(-?[0-9]+):0>", 1), F.lit("")).cast("bigint").alias("refers_to"),
         digest("WARC-Payload-Digest").alias("payload_digest"),
         digest("X-Digest-So-Far").alias("digest_so_far"),
         field("X-Payload-Length").cast("bigint").alias("payload_bytes"),
         field("WARC-Target-URI").alias("url"),
         "data",
-        ((F.octet_length("data") == field("Content-Length").cast("bigint")) & (sha1_base32(F.col("data")) == digest("WARC-Block-Digest"))).alias("intact"),
-    ).select("*", F.nullif("__r", F.lit("")).cast("bigint").alias("refers_to")).drop("__r")
+        (F.col("__ended") & (F.octet_length("data") == field("Content-Length").cast("bigint")) & (sha1_base32(F.col("data")) == digest("WARC-Block-Digest"))).alias("intact"),
+    )
+
+
+HEADS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, n_chunks int"
 
 
 def record_heads(chunks: DataFrame) -> DataFrame:
-    """One row per archived record, from its segments: its type, digest, length and target.
+    """One row per archived record, in HEADS, from its chunks as ``read_archives`` gives them.
 
-    Only the first segment of a record becomes a row; the others add their bytes to it by a
-    partial sum. Fails if a segment is damaged or missing.
+    The chunks of a record follow each other, so they are digested again in passing, with no
+    shuffle and no record held whole. A response's length and digest are those of its
+    chunks; a revisit repeats what its header says. Fails if a chunk is damaged, missing or
+    out of order, or a chain of digests is broken.
     """
-    heads = chunks.groupBy("page_id", "payload_digest").agg(
-        F.sum(F.octet_length("data").cast("bigint")).alias("__sum"),
-        F.max("payload_bytes").alias("payload_bytes"),
-        F.max_by("record_type", F.col("segment") == 1).alias("record_type"),
-        F.max("refers_to").alias("refers_to"),
-        F.min("intact").alias("__ok"),
-        F.sum((F.col("segment") == 1).cast("bigint")).alias("__n"),
-    )
-    whole = F.col("__ok") & ((F.col("record_type") == "revisit") | (F.col("__sum") == F.col("payload_bytes") * F.col("__n")))
-    checked = heads.withColumn("__whole", F.when(whole, True).otherwise(F.raise_error(F.concat(F.lit("damaged record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))))
-    return checked.where("__whole").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__k")
-    ).drop("__k")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = []  # the open record: page, type, refers_to, said digest, said length, sha, bytes, chunks, digest so far
+
+        def wrong(page) -> ValueError:
+            return ValueError(f"damaged record of page {page}")
+
+        def close() -> tuple:
+            page, kind, refers, said, length, sha, total, n, so_far = state
+            if kind == "revisit":
+                return page, length, said, kind, refers, n
+            if total != length or so_far != said:
+                raise wrong(page)
+            return page, total, so_far, kind, refers, n
+
+        for batch in batches:
+            done = []
+            columns = [batch.column(c).to_pylist() for c in ("page_id", "record_type", "segment", "refers_to", "payload_digest", "payload_bytes", "digest_so_far", "intact")]
+            for page, kind, segment, refers, said, length, so_far, ok, data in zip(*columns, views(batch.column("data")), strict=True):
+                if segment == 1:
+                    if state:
+                        done.append(close())
+                    state = [page, kind, refers, said, length, hashlib.sha1(), 0, 0, None]
+                if not ok or not state or segment != state[7] + 1 or page != state[0]:
+                    raise wrong(page)
+                state[5].update(data)
+                state[6] += len(data)
+                state[7] += 1
+                state[8] = _b32(state[5].digest())
+                if state[8] != so_far:
+                    raise wrong(page)
+            yield packed(done)
+        if state:
+            yield packed([close()])
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32())
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in HEADS.split(", ")])
+
+    return chunks.select("page_id", "record_type", "segment", "refers_to", "payload_digest", "payload_bytes", "digest_so_far", "intact", "data").mapInArrow(make, HEADS)
