@@ -28,9 +28,8 @@ QUERIES_IN_CELL = 2_048
 #: Vectors that a bucket should hold; finer buckets are made up to ``MOST_EXTRA`` axes of a second polytope.
 IN_BUCKET = 800
 MOST_EXTRA = 32
-#: Bounded samples: queries that set the number of probes, vectors that bound a query's k-th score.
+#: Queries that set the number of probes.
 TUNED_ON = 64
-BOUND_BY = 1_024
 
 
 @dataclass(frozen=True)
@@ -196,29 +195,22 @@ def tuned(rows: DataFrame, index: Index, k: int, share: float = 0.98) -> Index:
     return replace(index, probes=ranks[int(np.ceil(share * len(ranks))) - 1] + 1) if ranks else index
 
 
-def with_probes(queries: DataFrame, index: Index, k: int, sample: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``vec_id, v, least, probe``: each query's buckets, and a score that its k-th best cannot fall below."""
-    names, base = sample
+def with_probes(queries: DataFrame, index: Index) -> DataFrame:
+    """``vec_id, v, probe``: each query's buckets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                ids, x = batch.column("vec_id").to_numpy(), _unpacked(batch.column("v"), index)
-                least = np.full(len(x), -np.inf)
-                if len(names) > k:
-                    s = x @ base.T
-                    s[ids[:, None] == names[None, :]] = -np.inf
-                    least = np.partition(s, len(names) - k, axis=1)[:, len(names) - k]
-                probes = probed(x, index).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * probes.shape[1]), pa.array(probes.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(least), lists], names=["vec_id", "v", "least", "probe"])
+                probes = probed(_unpacked(batch.column("v"), index), index).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(probes) + 1, dtype=np.int32) * probes.shape[1]), pa.array(probes.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), lists], names=["vec_id", "v", "probe"])
 
-    return queries.select("vec_id", "v").mapInArrow(make, "vec_id bigint, v binary, least double, probe array<int>")
+    return queries.select("vec_id", "v").mapInArrow(make, "vec_id bigint, v binary, probe array<int>")
 
 
 def _cells(vectors: DataFrame, queries: DataFrame, seed: int) -> DataFrame:
-    """Rows of ``b, vec_id, v`` and ``b, vec_id, v, least`` dealt into cells of one bucket, in which every pair meets once.
+    """Rows of ``b, vec_id, v`` dealt into cells of one bucket, in which every pair meets once.
 
     Sizes are counted by bucket; their table has at most a row a bucket, which the index bounds.
     """
@@ -226,8 +218,8 @@ def _cells(vectors: DataFrame, queries: DataFrame, seed: int) -> DataFrame:
     sizes = F.broadcast(size(vectors.select("b"), VECTORS_IN_CELL, "nv").join(size(queries.select("b"), QUERIES_IN_CELL, "nq"), "b"))
     salt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    v = vectors.join(sizes, "b").select("b", salt("nv").alias("i"), each("nq").alias("j"), F.lit(False).alias("side"), "vec_id", "v", F.lit(None).cast("double").alias("least"))
-    q = queries.join(sizes, "b").select("b", each("nv").alias("i"), salt("nq").alias("j"), F.lit(True).alias("side"), "vec_id", "v", "least")
+    v = vectors.join(sizes, "b").select("b", salt("nv").alias("i"), each("nq").alias("j"), F.lit(False).alias("side"), "vec_id", "v")
+    q = queries.join(sizes, "b").select("b", each("nv").alias("i"), salt("nq").alias("j"), F.lit(True).alias("side"), "vec_id", "v")
     return v.union(q)
 
 
@@ -236,7 +228,7 @@ def _best(cells: DataFrame, index: Index, k: int) -> DataFrame:
 
     def score(table: pa.Table) -> pa.Table:
         side, ids = table.column("side").to_numpy(zero_copy_only=False), table.column("vec_id").to_numpy()
-        x, least = _unpacked(table.column("v"), index), table.column("least").to_numpy()
+        x = _unpacked(table.column("v"), index)
         at, base = np.flatnonzero(side), np.flatnonzero(~side)
         if len(base):  # of equal vectors only the k + 1 smallest ids can be among a query's k best
             mark = (x[base].view(np.uint64) * np.random.default_rng(index.seed).integers(0, 2**63, index.dimension, np.uint64)).sum(axis=1)
@@ -252,10 +244,9 @@ def _best(cells: DataFrame, index: Index, k: int) -> DataFrame:
             part = at[lo : lo + 256]
             rough = x[part].astype(kind) @ rough_v.T
             rough[ids[part][:, None] == names[None, :]] = -np.inf
-            floor = least[part] - 2 * slack * np.linalg.norm(x[part], axis=1)
-            many = np.flatnonzero((rough >= floor[:, None]).sum(axis=1) > 2 * k)
-            if len(many) and len(names) > k:
-                floor[many] = np.maximum(floor[many], np.partition(rough[many], len(names) - k, axis=1)[:, len(names) - k] - 2 * slack * np.linalg.norm(x[part[many]], axis=1))
+            floor = np.full(len(part), -np.inf)
+            if len(names) > k:
+                floor = np.partition(rough, len(names) - k, axis=1)[:, len(names) - k] - 2 * slack * np.linalg.norm(x[part], axis=1)
             r, c = np.nonzero((rough >= floor[:, None]) & (rough > -np.inf))
             exact = np.concatenate([(x[part[r[i : i + 50_000]]] * vectors[c[i : i + 50_000]]).sum(axis=1) for i in range(0, len(r), 50_000)] or [np.zeros(0)])
             order = np.lexsort((names[c], -exact, r))
@@ -289,15 +280,15 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector
     rows = materialise(packed(vectors.where(F.size("v") == index.dimension), is_query, index), "packed")
     if "probes" not in how:
         index = tuned(rows, index, k, share)
-    queries = materialise(with_probes(rows.where("q"), index, k, _sample(rows, BOUND_BY, index)), "probes")
-    lists = rows.select(F.explode("own").alias("b"), "vec_id", "v"), queries.select(F.explode("probe").alias("b"), "vec_id", "v", "least")
+    queries = materialise(with_probes(rows.where("q"), index), "probes")
+    lists = rows.select(F.explode("own").alias("b"), "vec_id", "v"), queries.select(F.explode("probe").alias("b"), "vec_id", "v")
     found = materialise(_best(_cells(*lists, index.seed), index, k), "found")
     total = rows.select("vec_id").distinct().count()
     counted = queries.select(F.col("vec_id").alias("query_id")).distinct().join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
     short = materialise(counted.where(F.coalesce("n", F.lit(0)) < min(k, total - 1)).select(F.col("query_id").alias("vec_id")), "short")
     if not short.isEmpty():
         one = F.lit(0).alias("b")
-        again = queries.join(short, "vec_id").select(one, "vec_id", "v", F.lit(float("-inf")).alias("least"))
+        again = queries.join(short, "vec_id").select(one, "vec_id", "v")
         found = found.union(_best(_cells(rows.select(one, "vec_id", "v"), again, index.seed), index, k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
