@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by alternating large-star and small-star steps.
+
+A node with very many links is met in salted parts: minima are made by (node, part), then by
+node, and go back to the links by (node, part), so that no task sees all links of a node.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +11,39 @@ from pyspark.sql import functions as F
 
 from callweave.plans.scratch import materialise
 
+#: Parts that the links of one node are dealt into.
+PARTS = 64
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """``u, v, m``: each link with the smallest ``v`` of its ``u``."""
+    dealt = links.withColumn("__s", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    parts = dealt.groupBy("u", "__s").agg(F.min("v").alias("__m"))
+    # a row for each node and part that occurs: never more than PARTS rows of a node meet
+    least = parts.join(parts.groupBy("u").agg(F.min("__m").alias("m")), "u").select("u", "__s", "m")
+    return dealt.join(least, ["u", "__s"]).select("u", "v", "m")
+
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = _with_least(both).withColumn("m", F.least("u", "m"))
+    return least.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of these."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = _with_least(down)
+    # the smallest neighbour's own link is the one with v = m
+    return least.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of the links ``u, v``: the smallest node reachable.
 
-    Self links and repeats do no harm; nulls are left out; no links give no rows. A node
-    with very many links is met by partial minima and by joins that can be split. Each
-    round is written to the shared folder; only a count and a checksum come to the driver.
+    Self links and repeats do no harm; nulls are left out; no links give no rows. Each round
+    is written to the shared folder; only a count and a checksum come to the driver.
     """
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     mark = None

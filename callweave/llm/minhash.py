@@ -5,10 +5,12 @@
    up its signature, and bands of the signature are bucket keys.
 3. Every member of a bucket is tied to the bucket's smallest class. These ties connect
    whole buckets, so any two classes that share a bucket are in one candidate group.
-4. Within a candidate group, signatures that agree too little are passed over, and the rest
-   is confirmed on full sets. Groups beyond one block are dealt into blocks: all members
-   against the first block, then the members outside the largest component found against
-   all blocks. No pair is emitted; each cell of blocks returns a forest of its links.
+4. Within a candidate group, pairs whose signatures agree are verified first, on full sets;
+   what these links do not connect is then compared exactly, whatever its signatures, so
+   that no link is lost. Groups beyond one block are dealt into blocks of bounded numbers
+   and sizes: all members against the first block, then the members outside the largest
+   component found against all blocks. No pair is emitted; each cell of blocks returns a
+   forest of its links.
 5. The links' components, by alternating stars, are the near-duplicate classes.
 """
 
@@ -33,8 +35,8 @@ from callweave.plans.scratch import materialise
 class Params:
     """``bands`` of ``rows`` minima: two sets of similarity 0.8 share no band 8 times in a million.
 
-    ``block``: classes compared within one task. ``slack``: standard deviations that a
-    signature's agreement may fall below ``percent`` before a pair is passed over.
+    ``block`` and ``block_shingles``: classes, and the sum of their set sizes, in one block;
+    a task compares two blocks.
     """
 
     words: int = 5
@@ -42,7 +44,7 @@ class Params:
     bands: int = 50
     rows: int = 7
     block: int = 512
-    slack: float = 6.0
+    block_shingles: int = 1 << 19
     seed: int = 7
 
 
@@ -115,17 +117,13 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 def forest(sets: list[np.ndarray], first: np.ndarray, p: Params) -> list[tuple[int, int]]:
     """Links that span the components of the pairs (i, j) with i in ``first`` and similarity of ``percent`` or more.
 
-    Exact: intersections are counted on full sets, through a matrix over the shingles that
-    two or more sets hold. Pairs that one component holds already are not compared again.
+    Signatures set the order alone: pairs whose minima agree are verified on full sets
+    first. Pairs that no component holds then are all counted exactly, through a matrix over
+    the shingles that two or more sets hold.
     """
     m = len(sets)
     size = np.fromiter(map(len, sets), np.int64, m)
-    names, inv, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[inv]
-    owner = np.repeat(np.arange(m), size)
-    keep = column >= 0
-    width, column, owner = int((times > 1).sum()), column[keep], owner[keep]
-    parent = np.arange(m)
+    parent, out = np.arange(m), []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -133,33 +131,44 @@ def forest(sets: list[np.ndarray], first: np.ndarray, p: Params) -> list[tuple[i
             i = int(parent[i])
         return i
 
-    a, b = functions(Params(bands=16, rows=8, seed=p.seed + 1))
-    near = 0.0
-    marks = None
-    if m > 64:  # signature verification pays only in large groups
-        marks = np.stack([minima(s, a, b) for s in sets])
-        near = len(a) * (p.percent / 100 - p.slack * np.sqrt(p.percent / 100 * (1 - p.percent / 100) / len(a)))
-    out, order = [], np.flatnonzero(first)
-    step = 64
-    for s in range(0, len(order), step):
-        rows = order[s : s + step]
-        common = np.zeros((len(rows), m), np.int64)
-        for lo in range(0, width, 4096):  # columns in blocks bound the memory
-            hi = min(width, lo + 4096)
-            here = (column >= lo) & (column < hi)
-            dense = np.zeros((m, hi - lo), np.float32)
-            dense[owner[here], column[here] - lo] = 1
-            common += np.rint(dense[rows] @ dense.T).astype(np.int64)
-        for r, i in enumerate(rows.tolist()):
-            ok = (100 * common[r] >= p.percent * (size[i] + size - common[r])) & (size > 0)
-            if marks is not None:
-                ok &= (marks == marks[i]).sum(axis=1) >= near
-            ok[i] = False
-            for j in np.flatnonzero(ok).tolist():
-                x, y = root(i), root(j)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.append((i, j))
+    def link(i: int, j: int) -> None:
+        x, y = root(i), root(j)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((i, j))
+
+    a, b = functions(Params(bands=8, rows=8, seed=p.seed + 1))
+    marks = np.stack([minima(s, a, b) for s in sets]) if m else np.zeros((0, len(a)), np.uint32)
+    rows = np.flatnonzero(first & (size > 0))
+    for i in rows.tolist():
+        missed = 0
+        for j in np.flatnonzero((marks == marks[i]).sum(axis=1) >= len(a) * (p.percent / 100 - 0.1)).tolist():
+            if j != i and size[j] and root(i) != root(j):
+                n = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * n >= p.percent * (size[i] + size[j] - n):
+                    link(i, j)
+                else:
+                    missed += 1
+                    if missed == 8:  # the exact count below decides about the others
+                        break
+    roots = np.array([root(i) for i in range(m)])
+    if not len(rows) or len(np.unique(roots[size > 0])) < 2:
+        return out
+    names, inv, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[inv]
+    owner = np.repeat(np.arange(m), size)[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(rows), m), np.int32)
+    for lo in range(0, int((times > 1).sum()), 4096):  # columns in blocks bound the memory
+        x, y = np.searchsorted(column, (lo, lo + 4096))
+        dense = np.zeros((m, 4096), np.float32)
+        dense[owner[x:y], column[x:y] - lo] = 1
+        common += np.rint(dense[rows] @ dense.T).astype(np.int32)
+    close = (100 * common >= p.percent * (size[rows][:, None] + size[None, :] - common)) & (size > 0)[None, :] & (roots[rows][:, None] != roots[None, :])
+    for r, j in zip(*np.nonzero(close), strict=True):
+        link(int(rows[r]), int(j))
     return out
 
 
@@ -198,11 +207,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     base = materialise(signatures(docs, p), "signatures")
     some = base.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(some.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
+    classes = materialise(some.groupBy("class").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     groups = materialise(candidate_groups(classes), "candidates")
-    sized = groups.groupBy("component").agg(F.count("*").alias("__m"))
+    # blocks follow the number of classes and the sizes of their sets
+    sized = groups.join(classes.select("node", "n"), "node").groupBy("component").agg(F.greatest(F.count("*") / p.block, F.sum("n") / p.block_shingles).alias("__m"))
     # a class is read again by its smallest document; texts that share the id with it come along
-    member = groups.join(sized, "component").select("node", "component", "__m", F.ceil(F.col("__m") / p.block).cast("int").alias("blocks"))
+    member = groups.join(sized, "component").select("node", "component", "__m", F.ceil("__m").cast("int").alias("blocks"))
     # "merge": one plan at every size, as members grow with the input
     texts = docs.select(F.col("doc_id").alias("node"), "text").where("text is not null").join(member.hint("merge"), "node")
     group_texts = materialise(texts.withColumn("block", F.pmod(F.xxhash64("node", F.lit(p.seed)), F.col("blocks").cast("bigint")).cast("int")), "texts")
@@ -238,7 +248,7 @@ def _rest(large: DataFrame, found: DataFrame, p: Params) -> DataFrame:
     counts = label.groupBy("component", "__l").agg(F.count("*").alias("__n"))
     main = counts.groupBy("component").agg(F.max_by("__l", F.struct("__n", "__l")).alias("__main"))
     apart = label.join(main, "component").where(F.col("__l") != F.col("__main"))
-    per = apart.groupBy("component").agg(F.ceil(F.count("*") / p.block).cast("int").alias("__r"))
+    per = apart.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / p.block, F.sum(F.octet_length("text")) / (8 * p.block_shingles))).cast("int").alias("__r"))
     # queries: the members apart, each in one of __r blocks; they go to every block of the group
     query = apart.join(per, "component").withColumn("__q", F.pmod(F.xxhash64("node", F.lit(p.seed + 2)), F.col("__r").cast("bigint")).cast("int"))
     query = query.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

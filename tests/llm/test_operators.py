@@ -35,9 +35,16 @@ def corpus():
     return [*texts, None, "", "one", "One", "two words", " TWO\twords "]
 
 
-@pytest.mark.parametrize("k,block", [(2, 512), (2, 5), (5, 7)])
-def test_near_duplicates_equal_brute_force(spark, k, block):
-    rows = [(3 * i % 211, t, "extra", 0) for i, t in enumerate(corpus())]
+def crowd():
+    """A group of near copies beyond 64 and 512 classes, a chain of them, and a long text twice."""
+    base, long = prose(60), prose(40_000)
+    chain = [" ".join(f"c{j}" for j in range(3 * i, 3 * i + 50)) for i in range(80)]
+    return [edited(base, RND.randrange(1, 7)) for _ in range(600)] + chain + [long, edited(long, 300), edited(long, 20_000)] + [base, base]
+
+
+@pytest.mark.parametrize("k,block,texts,shingles", [(2, 512, "corpus", 1 << 19), (2, 5, "corpus", 1 << 19), (5, 7, "corpus", 300), (2, 512, "crowd", 1 << 19), (2, 100, "crowd", 1 << 14)])
+def test_near_duplicates_equal_brute_force(spark, k, block, texts, shingles):
+    rows = [(3 * i % 2113, t, "extra", 0) for i, t in enumerate(globals()[texts]())]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, component string, node int")
     sets = {}
     for i, t, *_ in rows:
@@ -57,15 +64,16 @@ def test_near_duplicates_equal_brute_force(spark, k, block):
             if a < b and n and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    got = minhash.near_duplicates(df, minhash.Params(words=k, block=block)).collect()
+    got = minhash.near_duplicates(df, minhash.Params(words=k, block=block, block_shingles=shingles)).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(sets[i]), root(i), root(i) == i) for i in ids}
     assert minhash.near_duplicates(df.where("false")).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "u bigint, v bigint")
+    hub = [(200, 1000 + i) for i in range(3000)] + [(1999, 5000), (5000, 150)]
+    links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)] + hub, "u bigint, v bigint")
     got = {r.node: r.component for r in components.components(links).collect()}
-    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+    assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100} | {i: 150 for i in (150, 200, 5000, *range(1000, 4000))}
 
 
 def test_archives_round_trip(spark, tmp_path):
