@@ -30,7 +30,7 @@ WHITE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205
 #: What str.split() takes for white space and the vocabulary does not.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 #: What Unicode 16 added, which the splitter knows and Python 3.13 does not.
-ADDED = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113E2), (0x116D0, 0x116E3), (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF)]
+ADDED = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113E2), (0x116D0, 0x116E3), (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF)]
 ADDED_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 RUN = re.compile(r"\s ")
 ENDS = {".", ",", ";", ":", "!", "?"}
@@ -127,9 +127,11 @@ class Vocabulary:
     def normal(self, text: str) -> str:
         if self.compose and not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        if self.fold:
-            text = text.replace("Σ", "σ").lower()  # a capital sigma has one small form here, wherever it stands
-        return text
+        return self.small(text)
+
+    def small(self, text: str) -> str:
+        """Lower case, where the vocabulary folds it; a capital sigma has one small form, wherever it stands."""
+        return text.replace("Σ", "σ").lower() if self.fold else text
 
     def cut(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""

@@ -54,8 +54,7 @@ def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.with_prefix_table(docs, public_tokenizers.path("word_bpe_49k.json"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    totals = counted.select("doc_id", n_bytes.alias("n_bytes"), token_counts.total_tokens().alias("n_tokens"))
-    return totals.withColumn("over_limit", F.col("n_tokens") > 2048)
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 def op8_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,15 @@ what BPE gives for theirs. So the last token of a prefix is the only token endin
 that fits the last token of the prefix before it, and the count is one more than there. An
 automaton over all tokens names the longest token that ends at each byte, and links lead to
 shorter ones. All pre-tokens of a batch are walked side by side, one byte a step.
+
+The table of a text holds the count at each of its characters, as differences of two bytes,
+so any prefix is answered from the table alone: its count, whether it fits a budget, and
+the longest prefix that does.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +27,7 @@ from callweave.llm import bpe
 
 END = 256  # the symbol after a pre-token's last byte, where the vocabulary marks word ends
 CACHE_BITS = 21
-WIDE = 64  # pre-tokens up to so many bytes are walked side by side
+CELLS = 1 << 21  # pre-tokens times bytes that are walked side by side
 
 
 class PrefixCounter:
@@ -52,7 +56,7 @@ class PrefixCounter:
         self._build([(t, symbols[t]) for t, ok in zip(ids, alone, strict=True) if ok])
         self.keys = np.full(1 << CACHE_BITS, -1, np.int64)
         self.fits_cache = np.zeros(1 << CACHE_BITS, bool)
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[bytes, int]] = {}
 
     def _alone(self, ids: list[int], whole: list[bytes], marked: list[bool]) -> list[bool]:
         """Whether each token is one that its own two parts give."""
@@ -140,12 +144,12 @@ class PrefixCounter:
             self.keys[slot[miss]], self.fits_cache[slot[miss]] = key[miss], out[miss]
         return out
 
-    def _advance(self, state: np.ndarray, k: int | np.ndarray, last: np.ndarray, count: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _advance(self, state: np.ndarray, k: int, last: np.ndarray, count: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Last token and count of the prefix of k symbols of each row; ``state`` has read k symbols."""
         t = self.longest[state]
         todo = np.arange(len(rows))
         while len(todo):
-            before = last[rows[todo], (k if np.isscalar(k) else k[todo]) - self.length[t[todo]]]
+            before = last[rows[todo], k - self.length[t[todo]]]
             ok = before < 0
             inner = np.flatnonzero(~ok)
             ok[inner] = self.fits(before[inner], t[todo[inner]])
@@ -153,104 +157,176 @@ class PrefixCounter:
             t[todo] = self.shorter[t[todo]]
         return t, count[rows, k - self.length[t]] + 1
 
-    def walk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For words of at most one common width: last token and count after every byte, and final counts."""
+    def walk(self, words: list[bytes]) -> np.ndarray:
+        """For words of about one length: tokens of each word's first k bytes as a pre-token of their own, k = 0 to the width."""
         m, lengths = len(words), np.fromiter(map(len, words), np.int64, len(words))
         width = int(lengths.max(initial=0))
         raw = np.zeros((m, width + 1), np.uint8)
         raw[np.arange(width + 1) < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-        last, count = np.full((m, width + 1), -1, np.int32), np.zeros((m, width + 1), np.int32)
-        state = np.zeros((m, width + 1), np.int32)
+        last, count = np.full((m, width + 2), -1, np.int32), np.zeros((m, width + 2), np.int32)
+        state, ended = np.zeros(m, np.int64), np.zeros((m, width + 1), np.int32)
         order = np.argsort(-lengths, kind="stable")
         for k in range(1, width + 1):
             rows = order[: np.searchsorted(-lengths[order], -k, side="right")]
-            state[rows, k] = self.table[state[rows, k - 1], raw[rows, k - 1]]
-            last[rows, k], count[rows, k] = self._advance(state[rows, k], k, last, count, rows)
-        if not self.v.suffix:
-            return state, count, count[np.arange(m), lengths]
-        return state, count, self.finals(state, last, count, np.arange(m), lengths)
-
-    def finals(self, state: np.ndarray, last: np.ndarray, count: np.ndarray, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Counts of prefixes of k bytes as whole pre-tokens, that is, with the word end."""
-        out = np.zeros(len(rows), np.int64)
-        some = np.flatnonzero(k > 0)
-        ended = self.table[state[rows[some], k[some]], END]
-        out[some] = self._advance(ended, k[some] + 1, last, count, rows[some])[1]
+            if self.v.suffix:
+                final = self.table[self.table[state[rows], raw[rows, k - 1]], END]
+                ended[rows, k] = self._advance(final, k + 1, last, count, rows)[1]
+            state[rows] = self.table[state[rows], raw[rows, k - 1]]
+            last[rows, k], count[rows, k] = self._advance(state[rows], k, last, count, rows)
+        return ended if self.v.suffix else count[:, : width + 1]
+
+    def count_pieces(self, pieces: list[str]) -> tuple[dict[str, tuple[bytes, int]], dict[str, np.ndarray]]:
+        """For each distinct pre-token its differences of counts by character with the whole count, and the counts of its first 0, 1, ... characters."""
+        raw, steps, out = [w.encode() for w in pieces], {}, {}
+        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+        at = 0
+        while at < len(order):  # together as many as a bounded table holds
+            end = at + 1
+            while end < len(order) and (end - at + 1) * (len(raw[order[end]]) + 2) <= CELLS:
+                end += 1
+            counts = self.walk([raw[i] for i in order[at:end]])
+            packed, wide = np.diff(counts, axis=1).astype("<i2").tobytes(), 2 * (counts.shape[1] - 1)
+            for r, i in enumerate(order[at:end]):
+                piece, n = pieces[i], len(raw[i])
+                out[piece] = own = counts[r, : n + 1] if n == len(piece) else counts[r][np.cumsum([0, *(len(c.encode()) for c in piece)])]
+                steps[piece] = (packed[r * wide : r * wide + 2 * n] if n == len(piece) else (own[1:] - own[:-1]).astype("<i2").tobytes(), int(own[-1]))
+            at = end
+        return steps, out
+
+    def _joined(self, pieces: list[str], known: dict[str, np.ndarray]) -> np.ndarray:
+        """Counts of the first 0, 1, ... characters of pre-tokens in a row.
+
+        A prefix that ends within a pre-token has that part as its own last one, but for
+        contractions, whose parts are an apostrophe and letters, and for white space before
+        a word, which goes with its last blank until the word begins.
+        """
+        out, base = [np.zeros(1, np.int32)], 0
+        for j, piece in enumerate(pieces):
+            own = known[piece]
+            if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
+                inner = known[piece[1:-1]] if len(piece) > 2 else np.zeros(1, np.int32)
+                own = np.r_[0, known["'"][1] + inner, own[-1]].astype(np.int32)
+            here = own[1:] + base
+            if j and not self.v.squeeze and piece[0].isspace() and pieces[j - 1].isspace() and not (len(piece) > 1 and piece.isspace()):
+                here = here.copy()  # so far one run of white space
+                here[0] = base - known[pieces[j - 1]][-1] + known[pieces[j - 1] + piece[0]][-1]
+            out.append(here)
+            base += int(own[-1])
+        return np.concatenate(out)
+
+    def _needed(self, pieces: list[str]) -> set[str]:
+        """The pre-tokens whose counts ``_joined`` looks up."""
+        out = set(pieces)
+        if self.v.squeeze and not any(p[0] == "'" for p in pieces):
+            return out
+        for a, b in zip(["", *pieces], pieces):
+            if b[0] == "'" and len(b) > 1 and b[1].isalpha():
+                out |= {"'", b[1:-1]} - {""}
+            if not self.v.squeeze and a.isspace() and b[0].isspace():
+                out.add(a + b[0])
         return out
 
-    def every_prefix(self, word: bytes) -> np.ndarray:
-        """For k = 0 to the length: tokens of the first k bytes as a pre-token of their own."""
-        n = len(word)
-        last, count, state = np.full((1, n + 1), -1, np.int64), np.zeros((1, n + 1), np.int32), np.zeros((1, n + 1), np.int32)
-        row = np.zeros(1, np.int64)
-        for k in range(1, n + 1):
-            state[0, k] = self.table[state[0, k - 1], word[k - 1]]
-            last[:, k], count[:, k] = self._advance(state[row, k], k, last, count, row)
-        if not self.v.suffix:
-            return count[0].astype(np.int64)
-        return self.finals(state, last, count, np.zeros(n + 1, np.int64), np.arange(n + 1))
-
-    def count_words(self, words: list[str]) -> dict[str, int]:
-        """Tokens of each distinct pre-token."""
-        raw = [w.encode() for w in words]
-        out = [0] * len(words)
-        short = sorted((i for i, w in enumerate(raw) if len(w) <= WIDE), key=lambda i: len(raw[i]))
-        for part in bpe.groups(short, 50_000):  # of about one length
-            for i, c in zip(part, self.walk([raw[i] for i in part])[2].tolist(), strict=True):
-                out[i] = c
-        for i, w in enumerate(raw):
-            if len(w) > WIDE:
-                out[i] = int(self.every_prefix(w)[-1])
-        return dict(zip(words, out, strict=True))
-
     def learn(self, new: set[str]) -> None:
-        cuts = {c: self.v.cut(c) for c in new}
-        counts = self.count_words(list({w for p in cuts.values() for w in p}))
-        self.known.update((c, sum(map(counts.__getitem__, p))) for c, p in cuts.items())
-
-    def prefix_table(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the counts of its prefixes that end with each chunk (a special token closes one)."""
-        self.learn(self.v.meet(texts, self.known))
-        get = self.known.__getitem__
-        out = []
+        """The differences of counts at each character of chunks that are not known yet.
+
+        Composed text has composed prefixes, so the pre-tokens of the whole chunk serve.
+        Otherwise each prefix that ends within a cluster of marks is normalised and counted
+        for itself, from the last cluster that is sure to stand apart.
+        """
+        plain, marked = {}, []
+        for c in new:
+            if self.v.compose and not unicodedata.is_normalized("NFC", c):
+                marked.append(c)
+            else:
+                plain[c] = self.v.cut(c)
+        for group in bpe.groups(list(plain), bpe.TOGETHER):
+            steps, known = self.count_pieces(list({w for c in group for w in self._needed(plain[c])}))
+            for c in group:
+                if self.v.squeeze and "'" not in c and (c.isascii() or len(self.v.small(c)) == len(c)):  # pre-tokens one after another, as they stand
+                    own = [steps[w] for w in plain[c]]
+                    self.known[c] = own[0] if len(own) == 1 else (b"".join([x for x, _ in own]), sum(n for _, n in own))
+                    continue
+                counts = self._joined(plain[c], known)
+                if not c.isascii():  # small letters may be more characters than the capital
+                    at = np.cumsum([0, *(len(self.v.small(x)) for x in c)])
+                    counts = counts[at] if at[-1] < len(counts) else np.r_[counts, np.full(at[-1] + 1 - len(counts), counts[-1])][at]
+                self._keep(c, counts)
+        for c in marked:
+            self._keep(c, self._marked(c))
+
+    def _keep(self, chunk: str, counts: np.ndarray) -> None:
+        steps = np.diff(counts, prepend=0)[1:] if len(counts) > 1 else np.zeros(0, np.int64)
+        self.known[chunk] = (steps.astype("<i2").tobytes(), int(counts[-1]))
+
+    def _marked(self, chunk: str) -> np.ndarray:
+        """Counts at each character of a chunk that is not composed: each prefix is cut for itself, stretch by stretch.
+
+        Beyond STRETCH characters counting starts anew at a cluster that begins a pre-token.
+        """
+        prefixes = [chunk[:k] for k in range(1, len(chunk) + 1)]
+        out = [0]
+        for group in bpe.groups(prefixes, max(1, CELLS // (4 * len(chunk) + 1))):
+            cuts = [self.v.cut(p) for p in group]
+            _, known = self.count_pieces(list({w for p in cuts for w in p}))
+            out += [sum(int(known[w][-1]) for w in p) for p in cuts]
+        return np.array(out)
+
+    def table_of(self, text: str) -> tuple[bytes, int]:
+        """The differences of counts at each character of a text whose chunks are known, and its whole count."""
+        out, total, get = [], 0, self.known.__getitem__
+        segments = self.v.segments(text)
+        if self.v.squeeze and len(segments) == 1:
+            chunks = self.v.chunks(text)
+            if len(text) == sum(map(len, chunks)) + len(chunks) - 1:  # one character of white space after each but the last
+                found = [get(c) for c in chunks]
+                return b"\0\0".join([x for x, _ in found]), sum([n for _, n in found])
+        for part, special in segments:
+            for gap, chunk in self.pairs(part):
+                if gap:
+                    out.append(bytes(2 * gap))
+                if chunk:
+                    steps, n = get(chunk)
+                    out.append(steps)
+                    total += n
+            if special is not None:
+                # until its last character the special string is ordinary text after what stands before it
+                name, tail = self.v.tokens[special], self.tail(part)
+                steps, n = get(tail + name[:-1]) if tail + name[:-1] else (b"", 0)
+                before = get(tail)[1] if tail else 0
+                if tail:
+                    out.pop()
+                out += [steps, (before + 1 - n).to_bytes(2, "little", signed=True)]
+                total += 1
+        return b"".join(out), total
+
+    def pairs(self, part: str) -> Iterator[tuple[int, str]]:
+        """Characters of white space, and the chunk after them."""
+        if not self.v.squeeze:
+            yield from ((0, c) for c in self.v.chunks(part) if c)
+            return
+        at = 0
+        for m in bpe.WHITE.finditer(part):
+            yield 0, part[at : m.start()]
+            yield m.end() - m.start(), ""
+            at = m.end()
+        yield 0, part[at:]
+
+    def tail(self, part: str) -> str:
+        """The chunk at the end of a part, empty after white space that chunks never hold."""
+        last = ""
+        for gap, chunk in self.pairs(part):
+            last = "" if gap else chunk or last if not self.v.squeeze else "" if gap else chunk
+        return last
+
+    def prefix_table(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """For each text its table and whole count."""
+        new = self.v.meet(texts, self.known)
         for text in texts:
-            counts: list[int] = []
             for part, special in self.v.segments(text):
-                counts.extend(map(get, self.v.chunks(part)))
                 if special is not None:
-                    counts.append(1)
-            out.append(np.cumsum(np.array(counts, np.int32), dtype=np.int32))
-        return out
-
-    def cut_at(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix that is found to have at most ``budget`` tokens.
-
-        It ends at a white-space border, or within the next word where lower-casing and
-        composing keep the word's characters one to one.
-        """
-        total, end = 0, 0
-        for m in re.finditer(r"\S+", text):
-            chunk = m.group()
-            self.learn({chunk} - self.known.keys())
-            if total + self.known[chunk] > budget:
-                normal = self.v.normal(chunk)
-                if len(normal) != len(chunk):
-                    return end
-                at = 0
-                for piece in self.v.cut(chunk):
-                    counts = self.every_prefix(piece.encode())
-                    if total + counts[-1] <= budget and at + len(piece) < len(chunk):
-                        total += int(counts[-1])
-                        at += len(piece)
-                        continue
-                    borders = np.cumsum([0, *(len(c.encode()) for c in piece)])
-                    if piece[0] == "'" and len(piece) > 2:  # a shorter contraction is two pre-tokens
-                        return m.start() + at + (total + 1 <= budget) if end or at or total + 1 <= budget else end
-                    fit = int(np.flatnonzero(total + counts[borders] <= budget)[-1])
-                    return m.start() + at + fit if at + fit else end
-            total += self.known[chunk]
-            end = m.end()
-        return len(text)
+                    new |= {self.tail(part) + self.v.tokens[special][:-1]} - self.known.keys() - {""}
+        self.learn({c for c in new if c})
+        return [self.table_of(t) for t in texts]
 
 
 @lru_cache(2)
@@ -258,44 +334,48 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(bpe.vocabulary(path))
 
 
-def with_prefix_table(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """Adds ``prefix_tokens``: the exact token count of each prefix that ends with a white-space-separated word.
+def with_prefix_table(df: DataFrame, path: str, text_col: str = "text", table_col: str = "prefix_tokens", count_col: str = "n_tokens") -> DataFrame:
+    """Adds the table of token counts at every prefix, and the count of the whole text.
 
-    ``prefix_tokens[i]`` holds for the first i + 1 words; a text without words has an empty
-    array; special tokens inside a text close an entry of their own. Null texts count as
-    empty. A column of that name is replaced, all others pass through.
+    The table holds, for each character, how the count of the prefix up to it differs from
+    that of the one before, as little-endian signed 16-bit integers. Special strings in a text count as
+    their tokens from their last character on. Null and empty texts have an empty table and
+    no tokens; very long texts have long tables. Columns named as a result are replaced, all
+    others pass through, whatever their ids; an empty table stays empty.
     """
-    schema = T.StructType([*(f for f in df.schema if f.name != "prefix_tokens"), T.StructField("prefix_tokens", T.ArrayType(T.IntegerType()))])
+    fields = {table_col: T.BinaryType(), count_col: T.LongType()}
+    schema = T.StructType([*(f for f in df.schema if f.name not in fields), *(T.StructField(n, t) for n, t in fields.items())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for whole in batches:
-            for batch in bpe.slices(whole, text_col):
+            for batch in bpe.slices(whole, text_col, 4 << 20):
                 tables = c.prefix_table([t or "" for t in batch.column(text_col).to_pylist()])
-                ends = np.cumsum([0, *map(len, tables)]).astype(np.int32)
-                yield bpe.plus(batch, {"prefix_tokens": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tables) if tables else np.zeros(0, np.int32)))})
+                yield bpe.plus(batch, {table_col: pa.array([t for t, _ in tables], pa.binary()), count_col: pa.array([n for _, n in tables], pa.int64())})
 
     return df.mapInArrow(make, schema)
 
 
-def total_tokens(table: str = "prefix_tokens"):
-    """Tokens of the whole text, from its prefix table."""
-    return F.coalesce(F.get(table, F.size(table) - 1), F.lit(0)).cast("bigint")
+def _from_table(df: DataFrame, table_col: str, out_col: str, answer) -> DataFrame:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = (np.cumsum(np.frombuffer(t or b"", "<i2"), dtype=np.int64) for t in batch.column(table_col).to_pylist())
+            yield bpe.plus(batch, {out_col: pa.array([answer(c) for c in counts], pa.int64())})
+
+    return df.mapInArrow(make, T.StructType([*(f for f in df.schema if f.name != out_col), T.StructField(out_col, T.LongType())]))
 
 
-def words_within(budget: int, table: str = "prefix_tokens"):
-    """How many leading words stay within a token budget, from the prefix table alone."""
-    return F.size(F.filter(table, lambda n: n <= budget))
+def tokens_at(df: DataFrame, characters: int, table_col: str = "prefix_tokens", out_col: str = "tokens_at") -> DataFrame:
+    """Adds the tokens of the first ``characters`` of each text (of the whole, if it is shorter), from its table alone."""
+    return _from_table(df, table_col, out_col, lambda c: int(c[min(characters, len(c)) - 1]) if len(c) and characters > 0 else 0)
 
 
-def truncate(df: DataFrame, path: str, budget: int, text_col: str = "text") -> DataFrame:
-    """Each text's longest found prefix of at most ``budget`` tokens, in place of the text; null stays null."""
+def characters_within(df: DataFrame, budget: int, table_col: str = "prefix_tokens", out_col: str = "characters") -> DataFrame:
+    """Adds the length of each text's longest prefix of at most ``budget`` tokens, from its table alone."""
+    return _from_table(df, table_col, out_col, lambda c: int(np.flatnonzero(c <= budget)[-1]) + 1 if (c <= budget).any() else 0)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
-        for batch in batches:
-            texts = [t if t is None else t[: c.cut_at(t, budget)] for t in batch.column(text_col).to_pylist()]
-            at = batch.schema.get_field_index(text_col)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    return df.mapInArrow(make, df.schema)
+def truncate(df: DataFrame, budget: int, text_col: str = "text", table_col: str = "prefix_tokens") -> DataFrame:
+    """Each text's longest prefix of at most ``budget`` tokens in its place; null stays null. The table goes with the rest of the text."""
+    cut = characters_within(df, budget, table_col, "__c")
+    return cut.withColumns({text_col: F.left(text_col, F.col("__c").cast("int")), table_col: F.expr(f"left(`{table_col}`, 2 * cast(__c as int))")}).select(*df.columns)
