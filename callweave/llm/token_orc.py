@@ -29,13 +29,13 @@ FILE = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids arra
 ROW_GROUP = 2_000
 
 
-#: Runs from which on one pre-token could be so long that the rank encoder takes quadratic time.
-LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+#: Runs of white space that the rank encoder's splitter has no stack for.
+LONG_RUN = re.compile(r"\s{2000}")
 
 
 @lru_cache(2)
 def encoder(vocabulary_path: str, ranks_path: str) -> Callable[[str], bytes]:
-    """Packed ids of a text: by the rank file of the same vocabulary, or by the pair index where a run is very long."""
+    """Packed ids of a text by the rank file of the vocabulary; texts with a very long run of white space go through the pair index, with equal ids."""
     v = bpe.vocabulary(vocabulary_path)
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
