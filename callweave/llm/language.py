@@ -3,7 +3,8 @@
 Every letter has a random vector of +1 and -1, drawn from its code point. An n-gram's vector
 binds its letters' vectors, each rotated by its place, by multiplication; a text's vector
 bundles its n-grams' by addition. A language's prototype bundles all training texts in it.
-The language whose prototype has the largest cosine with a text is predicted.
+The language whose prototype has the largest cosine with a text is predicted. Prototypes are
+a table, read in blocks, so that any number of languages can be learned.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from callweave.llm import bpe
+from callweave.plans.scratch import materialise
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -27,7 +28,10 @@ GRAM = 3
 SEED = 11
 #: Characters counted together; bounds the table of one step.
 TOGETHER = 1 << 20
-MOST_LANGUAGES = 2_000
+#: Prototypes that are compared with a text together; more languages make more blocks.
+LANGUAGES_IN_BLOCK = 1_000
+#: Three standard deviations of the cosine of a random vector: below it a text speaks for no language.
+LEAST_COSINE = 3 / DIMENSIONS**0.5
 
 
 @lru_cache(1)
@@ -98,10 +102,18 @@ def bundles(texts: list[np.ndarray], dimensions: int = DIMENSIONS) -> np.ndarray
 
 @dataclass(frozen=True)
 class Profiles:
-    """Unit prototypes, one row a language, in the order of the names."""
+    """Unit prototypes: a table of ``block, lang, v`` in ``blocks`` of bounded size; none without a language."""
 
-    names: tuple[str, ...]
-    prototypes: np.ndarray
+    table: DataFrame
+    blocks: int
+    dimensions: int = DIMENSIONS
+
+    def block(self, i: int) -> tuple[list[str], np.ndarray]:
+        """Names in order, and a row a name."""
+        found = sorted(self.table.where(F.col("block") == i).select("lang", "v").collect(), key=lambda r: r["lang"])
+        table = np.array([r["v"] for r in found], np.float64).reshape(-1, self.dimensions)
+        norms = np.linalg.norm(table, axis=1, keepdims=True)
+        return [r["lang"] for r in found], (table / np.where(norms == 0, 1, norms)).astype(np.float32)
 
 
 def in_training(id_col: str = "doc_id"):
@@ -110,11 +122,10 @@ def in_training(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> Profiles:
-    """Prototypes of all rows with a language and a text.
+    """Prototypes of all rows with a language and a text; other rows, and null texts, teach nothing.
 
-    Each task sends one partial vector a language; they are summed by language and
-    dimension in Spark. The driver gets languages x dimensions numbers, and at most
-    MOST_LANGUAGES languages are accepted.
+    Each task sends partial vectors by language; they are summed by language and dimension
+    in Spark, and written as a table.
     """
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
 
@@ -126,31 +137,43 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
                 vectors = bundles([letters(t) for t in batch.column("text").to_pylist()], dimensions)
                 for name in set(langs.tolist()):
                     sums[name] = sums.get(name, 0) + vectors[langs == name].sum(axis=0, dtype=np.float64)
+                if len(sums) > LANGUAGES_IN_BLOCK:
+                    yield packed(sums)
+                    sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.int64).tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
+            yield packed(sums)
+
+    def packed(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.astype(np.int64).tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
     parts = rows.mapInArrow(partial, "lang string, v array<bigint>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     each = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
-    found = sorted(each.limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not found:
-        return Profiles((), np.zeros((0, dimensions), np.float32))
-    table = np.array([r["v"] for r in found], np.float64)
-    norms = np.linalg.norm(table, axis=1, keepdims=True)
-    return Profiles(tuple(r["lang"] for r in found), (table / np.where(norms == 0, 1, norms)).astype(np.float32))
+    table = materialise(each.withColumn("hash", F.xxhash64("lang")), "prototypes")
+    blocks = -(-table.count() // LANGUAGES_IN_BLOCK)
+    return Profiles(table.withColumn("block", F.pmod("hash", F.lit(max(1, blocks)))).drop("hash"), blocks, dimensions)
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Adds the predicted language of each whole text and its cosine, from 0 to 1.
 
-    ``und`` with score 0 for null texts, texts without letters, and where no language was
-    learned. Ties go to the language first in order. Columns named as a result are
-    replaced, all others pass through.
+    ``und`` with score 0 for null and empty texts, texts without letters, and where no
+    language was learned. Cosines are rounded to six digits; ties go to the language first
+    in order. Columns named as a result are replaced, all others pass through; an empty
+    table stays empty. With more than one block of prototypes, the best so far is written
+    after each block, so that one block at a time is held.
     """
-    names, packed = list(profiles.names), base64.b64encode(profiles.prototypes.tobytes())
-    dimensions = profiles.prototypes.shape[1]
+    out = docs.drop(lang_col, score_col).withColumns({lang_col: F.lit(UNKNOWN), score_col: F.lit(0.0)})
+    for i in range(profiles.blocks):
+        out = _compared(out, *profiles.block(i), text_col, lang_col, score_col)
+        if profiles.blocks > 1:
+            out = materialise(out, "predicted")
+    return out
+
+
+def _compared(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str, lang_col: str, score_col: str) -> DataFrame:
+    """Rows with the better of the language they have and the best of the block."""
+    packed, dimensions = base64.b64encode(prototypes.tobytes()), prototypes.shape[1]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prototypes = np.frombuffer(base64.b64decode(packed), np.float32).reshape(-1, dimensions)
@@ -159,12 +182,15 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_co
                 seqs = [letters(t or "") for t in batch.column(text_col).to_pylist()]
                 vectors = bundles(seqs, dimensions)
                 norms = np.linalg.norm(vectors, axis=1)
-                known = (np.fromiter(map(len, seqs), np.int64, len(seqs)) > 0) & (norms > 0) & (len(names) > 0)
-                cosines = vectors @ prototypes.T / np.where(norms == 0, 1, norms)[:, None] if names else np.zeros((len(seqs), 1))
+                known = (np.fromiter(map(len, seqs), np.int64, len(seqs)) > 0) & (norms > 0)
+                cosines = np.round((vectors @ prototypes.T / np.where(norms == 0, 1, norms)[:, None]).astype(np.float64), 6)
                 best = cosines.argmax(axis=1)
-                scores = np.where(known, np.clip(cosines[np.arange(len(seqs)), best].astype(np.float64), 0, 1), 0.0)
-                langs = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                yield bpe.plus(batch, {lang_col: pa.array(langs, pa.string()), score_col: pa.array(scores)})
-
-    schema = T.StructType([*(f for f in docs.schema if f.name not in (lang_col, score_col)), T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    return docs.mapInArrow(make, schema)
+                scores = np.clip(cosines[np.arange(len(seqs)), best], 0, 1)
+                langs, had = batch.column(lang_col).to_pylist(), batch.column(score_col).to_pylist()
+                for r in np.flatnonzero(known).tolist():
+                    name, score = names[best[r]], float(scores[r])
+                    if langs[r] == UNKNOWN or (-score, name) < (-had[r], langs[r]):
+                        langs[r], had[r] = name, score
+                yield bpe.plus(batch, {lang_col: pa.array(langs, pa.string()), score_col: pa.array(had, pa.float64())})
+
+    return docs.mapInArrow(make, docs.schema)
