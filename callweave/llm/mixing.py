@@ -1,12 +1,13 @@
 """Temperature mixing of sources, realised as budgeted block permutations.
 
 A source's weight is its token share to the power of an exponent between 0 and 1, over the
-sum of these. The exponent is found by bisection: the smallest that keeps every source
-within a repetition limit, or the largest that reaches a target entropy. A source's budget
+sum of these. The exponent is found by bisection: the largest that reaches a target entropy,
+or the smallest that keeps every source within a repetition limit, the larger of the two
+where both are set. A source's budget
 is its weight times all tokens to draw; it is filled by whole passes over the source and
 one part of a pass. A pass goes through the source's documents in hashed blocks, and in
-hashed order within each; the last pass ends where the budget is met, found by totals of
-blocks first, so that no window spans a source.
+hashed order within each; the last pass ends where the budget is met, found by running
+totals of blocks over range partitions, so that no task sees all of a source.
 """
 
 from __future__ import annotations
@@ -17,23 +18,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.operators.ordered import running_sum
 from callweave.plans.scratch import materialise
 
 STEPS = 50
+#: Parts that a source's rows are dealt into where they meet the table of sources.
+PARTS = 16
 
 
 @dataclass(frozen=True)
 class Policy:
     """What the exponent must meet, and how much is drawn.
 
-    ``most_repeats``: how often a source's tokens may be drawn, at most; or
-    ``entropy_share``: the entropy to reach, over that of equal weights. ``budget``: tokens
+    ``entropy_gain``: how far the entropy goes from the corpus' own (0) to that of equal
+    weights (1); ``entropy_share``: the entropy to reach, over that of equal weights, in its
+    place; ``most_repeats``: how often a source's tokens may be drawn, at most, and before
+    the entropy. None leaves a condition out. ``budget``: tokens
     to draw; None draws so much that the least repeated source is drawn whole once, and so
     leaves no document out. ``rows_per_block`` sets the blocks of a source.
     """
 
     most_repeats: float | None = 2.0
     entropy_share: float | None = None
+    entropy_gain: float | None = 0.5
     budget: int | None = None
     rows_per_block: int = 5_000
     seed: int = 3
@@ -72,28 +79,35 @@ def _entropy_share(r: dict) -> float:
 
 
 def exponent(sources: DataFrame, policy: Policy, total: int) -> float:
-    """The bisected exponent. 1 keeps the shares, 0 makes all sources equal.
+    """The bisected exponent. 1 keeps the shares, 0 makes all sources equal; 1 without sources or conditions."""
+    over = None if policy.budget is None else policy.budget / max(1, total)
+    found = [0.0] if policy.most_repeats is not None or policy.entropy_share is not None or policy.entropy_gain is not None else [1.0]
+    target = policy.entropy_share
+    if target is None and policy.entropy_gain is not None:
+        own = _at(sources, [1.0])
+        target = 1 - (1 - policy.entropy_gain) * (1 - _entropy_share(own[0])) if own else None
+    if target is not None:
+        found.append(_bisected(sources, lambda r: _entropy_share(r) < target, upper=False))
+    if policy.most_repeats is not None:
+        found.append(_bisected(sources, lambda r: _repeats(r, over) <= policy.most_repeats, upper=True))
+    return max(found)
+
+
+def _bisected(sources: DataFrame, after, upper: bool) -> float:
+    """The exponent where ``after`` begins to hold: the upper or lower end of the last interval.
 
     Each pass evaluates 31 exponents within the interval at once and keeps the one step
-    that holds the answer, until it is narrower than 2^-50.
+    that holds the answer, until it is narrower than 2^-STEPS.
     """
-    over = None if policy.budget is None else policy.budget / max(1, total)
-    if policy.entropy_share is not None:
-        good = lambda r: _entropy_share(r) >= policy.entropy_share  # noqa: E731  holds up to some exponent
-        upward = False
-    else:
-        good = lambda r: _repeats(r, over) <= policy.most_repeats  # noqa: E731  holds from some exponent on
-        upward = True
     lo, hi = 0.0, 1.0
     while hi - lo > 2.0**-STEPS:
         grid = [lo + (hi - lo) * i / 32 for i in range(1, 32)]
-        ok = [good(r) for r in _at(sources, grid)]
+        ok = [after(r) for r in _at(sources, grid)]
         if not ok:
             return 1.0
-        points = [lo, *grid, hi]
-        passed = ok.index(True) if upward and True in ok else (31 if upward else (ok.index(False) if False in ok else 31))
+        points, passed = [lo, *grid, hi], ok.index(True) if True in ok else 31
         lo, hi = points[passed], points[passed + 1]
-    return hi if upward else lo
+    return hi if upper else lo
 
 
 def _hash(policy: Policy, *cols) -> Column:
@@ -109,7 +123,8 @@ def mix(docs: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", sour
     it, every stretch of the result holds the sources in their weights. Documents without
     tokens are drawn in the first pass alone, at the place their hash gives them. A null
     source is a source of its own; rows that share id and source are drawn apart, in any
-    order; empty tables give none. Other columns are left out.
+    order; null and empty texts have no tokens, and a very long text is one document, never
+    cut; empty tables give none. Other columns are left out.
     """
     tokens = whitespace_tokens(F.col("text")) if tokens is None else tokens
     lean = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), tokens.alias("tokens"))
@@ -129,14 +144,15 @@ def mix(docs: DataFrame, policy: Policy = Policy(), id_col: str = "doc_id", sour
     if policy.budget is None:  # rounding must not cut the whole pass of the least repeated source
         plan = plan.withColumn("__budget", F.greatest("__budget", F.col("__t").cast("double")))
     plan = materialise(plan, "weights")
-    # the table of sources is joined by whatever way its size allows; it is read from files, so the size is known
+    # dealt by (source, part), so that a hot source is no single task's, whatever way the table's size allows to join
+    parts = plan.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     passes = F.when(F.col("__t") > 0, F.ceil(F.col("__budget") / F.greatest(F.col("__t"), F.lit(1)) - 1e-9)).otherwise(1).cast("int")
-    copies = lean.join(plan, "__s").select("*", F.explode(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1)).alias("pass"))
+    dealt = lean.withColumn("__part", F.pmod(_hash(policy, "doc_id"), F.lit(PARTS)).cast("int"))
+    copies = dealt.join(parts, ["__s", "__part"]).drop("__part").select("*", F.explode(F.sequence(F.lit(0), F.greatest(passes, F.lit(1)) - 1)).alias("pass"))
     copies = copies.where((F.col("tokens") > 0) | (F.col("pass") == 0))
     copies = copies.withColumn("block", F.pmod(_hash(policy, "doc_id", "pass"), F.col("__blocks"))).withColumn("__o", _hash(policy, "pass", "doc_id", "tokens"))
-    blocks = copies.groupBy("__s", "pass", "block").agg(F.sum("tokens").alias("__n"))
-    turn = Window.partitionBy("__s").orderBy("pass", _hash(policy, "__s", "pass", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("__s", "pass", "block", F.coalesce(F.sum("__n").over(turn), F.lit(0)).alias("__b"))
+    blocks = copies.groupBy("__s", "pass", "block").agg(F.sum("tokens").alias("__n")).withColumn("__turn", _hash(policy, "__s", "pass", "block"))
+    starts = running_sum(blocks.withColumnRenamed("__s", "key"), F.col("__n"), ["pass", "__turn", "block"], ["key"]).select(F.col("key").alias("__s"), "pass", "block", (F.col("run") - F.col("__n")).alias("__b"))
     inside = Window.partitionBy("__s", "pass", "block").orderBy("__o", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = copies.join(starts, ["__s", "pass", "block"]).withColumn("start_token", F.col("__b") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     within = (F.col("start_token") < F.col("__budget")) | ((F.col("tokens") == 0) & (F.col("pass") == 0) & (F.col("start_token") <= F.col("__budget")))
