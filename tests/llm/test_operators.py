@@ -202,6 +202,34 @@ def test_languages_are_told_apart(spark):
     assert all(got[i].lang_pred == n for i, _, n, _ in rows[:60]) and got[103].lang_pred == "yy"
     assert all((got[i].lang_pred, got[i].score) == ("und", 0.0) for i in (100, 101, 102)) and all(0 <= r.score <= 1 for r in got.values())
     assert language.predict(df, language.fit(df.where("false"))).where("lang_pred <> 'und'").count() == 0
+    assert language.predict(df.where("false"), profiles).count() == 0
+    # brute force: bundles of all training texts, cosines with each
+    train = [(language.letters(t or ""), n) for i, t, n, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2 and t and n]
+    proto = {n: sum(language.bundles([x])[0].astype(np.float64) for x, m in train if m == n) for n in talk}
+    for i, t, *_ in rows[:60] + rows[-1:]:
+        v = language.bundles([language.letters(t)])[0].astype(np.float64)
+        cos = {n: round(float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)), 4) for n, p in proto.items()}
+        assert abs(max(cos.values()) - got[i].score) < 2e-4 and cos[got[i].lang_pred] == max(cos.values())
+
+
+def test_languages_without_a_limit_and_on_ties(spark):
+    syllables = [a + b for a in "bcdfghklmnprstvwz" for b in "aeiou"]
+    rows = [(i, " ".join(random.Random(i).choices(syllables, k=40)).replace(" ", ""), f"l{i:04}") for i in range(3000)]
+    rows += [(4000, "xyx xyx", "tie-b"), (4001, "xyx xyx", "tie-a"), (None, "aaa", "l0001"), (4002, "long " * 200_000, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    profiles = language.fit(df)
+    assert profiles.blocks > 2
+    got = {r.doc_id: r for r in language.predict(df.where("doc_id % 100 = 0 or doc_id > 3999 or doc_id is null"), profiles).collect()}
+    assert all(got[i].lang_pred == f"l{i:04}" and got[i].score > 0.99 for i in range(0, 3000, 100))
+    assert {got[4000].lang_pred, got[4001].lang_pred} == {"tie-a"} and len(got) == 34
+
+
+def test_held_out_accuracy_of_languages(spark):
+    from callweave.llm import queries
+
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    got = queries.op9_hyperdimensional_language(spark, "/root/testdata/sf0.01").where("held_out").join(truth, "doc_id").collect()
+    assert len(got) > 150 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
 
 
 def test_profile_vectors_equal_a_plain_sum():
@@ -254,24 +282,57 @@ def test_mixing_meets_its_limits(spark):
         share[s] += len((t or "").split())
     total, live = sum(share.values()), [v for v in share.values() if v]
 
+    def entropy(e):
+        p = np.array([(v / total) ** e for v in live])
+        return -(p / p.sum() * np.log(p / p.sum())).sum() / math.log(len(live))
+
     def repeats(e):
         p = [(v / total) ** e / (v / total) for v in live]
         return max(p) / min(p)
 
-    lo, hi = 0.0, 1.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if repeats(mid) <= 2 else (mid, hi)
+    def bisect(after):
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if after(mid) else (mid, hi)
+        return hi
+
+    by_entropy, by_repeats = bisect(lambda e: entropy(e) < (1 + entropy(1)) / 2), bisect(lambda e: repeats(e) <= 2)
+    assert 0.1 < by_entropy < 0.9 and 0.1 < by_repeats < 0.9
+    for policy, e in ((mixing.Policy(rows_per_block=20), max(by_entropy, by_repeats)), (mixing.Policy(rows_per_block=20, most_repeats=None), by_entropy), (mixing.Policy(rows_per_block=20, entropy_gain=None), by_repeats)):
+        got = mixing.mix(df, policy).collect()
+        weights = {r.source: r.weight for r in got}
+        z = sum((v / total) ** e for v in live)
+        assert all(abs(weights[s] - (v / total) ** e / z) < 1e-9 for s, v in share.items() if v)
+        assert {r.doc_id for r in got} == {r[0] for r in rows}
     got = mixing.mix(df, mixing.Policy(rows_per_block=20)).collect()
-    weights = {r.source: r.weight for r in got}
-    z = sum((v / total) ** hi for v in live)
-    assert all(abs(weights[s] - (v / total) ** hi / z) < 1e-9 for s, v in share.items() if v)
-    assert {r.doc_id for r in got} == {r[0] for r in rows}
     drawn = collections.Counter()
     for r in got:
         drawn[r.source] += r.tokens
         assert 0 <= r.mix_pos < 1
     assert all(drawn[s] <= 2 * v + 13 for s, v in share.items() if v) and drawn["big"] == share["big"]
+    # brute force of the permutation: passes, blocks by hash, documents by hash, cut at the budget
+    from pyspark.sql import functions as F
+
+    key = lambda *c: F.xxhash64(F.lit(3), *c)
+    hashes = {(r.doc_id, r.p): (r.a, r.b) for r in df.select("doc_id", mixing.whitespace_tokens(F.col("text")).alias("tokens"), F.explode(F.array(F.lit(0), F.lit(1))).alias("p")).select("doc_id", "p", key("doc_id", "p").alias("a"), key("p", "doc_id", "tokens").alias("b")).collect()}
+    z, e = sum((v / total) ** max(by_entropy, by_repeats) for v in live), max(by_entropy, by_repeats)
+    least = min((v / total) ** (e - 1) for v in live)
+    turns = {(r.s, r.p, r.b): r.h for r in spark.createDataFrame([("null" if s is None else "=" + s, p, b) for s in share for p in (0, 1) for b in range(40)], "s string, p int, b bigint").select("s", "p", "b", key("s", "p", "b").alias("h")).collect()}
+    want = set()
+    for s in share:
+        own = [(i, len((t or "").split())) for i, q, t, _ in rows if q == s]
+        budget = max((share[s] / total) ** e / least * total if share[s] else 0, share[s])
+        blocks, at = -(-len(own) // 20), 0
+        for p in range(max(1, math.ceil(budget / share[s] - 1e-9)) if share[s] else 1):
+            line = sorted((turns[("null" if s is None else "=" + s, p, hashes[i, p][0] % blocks)], hashes[i, p][0] % blocks, hashes[i, p][1], i, n) for i, n in own if n or p == 0)
+            for _, block, _, i, n in line:
+                if at < budget or (n == 0 and p == 0 and at <= budget):
+                    want.add((i, p, block, at))
+                at += n
+    assert {(r.doc_id, r["pass"], r.block, r.start_token) for r in got} == want and len(got) == len(want)
+    twice = mixing.mix(df.union(df.where("doc_id < 3")), mixing.Policy(rows_per_block=20)).where("doc_id < 3 and pass = 0").count()
+    assert twice == 6
     part = mixing.mix(df, mixing.Policy(most_repeats=None, entropy_share=1.0, budget=500, rows_per_block=20)).collect()
     some = collections.Counter()
     for r in part:
@@ -280,12 +341,61 @@ def test_mixing_meets_its_limits(spark):
     assert mixing.mix(df.where("false")).count() == 0
 
 
-def test_pipeline_stages_keep_columns_and_null_rows(spark, tmp_path):
-    rows = [(i, t, "en", f"s{i % 3}", 1, 2.0, True) for i, t in enumerate(corpus())] + [(None, prose(50), None, None, 1, 2.0, False), (4, prose(50), "en", "s1", 1, 2.0, True)]
+def test_pipeline_equals_brute_force_stage_by_stage(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    plain = [prose(40) for _ in range(30)]
+    noise = " ".join("".join(RND.choices("qxzjvkwyþðœłđ", k=7)) for _ in range(40))
+    texts = [*corpus(), *plain, noise, noise + " x", plain[0] + " w1 w2", prose(30_000), "a b c d e " * 30, "12 34 !", None]
+    rows = [(i, t, "en" if i % 5 and t and "q" not in t else None, f"s{0 if i % 3 else i % 7}", 1, 2.0, True) for i, t in enumerate(texts)]
+    rows += [(None, prose(50), None, None, 1, 2.0, False), (4, prose(50), "en", "s1", 1, 2.0, True), rows[5]]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, kept boolean")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "kept"]
-    assert corpus_pipeline.run(spark, str(tmp_path)).where("n_tokens > 0").count() > 20
+    seen, stages = [docs], dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, seen[-1], str(tmp_path))
+        assert out.columns == docs.columns
+        seen.append(out)
+    tables = [d.collect() for d in seen]
+    key = lambda rs: collections.Counter((r.doc_id, r.text) for r in rs)
+    # language: the noise, texts without letters and nulls go, by the profiles' cosines; prose stays
+    gone, profiles = key(tables[0]) - key(tables[1]), language.fit(docs.where(language.in_training()))
+    scores = {(r.doc_id, r.text): r.score for r in language.predict(docs.drop("score"), profiles).collect()}
+    assert set(gone) == {k for k, s in scores.items() if s < 3 / 32} and {noise, noise + " x", "12 34 !", None} <= {t for _, t in gone}
+    assert not {t for _, t in gone} & {*plain, texts[-4]}
+    assert all(r.lang is not None for r in tables[1])
+    # quality: all that fail the base rules go
+    for _, t in key(tables[2]):
+        n, *_, repeats = brute_quality(t)
+        assert n >= 10 and 100 * repeats <= 20 * n
+    # near duplicates: the smallest id of each class of 5-word sets, by all pairs
+    sets = {}
+    for r in tables[2]:
+        if r.doc_id is not None:
+            w = r.text.lower().split()
+            sets.setdefault(r.doc_id, []).append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)})
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(len(x & y) * 100 >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert sorted(r.doc_id for r in tables[3] if r.doc_id is not None) == sorted({root(i) for i in sets})
+    assert sum(r.doc_id is None for r in tables[3]) == sum(r.doc_id is None for r in tables[2])
+    # mixing: as often, and in the order, that the operator says
+    known = seen[3].where("doc_id is not null")
+    drawn = sorted(mixing.mix(known).select("mix_pos", "doc_id", "pass").collect())
+    assert [r.doc_id for r in tables[4] if r.doc_id is not None] == [r.doc_id for r in drawn]
+    final = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert key(final) == key(tables[4]) and all(len(r.ids) == 4 * r.n_tokens for r in final)
+    empty = docs.where("false")
+    for stage in stages.values():
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert seen[1].where(F.col("lang").isNull()).count() == 0
