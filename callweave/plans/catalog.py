@@ -445,34 +445,45 @@ def t19_linear_scores(t):
 # --- eligibility
 
 
-ITEMS_SQL = """
-  rows AS (SELECT o.o_custkey AS profile_id, r.opportunity_id, r.chunk_index, r.label, r.polarity, p.birth_year, c.deadline_date AS d, r.max_age, p.residence_country, r.country, p.applicant_type AS own, r.applicant_type AS want
+AGE_SQL = "(year({day}) - year(birth_date) - CAST(month({day}) * 100 + day({day}) < month(birth_date) * 100 + day(birth_date) AS INTEGER))"
+IN_SQL = f"({AGE_SQL} BETWEEN coalesce(min_age, 0) AND max_age)"
+TODAY_SQL = "DATE '1996-06-01'"
+
+# ages count birthdays; a rule holds on today and the deadline or it is unknown; too young without a deadline is unknown
+ITEMS_SQL = f"""
+  rows AS (SELECT o.o_custkey AS profile_id, r.opportunity_id, r.chunk_index, r.label, r.polarity, r.text, p.birth_date, c.deadline_date AS d, r.min_age, r.max_age, p.residence_country, p.nationality, r.country, p.applicant_type AS own, r.applicant_type AS want
     FROM orders o JOIN calls c ON o.o_orderkey = c.opportunity_id JOIN requirements r ON r.opportunity_id = c.opportunity_id JOIN profiles p ON p.profile_id = o.o_custkey),
   ins AS (SELECT *, CASE label
-      WHEN 'AGE' THEN CASE WHEN birth_year IS NULL THEN NULL WHEN d < DATE '1996-06-01' THEN year(d) - birth_year <= max_age
-        WHEN (1996 - birth_year <= max_age) = (year(d) - birth_year <= max_age) THEN 1996 - birth_year <= max_age END
+      WHEN 'AGE' THEN CASE WHEN birth_date IS NULL THEN NULL
+        WHEN d IS NULL THEN CASE WHEN {IN_SQL.format(day=TODAY_SQL)} THEN true WHEN {AGE_SQL.format(day=TODAY_SQL)} < coalesce(min_age, 0) THEN NULL ELSE false END
+        WHEN d < {TODAY_SQL} THEN {IN_SQL.format(day='d')}
+        WHEN {IN_SQL.format(day=TODAY_SQL)} = {IN_SQL.format(day='d')} THEN {IN_SQL.format(day='d')} END
       WHEN 'RESIDENCE' THEN residence_country = country
+      WHEN 'NATIONALITY' THEN nationality = country
       WHEN 'APPLICANT_TYPE' THEN CASE WHEN own IS NULL THEN NULL WHEN own = want THEN true WHEN own = 'organisation' AND want = 'group' THEN NULL ELSE false END END AS i FROM rows),
-  items AS (SELECT profile_id, opportunity_id, chunk_index, label, polarity, CASE WHEN label = 'OTHER' THEN 'CHECK' WHEN polarity = 'WAIVES' THEN 'NO_RESTRICTION' WHEN polarity = 'UNCLEAR' OR i IS NULL THEN 'CHECK'
+  items AS (SELECT profile_id, opportunity_id, chunk_index, label, polarity, text, CASE WHEN polarity = 'WAIVES' THEN 'NO_RESTRICTION' WHEN label = 'OTHER' OR polarity = 'UNCLEAR' OR i IS NULL THEN 'CHECK'
     WHEN (polarity = 'REQUIRES') = i THEN 'PASS' ELSE 'FAIL' END AS outcome FROM ins)"""
 
+# nationality and residence are one family; other labels, waivers and notes are in no group
 GROUPS_SQL = f"""{ITEMS_SQL},
-  st AS (SELECT *, CASE WHEN chunk_index = lag(chunk_index) OVER w + 1 THEN 0 ELSE 1 END AS s FROM items WHERE outcome NOT IN ('NO_RESTRICTION', 'INFO') WINDOW w AS (PARTITION BY profile_id, opportunity_id, label ORDER BY chunk_index)),
-  rn AS (SELECT *, sum(s) OVER (PARTITION BY profile_id, opportunity_id, label ORDER BY chunk_index) AS run FROM st),
-  gs AS (SELECT profile_id, opportunity_id, label, run, count(*) AS n, bool_and(outcome = 'FAIL') AS af, bool_and(polarity <> 'EXCLUDES' OR outcome = 'PASS') AS cl,
+  fam AS (SELECT *, CASE WHEN label IN ('NATIONALITY', 'RESIDENCE') THEN 'GEO' ELSE label END AS fm FROM items WHERE outcome NOT IN ('NO_RESTRICTION', 'INFO') AND label <> 'OTHER'),
+  st AS (SELECT *, CASE WHEN chunk_index = lag(chunk_index) OVER w + 1 THEN 0 ELSE 1 END AS s FROM fam WINDOW w AS (PARTITION BY profile_id, opportunity_id, fm ORDER BY chunk_index)),
+  rn AS (SELECT *, sum(s) OVER (PARTITION BY profile_id, opportunity_id, fm ORDER BY chunk_index) AS run FROM st),
+  gs AS (SELECT profile_id, opportunity_id, fm, run, count(*) AS n, bool_and(outcome = 'FAIL') AS af, bool_and(polarity <> 'EXCLUDES' OR outcome = 'PASS') AS cl,
     bool_or(polarity <> 'EXCLUDES' AND outcome = 'PASS') OR NOT bool_or(polarity <> 'EXCLUDES') AS sm FROM rn GROUP BY ALL),
-  grouped AS (SELECT r.profile_id, r.opportunity_id, r.chunk_index, r.label, CASE WHEN n = 1 THEN outcome WHEN af THEN 'FAIL' WHEN cl AND sm THEN 'PASS' ELSE 'CHECK' END AS effective
-    FROM rn r JOIN gs g ON r.profile_id = g.profile_id AND r.opportunity_id = g.opportunity_id AND r.label = g.label AND r.run = g.run)"""
+  grouped AS (SELECT r.profile_id, r.opportunity_id, r.chunk_index, r.label, r.polarity, r.text, r.outcome, CASE WHEN n = 1 THEN outcome WHEN af THEN 'FAIL' WHEN cl AND sm THEN 'PASS' ELSE 'CHECK' END AS effective
+    FROM rn r JOIN gs g ON r.profile_id = g.profile_id AND r.opportunity_id = g.opportunity_id AND r.fm = g.fm AND r.run = g.run
+    UNION ALL SELECT profile_id, opportunity_id, chunk_index, label, polarity, text, outcome, outcome FROM items WHERE outcome IN ('NO_RESTRICTION', 'INFO') OR label = 'OTHER')"""
 
 
 def _items(t):
     pairs = t("orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("opportunity_id"))
-    return pairs, eligibility.assess(pairs, t("profiles").select("profile_id", "birth_year", "residence_country", "applicant_type"), t("calls"), t("requirements").drop("confidence"), "1996-06-01")
+    return pairs, eligibility.assess(pairs, t("profiles").select("profile_id", "birth_date", "nationality", "residence_country", "applicant_type"), t("calls"), t("requirements").drop("confidence"), "1996-06-01")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT profile_id, opportunity_id, chunk_index, label, polarity, outcome FROM items")
 def e03_e06_e13_outcomes(t):
-    return _items(t)[1]
+    return _items(t)[1].drop("text", "reason")
 
 
 @query(f"WITH {GROUPS_SQL} SELECT profile_id, opportunity_id, chunk_index, label, effective FROM grouped")
@@ -480,9 +491,11 @@ def e15_e16_or_groups(t):
     return eligibility.or_groups(_items(t)[1]).select("profile_id", "opportunity_id", "chunk_index", "label", "effective")
 
 
-@query(f"""WITH {GROUPS_SQL}, sums AS (SELECT profile_id, opportunity_id, count(*) FILTER (WHERE effective = 'FAIL') AS f, count(*) FILTER (WHERE effective = 'CHECK') AS c, count(*) FILTER (WHERE effective = 'PASS') AS p FROM grouped GROUP BY 1, 2)
+@query(f"""WITH {GROUPS_SQL}, sums AS (SELECT profile_id, opportunity_id, count(*) FILTER (WHERE effective = 'FAIL') AS f, count(*) FILTER (WHERE effective = 'CHECK') AS c, count(*) FILTER (WHERE effective = 'PASS') AS p,
+    count(*) FILTER (WHERE outcome <> 'INFO') AS k, min_by(concat(text, ' - ', CASE polarity WHEN 'EXCLUDES' THEN 'excludes by ' ELSE 'asks for ' END, lower(replace(label, '_', ' '))), chunk_index) FILTER (WHERE effective = 'FAIL') AS q FROM grouped GROUP BY 1, 2)
   SELECT o_custkey AS profile_id, o_orderkey AS opportunity_id, coalesce(f, 0) AS n_fail, coalesce(c, 0) AS n_check, coalesce(p, 0) AS n_pass,
-    CASE WHEN f > 0 THEN 'LIKELY_NOT_ELIGIBLE' WHEN c > 0 OR coalesce(p, 0) = 0 THEN 'CHECK' ELSE 'ELIGIBLE' END AS status
+    CASE WHEN f > 0 THEN 'LIKELY_NOT_ELIGIBLE' WHEN c > 0 OR coalesce(k, 0) = 0 THEN 'CHECK' ELSE 'ELIGIBLE' END AS status,
+    CASE WHEN f > 0 THEN concat('Against: ', q, CASE WHEN f > 1 THEN concat(' (and ', CAST(f - 1 AS VARCHAR), ' more)') ELSE '' END) WHEN c > 0 THEN concat('To check: ', CAST(c AS VARCHAR)) WHEN coalesce(k, 0) = 0 THEN 'No rules found' ELSE 'Nothing against' END AS summary
   FROM orders LEFT JOIN sums ON o_custkey = profile_id AND o_orderkey = opportunity_id""")
 def e17_verdicts(t):
     pairs, items = _items(t)
@@ -799,9 +812,72 @@ def e21_no_rules(t):
 
 
 @query(f"""WITH {GROUPS_SQL} SELECT profile_id, opportunity_id, chunk_index, CASE min(CASE effective WHEN 'FAIL' THEN 0 WHEN 'PASS' THEN 1 ELSE 2 END) WHEN 0 THEN 'FAIL' WHEN 1 THEN 'PASS' ELSE 'CHECK' END AS shown,
-  string_agg(DISTINCT label, '|' ORDER BY label) AS labels FROM grouped GROUP BY 1, 2, 3""")
+  string_agg(DISTINCT label, '|' ORDER BY label) AS labels FROM grouped WHERE effective NOT IN ('NO_RESTRICTION', 'INFO') GROUP BY 1, 2, 3""")
 def e20_verdict_rows(t):
-    return eligibility.verdict_rows(eligibility.or_groups(_items(t)[1]))
+    return eligibility.verdict_rows(eligibility.or_groups(_items(t)[1]).where("effective not in ('NO_RESTRICTION', 'INFO')"))
+
+
+SCOPED_SQL = "CASE WHEN {s} = 'WIDENING' THEN 'NO_RESTRICTION' ELSE 'INFO' END"
+LADDER_SQL = f"""
+  l AS (SELECT *, coalesce(text_scope, rule_scope) AS said, CASE WHEN rule_scope = 'PREFERENCE' AND label = 'CAREER_STAGE' AND any_stage THEN 'WIDENING' ELSE rule_scope END AS wide,
+    label IN ('CAREER_STAGE', 'EDUCATION') AND polarity = 'REQUIRES' AS cmp, review_label = 'RESIDENCE' AND NOT either_or AS city, CASE WHEN language_missing THEN 'missing_profile_field' ELSE 'uncertain_match' END AS lk FROM ladder),
+  o AS (SELECT *, CASE WHEN is_heading OR label IS NULL THEN NULL
+    WHEN label = 'NONE' THEN CASE WHEN suspected IS NULL OR (suspected = 'DISCIPLINE' AND why = 'classifier unsure' AND NOT names_discipline) THEN NULL WHEN said <> 'APPLICANT' THEN {SCOPED_SQL.format(s='said')}
+      WHEN suspected = 'OTHER_ELIGIBILITY' AND language_met IS NOT NULL THEN CASE WHEN language_met THEN 'PASS' ELSE 'CHECK/' || lk END WHEN favour THEN 'PASS' ELSE 'CHECK/safety_net' END
+    WHEN polarity = 'WAIVES' THEN 'NO_RESTRICTION' WHEN text_scope <> 'APPLICANT' THEN {SCOPED_SQL.format(s='text_scope')} WHEN review_decision IS NULL AND text_scope IS NULL AND wide <> 'APPLICANT' THEN {SCOPED_SQL.format(s='wide')}
+    WHEN label = 'DISCIPLINE' THEN CASE discipline WHEN 'PASS' THEN 'PASS' WHEN 'MISSING' THEN 'CHECK/missing_profile_field' ELSE 'CHECK/discipline_mismatch' END
+    WHEN label IN ('CAREER_STAGE', 'EDUCATION', 'OTHER_ELIGIBILITY') THEN CASE WHEN label = 'OTHER_ELIGIBILITY' AND language_met IS NOT NULL THEN CASE WHEN language_met THEN 'PASS' ELSE 'CHECK/' || lk END
+      WHEN cmp AND check_met THEN 'PASS' WHEN cmp AND check_read THEN CASE WHEN check_missing THEN 'CHECK/missing_profile_field' ELSE 'CHECK/uncertain_match' END ELSE 'CHECK/check_only_class' END
+    WHEN review_decision IS NULL THEN CASE WHEN favour THEN 'PASS' ELSE 'CHECK/not_reviewed' END
+    WHEN review_scope <> 'APPLICANT' THEN {SCOPED_SQL.format(s='review_scope')} WHEN limited AND applicant_type = 'group' THEN 'NO_RESTRICTION' WHEN review_decision = 'drop' THEN 'CHECK/dropped' WHEN review_polarity = 'UNCLEAR' OR NOT review_value THEN 'CHECK/unreadable'
+    WHEN inside IS NULL THEN CASE WHEN missing THEN 'CHECK/missing_profile_field' ELSE 'CHECK/uncertain_match' END
+    WHEN NOT inside THEN CASE review_polarity WHEN 'REQUIRES' THEN 'FAIL' ELSE 'PASS' END WHEN narrower IS NULL THEN CASE review_polarity WHEN 'REQUIRES' THEN 'PASS' ELSE 'FAIL' END
+    WHEN review_polarity = 'EXCLUDES' OR NOT city THEN 'CHECK/narrower_set' WHEN in_city THEN 'PASS' WHEN NOT in_city THEN 'FAIL' WHEN city_missing THEN 'CHECK/missing_profile_field' ELSE 'CHECK/narrower_set' END AS r FROM l),
+  judged AS (SELECT opportunity_id, chunk_index, label, is_heading, polarity, said, language_met, split_part(r, '/', 1) AS outcome, nullif(split_part(r, '/', 2), '') AS check_kind FROM o)"""
+
+
+def _ladder(t):
+    rows = t("ladder").withColumn("applies_to", F.when(F.col("limited"), F.array(F.lit("individual"), F.lit("organisation"))).otherwise(F.array().cast("array<string>")))
+    return eligibility.ladder(rows)
+
+
+@query(f"WITH {LADDER_SQL} SELECT opportunity_id, chunk_index, outcome, check_kind FROM judged")
+def e11_e12_e13_ladder(t):
+    return _ladder(t).select("opportunity_id", "chunk_index", "outcome", "check_kind")
+
+
+@query(f"""WITH {LADDER_SQL} SELECT opportunity_id, chunk_index, CASE WHEN language_met THEN 'PASS' ELSE 'CHECK' END AS outcome FROM judged
+  WHERE NOT is_heading AND polarity <> 'WAIVES' AND said = 'APPLICANT' AND language_met IS NOT NULL AND coalesce(outcome, '') <> 'INFO'""")
+def e14_language_items(t):
+    judged = _ladder(t).withColumns({"profile_id": F.lit(1), "scope": F.coalesce("text_scope", "rule_scope")})
+    return eligibility.language_items(judged, judged.where("outcome is not null")).select("opportunity_id", "chunk_index", "outcome")
+
+
+@query("""WITH c AS (SELECT opportunity_id, CASE WHEN opportunity_id % 3 > 0 THEN 'x' END AS txt, opportunity_id % 2 = 0 AS ext FROM calls)
+  SELECT opportunity_id, 'CHECK' AS status, CASE WHEN txt IS NULL AND ext THEN 'Rules are in another document' WHEN txt IS NULL THEN 'Rules are not told' ELSE 'Not analysed yet' END AS summary
+  FROM c WHERE txt IS NULL OR opportunity_id NOT IN (SELECT opportunity_id FROM requirements WHERE max_age > 40)""")
+def e18_without_rules(t):
+    calls = t("calls").select("opportunity_id", F.when(F.col("opportunity_id") % 3 > 0, "x").alias("requirements_text"), (F.col("opportunity_id") % 2 == 0).alias("rules_elsewhere"))
+    return eligibility.without_rules(calls, t("requirements").where("max_age > 40"))
+
+
+@query("""WITH p AS (SELECT profile_id, birth_year, profile_id % 12 AS years, CASE profile_id % 4 WHEN 0 THEN 'emerging' WHEN 1 THEN 'mid' WHEN 2 THEN 'established' END AS stage, CASE profile_id % 5 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS degree,
+    CASE WHEN profile_id % 3 = 0 THEN 'Kunsthochschule Kassel' ELSE 'Law School' END AS school FROM profiles)
+  SELECT profile_id, CASE profile_id % 3 WHEN 0 THEN true WHEN 1 THEN coalesce(stage IN ('mid', 'established'), false) ELSE years > 3 AND years < 9 END AS career, CASE profile_id % 3 WHEN 1 THEN stage IS NULL ELSE false END AS career_missing,
+    coalesce(degree, false) AND (profile_id % 2 = 0 OR profile_id % 3 = 0) AS education, degree IS NULL AS education_missing,
+    CASE WHEN profile_id % 2 = 0 THEN profile_id % 6 = 1 ELSE profile_id % 6 IN (1, 3) END AS languages, profile_id % 3 = 0 AS school_in_hesse FROM p""")
+def e09_checks(t):
+    c, none = F.col("profile_id"), F.array().cast("array<string>")
+    stage = F.when(c % 4 == 0, "emerging").when(c % 4 == 1, "mid").when(c % 4 == 2, "established")
+    value = F.struct((c % 3 == 0).alias("any_stage"), F.when(c % 3 == 1, F.array(F.lit("mid"), F.lit("established"))).otherwise(none).alias("stages"), F.lit(3).alias("min_years"), F.lit(9).alias("max_years"))
+    schools = F.array(F.struct(F.when(c % 3 == 0, "Kunsthochschule Kassel").otherwise("Law School").alias("institution"), F.lit(None).cast("string").alias("city"), F.lit("DE").alias("country")))
+    degree = F.when(c % 5 == 1, False).when(c % 5 > 1, True)
+    spoken = F.when(c % 6 == 1, F.array(F.lit("de"), F.lit("en"))).when(c % 6 == 3, F.array(F.lit("en")))
+    wanted = F.struct(F.array(F.lit("en"), F.lit("de")).alias("languages"), (c % 2 == 0).alias("every"))
+    study = F.struct(none.alias("institutions"), F.array(F.lit("Hesse")).alias("study_places"), F.array(F.lit("DE")).alias("study_countries"))
+    career, education = eligibility.career_check(value, stage, (c % 12).cast("int")), eligibility.education_check(F.struct((c % 2 > 0).alias("art")), degree, F.lit(None).cast("string"), schools)
+    return t("profiles").select("profile_id", career["met"].alias("career"), career["missing"].alias("career_missing"), education["met"].alias("education"), education["missing"].alias("education_missing"),
+        eligibility.languages_check(wanted, spoken)["met"].alias("languages"), eligibility.study_check(study, schools, F.array(F.lit("Hesse"), F.lit("Kassel")))["met"].alias("school_in_hesse"))
 
 
 @query("""WITH b AS (SELECT label, confidence::DOUBLE AS p, label = rated AS y FROM annotations),

@@ -11,21 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
     "calls": """
-        SELECT o_orderkey AS opportunity_id, o_orderpriority AS source, CAST(o_orderdate AS DATE) AS deadline_date,
+        SELECT o_orderkey AS opportunity_id, o_orderpriority AS source, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS deadline_date,
           concat('Call ', CAST(o_custkey AS VARCHAR(20))) AS title, o_orderstatus AS kind, o_totalprice AS price,
           CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'painting' WHEN o_orderkey % 3 = 1 THEN 'sculpture' ELSE 'all' END AS discipline,
           CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 2 = 0 END AS has_fee
         FROM {orders}""",
     "profiles": """
         SELECT c_custkey AS profile_id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 1950 + c_custkey * 37 % 55 END AS birth_year,
+          CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE DATE '1950-01-01' + CAST(c_custkey * 373 % 20000 AS INTEGER) END AS birth_date,
+          CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE n_name END AS nationality,
           n_name AS residence_country, c_mktsegment AS discipline,
           CASE WHEN c_custkey % 7 = 3 THEN NULL WHEN c_custkey % 3 = 0 THEN 'individual' WHEN c_custkey % 3 = 1 THEN 'group' ELSE 'organisation' END AS applicant_type
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "requirements": """
         SELECT l_orderkey AS opportunity_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS chunk_index,
-          CASE l_partkey % 4 WHEN 0 THEN 'AGE' WHEN 1 THEN 'RESIDENCE' WHEN 2 THEN 'APPLICANT_TYPE' ELSE 'OTHER' END AS label,
+          CASE l_partkey % 5 WHEN 0 THEN 'AGE' WHEN 1 THEN 'RESIDENCE' WHEN 2 THEN 'APPLICANT_TYPE' WHEN 3 THEN 'NATIONALITY' ELSE 'OTHER' END AS label,
+          concat('Rule ', CAST(l_partkey % 97 AS VARCHAR(9))) AS text, CASE WHEN l_suppkey % 3 = 0 THEN CAST(l_quantity AS INTEGER) % 30 + 5 END AS min_age,
           CASE l_suppkey % 4 WHEN 0 THEN 'REQUIRES' WHEN 1 THEN 'EXCLUDES' WHEN 2 THEN 'WAIVES' ELSE 'UNCLEAR' END AS polarity,
-          CAST(l_quantity AS INTEGER) + 18 AS max_age, n_name AS country,
+          CAST(l_quantity AS INTEGER) + 20 AS max_age, n_name AS country,
           CASE l_returnflag WHEN 'A' THEN 'individual' WHEN 'N' THEN 'group' ELSE 'organisation' END AS applicant_type,
           l_discount AS confidence
         FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
@@ -37,6 +40,27 @@ VIEWS = {
           WHEN 4 THEN 'There is no age limit.' WHEN 5 THEN 'Who can apply?' WHEN 6 THEN 'Preferably applicants have a degree.'
           ELSE concat('Open to artists aged ', CAST(CAST(l_quantity AS INTEGER) + 10 AS VARCHAR(9)), ' to ', CAST(CAST(l_quantity AS INTEGER) + 20 AS VARCHAR(9)), ', and only collectives.') END AS text
         FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey""",
+    "ladder": """
+        SELECT l_orderkey AS opportunity_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS chunk_index,
+          l_partkey % 23 = 0 AS is_heading,
+          CASE l_partkey % 9 WHEN 1 THEN 'AGE' WHEN 2 THEN 'RESIDENCE' WHEN 3 THEN 'NATIONALITY' WHEN 4 THEN 'DISCIPLINE' WHEN 5 THEN 'EDUCATION' WHEN 6 THEN 'OTHER_ELIGIBILITY' WHEN 7 THEN 'NONE' WHEN 8 THEN 'CAREER_STAGE' END AS label,
+          CASE l_suppkey % 5 WHEN 1 THEN 'DISCIPLINE' WHEN 2 THEN 'OTHER_ELIGIBILITY' WHEN 3 THEN 'AGE' WHEN 4 THEN 'EDUCATION' END AS suspected,
+          CASE WHEN l_linenumber % 2 = 0 THEN 'classifier unsure' ELSE 'topic word' END AS why, l_orderkey % 3 = 0 AS names_discipline,
+          CASE CAST(l_quantity AS INTEGER) % 5 WHEN 0 THEN 'WAIVES' WHEN 1 THEN 'EXCLUDES' WHEN 2 THEN 'UNCLEAR' ELSE 'REQUIRES' END AS polarity,
+          CASE (l_partkey + l_suppkey) % 11 WHEN 0 THEN 'WIDENING' WHEN 1 THEN 'PROJECT' WHEN 2 THEN 'APPLICANT' END AS text_scope,
+          CASE (l_partkey * 3 + l_orderkey) % 7 WHEN 0 THEN 'PREFERENCE' WHEN 1 THEN 'WIDENING' WHEN 2 THEN 'OBLIGATION' ELSE 'APPLICANT' END AS rule_scope,
+          l_suppkey % 2 = 0 AS any_stage,
+          CASE WHEN (l_partkey + l_linenumber) % 4 > 0 THEN CASE (l_partkey + l_orderkey) % 6 WHEN 0 THEN 'drop' WHEN 1 THEN 'correct' ELSE 'confirm' END END AS review_decision,
+          CASE WHEN l_orderkey % 2 = 0 THEN 'RESIDENCE' ELSE 'NATIONALITY' END AS review_label,
+          CASE (l_suppkey + l_linenumber) % 5 WHEN 0 THEN 'UNCLEAR' WHEN 1 THEN 'EXCLUDES' ELSE 'REQUIRES' END AS review_polarity,
+          CASE (l_orderkey + l_suppkey) % 9 WHEN 0 THEN 'OBLIGATION' WHEN 1 THEN 'WIDENING' ELSE 'APPLICANT' END AS review_scope, (l_partkey + l_suppkey) % 8 > 0 AS review_value,
+          (l_orderkey + l_linenumber) % 6 = 0 AS limited, CASE l_orderkey % 4 WHEN 0 THEN 'group' WHEN 1 THEN 'individual' END AS applicant_type,
+          CASE (l_partkey + l_quantity) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS inside, l_quantity % 2 = 0 AS missing,
+          CASE WHEN (l_suppkey * 3 + l_linenumber) % 4 = 0 THEN 'Berlin' END AS narrower, l_suppkey % 3 = 0 AS either_or,
+          CASE (l_orderkey + l_partkey) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS in_city, l_partkey % 2 = 0 AS city_missing, l_orderkey % 5 = 0 AS favour,
+          CASE l_linenumber % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'MISSING' ELSE 'CHECK' END AS discipline, l_suppkey % 4 = 0 AS check_met, l_suppkey % 3 > 0 AS check_read, l_linenumber % 2 = 0 AS check_missing,
+          CASE l_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS language_met, l_orderkey % 2 = 0 AS language_missing
+        FROM {lineitem}""",
     "deadlines": """
         SELECT o_orderkey AS id, CASE o_orderkey % 5
           WHEN 0 THEN concat(CAST(day(o_orderdate) AS VARCHAR(9)), '.', CAST(month(o_orderdate) AS VARCHAR(9)), '.', CAST(year(o_orderdate) + 25 AS VARCHAR(9)))
