@@ -73,12 +73,14 @@ def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     return candidates.join(seen.select("id"), "id", "left_anti")
 
 
-def merge_by_id(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows take the place of old ones; of repeated new rows any one stays per key and position.
+def merge_by_id(old: DataFrame, new: DataFrame, key: str = "id", position: str | None = None) -> DataFrame:
+    """New rows take the place of old ones, one a key: of repeated new rows the last by ``position``, or the largest without one.
 
     Old rows are only anti-joined, so they are not sorted or aggregated.
     """
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+    row = F.struct(*new.columns)
+    once = new.groupBy(key).agg((F.max(row) if position is None else F.max_by(row, F.struct(position, row))).alias("__r")).select("__r.*")
+    return old.join(new.select(key), key, "left_anti").unionByName(once)
 
 
 def last_per_key(df: DataFrame, key: str, position: str) -> DataFrame:
@@ -177,8 +179,134 @@ def deadline_passed(deadline_text: Column, title: Column, parsed: Column, as_of:
     return F.when(deadline_text.isNull() | rolling | (F.size(used) == 0), False).when(F.array_max(used).cast("int") < F.year(today), True).otherwise(F.coalesce(parsed <= today, F.lit(False)))
 
 
+KINDS = [("deadline passed", "deadline passed"), ("not open to individuals", "not open to individuals"), ("fetch/extract error", "fetch/extract error")]
+
+
+def reason_kind(reason: Column) -> Column:
+    """C17: the kind of a reason of rejection, by how it begins."""
+    return F.coalesce(*(F.when(reason.startswith(p), F.lit(n)) for n, p in KINDS), F.lit("other"))
+
+
 def extraction_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """C17: per outcome of a second extraction: rows, and mean lengths before and after."""
-    both = old.select("id", F.length("text").alias("a")).join(new.select("id", F.length("text").alias("b")), "id", "full")
-    kind = F.when(F.col("a").isNull() & F.col("b").isNotNull(), "new").when(F.col("b").isNull() & F.col("a").isNotNull(), "gone").when(F.col("a") == F.col("b"), "same").otherwise("changed")
-    return both.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("a"), 4).alias("mean_before"), F.round(F.avg("b"), 4).alias("mean_after"))
+    """C17: per outcome of a second extraction: pages, and mean lengths of the requirements before and after.
+
+    ``id, status (accepted or rejected), requirements_text`` on both sides, ``reason`` on the
+    new one; a page that could not be read again is an error.
+    """
+    before = old.select("id", F.col("status").alias("__a"), F.length("requirements_text").alias("__la"), F.col("requirements_text").alias("__ta"))
+    both = before.join(new.select("id", F.col("status").alias("__b"), F.length("requirements_text").alias("__lb"), F.col("requirements_text").alias("__tb"), "reason"), "id")
+    failed = F.coalesce(F.col("reason").startswith("fetch/extract error"), F.lit(False))
+    same = F.when(F.col("__ta").eqNullSafe(F.col("__tb")), "unchanged").otherwise("changed")
+    kind = F.when(failed, "error").when((F.col("__a") == "accepted") & (F.col("__b") == "accepted"), same).otherwise(F.concat_ws(" to ", "__a", "__b"))
+    return both.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"), F.round(F.avg("__la"), 4).alias("mean_before"), F.round(F.avg("__lb"), 4).alias("mean_after"))
+
+
+def rejection_kinds(new: DataFrame) -> DataFrame:
+    """C17: rejected pages by kind of reason."""
+    return new.where("status = 'rejected'").groupBy(reason_kind(F.coalesce("reason", F.lit(""))).alias("kind")).agg(F.count("*").alias("n"))
+
+
+def filled_shares(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """C17: of accepted rows the share with each field stated; one pass."""
+    stated = [F.round(F.avg(F.coalesce((F.trim(F.col(f).cast("string")) != "").cast("double"), F.lit(0.0))), 6).alias(f) for f in fields]
+    return df.agg(*stated).select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("share")) for f in fields))).alias("x")).select("x.*")
+
+
+def flags_per_field(df: DataFrame, flags: str) -> DataFrame:
+    """C17: rows by the field that a flag names; a flag of a list item counts for its list."""
+    return df.select(F.explode(flags).alias("f")).groupBy(F.substring_index("f", "[", 1).alias("field")).agg(F.count("*").alias("n"))
+
+
+BROKEN = "\u00c3[\u0080-\u00bf]|\u00e2\u20ac|\ufffd"
+
+
+def badly_read(df: DataFrame, text: str, least: int = 300) -> DataFrame:
+    """Pages with fewer characters than ``least``, or with letters that were read in a wrong encoding."""
+    why = F.when(F.length(F.coalesce(F.col(text), F.lit(""))) < least, "short").when(F.col(text).rlike(BROKEN), "mojibake")
+    return df.withColumn("why", why).where("why is not null")
+
+
+def applied(raw: DataFrame, rejected: DataFrame, processed: DataFrame, pages: DataFrame, results: DataFrame, passed: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The tables after a second extraction: accepted, rejected, processed, and counts by outcome.
+
+    ``pages``: ``id, status`` (accepted or rejected). ``results``: ``id, status, body, reason``; pages that could not be
+    read have none, or one that says fetch/extract error: of these only accepted ones that
+    are over (``passed``, on ``raw``) move. Ids whose accepted row changed or left go out of
+    ``processed``. ``raw``: ``id, body`` and what ``passed`` reads; ``rejected``: ``id, reason``.
+    """
+    read = results.where(~F.coalesce(F.col("reason").startswith("fetch/extract error"), F.lit(False))).select("id", F.col("status").alias("__s"), F.col("body").alias("__b"), F.col("reason").alias("__r"))
+    over = raw.select("id", F.coalesce(passed, F.lit(False)).alias("__over"), F.col("body").alias("__old"))
+    all_ids = pages.select("id", "status").join(read, "id", "left").join(over, "id", "left")
+    move = (
+        F.when(F.col("__s") == "accepted", "accepted").when(F.col("__s") == "rejected", "rejected")
+        .when((F.col("status") == "accepted") & F.coalesce("__over", F.lit(False)), "expired").when(F.col("status") == "accepted", "kept").otherwise("unread")
+    )
+    judged = all_ids.withColumn("outcome", move)
+    into, out = judged.where("outcome = 'accepted'"), judged.where("outcome in ('rejected', 'expired')")
+    new_raw = raw.select("id", "body").join(into.union(out).select("id"), "id", "left_anti").union(into.select("id", "__b"))
+    why = F.when(F.col("outcome") == "expired", "deadline passed").otherwise(F.col("__r"))
+    new_rejected = rejected.select("id", "reason").join(into.union(out).select("id"), "id", "left_anti").union(out.select("id", why))
+    changed = into.where(~F.col("__b").eqNullSafe(F.col("__old"))).select("id").union(out.where("__over is not null").select("id"))
+    return new_raw, new_rejected, processed.join(changed, "id", "left_anti"), judged.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def content_text(df: DataFrame, key: str, html: str, most: int | None = None, least: int = 300) -> DataFrame:
+    """C11: ``key, text`` of the part of a page that holds the call, without menus and the page's own head and foot.
+
+    The first <article> with ``least`` characters of text, else <main>, else the page. <nav> goes
+    everywhere, <header> and <footer> only outside <article>, <main> and <section>. A batch of pages at a
+    time through the standard library's parser; ``most`` is the feature's budget of characters, off unless given.
+    """
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [page_text(h or "", least) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
+
+    kind = df.schema[key].dataType.simpleString()
+    out = df.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(read, f"key {kind}, text string")
+    return out if most is None else out.withColumn("text", F.substring("text", 1, most))
+
+
+def page_text(html: str, least: int) -> str:
+    """The text of one page's content scope, its pieces joined by one space."""
+    from html.parser import HTMLParser
+
+    hidden, void = {"script", "style", "template"}, {"br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track"}
+    pieces: list[tuple[str, tuple[tuple[str, int], ...]]] = []
+
+    class Reader(HTMLParser):
+        open: list[tuple[str, int]] = []
+        count = 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in void:
+                self.count += 1
+                self.open = [*self.open, (tag, self.count)]
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+            if at is not None:
+                self.open = self.open[:at]
+
+        def handle_data(self, data):
+            if data.strip() and not any(t in hidden for t, _ in self.open):
+                pieces.append((" ".join(data.split()), tuple(self.open)))
+
+    Reader(convert_charrefs=True).feed(html)
+    scope = pieces
+    for wanted in ("article", "main"):
+        first = min((n for _, path in pieces for t, n in path if t == wanted), default=None)
+        inside = [p for p in pieces if first is not None and (wanted, first) in p[1]]
+        if len(" ".join(t for t, _ in inside)) >= least:
+            scope = inside
+            break
+
+    def chrome(path: tuple[tuple[str, int], ...]) -> bool:
+        tags = [t for t, _ in path]
+        outer = [i for i, t in enumerate(tags) if t in ("header", "footer")]
+        return "nav" in tags or any(not {"article", "main", "section"} & set(tags[:i]) for i in outer)
+
+    return " ".join(t for t, path in scope if not chrome(path))

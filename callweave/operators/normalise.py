@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.operators.ordered import running_sum
+
 MONTHS = "january february march april may june july august september october november december".split()
 
 
@@ -96,11 +98,8 @@ def work_batches(todo: DataFrame, key: str, size: int) -> DataFrame:
 
     Ranks come from a range partition's count and the place within it, so no task sees all keys.
     """
-    placed = todo.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-    at = F.row_number().over(Window.partitionBy("__p").orderBy(key)) + F.col("__o") - 1
-    return placed.join(before, "__p").select(key, at.alias("__at")).select(key, F.floor(F.col("__at") / size).alias("batch"), (F.col("__at") % size).alias("pos"))
+    placed = running_sum(todo.select(key), F.lit(1), [key])
+    return placed.select(key, F.floor((F.col("run") - 1) / size).alias("batch"), ((F.col("run") - 1) % size).alias("pos"))
 
 
 def drop_duplicates(df: DataFrame, source: str, title: str, length: Column, key: str) -> DataFrame:
@@ -127,14 +126,21 @@ def headline_funding(df: DataFrame, rates: dict[str, float], least: float, most:
     return one.where((F.col("n") == 1) & F.col("eur").between(least, most)).select("opportunity_id", F.round("eur", 2).alias("eur"))
 
 
+def letter_trigrams(text: Column) -> Column:
+    """All trigrams of a text's lower-cased letters, with one space between words and at either end.
+
+    Three copies of the text, shifted by one, are cut into pieces of three characters, so that no
+    piece is found by walking the text from its start.
+    """
+    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+", " ")), F.lit(" "))
+    pieces = lambda shift: F.regexp_extract_all(F.substring(padded, 1 + shift, 1 << 30), F.lit("(?s)(...)"), F.lit(1))
+    return F.when(F.length(padded) < 3, F.array(padded)).otherwise(F.concat(pieces(0), pieces(1), pieces(2)))
+
+
 def language_profiles(df: DataFrame, lang: str, text: str, most: int = 500) -> DataFrame:
     """``lang, gram, logp``: each language's most frequent letter trigrams; counts are summed in tasks first."""
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}]+", " ")), F.lit(" "))
-    # letters by place in an array, as a substring would walk the text from its start for each trigram
-    at = lambda i: F.coalesce(F.get("c", i), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("c") - 3, F.lit(0))), lambda i: F.concat(at(i), at(i + 1), at(i + 2)))
-    letters = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.split(padded, "").alias("c"))
-    counts = letters.select("lang", F.explode_outer(grams).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode_outer(letter_trigrams(F.col(text))).alias("gram"))
+    counts = rows.groupBy("lang", "gram").agg(F.count("*").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     return top.select("lang", "gram", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).alias("logp"))
@@ -158,3 +164,57 @@ def quoted_disciplines(labels: Column, quotes: Column, text: Column, own: Column
 def accepted_translation(original: Column, translated: Column) -> Column:
     """A translated list only where it has as many items; kinds are copied by position."""
     return F.when(F.size(original) == F.size(translated), F.zip_with(original, translated, lambda o, t: F.struct(o["kind"].alias("kind"), t.alias("item"))))
+
+
+def fee_label(has_fee: Column, amount: Column, currency: Column) -> Column:
+    """What a card says about the fee; not stated is not the same as none."""
+    money = F.trim(F.concat(F.coalesce(currency, F.lit("")), F.lit(" "), F.format_number(amount, 0)))
+    return F.when(has_fee.isNull(), "Not stated").when(~has_fee, "None").when(amount.isNull(), "Yes, amount not stated").otherwise(money)
+
+
+def shown_countries(countries: Column, anywhere: str) -> Column:
+    """A call's countries without the wildcard; "International" where that is all."""
+    named = F.array_remove(countries, anywhere)
+    return F.when((F.size(named) == 0) & F.array_contains(countries, anywhere), F.array(F.lit("International"))).otherwise(named)
+
+
+def shown_disciplines(disciplines: Column, other: str) -> Column:
+    """A call's disciplines without the one that says nothing about the arts."""
+    return F.array_remove(disciplines, other)
+
+
+def card_funding(df: DataFrame, raw: str = "funding", light: Sequence[str] = ("mentoring", "fee waiver")) -> DataFrame:
+    """A call's funding in one line: amounts, one for each currency and period, then support without a figure, money and support in kind first; else the call's own words.
+
+    ``opportunity_id, category, amount, currency, period`` and ``raw`` in.
+    """
+    key = "opportunity_id"
+    amounts = df.where("amount is not null").groupBy(key, "currency", "period").agg(F.min("amount").alias("lo"), F.max("amount").alias("hi"))
+    period = F.when(F.coalesce("period", F.lit("one-time")) == "one-time", "").otherwise(F.concat(F.lit(" "), "period"))
+    said = F.concat(F.when(F.col("lo") < F.col("hi"), "up to ").otherwise(""), F.coalesce("currency", F.lit("")), F.lit(" "), F.format_number("hi", 0), period)
+    money = amounts.groupBy(key).agg(F.array_sort(F.collect_list(said)).alias("__m"))
+    kinds = df.where("amount is null and category is not null").select(key, F.lower("category").alias("c")).distinct()
+    support = kinds.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("c").isin(*light).alias("l"), "c"))), lambda x: x["c"]).alias("__s"))
+    words = df.groupBy(key).agg(F.max(raw).alias("__raw"))
+    joined = words.join(money, key, "left").join(support, key, "left")
+    none = F.array().cast("array<string>")
+    label = F.concat_ws(" + ", F.concat(F.coalesce("__m", none), F.coalesce("__s", none)))
+    first = F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 100_000))
+    return joined.select(key, F.when(label != "", first).otherwise(F.coalesce("__raw", F.lit("Not stated"))).alias("label"))
+
+
+def language_scores(df: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
+    """``key, detected, confidence``: the language whose trigram profile gives a text the largest log-probability, and its softmax share.
+
+    A text's distinct trigrams are counted, joined with the profiles and summed by language; a
+    trigram that a profile lacks has the profile's least probability, one that no profile
+    has is left out. Texts without any known trigram are absent.
+    """
+    counts = df.select(F.col(key).alias("key"), F.explode(letter_trigrams(F.col(text))).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n"))
+    floor = profiles.groupBy("lang").agg(F.min("logp").alias("least"))
+    every = profiles.select("gram").distinct().crossJoin(floor).join(profiles, ["lang", "gram"], "left").select("gram", "lang", F.coalesce("logp", "least").alias("logp"))
+    sums = counts.join(every, "gram").groupBy("key", "lang").agg(F.sum(F.col("n") * F.col("logp")).alias("s"))
+    all_of = Window.partitionBy("key")
+    share = F.exp(F.col("s") - F.max("s").over(all_of))
+    placed = sums.withColumn("share", share).withColumn("confidence", F.col("share") / F.sum("share").over(all_of)).withColumn("r", F.row_number().over(all_of.orderBy(F.desc("s"), "lang")))
+    return placed.where("r = 1").select("key", F.col("lang").alias("detected"), "confidence")

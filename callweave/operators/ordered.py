@@ -18,14 +18,14 @@ def running_sum(df: DataFrame, value: Column, order: Sequence[str], by: Sequence
     the same for the sums and for the rows; a row adds the sums of the partitions before its
     own to the running sum within it. ``order`` must tell the rows of a group apart.
     """
-    placed = materialise(df.withColumn("__v", value).repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ordered")
-    sums = placed.groupBy("__p", *by).agg(F.sum("__v").alias("__s"))
-    w = Window.partitionBy(*by).orderBy("__p")  # a row a partition and group
-    before = F.coalesce(F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    offsets = sums.select(F.col("__p").alias("__q"), *(F.col(c).alias(f"__by{i}") for i, c in enumerate(by)), before.alias("__o"), total.alias("total"))
-    same = F.col("__p") == F.col("__q")
+    placed = materialise(df.withColumn("__run_v", value).repartitionByRange(*by, *order).withColumn("__run_p", F.spark_partition_id()), "ordered")
+    sums = placed.groupBy("__run_p", *by).agg(F.sum("__run_v").alias("__run_s"))
+    w = Window.partitionBy(*by).orderBy("__run_p")  # a row a partition and group
+    before = F.coalesce(F.sum("__run_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("__run_s").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    offsets = sums.select(F.col("__run_p").alias("__run_q"), *(F.col(c).alias(f"__run_by{i}") for i, c in enumerate(by)), before.alias("__run_o"), total.alias("total"))
+    same = F.col("__run_p") == F.col("__run_q")
     for i, c in enumerate(by):
-        same &= F.col(c).eqNullSafe(F.col(f"__by{i}"))
-    within = F.sum("__v").over(Window.partitionBy("__p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return placed.withColumn("__w", within).join(offsets, same).withColumn("run", F.col("__w") + F.col("__o")).select(*df.columns, "run", "total")
+        same &= F.col(c).eqNullSafe(F.col(f"__run_by{i}"))
+    within = F.sum("__run_v").over(Window.partitionBy("__run_p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn("__run_w", within).join(offsets, same).withColumn("run", F.col("__run_w") + F.col("__run_o")).select(*df.columns, "run", "total")

@@ -255,10 +255,12 @@ def s04_c06_unseen_ids(t):
 
 
 @query("""SELECT opportunity_id AS id, title, price FROM calls WHERE opportunity_id % 3 > 0
-  UNION ALL SELECT opportunity_id, concat(title, ' again'), price + 1 FROM calls WHERE opportunity_id % 3 = 0""")
+  UNION ALL SELECT opportunity_id, concat(title, ' again'), price + 2 FROM calls WHERE opportunity_id % 3 = 0""")
 def c08_merge_by_id(t):
     calls = t("calls").select(F.col("opportunity_id").alias("id"), "title", "price")
-    return ingest.merge_by_id(calls, calls.where("id % 3 = 0").select("id", F.concat("title", F.lit(" again")).alias("title"), (F.col("price") + 1).alias("price")))
+    some = calls.where("id % 3 = 0")
+    twice = some.select("id", F.concat("title", F.lit(" again")).alias("title"), F.explode(F.array(F.col("price") + 1, F.col("price") + 2)).alias("price"))
+    return ingest.merge_by_id(calls, twice, position="price")
 
 
 @query("SELECT user_id AS url, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
@@ -620,7 +622,50 @@ def a13_a14_capped_sample(t):
 
 @query("SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)")
 def a02_a15_extended_pool(t):
-    return annotate.extended_pool(t("documents").select("doc_id"), t("labels"), "doc_id")
+    return annotate.unused(t("documents").select("doc_id"), t("labels"), "doc_id")
+
+
+FAMILY_SQL = """
+  c AS (SELECT opportunity_id * 100 + idx AS chunk_id, opportunity_id, text, CASE idx % 3 WHEN 0 THEN 'dropped' WHEN 1 THEN 'check_only' ELSE 'safety_net' END AS family FROM sentences),
+  o AS (SELECT *, md5(concat('1/', CAST(chunk_id AS VARCHAR))) AS o FROM c)"""
+
+
+def _families(t):
+    chunks = t("sentences").select((F.col("opportunity_id") * 100 + F.col("idx")).alias("chunk_id"), "opportunity_id", "text", F.when(F.col("idx") % 3 == 0, "dropped").when(F.col("idx") % 3 == 1, "check_only").otherwise("safety_net").alias("family"))
+    return chunks
+
+
+@query(f"""WITH {FAMILY_SQL}, f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY text ORDER BY o, chunk_id) = 1), p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY opportunity_id ORDER BY o, chunk_id) <= 2),
+  q AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY family ORDER BY o, chunk_id) <= CASE family WHEN 'dropped' THEN 20 WHEN 'check_only' THEN 15 ELSE 30 END)
+  SELECT chunk_id, opportunity_id, text, family, CASE WHEN row_number() OVER (ORDER BY o, chunk_id) <= 25 THEN 'test' ELSE 'dev' END AS split FROM q""")
+def a13_quota_sample(t):
+    return annotate.quota_sample(_families(t), {"dropped": 20, "check_only": 15, "safety_net": 30}, 25)
+
+
+@query("""WITH c AS (SELECT opportunity_id, source, opportunity_id % 3 = 0 AS r, md5(concat('1/', CAST(opportunity_id AS VARCHAR))) AS o FROM calls WHERE opportunity_id NOT IN (SELECT opportunity_id FROM requirements WHERE max_age > 60)),
+  a AS (SELECT * FROM (SELECT * FROM c WHERE r QUALIFY row_number() OVER (PARTITION BY source ORDER BY o, opportunity_id) <= 3) ORDER BY o, opportunity_id LIMIT 10),
+  b AS (SELECT c.* FROM c LEFT JOIN (SELECT source, count(*) AS s FROM a GROUP BY 1) s ON c.source = s.source WHERE NOT r QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY o, opportunity_id) <= 3 - coalesce(s, 0))
+  SELECT opportunity_id, source, r AS rejectable FROM a UNION ALL SELECT opportunity_id, source, r FROM (SELECT * FROM b ORDER BY o, opportunity_id LIMIT 10)""")
+def a14_halved_sample(t):
+    calls = t("calls").select("opportunity_id", "source", (F.col("opportunity_id") % 3 == 0).alias("rejectable"))
+    return annotate.halved_sample(calls, t("requirements").where("max_age > 60"), 20)
+
+
+@query(f"""WITH {FAMILY_SQL}, a AS (SELECT * FROM (SELECT * FROM o WHERE lower(text) LIKE '%degree%' QUALIFY row_number() OVER (PARTITION BY opportunity_id ORDER BY o, chunk_id) <= 2) ORDER BY o, chunk_id LIMIT 40),
+  b AS (SELECT o.* FROM o LEFT JOIN (SELECT opportunity_id, count(*) AS s FROM a GROUP BY 1) s ON o.opportunity_id = s.opportunity_id WHERE lower(text) LIKE '%based in%' AND chunk_id NOT IN (SELECT chunk_id FROM a)
+    QUALIFY row_number() OVER (PARTITION BY o.opportunity_id ORDER BY o, chunk_id) <= 2 - coalesce(s, 0))
+  SELECT chunk_id, 'EDUCATION' AS keyword_class FROM a UNION ALL SELECT chunk_id, 'RESIDENCE' FROM (SELECT * FROM b ORDER BY o, chunk_id LIMIT 40)""")
+def a02_targeted(t):
+    return annotate.targeted(_families(t).select("opportunity_id", "chunk_id", "text"), {"EDUCATION": "degree", "RESIDENCE": "based in"}, 40).select("chunk_id", "keyword_class")
+
+
+@query("""WITH r AS (SELECT persona, item, row_number() OVER (PARTITION BY persona ORDER BY sim DESC, item) AS a, row_number() OVER (PARTITION BY persona ORDER BY sim, item) AS b FROM judgments),
+  p AS (SELECT DISTINCT persona, item FROM r WHERE (a <= 5 OR b <= 5) AND (persona, item) NOT IN (SELECT (persona, item) FROM judgments WHERE judged))
+  SELECT persona, item, row_number() OVER (PARTITION BY persona ORDER BY md5(concat('1/', CAST(persona AS VARCHAR), '/', CAST(item AS VARCHAR))), item) AS pos FROM p""")
+def a15_judging_pool(t):
+    j = t("judgments")
+    top = lambda order: j.withColumn("r", F.row_number().over(Window.partitionBy("persona").orderBy(order, "item"))).where("r <= 5").select("persona", "item")
+    return annotate.judging_pool(top(F.desc("sim")).union(top(F.asc("sim"))), j.where("judged"))
 
 
 @query("""SELECT chunk_id, CASE WHEN confidence > 0.9 THEN 'q1t1' WHEN confidence < 0.1 THEN 'SKIP' WHEN confidence < 0.3 THEN rated ELSE label END AS final_label,
@@ -738,6 +783,11 @@ def d19_item_state(t):
     return documents.item_state(items, drafts)
 
 
+@query()
+def c11_content_text(t):
+    return ingest.content_text(t("pages"), "page_id", "html")
+
+
 # --- more of the requirement, eligibility and evaluation operators
 
 
@@ -951,13 +1001,97 @@ def c15_deadline_passed(t):
     return rows.select("id", ingest.deadline_passed(F.col("text"), F.lit("Call 2001 to 2002"), F.col("d"), "2020-06-01").alias("passed"))
 
 
-@query("""WITH a AS (SELECT doc_id AS id, length(text) AS a FROM documents WHERE lang <> 'de'), b AS (SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN length(text) + 1 ELSE length(text) END AS b FROM documents WHERE lang <> 'es'),
-  f AS (SELECT a, b FROM a FULL JOIN b ON a.id = b.id)
-  SELECT CASE WHEN a IS NULL THEN 'new' WHEN b IS NULL THEN 'gone' WHEN a = b THEN 'same' ELSE 'changed' END AS outcome, count(*) AS n, round(avg(a), 4) AS mean_before, round(avg(b), 4) AS mean_after FROM f GROUP BY 1""")
-def c17_extraction_diff(t):
+SECOND_SQL = """
+  o AS (SELECT doc_id AS id, text, CASE WHEN lang = 'de' THEN 'rejected' ELSE 'accepted' END AS status FROM documents),
+  n AS (SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN concat(text, 'x') ELSE text END AS text, CASE WHEN doc_id % 4 = 0 THEN 'rejected' ELSE 'accepted' END AS status,
+    CASE WHEN doc_id % 4 = 0 THEN CASE doc_id % 5 WHEN 0 THEN 'deadline passed (2020)' WHEN 1 THEN 'fetch/extract error: 404' WHEN 2 THEN 'not open to individuals' ELSE 'a list of calls' END END AS reason FROM documents)"""
+
+
+def _second(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), "lang", "text")
-    new = docs.where("lang <> 'es'").withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit("x"))).otherwise(F.col("text")))
-    return ingest.extraction_diff(docs.where("lang <> 'de'"), new)
+    old = docs.select("id", F.when(F.col("lang") == "de", "rejected").otherwise("accepted").alias("status"), F.col("text").alias("requirements_text"))
+    no = F.col("id") % 4 == 0
+    why = F.when(F.col("id") % 5 == 0, "deadline passed (2020)").when(F.col("id") % 5 == 1, "fetch/extract error: 404").when(F.col("id") % 5 == 2, "not open to individuals").otherwise("a list of calls")
+    new = docs.select("id", F.when(no, "rejected").otherwise("accepted").alias("status"), F.when(F.col("lang") == "fr", F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("requirements_text"), F.when(no, why).alias("reason"))
+    return old, new
+
+
+@query(f"""WITH {SECOND_SQL} SELECT CASE WHEN n.reason LIKE 'fetch%' THEN 'error' WHEN o.status = 'accepted' AND n.status = 'accepted' THEN CASE WHEN o.text = n.text THEN 'unchanged' ELSE 'changed' END ELSE concat(o.status, ' to ', n.status) END AS outcome,
+  count(*) AS n, round(avg(length(o.text)), 4) AS mean_before, round(avg(length(n.text)), 4) AS mean_after FROM o JOIN n ON o.id = n.id GROUP BY 1""")
+def c17_extraction_diff(t):
+    return ingest.extraction_diff(*_second(t))
+
+
+@query(f"WITH {SECOND_SQL} SELECT CASE WHEN reason LIKE 'fetch%' THEN 'fetch/extract error' WHEN reason LIKE 'deadline%' THEN 'deadline passed' WHEN reason LIKE 'not open%' THEN 'not open to individuals' ELSE 'other' END AS kind, count(*) AS n FROM n WHERE status = 'rejected' GROUP BY 1")
+def c17_rejection_kinds(t):
+    return ingest.rejection_kinds(_second(t)[1])
+
+
+@query("""SELECT 'discipline' AS field, round(avg(CASE WHEN discipline IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share FROM calls UNION ALL SELECT 'has_fee', round(avg(CASE WHEN has_fee IS NULL THEN 0.0 ELSE 1.0 END), 6) FROM calls
+  UNION ALL SELECT 'title', round(avg(CASE WHEN trim(title) = '' THEN 0.0 ELSE 1.0 END), 6) FROM calls""")
+def c17_filled_shares(t):
+    return ingest.filled_shares(t("calls"), ["discipline", "has_fee", "title"])
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'materials' ELSE 'title' END AS field, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'deadline', count(*) FROM documents")
+def c17_flags_per_field(t):
+    flags = F.array(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("materials["), F.col("doc_id").cast("string"), F.lit("]"))).otherwise("title"), F.lit("deadline"))
+    return ingest.flags_per_field(t("documents").withColumn("flags", flags), "flags")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) < 300 THEN 'short' ELSE 'mojibake' END AS why FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat(text, 'fÃ¼r') ELSE text END AS text FROM documents) WHERE length(text) < 300 OR doc_id % 3 = 0")
+def c19_badly_read(t):
+    docs = t("documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("f\u00c3\u00bcr"))).otherwise(F.col("text")))
+    return ingest.badly_read(docs, "text").select("doc_id", "why")
+
+
+APPLIED_SQL = """
+  p AS (SELECT opportunity_id AS id, CASE WHEN opportunity_id % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS status, title AS body, deadline_date FROM calls),
+  x AS (SELECT id, status, body, CASE WHEN id % 5 = 4 THEN NULL WHEN id % 5 = 3 THEN 'error' WHEN id % 5 IN (0, 1) THEN 'accepted' ELSE 'rejected' END AS s, CASE WHEN id % 10 = 0 THEN body ELSE concat(body, '!') END AS nb, deadline_date < DATE '1995-01-01' AS over FROM p),
+  m AS (SELECT *, CASE WHEN s = 'accepted' THEN 'accepted' WHEN s = 'rejected' THEN 'rejected' WHEN status = 'accepted' AND coalesce(over, false) THEN 'expired' WHEN status = 'accepted' THEN 'kept' ELSE 'unread' END AS outcome FROM x)"""
+
+
+def _applied(t):
+    c = F.col
+    pages = t("calls").select(c("opportunity_id").alias("id"), F.when(c("opportunity_id") % 2 == 0, "accepted").otherwise("rejected").alias("status"), c("title").alias("body"), "deadline_date")
+    results = pages.where("id % 5 <> 4").select("id", F.when(c("id") % 5 <= 1, "accepted").otherwise("rejected").alias("status"), F.when(c("id") % 10 == 0, c("body")).otherwise(F.concat("body", F.lit("!"))).alias("body"),
+        F.when(c("id") % 5 == 3, "fetch/extract error: 500").when(c("id") % 5 == 2, "a list").alias("reason"))
+    raw, rejected = pages.where("status = 'accepted'"), pages.where("status = 'rejected'").select("id", F.lit("old").alias("reason"))
+    return ingest.applied(raw, rejected, raw.select("id"), pages, results, c("deadline_date") < F.lit("1995-01-01").cast("date"))
+
+
+@query(f"WITH {APPLIED_SQL} SELECT id, CASE WHEN outcome = 'accepted' THEN nb ELSE body END AS body FROM m WHERE outcome IN ('accepted', 'kept')")
+def c18_accepted_after(t):
+    return _applied(t)[0]
+
+
+@query(f"WITH {APPLIED_SQL} SELECT id, CASE outcome WHEN 'expired' THEN 'deadline passed' WHEN 'rejected' THEN 'a list' ELSE 'old' END AS reason FROM m WHERE outcome IN ('expired', 'rejected', 'unread')")
+def c18_rejected_after(t):
+    return _applied(t)[1]
+
+
+@query(f"WITH {APPLIED_SQL} SELECT id FROM m WHERE status = 'accepted' AND NOT (outcome IN ('rejected', 'expired') OR (outcome = 'accepted' AND nb <> body))")
+def c18_processed_after(t):
+    return _applied(t)[2]
+
+
+@query("""SELECT opportunity_id, CASE WHEN has_fee IS NULL THEN 'Not stated' WHEN NOT has_fee THEN 'None' WHEN opportunity_id % 3 = 0 THEN 'Yes, amount not stated' ELSE concat('EUR ', CAST(opportunity_id % 900 AS VARCHAR)) END AS fee,
+  CASE opportunity_id % 3 WHEN 0 THEN 'International' WHEN 1 THEN 'BE,DE' ELSE '' END AS countries, CASE WHEN opportunity_id % 2 = 0 THEN 'music' ELSE '' END AS disciplines FROM calls""")
+def n18_card_labels(t):
+    c, any_ = F.col("opportunity_id"), F.lit("any")
+    places = F.when(c % 3 == 0, F.array(any_)).when(c % 3 == 1, F.array(F.lit("BE"), any_, F.lit("DE"))).otherwise(F.array().cast("array<string>"))
+    fee = normalise.fee_label(F.col("has_fee"), F.when(c % 3 > 0, c % 900), F.lit("EUR"))
+    return t("calls").select("opportunity_id", fee.alias("fee"), F.concat_ws(",", normalise.shown_countries(places, "any")).alias("countries"), F.concat_ws(",", normalise.shown_disciplines(F.array(F.when(c % 2 == 0, "music").otherwise("other"), F.lit("other")), "other")).alias("disciplines"))
+
+
+@query("""WITH f AS (SELECT opportunity_id, lower(category) AS c, CASE WHEN pos % 2 = 0 THEN amount END AS amount, currency, period FROM funding), g AS (SELECT opportunity_id, currency, period, min(amount) AS lo, max(amount) AS hi FROM f WHERE amount IS NOT NULL GROUP BY ALL),
+  m AS (SELECT opportunity_id, concat(CASE WHEN lo < hi THEN 'up to ' ELSE '' END, currency, ' ', format('{:,}', CAST(round_even(hi, 0) AS BIGINT)), ' ', period) AS s FROM g),
+  l AS (SELECT opportunity_id, string_agg(s, ' + ' ORDER BY s) AS a FROM m GROUP BY 1), k AS (SELECT opportunity_id, string_agg(c, ' + ' ORDER BY c = 'f', c) AS b FROM (SELECT DISTINCT opportunity_id, c FROM f WHERE amount IS NULL) GROUP BY 1),
+  j AS (SELECT opportunity_id, concat_ws(' + ', a, b) AS x FROM (SELECT DISTINCT opportunity_id FROM f) LEFT JOIN l USING (opportunity_id) LEFT JOIN k USING (opportunity_id))
+  SELECT opportunity_id, concat(upper(substr(x, 1, 1)), substr(x, 2)) AS label FROM j""")
+def n16_n18_card_funding(t):
+    rows = t("funding").select("opportunity_id", "category", F.when(F.col("pos") % 2 == 0, F.col("amount")).alias("amount"), "currency", "period", F.lit("as told").alias("funding"))
+    return normalise.card_funding(rows, light=["f"])
 
 
 @query("""WITH s AS (SELECT source, min(lang) AS tag FROM documents GROUP BY 1)
@@ -968,6 +1102,24 @@ def n01_row_language(t):
     return normalise.trusted_language(docs, tags, "lang", "n_chars", 1000).select("doc_id", "row_language")
 
 
+GRAMS_SQL = """t AS (SELECT doc_id, lang, source, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
+  g AS (SELECT doc_id, lang, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) AS gram FROM t)"""
+
+
+@query(f"""WITH {GRAMS_SQL}, c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 100),
+  p AS (SELECT lang, gram, ln(n / sum(n) OVER (PARTITION BY lang)) AS logp FROM k), f AS (SELECT lang, min(logp) AS least FROM p GROUP BY 1),
+  e AS (SELECT a.gram, f.lang, coalesce(p.logp, f.least) AS logp FROM (SELECT DISTINCT gram FROM p) a CROSS JOIN f LEFT JOIN p ON p.lang = f.lang AND p.gram = a.gram),
+  d AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY 1, 2), s AS (SELECT doc_id, e.lang, sum(n * logp) AS s FROM d JOIN e ON d.gram = e.gram GROUP BY 1, 2),
+  x AS (SELECT doc_id, lang, exp(s - max(s) OVER (PARTITION BY doc_id)) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM s), y AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id) AS c FROM x), tag AS (SELECT source, min(lang) AS tag FROM documents GROUP BY 1)
+  SELECT t.doc_id, CASE WHEN tag.tag <> 'en' THEN tag.tag WHEN y.c >= 0.9 THEN y.lang ELSE 'en' END AS row_language FROM t LEFT JOIN y ON y.doc_id = t.doc_id AND y.r = 1 LEFT JOIN tag ON tag.source = t.source""")
+def n01_detected_language(t):
+    docs = t("documents")
+    found = normalise.language_scores(docs, "doc_id", "text", materialise(normalise.language_profiles(docs, "lang", "text", 100), "profiles"))
+    tags = docs.groupBy("source").agg(F.min("lang").alias("lang"))
+    rows = docs.select("doc_id", "source").join(found.withColumnRenamed("key", "doc_id"), "doc_id", "left")
+    return normalise.trusted_language(rows, tags, "detected", "confidence", 0.9).select("doc_id", "row_language")
+
+
 @query("""WITH t AS (SELECT lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents),
   g AS (SELECT lang, unnest(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3))) AS gram FROM t), c AS (SELECT lang, gram, count(*) AS n FROM g GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM c), k AS (SELECT * FROM r WHERE r <= 100)
@@ -1050,11 +1202,64 @@ def d18_text_limit(t):
     return t("sentences").select("opportunity_id", "idx", n.alias("n"), unit.alias("unit"))
 
 
-@query("""WITH c AS (SELECT opportunity_id, (opportunity_id % 7) AS source, count(*) AS n FROM requirements GROUP BY 1, 2)
-  SELECT opportunity_id, CAST(run AS BIGINT) AS run, run > 500 OR n > 500 AS deferred FROM (SELECT *, sum(CASE WHEN n <= 500 THEN n ELSE 0 END) OVER (PARTITION BY source ORDER BY md5(concat('1/', CAST(opportunity_id AS VARCHAR))), opportunity_id) AS run FROM c)""")
+# a walk in seeded order: a call that would go beyond its source's cap is passed over and does not count; what is short is filled up from these
+WALK_SQL = """
+  c AS (SELECT opportunity_id, CASE WHEN opportunity_id % 3 = 0 THEN 0 ELSE opportunity_id % 7 END AS source, count(*) AS n FROM requirements GROUP BY 1, 2),
+  o AS (SELECT *, md5(concat('1/', CAST(opportunity_id AS VARCHAR))) AS o FROM c),
+  w AS (SELECT source, list_reduce(list({{'id': opportunity_id, 'n': n}} ORDER BY o, opportunity_id), lambda acc, x: CASE WHEN acc.n + x.n > {cap} THEN acc ELSE {{'n': acc.n + x.n, 'ids': list_append(acc.ids, x.id)}} END, {{'n': 0::BIGINT, 'ids': []::BIGINT[]}}) AS r FROM o GROUP BY 1),
+  t AS (SELECT unnest(r.ids) AS opportunity_id FROM w),
+  s AS (SELECT o.*, sum(n) OVER (ORDER BY o, opportunity_id) AS run FROM o JOIN t USING (opportunity_id)),
+  d AS (SELECT o.*, sum(n) OVER (ORDER BY o, opportunity_id) + (SELECT max(run) FROM s) AS run FROM o WHERE opportunity_id NOT IN (SELECT opportunity_id FROM t))"""
+
+
+def _sized_calls(t):
+    source = F.when(F.col("opportunity_id") % 3 == 0, 0).otherwise(F.col("opportunity_id") % 7)
+    return t("requirements").groupBy("opportunity_id", source.alias("source")).agg(F.count("*").alias("n_chunks"))
+
+
+@query(f"WITH {WALK_SQL.format(cap=125)} SELECT opportunity_id, false AS relaxed FROM s WHERE run - n < 500")
 def a01_capped_calls(t):
-    calls = t("requirements").groupBy("opportunity_id", (F.col("opportunity_id") % 7).alias("source")).agg(F.count("*").alias("n_chunks"))
-    return annotate.capped_calls(calls, 500).select("opportunity_id", "run", "deferred")
+    return annotate.capped_calls(_sized_calls(t), 500, 0.25).select("opportunity_id", "relaxed")
+
+
+@query(f"WITH {WALK_SQL.format(cap=20)} SELECT opportunity_id, false AS relaxed FROM s WHERE run - n < 400 UNION ALL SELECT opportunity_id, true FROM d WHERE run - n < 400")
+def a01_relaxed_cap(t):
+    return annotate.capped_calls(_sized_calls(t), 400, 0.05).select("opportunity_id", "relaxed")
+
+
+@query("""WITH s AS (SELECT text, opportunity_id, idx FROM sentences WHERE idx % 5 = 0) SELECT text, opportunity_id, idx, CAST((row_number() OVER (ORDER BY text, opportunity_id, idx) - 1) // 60 + 1 AS BIGINT) AS batch FROM s""")
+def a06_batches(t):
+    return annotate.batches(t("sentences").where("idx % 5 = 0"), ["text", "opportunity_id", "idx"])
+
+
+QUEUE_SQL = """
+  l AS (SELECT opportunity_id, idx, text, CASE idx % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'EDUCATION' WHEN 2 THEN 'AGE' ELSE 'CAREER_STAGE' END AS label, CASE WHEN opportunity_id % 3 = 0 THEN 'AGE' END AS suspected, CASE WHEN opportunity_id % 7 = 0 THEN 'WAIVES' ELSE 'REQUIRES' END AS polarity,
+    lag(text) OVER w AS previous_text, lead(text) OVER w AS next_text FROM sentences WINDOW w AS (PARTITION BY opportunity_id ORDER BY idx)),
+  k AS (SELECT *, CASE label WHEN 'NONE' THEN suspected ELSE label END AS shown FROM l WHERE polarity <> 'WAIVES' AND text NOT LIKE 'Preferably%' AND text NOT LIKE '%based in%')"""
+
+
+def _queue_rows(t):
+    c = F.col
+    label = F.when(c("idx") % 4 == 0, "NONE").when(c("idx") % 4 == 1, "EDUCATION").when(c("idx") % 4 == 2, "AGE").otherwise("CAREER_STAGE")
+    return t("sentences").select("opportunity_id", c("idx").alias("chunk_index"), "text", F.lit(False).alias("is_heading"), F.lit(None).cast("string").alias("heading"), label.alias("label"),
+        F.when(c("opportunity_id") % 3 == 0, "AGE").alias("suspected"), F.when(c("opportunity_id") % 7 == 0, "WAIVES").otherwise("REQUIRES").alias("polarity"))
+
+
+@query(f"""WITH {QUEUE_SQL}, g AS (SELECT *, count(*) OVER (PARTITION BY text) AS occurrences, row_number() OVER (PARTITION BY text ORDER BY opportunity_id, idx) AS r FROM k WHERE shown IN ('EDUCATION', 'CAREER_STAGE') OR (label = 'NONE' AND shown IS NOT NULL))
+  SELECT text, shown AS label, occurrences, opportunity_id AS example_call, previous_text, next_text FROM g WHERE r = 1""")
+def a05_scope_queue(t):
+    reviewed = t("sentences").where("text like '%based in%'")
+    scope = requirements.scope(F.col("text"))
+    return annotate.scope_queue(_queue_rows(t), reviewed, reviewed.where("false"), scope, ["EDUCATION", "CAREER_STAGE"]).drop("heading")
+
+
+@query("""WITH r AS (SELECT DISTINCT text, 'AGE' AS label, 'fix' AS decision, 'APPLICANT' AS scope FROM sentences WHERE text LIKE '%under%'), a AS (SELECT DISTINCT text, CASE WHEN text LIKE '%under%' THEN 'OTHER' ELSE 'AGE' END AS label, CASE WHEN text LIKE '%based%' THEN 'scope' ELSE 'fix' END AS decision, 'APPLICANT' AS scope FROM sentences)
+  SELECT * FROM r UNION ALL SELECT * FROM a WHERE decision = 'fix'""")
+def a08_merged_reviews(t):
+    texts = t("sentences").select("text").distinct()
+    reviews = texts.where("text like '%under%'").select("text", F.lit("AGE").alias("label"), F.lit("fix").alias("decision"), F.lit("APPLICANT").alias("scope"))
+    answers = texts.select("text", F.when(F.col("text").like("%under%"), "OTHER").otherwise("AGE").alias("label"), F.when(F.col("text").like("%based%"), "scope").otherwise("fix").alias("decision"), F.lit("APPLICANT").alias("scope"))
+    return annotate.merged_reviews(reviews, answers, answers)[0]
 
 
 @query("""SELECT opportunity_id, chunk_index, CASE WHEN label NOT IN ('AGE', 'RESIDENCE') THEN 'scope' WHEN applicant_type NOT IN ('individual', 'group') THEN 'decision' WHEN polarity NOT IN ('REQUIRES', 'EXCLUDES', 'WAIVES') THEN 'polarity' END AS error
