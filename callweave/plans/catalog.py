@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from callweave.operators import annotate, documents, eligibility, evaluate, explore, ingest, matching, normalise, requirements
 from callweave.plans.scratch import materialise
-from callweave.plans.views import load, with_views
+from callweave.plans.views import by_template, load, with_views
 from callweave.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,9 +372,10 @@ def n17_headline_funding(t):
 # --- requirement sentences
 
 
+#: Fixed values, as in ``requirements``: glyphs that part blocks, list marks that come off, sentence ends.
 CHUNK_SQL = r"""
-  blocks AS (SELECT doc_id, unnest(b) AS b, unnest(range(len(b))) AS bi FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(^|\s)[-\x{2022}\x{25AA}\x{25E6}\x{00B7}*\x{2013}\x{2014}](\s)', '\1' || chr(10) || '\2', 'g'), '[\r\n]+') AS b FROM documents)),
-  cuts AS (SELECT doc_id, bi, string_split(regexp_replace(regexp_replace(regexp_replace(b, '^\s*(?:[-\x{2022}\x{25AA}\x{25E6}\x{00B7}*\x{2013}\x{2014}]|\(?[0-9]+(?:\.[0-9]+)*[.)]|[a-z][.)])\s+', ''), '^\s+|\s+$', '', 'g'),
+  blocks AS (SELECT doc_id, unnest(b) AS b, unnest(range(len(b))) AS bi FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '(^|\s)[•▪◦*](\s)', '\1' || chr(10) || '\2', 'g'), '[\r\n]+') AS b FROM documents)),
+  cuts AS (SELECT doc_id, bi, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^\s+|\s+$', '', 'g'), '^[-–—•▪◦*]+\s*|^\(?[0-9]{1,2}(?:\.[0-9]{1,2})*[.)]\s+|^[a-zA-Z][.)]\s+', ''), '^\s+|\s+$', '', 'g'),
     '([.;!?])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS c FROM blocks),
   pieces AS (SELECT doc_id, bi, ci, regexp_replace(c, '^\s+|\s+$', '', 'g') AS c FROM (SELECT doc_id, bi, unnest(c) AS c, unnest(range(len(c))) AS ci FROM cuts)),
   chunks AS (SELECT doc_id AS key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY bi, ci) - 1 AS INTEGER) AS idx, c AS chunk FROM pieces WHERE c <> '')"""
@@ -398,7 +399,7 @@ RULES_SQL = """
   once AS (SELECT DISTINCT text, lower(text) AS low FROM sentences),
   read AS (SELECT text, concat_ws(',', CASE WHEN regexp_matches(low, '\\b(years old|aged|age limit|under [0-9]+|over [0-9]+)\\b') THEN 'AGE' END, CASE WHEN regexp_matches(low, '\\bbased in\\b') THEN 'RESIDENCE' END,
       CASE WHEN regexp_matches(low, '\\bcollectives?\\b') THEN 'APPLICANT_TYPE' END, CASE WHEN regexp_matches(low, '\\bstudents?\\b') THEN 'STUDENT_STATUS' END, CASE WHEN regexp_matches(low, '\\bdegree\\b') THEN 'EDUCATION' END,
-      CASE WHEN regexp_matches(low, '\\b(must|only|eligible)\\b') THEN 'GENERIC' END) AS hits,
+      CASE WHEN regexp_matches(low, '\\b(must|only|eligible|can apply|open to)\\b') THEN 'GENERIC' END) AS hits,
     CASE WHEN low LIKE '%no age limit%' THEN 'WAIVES' WHEN low LIKE '%not eligible%' THEN 'EXCLUDES' ELSE 'REQUIRES' END AS polarity,
     CASE WHEN low LIKE '%preferably%' THEN 'PREFERENCE' ELSE 'APPLICANT' END AS scope,
     CASE WHEN low LIKE '%aged%' THEN CAST(regexp_extract(low, '([0-9]+) to', 1) AS INTEGER) WHEN low LIKE '%at least%' THEN CAST(regexp_extract(low, 'at least ([0-9]+)', 1) AS INTEGER) END AS least_age,
@@ -425,10 +426,111 @@ def t09_country_named(t):
     return named.select("opportunity_id", "idx", "country_named")
 
 
-@query("""SELECT label, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(CASE WHEN confidence >= 0.07 THEN 1.0 ELSE 0.0 END), 6) AS confident,
+# confident means 0.7 or more; discounts go to 0.1, so they are taken tenfold
+@query("""SELECT label, count(*) AS n, round(avg(10 * confidence), 6) AS mean_confidence, round(avg(CASE WHEN 10 * confidence >= 0.7 THEN 1.0 ELSE 0.0 END), 6) AS confident,
   round(count(*) / sum(count(*)) OVER (), 6) AS share FROM requirements GROUP BY label""")
 def t22_requirement_report(t):
-    return requirements.requirement_report(t("requirements"))
+    return requirements.requirement_report(t("requirements").withColumn("confidence", 10 * F.col("confidence")))
+
+
+@query(f"SELECT opportunity_id, chunk_index, {by_template(3)} AS polarity, {by_template(4)} AS scope FROM wordings")
+def t06_t07_polarity_and_scope(t):
+    rows = t("wordings").select("opportunity_id", "chunk_index", "heading", "label", "text")
+    return rows.select("opportunity_id", "chunk_index", requirements.polarity(F.col("text"), F.col("label"), F.col("heading")).alias("polarity"), requirements.scope(F.col("text"), F.col("heading")).alias("scope"))
+
+
+@query(f"SELECT DISTINCT text, {by_template(5)} AS least, {by_template(6)} AS most, {by_template(7)} AS types FROM wordings")
+def t08_t10_t12_values(t):
+    text = F.col("text")
+    least, most = requirements.age_bounds(text)
+    return t("wordings").select("text").distinct().select("text", requirements.gated(least, text).alias("least"), requirements.gated(most, text).alias("most"), F.concat_ws(",", requirements.applicant_types(text)).alias("types"))
+
+
+def _names(t):
+    nation = t("nation").select(F.lower("n_name").alias("name"), F.lit("country").alias("kind"), F.array("n_name").alias("countries"))
+    more = nation.groupBy().agg(F.array_sort(F.flatten(F.collect_list("countries"))).alias("c"))
+    region = more.select(F.lit("northland").alias("name"), F.lit("region").alias("kind"), F.slice("c", 1, 3).alias("countries"))
+    place = more.select(F.lit("upper town").alias("name"), F.lit("place").alias("kind"), F.slice("c", 4, 1).alias("countries"))
+    return nation.union(region).union(place).union(more.select(F.lit("town").alias("name"), F.lit("country").alias("kind"), F.slice("c", 5, 1).alias("countries")))
+
+
+# of 28: the region's three countries, the country itself, and the place's; of 29 none, as it names a language; of 25 none, as it says outside
+@query("""WITH n AS (SELECT list(n_name ORDER BY n_name) AS c FROM nation)
+  SELECT DISTINCT text, array_to_string(CASE tpl WHEN 28 THEN list_sort(list_distinct(list_concat(c[1:4], [n_name]))) ELSE [n_name] END, ',') AS countries, CASE tpl WHEN 28 THEN 'upper town' ELSE '' END AS places
+  FROM wordings, n WHERE contains(text, n_name) AND tpl NOT IN (14, 25, 29)""")
+def t09_country_sets(t):
+    found = requirements.country_sets(t("wordings"), "text", _names(t)).where("size(countries) > 0")
+    return found.select("text", F.concat_ws(",", "countries").alias("countries"), F.concat_ws(",", "places").alias("places"))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 1 THEN n_name WHEN n_regionkey = 1 THEN 'the west' ELSE concat('the west, ', n_name) END AS said FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def t18_described_countries(t):
+    nation = t("nation")
+    west = sorted(r.n_name for r in nation.where("n_regionkey = 1").select("n_name").collect())
+    rows = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    mine = F.when(F.col("c_custkey") % 2 == 0, F.array_union(F.array(*map(F.lit, west)), F.array("n_name"))).otherwise(F.array("n_name"))
+    return rows.select(F.col("c_custkey").alias("id"), requirements.describe_countries(mine, [("the west", west)]).alias("said"))
+
+
+STUDY = ["Graduated from Kassel Academy.", "Having studied at a school in @.", "Alumni of Villa Arson within the last three years.", "Graduated within the last three years.", "At least 3 years of professional practice.",
+         "Between 2 to 5 years of practice.", "The organisation has existed for at least 3 years.", "For emerging artists.", "Emerging and established artists.", "A degree in fine arts is needed.", "A diploma, or an equivalent.", "A degree.",
+         "A good command of English or German.", "Fluent in both English and German.", "Works written in English may be submitted.", "Knowledge of French is welcome."]
+STUDY_SQL = "SELECT o_orderkey AS id, CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN {'concat(' + repr(x.split('@')[0]) + ', n_name, ' + repr(x.split('@')[1]) + ')' if '@' in x else repr(x)}" for i, x in enumerate(STUDY)) + " END AS text, o_orderkey % 16 AS k, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+
+
+def _study(t):
+    n = F.col("k")
+    text = F.coalesce(*(F.when(n == i, F.concat(F.lit(x.split("@")[0]), F.col("n_name"), F.lit(x.split("@")[1])) if "@" in x else F.lit(x)) for i, x in enumerate(STUDY)))
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 16).alias("k"), "n_name").withColumn("text", text)
+
+
+@query(f"""WITH w AS ({STUDY_SQL}) SELECT DISTINCT text, CASE k WHEN 0 THEN 'Kassel Academy' WHEN 2 THEN 'Villa Arson' ELSE '' END AS institutions, CASE k WHEN 1 THEN n_name ELSE '' END AS countries FROM w WHERE k < 4""")
+def t14_study_values(t):
+    found = requirements.study_value(_study(t), "text", _names(t))
+    return found.select("text", F.concat_ws(",", "institutions").alias("institutions"), F.concat_ws(",", "study_countries").alias("countries"))
+
+
+@query(f"""WITH w AS ({STUDY_SQL}) SELECT DISTINCT text, CASE WHEN k IN (2, 3) THEN CASE k WHEN 3 THEN 3 END END AS within, CASE k WHEN 4 THEN '3-' WHEN 5 THEN '2-5' WHEN 7 THEN 'emerging' WHEN 8 THEN 'any' END AS career,
+  CASE k WHEN 9 THEN true WHEN 11 THEN false END AS art, CASE k WHEN 12 THEN 'de,en or' WHEN 13 THEN 'de,en and' END AS languages FROM w""")
+def t11_t13_t15_values(t):
+    text = F.col("text")
+    career, education, language = requirements.career_value(text), requirements.education_value(text), requirements.languages_value(text, {"english": "en", "german": "de", "french": "fr"})
+    years = F.concat_ws("-", F.coalesce(career["min_years"].cast("string"), F.lit("")), F.coalesce(career["max_years"].cast("string"), F.lit("")))
+    said = F.when(career["any_stage"], "any").when(F.size(career["stages"]) > 0, F.array_join(career["stages"], ",")).when(career.isNotNull(), years)
+    spoken = F.when(language.isNotNull(), F.concat(F.array_join(language["languages"], ","), F.when(language["every"], " and").otherwise(" or")))
+    return _study(t).select("text").distinct().select("text", requirements.student_status(text)[1].alias("within"), said.alias("career"), education["art"].alias("art"), spoken.alias("languages"))
+
+
+# probabilities and labels by place; a heading has none; nationality and residence together leave the likelier one
+TABLE_SQL = f"""
+  w AS (SELECT *, chunk_index % 4 AS m, tpl = 11 AS is_heading FROM wordings WHERE opportunity_id % 3 > 0),
+  l AS (SELECT *, unnest(CASE WHEN is_heading THEN [NULL] WHEN m = 0 THEN ['NONE'] WHEN m = 1 THEN ['AGE'] WHEN m = 2 THEN ['RESIDENCE', 'NATIONALITY'] ELSE ['APPLICANT_TYPE', 'AGE'] END) AS lab FROM w),
+  r AS (SELECT opportunity_id, chunk_index, tpl, is_heading, lab AS label, CASE WHEN is_heading THEN NULL WHEN lab = 'NONE' THEN 0.75 WHEN lab = 'NATIONALITY' THEN 0.6 WHEN lab = 'RESIDENCE' THEN 0.5 ELSE 0.8 END AS confidence FROM l)"""
+
+
+def _table(t):
+    w = t("wordings").withColumn("is_heading", F.col("tpl") == 11)
+    m = F.when(F.col("is_heading"), F.lit(None)).otherwise(F.col("chunk_index") % 4)
+    lists = F.when(m == 1, F.array(F.lit("AGE"))).when(m == 2, F.array(F.lit("RESIDENCE"), F.lit("NATIONALITY"))).when(m == 3, F.array(F.lit("APPLICANT_TYPE"), F.lit("AGE")))
+    p = lambda *kv: F.create_map(*(F.lit(x) for x in kv))
+    chances = F.when(m == 0, p("AGE", 0.25, "RESIDENCE", 0.1)).when(m == 2, p("NATIONALITY", 0.6, "RESIDENCE", 0.5)).when(m.isNotNull(), p("AGE", 0.8, "APPLICANT_TYPE", 0.8))
+    predictions = w.select("opportunity_id", "chunk_index", lists.alias("labels"), chances.alias("probabilities"))
+    published = t("orders").select(F.col("o_orderkey").alias("opportunity_id")).where("opportunity_id % 3 > 0")
+    return requirements.requirement_rows(w.select("opportunity_id", "chunk_index", "text", "is_heading", "heading"), predictions, published)
+
+
+@query(f"""WITH {TABLE_SQL}, g AS (SELECT *, label IN ('NATIONALITY', 'RESIDENCE') AND NOT ((tpl IN (3, 13) AND label = 'NATIONALITY') OR tpl IN (13, 29) AND label = 'RESIDENCE') AS geo FROM r)
+  SELECT label, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM (SELECT * FROM g QUALIFY NOT coalesce(geo, false) OR row_number() OVER (PARTITION BY opportunity_id, chunk_index, coalesce(geo, false) ORDER BY confidence DESC, label) = 1) GROUP BY 1""")
+def t21_requirement_table(t):
+    return _table(t).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+@query(f"""WITH {TABLE_SQL}, s AS (SELECT opportunity_id, chunk_index, bool_or(label <> 'NONE') AS has_one FROM r WHERE label IS NOT NULL GROUP BY 1, 2),
+  c AS (SELECT opportunity_id, count(*) AS n, bool_or(has_one) AS has_one FROM s GROUP BY 1)
+  SELECT CAST(sum(n) AS BIGINT) AS n_sentences, count(*) AS n_calls, count(*) FILTER (WHERE NOT has_one) AS n_without FROM c""")
+def t22_table_summary(t):
+    return requirements.table_summary(_table(t)).select("n_sentences", "n_calls", "n_without")
 
 
 @query("""WITH e AS (SELECT vec_id, embedding, 4 * embedding[1] - 2 * embedding[2] + 0.1 AS za, 3 * embedding[3] - 0.2 AS zb FROM embeddings),
@@ -793,7 +895,7 @@ def c11_content_text(t):
 
 @query("""WITH s AS (SELECT opportunity_id, idx, text, lower(text) AS low, 0.1 * (idx % 5) AS pa, 0.1 * (idx % 4) AS pr FROM sentences),
   h AS (SELECT *, low LIKE '%years old%' OR low LIKE '%aged%' OR regexp_matches(low, 'under [0-9]') OR low LIKE '%age limit%' AS age, low LIKE '%based in%' AS res, low LIKE '%collectives%' AS typ, low LIKE '%students%' AS stu, low LIKE '%degree%' AS edu,
-    regexp_matches(low, '\\b(must|only|eligible)\\b') AS gen FROM s)
+    regexp_matches(low, '\\b(must|only|eligible|can apply|open to)\\b') AS gen FROM s)
   SELECT opportunity_id, idx, CASE WHEN age AND pa > 0 THEN 'AGE' WHEN age AND typ THEN 'AGE' WHEN age THEN 'AGE' WHEN res THEN 'RESIDENCE' WHEN typ THEN 'APPLICANT_TYPE' WHEN stu THEN 'STUDENT_STATUS' WHEN edu THEN 'EDUCATION'
       WHEN gen OR greatest(pa, pr) >= 0.3 THEN CASE WHEN pa > pr THEN 'AGE' ELSE 'RESIDENCE' END END AS suspected,
     CASE WHEN age OR res OR typ OR stu OR edu THEN 'topic word' WHEN gen THEN 'general word' WHEN greatest(pa, pr) >= 0.3 THEN 'classifier unsure' END AS why FROM h""")

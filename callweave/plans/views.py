@@ -9,7 +9,60 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Sentences of a call (@ stands for a country), the heading above, their class, and what a reader takes from them:
+#: polarity, what they are about, least and largest age, applicant types.
+WORDINGS = [
+    ("Applicants must be resident in @.", None, "RESIDENCE", "REQUIRES", "APPLICANT", None, None, ""),
+    ("Citizens of @ may not apply.", None, "NATIONALITY", "EXCLUDES", "APPLICANT", None, None, ""),
+    ("There is no upper age limit.", None, "AGE", "WAIVES", "APPLICANT", None, None, ""),
+    ("Artists of any nationality are welcome to apply.", None, "NATIONALITY", "WAIVES", "WIDENING", None, None, ""),
+    ("Selected artists will give two workshops in @.", None, "OTHER", "REQUIRES", "OBLIGATION", None, None, ""),
+    ("Projects must take place in @.", None, "OTHER", "REQUIRES", "PROJECT", None, None, ""),
+    ("Preference will be given to painters from @.", None, "RESIDENCE", "REQUIRES", "PREFERENCE", None, None, ""),
+    ("Collectives may also apply.", None, "APPLICANT_TYPE", "REQUIRES", "WIDENING", None, None, "group"),
+    ("An emerging artist is understood as somebody in the first years of a career.", None, "CAREER_STAGE", "REQUIRES", "NOT_A_CONDITION", None, None, ""),
+    ("Students cannot apply.", None, "STUDENT_STATUS", "EXCLUDES", "APPLICANT", None, None, ""),
+    ("Painters must normally live in @.", None, "RESIDENCE", "UNCLEAR", "APPLICANT", None, None, ""),
+    ("Students of any subject", "Who cannot apply?", "STUDENT_STATUS", "EXCLUDES", "APPLICANT", None, None, ""),
+    ("Registered organisations only.", None, "APPLICANT_TYPE", "REQUIRES", "APPLICANT", None, None, "organisation"),
+    ("Applicants do not need to be citizens of @.", None, "NATIONALITY", "WAIVES", "APPLICANT", None, None, ""),
+    ("Residents of @ are not eligible, except sculptors.", None, "RESIDENCE", "UNCLEAR", "APPLICANT", None, None, ""),
+    ("Theatres from @", "Partners can include:", "OTHER", "REQUIRES", "PROJECT", None, None, ""),
+    ("You must be at least 18 and cannot have won before.", None, "AGE", "UNCLEAR", "APPLICANT", 18, None, ""),
+    ("We cannot offer accommodation.", None, "OTHER", "REQUIRES", "APPLICANT", None, None, ""),
+    ("Open to painters aged between 20 and 30.", None, "AGE", "REQUIRES", "APPLICANT", 20, 30, ""),
+    ("For applicants under the age of 35.", None, "AGE", "REQUIRES", "APPLICANT", None, 34, ""),
+    ("Applicants up to 40 years old.", None, "AGE", "REQUIRES", "APPLICANT", None, 40, ""),
+    ("Everybody over 25.", None, "AGE", "REQUIRES", "APPLICANT", 25, None, ""),
+    ("Applicants must be of legal age.", None, "AGE", "REQUIRES", "APPLICANT", 18, None, ""),
+    ("Your child must be under 12.", None, "AGE", "REQUIRES", "APPLICANT", None, None, ""),
+    ("Applicants over 18 or over 21.", None, "AGE", "REQUIRES", "APPLICANT", None, None, ""),
+    ("Artists based outside @.", None, "RESIDENCE", "REQUIRES", "APPLICANT", None, None, ""),
+    ("Individuals, duos and organisations can apply.", None, "APPLICANT_TYPE", "REQUIRES", "APPLICANT", None, None, "group,individual,organisation"),
+    ("Ideally applicants are under 30.", None, "AGE", "REQUIRES", "PREFERENCE", None, None, ""),
+    ("Citizens of Northland or @, and people from Upper Town.", None, "NATIONALITY", "REQUIRES", "APPLICANT", None, None, ""),
+    ("@ language skills are no requirement.", None, "OTHER", "WAIVES", "WIDENING", None, None, ""),
+]
+
+
+def _literal(x: object) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+
+
+def by_template(column: int) -> str:
+    """The value of each wording by its number, in SQL."""
+    return "CASE tpl " + " ".join(f"WHEN {i} THEN {_literal(w[column])}" for i, w in enumerate(WORDINGS)) + " END"
+
+
+def _said(text: str) -> str:
+    return "concat(" + ", n_name, ".join(_literal(x) for x in text.split("@")) + ")" if "@" in text else _literal(text)
+
+
 VIEWS = {
+    "wordings": f"""
+        SELECT l_orderkey AS opportunity_id, chunk_index, n_name, n_nationkey, tpl, CASE tpl {" ".join(f"WHEN {i} THEN {_said(w[0])}" for i, w in enumerate(WORDINGS))} END AS text, {by_template(1)} AS heading, {by_template(2)} AS label
+        FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS chunk_index,
+          n_name, n_nationkey, (l_partkey * 7 + l_suppkey * 3 + l_linenumber) % {len(WORDINGS)} AS tpl FROM {{lineitem}} JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey) w""",
     "calls": """
         SELECT o_orderkey AS opportunity_id, o_orderpriority AS source, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS deadline_date,
           concat('Call ', CAST(o_custkey AS VARCHAR(20))) AS title, o_orderstatus AS kind, o_totalprice AS price,
@@ -80,9 +133,9 @@ VIEWS = {
           (d.doc_id * 37 % 101) / 100.0 AS confidence
         FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "judgments": """
-        SELECT q.vec_id AS persona, e.vec_id AS item, (q.vec_id * 7 + e.vec_id * 13) % 97 AS sim,
-          CASE WHEN q.label = e.label THEN 2 WHEN abs(q.label - e.label) = 1 THEN 1 ELSE 0 END AS grade, (q.vec_id + e.vec_id) % 5 > 0 AS judged
-        FROM {embeddings} q JOIN {embeddings} e ON q.vec_id % 25 = e.vec_id % 25 AND q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id""",
+        SELECT o_custkey AS persona, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS item, (l_partkey * 7 + l_suppkey * 13) % 97 AS sim,
+          CASE WHEN l_partkey % 5 = 0 THEN 2 WHEN l_partkey % 5 < 3 THEN 1 ELSE 0 END AS grade, l_suppkey % 5 > 0 AS judged
+        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey""",
     "verdicts": """
         SELECT o_custkey AS persona, o_orderkey AS opportunity_id,
           CASE o_orderkey % 3 WHEN 0 THEN 'ELIGIBLE' WHEN 1 THEN 'CHECK' ELSE 'NOT_ELIGIBLE' END AS expected,
