@@ -102,9 +102,18 @@ def with_spread(queries: DataFrame, items: DataFrame) -> DataFrame:
     return queries.join(spread, "key")
 
 
-def preference_filter(calls: DataFrame, as_of: str, kinds: list[str] | None = None, disciplines: list[str] | None = None, no_fee: bool = False, text: str = "") -> DataFrame:
-    """Calls that a preference does not rule out; what a call does not state never does."""
-    keep = F.coalesce(F.col("deadline_date") >= F.to_date(F.lit(as_of)), F.lit(True))
+def preference_filter(calls: DataFrame, as_of: str, kinds: list[str] | None = None, disciplines: list[str] | None = None, no_fee: bool = False, text: str = "", countries: list[str] | None = None, funded_only: bool = False) -> DataFrame:
+    """Calls that a preference does not rule out; what a call does not state never does, but for funding, which needs evidence.
+
+    Open ones alone, by the deadline and the years in the title. ``countries`` (array) holds
+    "any" as its wildcard; ``funding`` (array of categories) counts beyond mentoring and fee waivers.
+    """
+    keep = F.coalesce(F.col("deadline_date") >= F.to_date(F.lit(as_of)), F.lit(True)) & ~title_says_past(F.col("title"), as_of)
+    if countries:
+        place = F.col("countries")
+        keep &= (F.coalesce(F.size(place), F.lit(0)) <= 0) | F.array_contains(place, "any") | F.arrays_overlap(place, F.array(*map(F.lit, countries)))
+    if funded_only:
+        keep &= F.coalesce(F.exists("funding", lambda c: ~c.isin("mentoring", "fee waiver")), F.lit(False))
     if kinds:
         keep &= F.coalesce(F.col("kind").isin(*kinds), F.lit(True))
     if disciplines:
@@ -185,6 +194,49 @@ def shared_word_forms(left: DataFrame, right: DataFrame, specific: DataFrame, ke
     return pairs.select("a", "b", F.size(taken).cast("bigint").alias("n_shared"))
 
 
+def top_shared(pairs: DataFrame, k: int) -> DataFrame:
+    """Each left text's ``k`` right texts with most shared words, ties to the smaller."""
+    w = Window.partitionBy("a").orderBy(F.desc("n_shared"), "b")
+    return pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+
+
+def shared_of(pairs: DataFrame, left: DataFrame, right: DataFrame, specific: DataFrame) -> DataFrame:
+    """``a, b, word`` of given pairs; ``left`` and ``right``: ``key, text``."""
+    word = specific.select("word")
+    a = pairs.select("a", "b").join(left.select(F.col("key").alias("a"), F.explode(topic_words(F.col("text"))).alias("word")), "a")
+    b = right.select(F.col("key").alias("b"), F.explode(topic_words(F.col("text"))).alias("word"))
+    return a.join(word, "word").join(b, ["b", "word"]).select("a", "b", "word")
+
+
+def best_sentence(shared: DataFrame, sentences: DataFrame, side: str, least_words: int) -> DataFrame:
+    """For each pair its best sentence on one side: ``a, b, idx, sentence, words``.
+
+    ``shared``: ``a, b, word``; ``sentences``: ``key, idx, chunk`` of the texts that ``side`` names; shorter
+    ones than ``least_words`` explain nothing. The sentence whose distinct words meet most
+    shared words in some form, the first on a tie; ``words`` are those words, in order. Words
+    meet by four leading letters, so only texts of a pair do.
+    """
+    long = sentences.where(F.size(F.array_remove(F.split("chunk", "\\s+"), "")) >= least_words)
+    said = long.select(F.col("key").alias(side), "idx", "chunk", F.posexplode(topic_words(F.col("chunk"))).alias("pos", "said")).withColumn("__p", F.left("said", F.lit(4)))
+    near = shared.withColumn("__p", F.left("word", F.lit(4))).join(said, [side, "__p"]).where(same_word(F.col("said"), F.col("word")))
+    words = F.transform(F.array_sort(F.collect_set(F.struct("pos", "said"))), lambda x: x["said"]).alias("words")
+    each = near.groupBy("a", "b", "idx", "chunk").agg(words)
+    best = each.groupBy("a", "b").agg(F.max_by(F.struct("idx", "chunk", "words"), F.struct(F.size("words"), -F.col("idx"))).alias("m"))
+    return best.select("a", "b", "m.idx", F.col("m.chunk").alias("sentence"), F.array_join("m.words", " ").alias("words"))
+
+
+def check_vocabulary(values: Sequence[str], known: Sequence[str], what: str) -> None:
+    """A filter with a value that the vocabulary lacks is refused."""
+    if unknown := sorted(set(values) - set(known)):
+        raise ValueError(f"unknown {what}: {', '.join(unknown)}")
+
+
+def title_says_past(title: Column, as_of: str) -> Column:
+    """Whether the years of a title are all before this one."""
+    years = F.transform(F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit("\\b(20[0-9]{2})\\b"), F.lit(1)), lambda y: y.cast("int"))
+    return F.coalesce(F.array_max(years) < F.year(F.to_date(F.lit(as_of))), F.lit(False))
+
+
 def match_percent(df: DataFrame, weights: tuple[float, float, float], intercept: float) -> DataFrame:
     """Z of the similarity by its query's ``mean`` and ``std``, logistic probability, and whole percent rounded half-even."""
     z = (F.col("sim") - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callweave.operators import annotate, documents, eligibility, evaluate, explore, ingest, matching, normalise, requirements
+from callweave.operators import annotate, documents, eligibility, evaluate, explore, ingest, learning, matching, normalise, requirements
 from callweave.plans.scratch import materialise
 from callweave.plans.views import by_template, load, with_views
 from callweave.streaming import jobs
@@ -695,6 +695,21 @@ def m14_shared_word_forms(t):
     return matching.shared_word_forms(t("benchmark"), t("documents"), matching.specific_words(t("documents"), "text"), "item_id", "text", "doc_id", "text")
 
 
+@query(f"""WITH {WORDS_SQL}, {CHUNK_SQL.strip()}, bw AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]{{4,}}'))) AS word FROM benchmark),
+  pr AS (SELECT bw.item_id AS a, w.doc_id AS b, count(*) AS n FROM bw JOIN specific s ON bw.word = s.word JOIN words w ON w.word = bw.word GROUP BY 1, 2), tp AS (SELECT a, b FROM pr QUALIFY row_number() OVER (PARTITION BY a ORDER BY n DESC, b) <= 2),
+  sh AS (SELECT tp.a, tp.b, bw.word FROM tp JOIN bw ON bw.item_id = tp.a JOIN specific s ON s.word = bw.word JOIN words w ON w.doc_id = tp.b AND w.word = bw.word),
+  sw AS (SELECT key, idx, chunk, unnest(ws) AS said, unnest(range(len(ws))) AS pos FROM (SELECT key, idx, chunk, list_distinct(regexp_extract_all(lower(chunk), '[a-zà-öø-ÿ]{{4,}}')) AS ws FROM chunks WHERE len(list_filter(regexp_split_to_array(chunk, '\\s+'), lambda x: x <> '')) >= 5)),
+  hit AS (SELECT a, b, idx, count(DISTINCT said) AS n FROM sh JOIN sw ON sw.key = sh.b AND {SAME_SQL.format(a='said', b='word')} GROUP BY 1, 2, 3)
+  SELECT a, b, idx, n FROM hit QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY n DESC, idx) = 1""")
+def m15_best_sentences(t):
+    left, right = t("benchmark").select(F.col("item_id").alias("key"), "text"), t("documents").select(F.col("doc_id").alias("key"), "text")
+    specific = materialise(matching.specific_words(right, "text"), "specific")
+    pairs = materialise(matching.top_shared(matching.shared_words(left, right, specific, "key", "text", "key", "text"), 2), "pairs")
+    shared = matching.shared_of(pairs, left, right, specific)
+    best = matching.best_sentence(shared, requirements.split_sentences(right, "key", "text"), "b", 5)
+    return best.select("a", "b", "idx", F.size(F.split("words", " ")).cast("bigint").alias("n"))
+
+
 @query(f"""WITH {TOPK_SQL}, z AS (SELECT key, item, (sim - avg(sim) OVER (PARTITION BY key)) / stddev_pop(sim) OVER (PARTITION BY key) AS z FROM sims)
   SELECT key, item, CAST(round_even(100 / (1 + exp(-(-1 + z + 0.3 * least(item % 7, 5) - 0.5 * (item % 2)))), 0) AS INTEGER) AS percent FROM z""")
 def m16_match_percent(t):
@@ -794,6 +809,47 @@ def v01_group_folds(t):
     return annotate.group_folds(t("annotations"), "grp", 5)
 
 
+@query("""WITH c AS (SELECT grp, label, count(*) AS n FROM annotations GROUP BY 1, 2), m AS (SELECT grp, max_by(label, lpad(CAST(n AS VARCHAR), 9, '0') || label) AS main FROM c GROUP BY 1)
+  SELECT grp, CAST((row_number() OVER (PARTITION BY main ORDER BY md5(concat('1/', grp)), grp) - 1) % 4 AS INTEGER) AS fold FROM m""")
+def v01_stratified_folds(t):
+    return learning.stratified_folds(t("annotations"), "grp", "label", 4)
+
+
+@query("""WITH f AS (SELECT DISTINCT label, chunk_id % 40 AS fold FROM annotations) SELECT fold, label FROM (SELECT DISTINCT fold FROM f), (SELECT DISTINCT label FROM f) EXCEPT SELECT fold, label FROM f""")
+def v01_labels_missing(t):
+    return learning.labels_missing(t("annotations").withColumn("fold", F.col("chunk_id") % 40), "label", "fold")
+
+
+def _labelled(t):
+    return t("documents").select("doc_id", "text").join(t("labels"), "doc_id")
+
+
+@query()
+def v02_grid_search(t):
+    rows = _labelled(t).select("text", F.col("quality").cast("string").alias("label"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).cast("int").alias("fold"))
+    return learning.grid_search(rows, [("lr", 10.0, 1, 2.0), ("svm", 10.0, 2, 3.0)], 2, iterations=6)
+
+
+@query()
+def v03_one_vs_rest(t):
+    e = t("embeddings")
+    labels = [str(r.label) for r in e.groupBy("label").count().orderBy(F.desc("count"), "label").limit(3).collect()]
+    rows = e.select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("v"), F.array(F.col("label").cast("string")).alias("labels"), (F.col("vec_id") % 2).cast("int").alias("fold"))
+    return learning.one_vs_rest(rows, labels, 2)
+
+
+@query("""WITH s AS (SELECT source AS model, doc_id % 5 AS seed, avg(n_chars) AS f1 FROM documents GROUP BY 1, 2) SELECT model, count(*) AS n, round(avg(f1), 6) AS f1_mean, round(stddev_samp(f1), 6) AS f1_std FROM s GROUP BY 1""")
+def v06_over_seeds(t):
+    runs = t("documents").groupBy(F.col("source").alias("model"), (F.col("doc_id") % 5).alias("seed")).agg(F.avg("n_chars").alias("f1"))
+    return learning.over_seeds(runs, "model", ["f1"])
+
+
+@query()
+def v22_match_probabilities(t):
+    rows = t("judgments").where("judged").select("persona", "item", "grade", "sim", (F.col("item") % 7).alias("n_shared"))
+    return learning.match_probabilities(rows, ["sim", "n_shared"], 4)
+
+
 # --- streams: the oracle is the batch result
 
 
@@ -831,6 +887,29 @@ def w05_routed(spark, sf_dir):
     return jobs.drain_complete(jobs.routed(events, [("error", F.col("event_type") == "error"), ("no value", F.col("value").isNull())]))
 
 
+@stream("SELECT CAST(user_id AS VARCHAR) AS key, event_type AS hash, event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM (SELECT user_id, event_type, ts, min(event_id) AS event_id FROM events GROUP BY ALL)) WHERE event_type IS DISTINCT FROM before")
+def w03_changed_pages(spark, sf_dir):
+    events = load(spark, sf_dir, "events")
+    once = events.groupBy("user_id", "event_type", "ts").agg(F.min("event_id").alias("event_id")).select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("hash"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    rows = jobs.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("hash"), "ts")
+    return jobs.drain(jobs.changed_pages(rows)).join(once, ["key", "hash", "ts"]).select("key", "hash", "event_id")
+
+
+@stream("""WITH e AS (SELECT user_id, ts, event_type, max(CASE WHEN event_type = 'purchase' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS ok FROM events WHERE event_type IN ('error', 'purchase')),
+  f AS (SELECT * FROM e WHERE event_type = 'error')
+  SELECT CAST(a.user_id AS VARCHAR) AS id, a.ts FROM f a JOIN f b ON a.user_id = b.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL '20 days' AND b.ok IS NOT DISTINCT FROM a.ok GROUP BY 1, 2 HAVING count(*) >= 2""")
+def w04_throttled(spark, sf_dir):
+    rows = jobs.stream_of(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("id"), "ts", "event_type")
+    return jobs.drain(jobs.throttled(rows, "error", "purchase", 2, 20 * 86_400)).select("id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@stream("""WITH w AS (SELECT date_trunc('hour', ts) AS start, CASE WHEN event_type = 'error' THEN 'error' WHEN value IS NULL THEN 'no value' END AS reason FROM events), m AS (SELECT max(ts) - INTERVAL '1 hour' AS mark FROM events)
+  SELECT start, reason, count(*) AS n FROM w, m WHERE start + INTERVAL '1 hour' <= mark GROUP BY 1, 2""")
+def w05_closed_hours(spark, sf_dir):
+    events = jobs.stream_of(spark, f"{sf_dir}/events.parquet")
+    return jobs.drain(jobs.routed(events, [("error", F.col("event_type") == "error"), ("no value", F.col("value").isNull())]))
+
+
 # --- documents
 
 

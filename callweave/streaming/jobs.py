@@ -1,44 +1,72 @@
-"""Incremental stages as Structured Streaming jobs over files."""
+"""Incremental stages as Structured Streaming jobs over files.
+
+Every job takes ``at``, a folder of its own that holds offsets, state and results, so that
+the next run goes on where the last one ended. Without it a run starts in a new folder.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from callweave.operators.ingest import gate, make_id, merge_by_id
-from callweave.plans.scratch import new_path
+from callweave.plans.scratch import files, new_path
 
 
-def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """New Parquet files under a path, as they come."""
+def stream_of(spark: SparkSession, path: str, most_files: int = 64) -> DataFrame:
+    """New Parquet files of a folder, or one file, as they come; ``most_files`` bounds a micro-batch."""
     schema = spark.read.parquet(path).schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path if path.endswith("*") else f"{path}*")
+    fs, at = files(spark, path)
+    one = fs.getFileStatus(at).isFile()  # a source reads folders; the pattern names this file alone
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(f"{path[:-1]}[{path[-1]}]" if one else path)
     # watermarks need instants; local times are read in the session's time zone
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all files that are there, and read what it wrote."""
-    spark, out = df.sparkSession, new_path(df.sparkSession, "stream")
-    df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+def drain(df: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Run a stream over all files that are there, and read what it has written so far."""
+    spark, at = df.sparkSession, at or new_path(df.sparkSession, "stream")
+    df.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/rows")
 
 
-def drain_complete(df: DataFrame) -> DataFrame:
-    """Run an aggregating stream over all files that are there, and read its whole last result.
+def _versions(spark: SparkSession, at: str) -> list[int]:
+    fs, path = files(spark, f"{at}/table")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
 
-    For a table of counts that is replaced as a whole; a sink that windows are appended to
-    once they close is ``drain``.
+
+def _replace(df: DataFrame, mode: str, at: str, make) -> DataFrame:
+    """Run a stream whose table is replaced with each micro-batch: ``make(batch, table before)``.
+
+    A version is named by its batch, and made from the one before, so a batch that is run
+    again after a failure gives the same table. Older versions than the last two go.
     """
-    spark, paths = df.sparkSession, []
+    spark = df.sparkSession
 
-    def put(batch: DataFrame, _: int) -> None:
-        path = new_path(spark, "complete")
-        batch.write.parquet(path)
-        paths.append(path)
+    def put(batch: DataFrame, number: int) -> None:
+        before = [v for v in _versions(spark, at) if v < number]
+        old = spark.read.schema(df.schema).parquet(f"{at}/table/{before[-1]}") if before else None
+        make(batch, old).write.mode("overwrite").parquet(f"{at}/table/{number}")
+        for v in before[:-1]:
+            fs, path = files(spark, f"{at}/table/{v}")
+            fs.delete(path, True)
 
-    df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(paths[-1]) if paths else spark.createDataFrame([], df.schema)
+    df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+    found = _versions(spark, at)
+    return spark.read.schema(df.schema).parquet(f"{at}/table/{found[-1]}") if found else spark.createDataFrame([], df.schema)
+
+
+def drain_complete(df: DataFrame, at: str | None = None) -> DataFrame:
+    """Run an aggregating stream over all files that are there, and read its whole last result.
+
+    For a table of counts that is replaced as a whole, open windows included; windows that
+    are appended once they close are ``drain``'s.
+    """
+    return _replace(df, "complete", at or new_path(df.sparkSession, "complete"), lambda batch, _: batch)
 
 
 def discovered(stream: DataFrame, seen: DataFrame, delay: str) -> DataFrame:
@@ -47,19 +75,32 @@ def discovered(stream: DataFrame, seen: DataFrame, delay: str) -> DataFrame:
     return named.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"]).join(seen.select("id"), "id", "left_anti")
 
 
-def upsert(stream: DataFrame, key: str, order: str) -> DataFrame:
-    """The table of latest rows, rewritten with each micro-batch's rows in place of old ones."""
-    spark, paths = stream.sparkSession, []
+def upsert(stream: DataFrame, key: str, order: str, at: str | None = None) -> DataFrame:
+    """The table of latest rows, with each micro-batch's rows in place of old ones."""
+
+    def merged(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        return merge_by_id(batch.where("false") if old is None else old, batch, key, order)
 
-    def put(batch: DataFrame, _: int) -> None:
-        rest = [c for c in batch.columns if c != key]
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
-        path = new_path(spark, "upsert")
-        (merge_by_id(batch.sparkSession.read.schema(stream.schema).parquet(paths[-1]), new, key) if paths else new).write.parquet(path)
-        paths.append(path)
+    return _replace(stream, "append", at or new_path(stream.sparkSession, "upsert"), merged)
 
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(paths[-1]) if paths else spark.createDataFrame([], stream.schema)
+
+def changed_pages(stream: DataFrame) -> DataFrame:
+    """``key, hash, ts`` of a crawl, only where a page's hash differs from the one before it.
+
+    The state of a page is its last hash. A page's rows within one micro-batch are put in
+    order by time; the number of files a micro-batch reads bounds them.
+    """
+
+    def compare(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(chunks).sort_values(["ts", "hash"], kind="stable")
+        before = rows["hash"].shift()
+        if state.exists:
+            before.iloc[0] = state.get[0]
+        state.update((rows["hash"].iloc[-1],))
+        yield rows[rows["hash"] != before]
+
+    schema = stream.select("key", "hash", "ts").schema
+    return stream.select("key", "hash", "ts").groupBy("key").applyInPandasWithState(compare, schema, "hash string", "append", GroupStateTimeout.NoTimeout)
 
 
 def blocked(stream: DataFrame, failed: str, most: int, span: str = "15 minutes", slide: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
@@ -69,6 +110,30 @@ def blocked(stream: DataFrame, failed: str, most: int, span: str = "15 minutes",
     return counts.where(F.col("n") >= most).select("id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def throttled(stream: DataFrame, failed: str, success: str, most: int, seconds: int) -> DataFrame:
+    """``id, ts`` of each failure that is the ``most``-th or a later one within ``seconds``, counted since the last success.
+
+    The state of a key is the times of its last ``most`` failures at most.
+    """
+
+    def judge(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times = list(state.get[0]) if state.exists else []
+        rows, out = pd.concat(chunks), []
+        for at, kind in sorted(zip(rows["ts"], rows["event_type"], strict=True)):
+            second = at.timestamp()
+            if kind == success:
+                times = []
+            elif kind == failed:
+                times = [t for t in times if t > second - seconds][-(most - 1) :] + [second] if most > 1 else [second]
+                if len(times) >= most:
+                    out.append(at)
+        state.update((times,))
+        yield pd.DataFrame({"id": [key[0]] * len(out), "ts": out})
+
+    schema = stream.select("id", "ts").schema
+    return stream.select("id", "ts", "event_type").groupBy("id").applyInPandasWithState(judge, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def routed(stream: DataFrame, rules, delay: str = "1 hour") -> DataFrame:
     """Rows by tumbling hour and reason of rejection (null: accepted)."""
     judged = gate(stream, rules).withWatermark("ts", delay)
