@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.operators.ordered import running_sum
+
 UNSTATED, OTHER = "(not stated)", "(other)"
 
 
@@ -52,10 +54,16 @@ def share_by(df: DataFrame, group: str, condition: Column, top: int = 6) -> Data
 
 
 def component_profile(df: DataFrame, category: str, amount: str) -> DataFrame:
-    """By category: rows, exact median, and the largest amount."""
-    return df.groupBy(F.col(category).alias("category")).agg(
-        F.count("*").alias("n"), F.round(F.expr(f"percentile({amount}, 0.5)"), 4).alias("median_amount"), F.round(F.max(amount), 4).alias("largest")
-    )
+    """By category: rows, exact median, and the largest amount.
+
+    Ranks come from range partitions, so no task holds all amounts of a category.
+    """
+    rows = df.select(F.col(category).alias("category"), F.col(amount).cast("double").alias("amount"), F.monotonically_increasing_id().alias("tie"))
+    sums = rows.groupBy("category").agg(F.count("*").alias("n"), F.round(F.max("amount"), 4).alias("largest"))
+    ranked = running_sum(rows.where("amount is not null"), F.lit(1), ["amount", "tie"], ["category"])
+    middle = ranked.where(F.col("run").isin(F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)))
+    median = middle.groupBy("category").agg(F.round(F.avg("amount"), 4).alias("median_amount"))
+    return sums.join(median.withColumnRenamed("category", "__c"), F.col("category").eqNullSafe(F.col("__c")), "left").select("category", "n", "median_amount", "largest")
 
 
 def log_histogram(df: DataFrame, amount: str) -> DataFrame:

@@ -20,31 +20,48 @@ def needs_processing(raw: DataFrame, done: DataFrame) -> DataFrame:
     return joined.where(F.col("__old").isNull() | ~F.col("lang").eqNullSafe(F.col("__lang"))).select("id", "lang")
 
 
-def _dates(text: Column, pattern: str, year: int, month: int, day: int, named: bool = False) -> Column:
+#: Names of the months by language.
+MONTH_NAMES = {
+    "en": MONTHS,
+    "de": "januar februar märz april mai juni juli august september oktober november dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+
+
+def _dates(text: Column, pattern: str, year: int | Column, month: int, day: int, numbers: dict[str, int] | None = None) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
     def read(m: Column) -> Column:
         part = lambda i: F.regexp_extract(m, pattern, i)
-        number = F.array_position(F.array(*(F.lit(x[:3]) for x in MONTHS)), F.substring(F.lower(part(month)), 1, 3)).cast("string") if named else part(month)
-        return F.try_to_date(F.concat_ws("-", part(year), F.lpad(number, 2, "0"), F.lpad(part(day), 2, "0")), "yyyy-MM-dd")
+        table = F.create_map(*(F.lit(x) for kv in (numbers or {}).items() for x in kv)) if numbers else None
+        number = part(month) if table is None else F.try_element_at(table, part(month)).cast("string")
+        return F.try_to_date(F.concat_ws("-", part(year) if isinstance(year, int) else year, F.lpad(number, 2, "0"), F.lpad(part(day), 2, "0")), "yyyy-MM-dd")
 
     return F.filter(F.transform(found, read), lambda d: d.isNotNull())
 
 
-def parse_deadline(text: Column, as_of: str, window_years: int = 10) -> Column:
+def parse_deadline(text: Column, as_of: str, window_years: int = 10, languages: Sequence[str] = ("en",)) -> Column:
     """The date that a deadline text states, or null.
 
     Day.month.year dates win, the latest of them; else the latest of ISO and month-name
-    dates within the window around ``as_of``. A bare year is no date; impossible dates are
-    passed over.
+    dates within the window around ``as_of``. Month names are of ``languages``, English ones also
+    by three letters. A date without a year borrows the only one that the text states; a
+    bare year is no date; impossible dates are passed over.
     """
     lower = F.lower(F.coalesce(text, F.lit("")))
     numeric = _dates(lower, r"\b([0-9]{1,2})\.\s?([0-9]{1,2})\.\s?(20[0-9]{2})\b", 3, 2, 1)
-    names = "|".join(f"{m}|{m[:3]}" for m in MONTHS)
+    numbers = {n: i + 1 for lang in languages for i, n in enumerate(MONTH_NAMES[lang])} | ({n[:3]: i + 1 for i, n in enumerate(MONTHS)} if "en" in languages else {})
+    names = "|".join(sorted(numbers, key=len, reverse=True))
+    years = F.array_distinct(F.regexp_extract_all(lower, F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)))
+    only = F.when(F.size(years) == 1, years[0]).otherwise("none")
+    first, then = rf"\b([0-9]{{1,2}})(?:st|nd|rd|th|er)?\.?\s+(?:of |de )?({names})\b\.?", rf"\b({names})\.?\s+([0-9]{{1,2}})(?:st|nd|rd|th)?\b"
     other = F.concat(
         _dates(lower, r"\b([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})\b", 1, 2, 3),
-        _dates(lower, rf"\b([0-9]{{1,2}})(?:st|nd|rd|th)?\.?\s+({names})\.?,?\s+([0-9]{{4}})\b", 3, 2, 1, named=True),
-        _dates(lower, rf"\b({names})\.?\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+([0-9]{{4}})\b", 3, 1, 2, named=True),
+        _dates(lower, rf"{first},?\s+(?:de )?([0-9]{{4}})\b", 3, 2, 1, numbers),
+        _dates(lower, rf"{then},?\s+([0-9]{{4}})\b", 3, 1, 2, numbers),
+        _dates(lower, rf"{first}(?!,?\s+(?:de )?[0-9]{{4}})", only, 2, 1, numbers),
+        _dates(lower, rf"{then}(?!,?\s+[0-9]{{4}}|[0-9])", only, 1, 2, numbers),
     )
     near = F.filter(other, lambda d: F.abs(F.year(d) - F.year(F.to_date(F.lit(as_of)))) <= window_years)
     return F.coalesce(F.array_max(numeric), F.array_max(near))

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from callweave.operators import annotate, documents, eligibility, evaluate, explore, ingest, learning, matching, normalise, requirements
-from callweave.plans.scratch import materialise
+from callweave.operators import annotate, documents, eligibility, evaluate, explore, facts, ingest, learning, matching, normalise, requirements
+from callweave.plans.scratch import materialise, new_path
 from callweave.plans.views import by_template, load, with_views
+from callweave.sources import stages
 from callweave.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,13 +240,34 @@ def c04_fingerprint(t):
     return ingest.fingerprint(_links(t))
 
 
-@query(f"WITH {LINKS_SQL}, h AS (SELECT key, string_agg(concat(url, '|', title), chr(10) ORDER BY concat(url, '|', title)) AS h FROM links GROUP BY key) SELECT key FROM h WHERE key % 3 = 0")
+@query(f"WITH {LINKS_SQL}, h AS (SELECT key, string_agg(concat(url, '|', title), chr(10) ORDER BY concat(url, '|', title)) AS h FROM links GROUP BY key) SELECT key FROM h WHERE key % 3 < 2")
 def c05_changed_pages(t):
     now = ingest.fingerprint(_links(t))
-    before = now.where("key % 3 > 0")
+    # the crawl before lacks a third of the pages, and another third had other links
+    before = now.where("key % 3 > 0").withColumn("hash", F.when(F.col("key") % 3 == 1, F.sha2(F.concat("hash", F.lit("old")), 256)).otherwise(F.col("hash")))
     return ingest.changed(now, before)
 
 
+@query("""WITH k AS (SELECT page_id, url FROM pages), u AS (SELECT concat('p_', substr(sha256(url || '/call'), 1, 12)) AS id, url || '/call' AS url FROM k UNION SELECT concat('p_', substr(sha256(url), 1, 12)), url FROM k)
+  SELECT DISTINCT id, url FROM u WHERE id NOT IN (SELECT concat('p_', substr(sha256(url), 1, 12)) FROM k WHERE page_id % 3 = 0)""")
+def c07_known_calls(t):
+    pages = t("pages")
+    known = pages.select(F.explode(F.array(F.col("url"), F.concat("url", F.lit("/call")))).alias("url")).distinct()
+    return ingest.unseen(known.select(ingest.make_id(F.col("url"), "p").alias("id"), "url"), ingest.seen_ids(pages.where("page_id % 3 = 0").select(ingest.make_id(F.col("url"), "p").alias("id"))))
+
+
+@query("SELECT opportunity_id, CASE WHEN opportunity_id % 4 = 0 THEN NULL ELSE title END AS title, discipline FROM calls")
+def c13_placeholders(t):
+    calls = t("calls").withColumn("title", F.when(F.col("opportunity_id") % 4 == 0, " Not stated. ").otherwise(F.col("title"))).withColumn("discipline", F.coalesce("discipline", F.lit("n/a")))
+    return ingest.drop_placeholders(calls, ["title", "discipline"]).select("opportunity_id", "title", "discipline")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'title' ELSE '' END AS missed FROM documents")
+def c14_verbatim(t):
+    docs = t("documents").withColumns({"title": F.when(F.col("doc_id") % 2 == 0, "words that nobody wrote here").otherwise("two words"), "own": F.col("text")})
+    return docs.select("doc_id", F.concat_ws(",", ingest.verbatim_misses(docs, "text", ["title", "own"])).alias("missed"))
+
+
 @query("""WITH c AS (SELECT concat(id, '/', CAST(CAST(ts AS DATE) AS VARCHAR)) AS id, event_type FROM crawl)
   SELECT DISTINCT id FROM c WHERE id NOT IN (SELECT id FROM c WHERE event_type = 'error' UNION SELECT id FROM c WHERE event_type = 'signup')""")
 def s04_c06_unseen_ids(t):
@@ -318,6 +340,27 @@ def n03_n04_deadlines(t):
     return read.select("id", F.col("deadline").cast("string").alias("deadline"), normalise.is_closed(F.col("deadline"), "2020-06-01").alias("closed"))
 
 
+DATES = ["Frist: @. März 2021", "le @ février 2022", "hasta el @ de mayo de 2022", "May @th (edition 2021)", "Deadline: @ June, or @ July 2021", "in 2021", "@ October 1990", None]
+
+
+@query("""SELECT o_orderkey AS id, CAST(CASE o_orderkey % 8 WHEN 0 THEN make_date(2021, 3, d) WHEN 1 THEN make_date(2022, 2, d) WHEN 2 THEN make_date(2022, 5, d) WHEN 3 THEN make_date(2021, 5, d) WHEN 4 THEN make_date(2021, 7, d) END AS VARCHAR) AS deadline
+  FROM (SELECT o_orderkey, o_custkey % 28 + 1 AS d FROM orders)""")
+def n03_named_months(t):
+    day = (F.col("o_custkey") % 28 + 1).cast("string")
+    text = F.coalesce(*(F.when(F.col("o_orderkey") % 8 == i, F.replace(F.lit(x), F.lit("@"), day)) for i, x in enumerate(DATES) if x))
+    return t("orders").select(F.col("o_orderkey").alias("id"), normalise.parse_deadline(text, "2020-06-01", languages=("en", "de", "fr", "es")).cast("string").alias("deadline"))
+
+
+@query("SELECT opportunity_id, CASE WHEN count(*) % 2 = 0 THEN string_agg(period || '/' || upper(category), ',' ORDER BY pos, amount, category, period) END AS items FROM funding GROUP BY 1")
+def n14_accepted_translations(t):
+    lists = t("funding").groupBy("opportunity_id").agg(F.array_sort(F.collect_list(F.struct("pos", "amount", "category", "period"))).alias("l"))
+    original = F.transform("l", lambda x: F.struct(x["period"].alias("kind"), x["category"].alias("item")))
+    translated = F.transform("l", lambda x: F.upper(x["category"]))
+    some = F.when(F.size("l") % 2 == 0, translated).otherwise(F.slice(translated, 1, F.size("l") - 1))
+    accepted = normalise.accepted_translation(original, some)
+    return lists.select("opportunity_id", F.when(accepted.isNotNull(), F.array_join(F.transform(accepted, lambda x: F.concat_ws("/", x["kind"], x["item"])), ",")).alias("items"))
+
+
 @query("SELECT source AS value, max(CASE WHEN lang = 'en' THEN true ELSE false END) AS english FROM documents GROUP BY 1")
 def n05_distinct_values(t):
     return normalise.distinct_values(t("documents"), "source", "lang")
@@ -941,6 +984,24 @@ def d06_d11_facts(t):
     return documents.facts(lines, {"mail": "([a-z0-9.]+@[a-z0-9.]+[a-z])", "number": "([0-9]{3,})"})
 
 
+@query(f"""WITH {LINES_SQL}, s AS (SELECT key, sum(length(regexp_replace(line, '^#{{1,6}} ', '')) - length(replace(regexp_replace(line, '^#{{1,6}} ', ''), ' ', ''))) AS blanks, sum(length(replace(regexp_replace(line, '^#{{1,6}} ', ''), ' ', ''))) AS letters FROM lines GROUP BY 1)
+  SELECT key, CAST(letters AS BIGINT) AS letters, true AS fits FROM s""")
+def d02_packed_passages(t):
+    # passages hold all letters of their lines, and none is longer than the limit
+    lines = documents.line_table(t("documents"), "doc_id", "text")
+    packed = documents.pack_lines(documents.with_section(lines, documents.heading_like(F.col("line"), ["contact"])).select("key", "pos", "line", "section"))
+    return packed.groupBy("key").agg(F.sum(F.length(F.replace("chunk", F.lit(" "), F.lit("")))).alias("letters"), (F.max(F.length("chunk")) <= 800).alias("fits"))
+
+
+@query("""SELECT doc_id AS key, CASE WHEN doc_id % 4 = 0 THEN 'no passage' WHEN doc_id % 4 = 1 THEN 'not quoted' WHEN doc_id % 4 = 2 THEN 'no value' END AS reason FROM documents""")
+def d13_evidence(t):
+    docs, k = t("documents"), F.col("doc_id") % 4
+    passages = docs.select(F.col("doc_id").alias("key"), F.lit(0).alias("chunk_index"), F.concat(F.lit("Born  in\nOslo. "), "text").alias("chunk"))
+    quote, value = F.when(k == 1, "lives in no town at all").otherwise("born in oslo"), F.when(k != 2, "Oslo").otherwise(" ")
+    proposed = docs.select(F.col("doc_id").alias("key"), F.when(k == 0, 7).otherwise(0).alias("chunk_index"), quote.alias("quote"), value.alias("value"))
+    return documents.evidence(proposed, passages).select("key", "reason")
+
+
 @query("""WITH s AS (SELECT o_custkey AS artist_id, o_orderstatus AS field, o_clerk_kind AS kind, o_orderkey AS pos FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN 'cv' WHEN 1 THEN 'statement' ELSE 'other' END AS o_clerk_kind FROM orders))
   SELECT artist_id, field, kind, pos FROM (SELECT *, row_number() OVER (PARTITION BY artist_id, field ORDER BY CASE kind WHEN 'cv' THEN 1 WHEN 'statement' THEN 2 ELSE 3 END, pos) AS r FROM s) WHERE r = 1""")
 def d12_merge_suggestions(t):
@@ -969,6 +1030,46 @@ def c11_content_text(t):
     return ingest.content_text(t("pages"), "page_id", "html")
 
 
+# what a reader takes from each document: no name without its e-mail address, no date from a festival, no country from a title
+FACTS_SQL = """
+  k AS (SELECT c_custkey AS key, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  f AS (SELECT key, unnest([
+    {'f': 'name', 'v': CASE WHEN key % 5 = 0 THEN NULL WHEN key % 2 = 0 THEN 'Ada Field' ELSE 'Ada van Field' END, 'p': 0},
+    {'f': 'disciplines', 'v': CASE WHEN key % 3 = 0 THEN 'painting,sculpture' ELSE 'dance' END, 'p': 1}, {'f': 'applicant_type', 'v': CASE WHEN key % 3 = 0 THEN NULL ELSE 'group' END, 'p': 1},
+    {'f': 'birth_date', 'v': CASE key % 4 WHEN 0 THEN '1984-03-12' WHEN 2 THEN '1990-11-03' END, 'p': 3}, {'f': 'birth_year', 'v': CASE key % 4 WHEN 1 THEN '1979' END, 'p': 3},
+    {'f': 'nationalities', 'v': n_name, 'p': 4}, {'f': 'residence_country', 'v': CASE WHEN key % 3 = 0 THEN n_name END, 'p': 5}, {'f': 'residence_city', 'v': CASE WHEN key % 3 = 0 THEN 'Harbour' END, 'p': 5},
+    {'f': 'languages', 'v': CASE WHEN key % 2 = 0 THEN 'de,en' END, 'p': 6}, {'f': 'degree', 'v': CASE WHEN key % 4 < 2 THEN 'MFA' ELSE 'BA' END, 'p': 7}, {'f': 'graduation_year', 'v': CASE WHEN key % 4 < 2 THEN '2012' ELSE '2009' END, 'p': 7},
+    {'f': 'enrolled', 'v': CASE WHEN key % 4 < 2 THEN 'true' END, 'p': 8}, {'f': 'active_since', 'v': CAST(2005 + key % 7 AS VARCHAR), 'p': 10}]) AS x FROM k)"""
+
+
+@query(f"WITH {FACTS_SQL} SELECT key, x.f AS field, x.v AS value, x.p AS pos FROM f WHERE x.v IS NOT NULL")
+def d06_d11_profile_facts(t):
+    table = t("nation").select(F.lower("n_name").alias("name"), F.lit("country").alias("kind"), F.array("n_name").alias("countries"))
+    terms = {"dance": "\\bdancers?\\b", "painting": "\\bpainters?\\b", "sculpture": "\\bsculptors?\\b"}
+    return facts.profile_facts(t("cv_lines"), table, {"german": "de", "english": "en", "french": "fr"}, terms, "2026-01-01").drop("quote")
+
+
+@query("""WITH k AS (SELECT c_custkey AS key FROM customer), p AS (SELECT key, unnest([
+    {'pos': 9, 'title': 'Tide', 'years': '2015', 'status': 'past', 'venue': 'North Gallery, Oslo', 'medium': 'video', 'summary': NULL}, {'pos': 10, 'title': 'First Light', 'years': CAST(2005 + key % 7 AS VARCHAR), 'status': 'past', 'venue': 'Old Mill', 'medium': NULL, 'summary': NULL},
+    {'pos': 11, 'title': 'After the Rain', 'years': '2031', 'status': 'planned', 'venue': 'South Hall, Bern', 'medium': NULL, 'summary': NULL}, {'pos': 13, 'title': 'Low Water', 'years': '2024 – 2026', 'status': 'current', 'venue': NULL, 'medium': NULL, 'summary': 'A film about the shore.'},
+    {'pos': 15, 'title': NULL, 'years': NULL, 'status': 'current', 'venue': NULL, 'medium': NULL, 'summary': 'I am working on a choir of bells.'}, {'pos': 16, 'title': NULL, 'years': NULL, 'status': 'planned', 'venue': NULL, 'medium': NULL, 'summary': 'My next project is a map.'}]) AS x FROM k)
+  SELECT key, x.pos, x.title, x.years, x.status, x.venue, x.medium, x.summary FROM p""")
+def d15_projects(t):
+    return facts.projects(t("cv_lines"), "2026-01-01").drop("category")
+
+
+@query("""SELECT profile_id, 'applicant_type' AS field, applicant_type AS value FROM profiles WHERE applicant_type = 'organisation' UNION ALL SELECT profile_id, 'nationality', nationality FROM profiles WHERE nationality NOT IN (SELECT n_name FROM nation WHERE n_regionkey < 4)
+  UNION ALL SELECT profile_id, 'birth_date', CAST(birth_date AS VARCHAR) FROM profiles WHERE birth_date > DATE '2000-01-01'""")
+def d14_profile_errors(t):
+    names = [r.n_name for r in t("nation").where("n_regionkey < 4").select("n_name").collect()]
+    return facts.profile_errors(t("profiles").select("profile_id", "applicant_type", "nationality", "birth_date"), {"applicant_type": ["individual", "group"], "nationality": names}, "2000-01-01")
+
+
+@query("SELECT profile_id, CASE WHEN birth_year <= 1990 THEN 1990 - birth_year END AS years FROM profiles")
+def d14_years_of_practice(t):
+    return t("profiles").select("profile_id", facts.years_of_practice(F.col("birth_year"), "1990-06-01").alias("years"))
+
+
 # --- more of the requirement, eligibility and evaluation operators
 
 
@@ -1156,6 +1257,58 @@ def v09_learning_curve(t):
     return evaluate.learning_curve(t("annotations"), "grp", F.col("label") == F.col("rated"), [0.25, 0.5, 0.75, 1.0])
 
 
+@query("""WITH r AS (SELECT CASE WHEN idx % 3 = 0 THEN NULL WHEN idx % 3 = 1 THEN 'topic word' ELSE 'general word' END AS why, CASE WHEN opportunity_id % 2 = 0 THEN 'AGE' ELSE 'RESIDENCE' END AS suspected, CASE WHEN opportunity_id % 3 = 0 THEN 'NONE' ELSE 'AGE' END AS truth FROM sentences)
+  SELECT why, count(*) FILTER (WHERE suspected = truth) AS caught, count(*) FILTER (WHERE truth = 'NONE') AS false_alarms, count(*) AS raised FROM r WHERE why IS NOT NULL GROUP BY 1""")
+def v11_safety_net_report(t):
+    i, o = F.col("idx") % 3, F.col("opportunity_id")
+    rows = t("sentences").select(F.when(i == 1, "topic word").when(i == 2, "general word").alias("why"), F.when(o % 2 == 0, "AGE").otherwise("RESIDENCE").alias("suspected"), F.when(o % 3 == 0, "NONE").otherwise("AGE").alias("truth"))
+    return evaluate.safety_net_report(rows)
+
+
+# --- stage tables as files: what is read back is what was written
+
+
+@query("SELECT opportunity_id AS id, source, title, CASE WHEN discipline IS NULL THEN '' ELSE discipline END AS disciplines FROM calls")
+def s01_s03_stage_files(t):
+    calls = t("calls").select(F.col("opportunity_id").alias("id"), "source", "title", F.array_compact(F.array("discipline")).alias("disciplines"))
+    path = new_path(calls.sparkSession, "stage")
+    stages.write_stage(calls, path, by_source=True)
+    missing = stages.read_stage(calls.sparkSession, f"{path}-missing", calls.schema)
+    return stages.read_stage(calls.sparkSession, path, calls.schema).unionByName(missing).withColumn("disciplines", F.concat_ws(",", "disciplines"))
+
+
+@query("SELECT opportunity_id AS id, CASE WHEN opportunity_id % 3 = 0 THEN concat('a, \"b\"', chr(10), title) ELSE '' END AS title, discipline AS note, concat('x,', coalesce(discipline, '')) AS parts FROM calls")
+def s06_s07_flat_table(t):
+    title = F.when(F.col("opportunity_id") % 3 == 0, F.concat(F.lit('a, "b"\n'), "title")).otherwise("")
+    rows = t("calls").select(F.col("opportunity_id").alias("id"), title.alias("title"), F.col("discipline").alias("note"), F.array(F.lit("x"), F.coalesce("discipline", F.lit(""))).alias("parts"), "price")
+    path = new_path(rows.sparkSession, "flat")
+    stages.export_csv(rows, path, drop=("price",))
+    return stages.import_csv(rows.sparkSession, path, rows.drop("price").schema, keep_empty=("title",)).withColumn("parts", F.array_join("parts", ","))
+
+
+@query("""WITH r AS (SELECT text, idx, opportunity_id, row_number() OVER (PARTITION BY text ORDER BY opportunity_id DESC, idx DESC) AS r FROM sentences)
+  SELECT text, 'AGE' AS label, CAST(idx + 17 AS INTEGER) AS min_age, CASE WHEN idx % 2 = 0 THEN 'PROJECT' ELSE 'APPLICANT' END AS scope FROM r WHERE r = 1""")
+def s08_typed_reviews(t):
+    rows = t("sentences").select("text", F.lit("AGE").alias("label"), F.lit("fix").alias("decision"), F.lit("REQUIRES").alias("polarity"), F.to_json(F.struct((F.col("idx") + 17).alias("min_age"))).alias("value"), F.when(F.col("idx") % 2 == 0, "PROJECT").alias("scope"), (F.col("opportunity_id") * 100 + F.col("idx")).alias("at"))
+    return stages.typed_reviews(rows, "at").select("text", "label", "value.min_age", "scope")
+
+
+@query("SELECT opportunity_id, string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY chunk_index) AS places FROM requirements GROUP BY 1")
+def s09_call_order(t):
+    # rows are kept in order without another sort
+    placed = stages.in_call_order(t("requirements")).withColumn("at", F.monotonically_increasing_id())
+    lists = materialise(placed.select("opportunity_id", "chunk_index", "at"), "placed").groupBy("opportunity_id").agg(F.array_sort(F.collect_list(F.struct("at", "chunk_index"))).alias("l"))
+    return lists.select("opportunity_id", F.array_join(F.transform("l", lambda x: x["chunk_index"].cast("string")), ",").alias("places"))
+
+
+@query("SELECT vec_id AS id, substr(sha256(CAST(vec_id AS VARCHAR)), 1, 16) AS text_hash, len(embedding) AS width FROM embeddings")
+def s10_vector_index(t):
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), matching.text_hash(F.col("vec_id").cast("string")).alias("text_hash"), F.col("embedding").alias("vector"))
+    path = new_path(rows.sparkSession, "index")
+    stages.save_index(rows, path, "m1")
+    return stages.load_index(rows.sparkSession, path, "m1").select("id", "text_hash", F.size("vector").cast("bigint").alias("width"))
+
+
 # --- the rest of ingest, normalisation, matching, documents and annotation
 
 

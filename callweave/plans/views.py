@@ -59,6 +59,19 @@ def _said(text: str) -> str:
 
 
 VIEWS = {
+    "cv_lines": """
+        SELECT c_custkey AS key, i AS pos, section, CASE i
+          WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'ADA FIELD' ELSE 'Ada van Field' END WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN 'Painter and sculptor' ELSE 'We are a small collective of dancers' END
+          WHEN 2 THEN CASE WHEN c_custkey % 5 = 0 THEN 'write to me' ELSE 'ada.field@example.org' END
+          WHEN 3 THEN CASE c_custkey % 4 WHEN 0 THEN 'Born 12 March 1984 in a village' WHEN 1 THEN '(b. 1979, by the sea)' WHEN 2 THEN 'Date of birth: 03.11.1990' ELSE 'The festival was born on 3 May 2019' END
+          WHEN 4 THEN CASE WHEN c_custkey % 2 = 0 THEN concat('Nationality: ', n_name) ELSE concat(n_name, ' citizen, living in Exile') END
+          WHEN 5 THEN CASE WHEN c_custkey % 3 = 0 THEN concat('Lives and works in Harbour, ', n_name) ELSE concat('A performance about ', n_name) END
+          WHEN 6 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Languages: German (native), English (fluent), French (basic)' ELSE 'Speaks with hands' END
+          WHEN 7 THEN CASE WHEN c_custkey % 4 < 2 THEN 'MFA Painting, Kassel, 2012' ELSE 'BA Sculpture, Ghent' END WHEN 8 THEN CASE WHEN c_custkey % 4 < 2 THEN 'MA Film, 2022 - present' ELSE '2009' END
+          WHEN 9 THEN '2015 Tide (video), North Gallery, Oslo' WHEN 10 THEN concat(CAST(2005 + c_custkey % 7 AS VARCHAR(9)), ' | First Light | Old Mill') WHEN 11 THEN '2031 South Hall, “After the Rain”, Bern'
+          WHEN 12 THEN '2018 Many hands, Hall' WHEN 13 THEN 'Low Water, 2024 – 2026' WHEN 14 THEN 'A film about the shore.' WHEN 15 THEN 'I am working on a choir of bells.' ELSE 'My next project is a map.' END AS line
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey CROSS JOIN (VALUES (0, NULL), (1, NULL), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, 'Education'), (8, 'Education'),
+          (9, 'Solo exhibitions'), (10, 'Solo exhibitions'), (11, 'Solo exhibitions'), (12, 'Group exhibitions'), (13, 'Portfolio'), (14, 'Portfolio'), (15, 'Statement'), (16, 'Statement')) AS v(i, section)""",
     "wordings": f"""
         SELECT l_orderkey AS opportunity_id, chunk_index, n_name, n_nationkey, tpl, CASE tpl {" ".join(f"WHEN {i} THEN {_said(w[0])}" for i, w in enumerate(WORDINGS))} END AS text, {by_template(1)} AS heading, {by_template(2)} AS label
         FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS chunk_index,
