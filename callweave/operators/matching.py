@@ -142,15 +142,18 @@ def word_frequency(df: DataFrame, text: str) -> DataFrame:
 
 
 def same_word_forms(words: DataFrame) -> DataFrame:
-    """Pairs of a word with another of the same five first letters that counts as its form.
+    """Pairs of a word with another that counts as its form, both ways.
 
-    k = max(5, shorter - 2) leading letters must agree. Only words with one five-letter
-    start meet.
+    k = max(5, shorter - 2) leading letters must agree. A word gives the beginning that it
+    needs as the shorter one, and those that it would have beside each shorter length, so
+    that the join finds matches alone, however many words share five letters.
     """
-    long = words.where("length(word) >= 5").select("word", F.substring("word", 1, 5).alias("p"))
-    other = long.select(F.col("word").alias("form"), "p")
-    k = F.greatest(F.lit(5), F.least(F.length("word"), F.length("form")) - 2)
-    return long.join(other, "p").where((F.col("word") != F.col("form")) & (F.left("word", k) == F.left("form", k))).select("word", "form")
+    long = words.where("length(word) >= 5").select("word", F.length("word").alias("n"))
+    start = lambda word, n: F.left(word, F.greatest(F.lit(5), F.col(n) - 2))
+    shorter = long.select("word", "n", start("word", "n").alias("p"))
+    longer = long.select(F.col("word").alias("form"), F.explode(F.sequence(F.lit(5), F.col("n"))).alias("n")).withColumn("p", start("form", "n"))
+    pairs = shorter.join(longer, ["n", "p"]).where("word <> form").select("word", "form")
+    return pairs.union(pairs.where("length(form) > length(word)").select("form", "word"))
 
 
 def specific_words(df: DataFrame, text: str, share: float = 0.10) -> DataFrame:
