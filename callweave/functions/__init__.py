@@ -1 +1 @@
-
+"""Column functions that several operators share."""

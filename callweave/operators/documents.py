@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.functions.text import flattened
+
 
 def line_table(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """A row a non-empty line with its place, whitespace collapsed and markdown heading marks off.
@@ -107,7 +109,7 @@ def evidence(df: DataFrame, passages: DataFrame) -> DataFrame:
 
 def merge_projects(df: DataFrame) -> DataFrame:
     """Projects of one artist and title: longest summary, range of years, all venues."""
-    title = F.trim(F.regexp_replace(F.lower("title"), "[^\\p{L}\\p{N}]+", " "))
+    title = flattened(F.col("title"))
     return df.groupBy("artist_id", title.alias("title_key")).agg(
         F.max(F.struct(F.length("summary").alias("n"), "summary"))["summary"].alias("summary"), F.min("year").alias("first_year"), F.max("year").alias("last_year"),
         F.concat_ws("; ", F.array_sort(F.collect_set("venue"))).alias("venues"),
@@ -116,8 +118,7 @@ def merge_projects(df: DataFrame) -> DataFrame:
 
 def checklist(df: DataFrame, key: str, questions: str, materials: str) -> DataFrame:
     """An item a question and material of a call; questions that repeat a material, and repeats, are left out."""
-    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^\\p{L}\\p{N}]+", " "))
-    m, q = F.transform(materials, flat), F.transform(questions, flat)
+    m, q = F.transform(materials, flattened), F.transform(questions, flattened)
     items = F.concat(F.transform(F.array_distinct(m), lambda x: F.struct(F.lit("material").alias("kind"), x.alias("item"))), F.transform(F.array_except(q, m), lambda x: F.struct(F.lit("question").alias("kind"), x.alias("item"))))
     rows = df.select(F.col(key).alias("key"), F.posexplode(items).alias("pos", "i")).where("i.item <> ''")
     return rows.select("key", F.col("i.kind").alias("kind"), F.col("i.item").alias("item"), F.substring(F.sha2(F.concat_ws("/", F.col("key").cast("string"), "i.kind", "i.item"), 256), 1, 12).alias("item_id"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.functions.text import flattened, folded, strip
+
 DEAD_LINK = "^(#|mailto:|tel:|javascript:)"
 #: Hosts whose links are never calls.
 SOCIAL = ("facebook.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "youtube.com")
@@ -91,14 +93,14 @@ def last_per_key(df: DataFrame, key: str, position: str) -> DataFrame:
 
 def manual_intake(df: DataFrame, required: Sequence[str], url: str, position: str, prefix: str = "manual") -> DataFrame:
     """Trimmed rows with all required columns, the last one per URL, with their id."""
-    trimmed = df.withColumns({c: F.nullif(F.regexp_replace(F.col(c), "^\\s+|\\s+$", ""), F.lit("")) for c in required})
+    trimmed = df.withColumns({c: F.nullif(strip(F.col(c)), F.lit("")) for c in required})
     whole = trimmed.dropna(subset=list(required))
     return last_per_key(whole, url, position).withColumn("id", make_id(F.col(url), prefix))
 
 
 def rank_documents(links: DataFrame, call_words: str, skip_words: str, top: int = 3) -> DataFrame:
     """A page's best linked documents: 3 for a call word, 2 within the content, 1 on the same host, 2 at least."""
-    fold = F.lower(F.translate(F.concat_ws(" ", "url", "title"), "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc"))
+    fold = folded(F.concat_ws(" ", "url", "title"))
     score = F.when(fold.rlike(call_words), 3).otherwise(0) + F.when(F.col("in_content"), 2).otherwise(0) + F.when(F.col("same_host"), 1).otherwise(0)
     kept = links.withColumn("score", score).where((F.col("score") >= 2) & ~fold.rlike(skip_words))
     order = Window.partitionBy("key").orderBy(F.desc("score"), "pos")
@@ -118,11 +120,6 @@ def drop_placeholders(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).rlike(PLACEHOLDER), F.lit(None)).otherwise(F.col(c)) for c in columns})
 
 
-def flattened(text: Column) -> Column:
-    """Lower case, with each run of anything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
-
-
 def verbatim_misses(df: DataFrame, source: str, fields: Sequence[str]) -> Column:
     """C14: names of fields of which a piece of three or more words is not in the source."""
     body = flattened(F.coalesce(F.col(source), F.lit("")))

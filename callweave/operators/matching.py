@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.functions.text import word_count
 from callweave.plans.scratch import materialise
 
 ITEMS_IN_BLOCK = 8192
@@ -219,7 +220,7 @@ def best_sentence(shared: DataFrame, sentences: DataFrame, side: str, least_word
     shared words in some form, the first on a tie; ``words`` are those words, in order. Words
     meet by four leading letters, so only texts of a pair do.
     """
-    long = sentences.where(F.size(F.array_remove(F.split("chunk", "\\s+"), "")) >= least_words)
+    long = sentences.where(word_count(F.col("chunk")) >= least_words)
     said = long.select(F.col("key").alias(side), "idx", "chunk", F.posexplode(topic_words(F.col("chunk"))).alias("pos", "said")).withColumn("__p", F.left("said", F.lit(4)))
     near = shared.withColumn("__p", F.left("word", F.lit(4))).join(said, [side, "__p"]).where(same_word(F.col("said"), F.col("word")))
     words = F.transform(F.array_sort(F.collect_set(F.struct("pos", "said"))), lambda x: x["said"]).alias("words")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from callweave.functions.text import strip
 from callweave.operators.ordered import running_sum
 
 MONTHS = "january february march april may june july august september october november december".split()
@@ -74,7 +75,7 @@ def is_closed(deadline: Column, as_of: str) -> Column:
 
 def distinct_values(df: DataFrame, value: str, lang: str) -> DataFrame:
     """Each distinct trimmed value, and whether any row in English has it."""
-    v = F.regexp_replace(F.col(value), "^\\s+|\\s+$", "")
+    v = strip(F.col(value))
     return df.where(F.col(value).isNotNull()).groupBy(v.alias("value")).agg(F.max(F.col(lang) == "en").alias("english"))
 
 

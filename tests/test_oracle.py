@@ -32,6 +32,9 @@ def normal(df: pd.DataFrame) -> list[tuple]:
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     mine = catalog.QUERIES[name](spark, SF).toPandas()
+    if name not in catalog.ORACLE:  # parsers and training: their results are compared in test_verdicts
+        assert len(mine)
+        return
     theirs = duck.sql(catalog.ORACLE[name]).df()
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert normal(mine) == normal(theirs)
