@@ -134,14 +134,15 @@ def source_capped(calls: DataFrame, room: Column) -> DataFrame:
     each time.
     """
     columns, taken = calls.columns, None
-    left = materialise(calls.withColumn("__room", room).where("n_chunks > 0 and n_chunks <= __room"), "calls")
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))  # a null source is a source of its own
+    left = materialise(calls.withColumns({"__room": room, "__source": named}).where("n_chunks > 0 and n_chunks <= __room"), "calls")
     while not left.isEmpty():
-        summed = materialise(running_sum(left, F.col("n_chunks"), ["__o", "opportunity_id"], ["source"]).drop("total"), "summed")
+        summed = materialise(running_sum(left, F.col("n_chunks"), ["__o", "opportunity_id"], ["__source"]).drop("total"), "summed")
         new = summed.where("run <= __room")
         taken = new.select(*columns) if taken is None else taken.union(new.select(*columns))
-        spent = new.groupBy("source").agg(F.max("run").alias("__spent"))
-        rest = summed.where("run > __room").join(spent, "source").withColumn("__room", F.col("__room") - F.col("__spent"))
-        left = materialise(rest.where("n_chunks <= __room").select(*columns, "__room"), "calls")
+        spent = new.groupBy("__source").agg(F.max("run").alias("__spent"))
+        rest = summed.where("run > __room").join(spent, "__source").withColumn("__room", F.col("__room") - F.col("__spent"))
+        left = materialise(rest.where("n_chunks <= __room").select(*columns, "__room", "__source"), "calls")
     return materialise(taken, "taken") if taken is not None else calls.where("false")
 
 

@@ -63,7 +63,7 @@ def test_unknown_never_fails(spark):
         assert one(spark, eligibility.outcome(inside, F.lit(p)), x=1) == "CHECK"
     assert one(spark, eligibility.outcome(F.lit(False), F.lit("REQUIRES")), x=1) == "FAIL"
     assert one(spark, eligibility.outcome(F.lit(False), F.lit("EXCLUDES")), x=1) == "PASS"
-    assert one(spark, eligibility.age_membership(F.lit(None).cast("int"), F.lit(None).cast("date"), F.lit(None).cast("int"), F.lit(30), "2024-01-01"), x=1) is None
+    assert one(spark, eligibility.age_membership(F.lit(None).cast("date"), F.lit(None).cast("date"), F.lit(None).cast("int"), F.lit(30), "2024-01-01"), x=1) is None
 
 
 def test_manual_intake_keeps_the_last_row(spark):

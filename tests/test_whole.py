@@ -45,7 +45,7 @@ def windows(df):
 def test_calibration_ranks_by_ranges(spark, ranges, n):
     df = spark.range(n).selectExpr("id as k", "(id * 37 % 11) / 10 as p", "cast(id % 2 as int) as y")
     made = evaluate.calibration(df, "k", "p", "y")
-    assert all("__p" in w for w in windows(made))
+    assert all("__run_p" in w for w in windows(made))
     ntile = df.select(F.ntile(5).over(Window.orderBy("p", "k")).alias("bin"), "p", "y").groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("y"), 6).alias("share_true"))
     assert sorted(made.collect()) == sorted(ntile.collect())
 
@@ -53,21 +53,36 @@ def test_calibration_ranks_by_ranges(spark, ranges, n):
 def test_distinct_scores_rank_by_ranges(spark, ranges):
     df = spark.range(50).selectExpr("(id * 37 % 41 + 1) / 50 as p", "cast(id % 3 = 0 as int) as y")
     made = evaluate.probability_scores(df, "p", "y")
-    assert all("__p" in w for w in windows(made))
+    assert all("__run_p" in w for w in windows(made))
     rows = [(r.p, r.y) for r in df.collect()]
     wins = [(a > b) + (a == b) / 2 for a, y in rows if y for b, z in rows if not z]
     assert made.first().auc == round(sum(wins) / len(wins), 6)
 
 
-def test_one_source_is_no_single_task(spark, ranges):
+@pytest.mark.parametrize("target,share", [(90, 0.2), (200, 0.1), (20, 0.5)])
+def test_walk_over_sources_equals_a_plain_one(spark, ranges, target, share):
     df = spark.range(60).selectExpr("id as opportunity_id", "if(id < 50, 'a', if(id < 58, 'b', null)) as source", "id % 9 as n_chunks")
-    made = annotate.capped_calls(df, 7)
-    assert all("__p" in w for w in windows(made))
-    run = {}
-    for r in sorted(df.collect(), key=lambda r: hashlib.md5(f"1/{r.opportunity_id}".encode()).hexdigest()):
-        run.setdefault(r.source, []).append((r.opportunity_id, r.n_chunks if r.n_chunks <= 7 else 0))
-    want = {i: sum(c for _, c in calls[: j + 1]) for calls in run.values() for j, (i, _) in enumerate(calls)}
-    assert {r.opportunity_id: r.run for r in made.collect()} == want
+    made = annotate.capped_calls(df, target, share)
+    assert all("__run_p" in w for w in windows(made))
+    order = sorted(df.collect(), key=lambda r: hashlib.md5(f"1/{r.opportunity_id}".encode()).hexdigest())
+    most, spent, want, deferred, total = max(1, round(target * share)), {}, set(), [], 0
+    for r in order:
+        if total >= target:
+            break
+        if not r.n_chunks:
+            continue
+        if spent.get(r.source, 0) + r.n_chunks > most:
+            deferred.append(r)
+            continue
+        want.add((r.opportunity_id, False))
+        spent[r.source] = spent.get(r.source, 0) + r.n_chunks
+        total += r.n_chunks
+    for r in deferred:
+        if total >= target:
+            break
+        want.add((r.opportunity_id, True))
+        total += r.n_chunks
+    assert {(r.opportunity_id, r.relaxed) for r in made.collect()} == want
 
 
 def test_blocks_grow_in_number_not_in_size(spark, monkeypatch):
