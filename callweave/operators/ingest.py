@@ -126,7 +126,9 @@ def verbatim_misses(df: DataFrame, source: str, fields: Sequence[str]) -> Column
 
     def miss(field: str) -> Column:
         pieces = F.filter(F.transform(F.split(F.coalesce(F.col(field), F.lit("")), "[.;:!?\\n]+"), flattened), lambda p: F.size(F.split(p, " ")) >= 3)
-        return F.when(~F.forall(pieces, lambda p: F.contains(body, p)), F.lit(field))
+        # the source is flattened once, as the item of a list, and not for each piece
+        found = F.get(F.transform(F.array(body), lambda b: F.forall(pieces, lambda p: F.contains(b, p))), 0)
+        return F.when(~found, F.lit(field))
 
     return F.array_compact(F.array(*map(miss, fields)))
 

@@ -264,7 +264,7 @@ def c13_placeholders(t):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'title' ELSE '' END AS missed FROM documents")
 def c14_verbatim(t):
-    docs = t("documents").withColumns({"title": F.when(F.col("doc_id") % 2 == 0, "words that nobody wrote here").otherwise("two words"), "own": F.col("text")})
+    docs = t("documents").withColumns({"title": F.when(F.col("doc_id") % 2 == 0, "words that nobody wrote here").otherwise("two words"), "own": F.substring_index("text", ".", 2)})
     return docs.select("doc_id", F.concat_ws(",", ingest.verbatim_misses(docs, "text", ["title", "own"])).alias("missed"))
 
 
