@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import ann, bpe, language, minhash, mixing, quality, sharding, token_counts, token_orc, warc
+from callweave.llm import ann, bpe, language, minhash, mixing, quality, sharding, simhash, token_counts, token_orc, warc
 from callweave.plans.scratch import materialise, new_path
 
 
@@ -74,8 +74,12 @@ def op10_ngram_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ratio).select("doc_id", *quality.OUT)
 
 
+def op11_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_temperature_mixing, op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio)}
+    return {f.__name__: f for f in (op1_temperature_mixing, op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio, op11_deletion_variant_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
