@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import ann, bpe, language, minhash, mixing, quality, sharding, simhash, token_counts, token_orc, warc
+from callweave.llm import ann, bpe, language, minhash, mixing, part_codes, quality, sharding, simhash, token_counts, token_orc, warc
 from callweave.plans.scratch import materialise, new_path
 
 
@@ -78,12 +78,18 @@ def op11_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_hilbert_block_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = part_codes.fit(_table(spark, sf_dir, "embeddings"))
+    rows = part_codes.with_label_error(fitted.rows)
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(fitted.digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_temperature_mixing, op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio, op11_deletion_variant_simhash)}
+    return {f.__name__: f for f in (op1_temperature_mixing, op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio, op11_deletion_variant_simhash, op13_hilbert_block_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_chunk_table": OP2, "op6_minhash_near_duplicates": OP6}
+    return {"op2_warc_chunk_table": OP2, "op6_minhash_near_duplicates": OP6, "op13_hilbert_block_codes": OP13}
 
 
 OP2 = """
@@ -119,3 +125,34 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, b.y FROM reac
 SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(r.y) AS component_id, min(r.y) = s.doc_id AS kept
 FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.sh)
 """
+
+
+def _op13_round(k: int) -> str:
+    """Assigns all parts to the entries of codebook ``k``, and makes codebook ``k + 1``."""
+    return f"""a{k} AS MATERIALIZED (
+  SELECT rid, part, unnest(min({{'d': list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), 'entry': entry}}))
+  FROM p JOIN b{k} USING (part) GROUP BY rid, part
+), s{k} AS (
+  SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT part, entry, i, sum(x[i]) AS s, count(*) AS n FROM a{k} JOIN (SELECT rid, part, x, unnest(range(1, len(x) + 1)) AS i FROM p) USING (rid, part) GROUP BY part, entry, i
+  ) GROUP BY part, entry
+), b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(s{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN s{k} USING (part, entry))"""
+
+
+OP13 = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, v) AS rid, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), p AS MATERIALIZED (
+  SELECT rid, vec_id, CAST(part AS INT) AS part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS x FROM k, range(8) t(part)
+), b0 AS MATERIALIZED (SELECT part, CAST(rid - 1 AS INT) AS entry, x AS c FROM p WHERE rid <= 16),
+{", ".join(_op13_round(k) for k in range(6))},
+f AS (
+  SELECT rid, part, unnest(min({{'d': list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), 'entry': entry}}))
+  FROM p JOIN b6 USING (part) GROUP BY rid, part
+), e AS (SELECT rid, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256
+FROM k JOIN e USING (rid)
+"""

@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = lambda df: sorted(tuple(None if pd.isna(x) else x for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
     theirs = con.sql(queries.oracle_sql()[name]).df()
