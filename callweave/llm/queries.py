@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import ann, bpe, language, minhash, mixing, part_codes, quality, sharding, simhash, token_counts, token_orc, warc
+from callweave.llm import ann, bpe, conversations, language, minhash, mixing, part_codes, quality, sharding, simhash, token_counts, token_orc, warc
 from callweave.plans.scratch import materialise, new_path
 
 
@@ -78,6 +78,10 @@ def op11_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(*conversations.damage(_table(spark, sf_dir, "conversations")))
+
+
 def op13_hilbert_block_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = part_codes.fit(_table(spark, sf_dir, "embeddings"))
     rows = part_codes.with_label_error(fitted.rows)
@@ -85,11 +89,11 @@ def op13_hilbert_block_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_temperature_mixing, op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio, op11_deletion_variant_simhash, op13_hilbert_block_codes)}
+    return {f.__name__: f for f in (op1_temperature_mixing, op2_warc_chunk_table, op3_cross_polytope_search, op4_pair_index_bpe, op5_orc_token_files, op6_minhash_near_duplicates, op7_prefix_token_counts, op8_weighted_hash_tree, op9_hyperdimensional_language, op10_ngram_log_ratio, op11_deletion_variant_simhash, op12_hirschberg_repair, op13_hilbert_block_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_chunk_table": OP2, "op6_minhash_near_duplicates": OP6, "op13_hilbert_block_codes": OP13}
+    return {"op2_warc_chunk_table": OP2, "op6_minhash_near_duplicates": OP6, "op12_hirschberg_repair": OP12, "op13_hilbert_block_codes": OP13}
 
 
 OP2 = """
@@ -156,3 +160,54 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
   (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256
 FROM k JOIN e USING (rid)
 """
+
+#: The damage, then all cheapest ways row by row: each state keeps its least (cost, edits) and what they make.
+OP12 = """
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc
+), key AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(k) + 1), lambda i: CAST(ord(substr(k, i, 1)) AS BIGINT))),
+    lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM key, tab
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 256), copy) AS rn FROM damaged
+), f AS (
+  SELECT conv_id, turn, role, text, rn, substr(role, 1, 1) AS i, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY rn) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'B' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) > 1 THEN 'D'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'T' ELSE '' END AS fault
+  FROM o
+), ins(s, here, letters, made) AS (
+  VALUES (0, 0, '', CAST([] AS VARCHAR[])), (0, 2, 'I', ['user:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 1, '', []), (1, 2, 'I', ['user:']), (1, 3, 'II', ['user:', 'assistant:']),
+    (2, 2, '', []), (2, 3, 'I', ['assistant:']), (2, 2, 'II', ['assistant:', 'user:']), (3, 3, '', []), (3, 2, 'I', ['user:']), (3, 3, 'II', ['user:', 'assistant:'])
+), own(here, t, edit, price, i, role) AS (
+  SELECT here, here, 'D', 4, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM range(4) r(here)
+  UNION ALL VALUES (0, 2, 'R', 3, NULL, 'user'), (1, 2, 'R', 3, NULL, 'user'), (2, 3, 'R', 3, NULL, 'assistant'), (3, 2, 'R', 3, NULL, 'user'),
+    (0, 1, 'K', 0, 's', NULL), (0, 2, 'K', 0, 'u', NULL), (1, 2, 'K', 0, 'u', NULL), (2, 3, 'K', 0, 'a', NULL), (3, 2, 'K', 0, 'u', NULL)
+), ways AS (SELECT s, t, edit, letters || edit AS word, price + 3 * len(letters) AS price, made, own.i AS need, role AS given FROM ins JOIN own USING (here)),
+z AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS rn, 0 AS s, {'cost': CAST(0 AS BIGINT), 'audit': '', 'body': CAST([] AS VARCHAR[])} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, rn, t, best FROM (
+    SELECT z.conv_id, f.rn, w.t, min({'cost': CAST(best.cost + w.price + CASE WHEN f.fault = 'T' AND w.edit <> 'D' THEN 3 ELSE 0 END AS BIGINT), 'audit': best.audit || w.word,
+      'body': best.body || w.made || CASE WHEN w.edit = 'D' THEN CAST([] AS VARCHAR[]) ELSE [coalesce(w.given, f.role) || ':' || f.text] END}) AS best
+    FROM z JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.rn = z.rn + 1 JOIN ways w ON w.s = z.s
+    WHERE (w.edit = 'D' OR f.fault NOT IN ('B', 'D')) AND (w.need IS NULL OR w.need = f.i)
+    GROUP BY z.conv_id, f.rn, w.t)
+), closing(s, letters, made) AS (VALUES (0, '', CAST([] AS VARCHAR[])), (1, 'II', ['user:', 'assistant:']), (2, 'I', ['assistant:']), (3, '', [])),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'B') AS blank, count(*) FILTER (fault = 'D') AS duplicate,
+    count(*) FILTER (fault = 'T') AS truncated, count(*) FILTER (rn > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), done AS (
+  SELECT z.conv_id, any_value(n.gaps) AS gaps, any_value(n.blank) AS blank, any_value(n.duplicate) AS duplicate, any_value(n.truncated) AS truncated, any_value(n.illegal) AS illegal,
+    min({'cost': best.cost + 3 * len(c.letters), 'audit': best.audit || c.letters, 'body': best.body || c.made}) AS best
+  FROM z JOIN closing c USING (s) LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id WHERE z.rn = coalesce(n.n, 0) GROUP BY z.conv_id
+)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  best.cost AS cost, best.audit AS audit, sha256(array_to_string(best.body, chr(10))) AS repaired_sha256
+FROM done
+"""
