@@ -28,6 +28,61 @@ from callweave.llm import bpe
 END = 256  # the symbol after a pre-token's last byte, where the vocabulary marks word ends
 CACHE_BITS = 21
 CELLS = 1 << 21  # pre-tokens times bytes that are walked side by side
+LONG = 2048  # bytes from which a pre-token is walked by itself
+NEAR = 16  # characters before a cluster of marks that are cut again with it
+
+
+@lru_cache(1)
+def joining() -> frozenset[str]:
+    """Characters without a combining class that may compose with the one before them."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(seconds | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+@lru_cache(1 << 16)
+def stands_apart(c: str) -> bool:
+    """Whether a character never changes with what stands before it, in composed form."""
+    first = unicodedata.normalize("NFD", c)[0]
+    return not unicodedata.combining(first) and first not in joining()
+
+
+class Walk:
+    """One pre-token read byte by byte, with what each prefix ends in; the last bytes can be taken back."""
+
+    def __init__(self, c: PrefixCounter):
+        self.c = c
+        self.state, self.last, self.count = [0], [-1], [0]
+
+    def _token(self, state: int, k: int) -> int:
+        """The last token of the prefix of k symbols."""
+        c = self.c
+        t = c.longest_at[state]
+        while (before := self.last[k - c.length_of[t]]) >= 0 and not c.fit(before, t):
+            t = c.shorter_of[t]
+        return t
+
+    def push(self, raw: bytes) -> None:
+        table, state, k = self.c.cells, self.state[-1], len(self.last)
+        for b in raw:
+            state = table[257 * state + b]
+            t = self._token(state, k)
+            self.state.append(state)
+            self.last.append(t)
+            self.count.append(self.count[k - self.c.length_of[t]] + 1)
+            k += 1
+
+    def pop(self, n: int) -> None:
+        if n:
+            del self.state[-n:], self.last[-n:], self.count[-n:]
+
+    def tokens(self) -> int:
+        """Tokens of what was read, as a pre-token of its own."""
+        k = len(self.last)
+        if k == 1 or not self.c.v.suffix:
+            return self.count[-1]
+        t = self._token(self.c.cells[257 * self.state[-1] + END], k)
+        return self.count[k - self.c.length_of[t]] + 1
 
 
 class PrefixCounter:
@@ -101,6 +156,19 @@ class PrefixCounter:
             if token_at[s] >= 0:
                 self.shorter[token_at[s]] = inherited
         self.table, self.longest = table, longest
+        self.cells = memoryview(table.ravel())
+        self.longest_at, self.shorter_of, self.length_of = longest.tolist(), self.shorter.tolist(), self.length.tolist()
+        self.fit_known: dict[int, bool] = {}
+
+    def fit(self, x: int, y: int) -> bool:
+        """``fits`` for one pair."""
+        key = x * self.v.size + y
+        found = self.fit_known.get(key)
+        if found is None:
+            if len(self.fit_known) > 1 << CACHE_BITS:
+                self.fit_known.clear()
+            found = self.fit_known[key] = bool(self._fit(np.array([x]), np.array([y]), np.array([1 << 40]))[0])
+        return found
 
     def _fit(self, x: np.ndarray, y: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether no merge older than ``limit`` joins tokens x and y across their border.
@@ -178,7 +246,14 @@ class PrefixCounter:
     def count_pieces(self, pieces: list[str]) -> tuple[dict[str, tuple[bytes, int]], dict[str, np.ndarray]]:
         """For each distinct pre-token its differences of counts by character with the whole count, and the counts of its first 0, 1, ... characters."""
         raw, steps, out = [w.encode() for w in pieces], {}, {}
-        order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
+        order = sorted((i for i in range(len(raw)) if len(raw[i]) < LONG), key=lambda i: len(raw[i]))
+        for piece, word in ((p, w) for p, w in zip(pieces, raw, strict=True) if len(w) >= LONG):
+            walk, own = Walk(self), [0]
+            for char in piece:
+                walk.push(char.encode())
+                own.append(walk.tokens())
+            out[piece] = np.array(own, np.int32)
+            steps[piece] = (np.diff(out[piece]).astype("<i2").tobytes(), own[-1])
         at = 0
         while at < len(order):  # together as many as a bounded table holds
             end = at + 1
@@ -230,8 +305,8 @@ class PrefixCounter:
         """The differences of counts at each character of chunks that are not known yet.
 
         Composed text has composed prefixes, so the pre-tokens of the whole chunk serve.
-        Otherwise each prefix that ends within a cluster of marks is normalised and counted
-        for itself, from the last cluster that is sure to stand apart.
+        Otherwise prefixes that end within a cluster of marks are counted again from the
+        pre-token before it.
         """
         plain, marked = {}, []
         for c in new:
@@ -259,16 +334,54 @@ class PrefixCounter:
         self.known[chunk] = (steps.astype("<i2").tobytes(), int(counts[-1]))
 
     def _marked(self, chunk: str) -> np.ndarray:
-        """Counts at each character of a chunk that is not composed: each prefix is cut for itself, stretch by stretch.
+        """Counts at each character of a chunk that is not composed.
 
-        Beyond STRETCH characters counting starts anew at a cluster that begins a pre-token.
+        The chunk is cut into clusters, each from a character that stands apart on. What
+        comes before a prefix's last cluster is composed as in the whole chunk and counted
+        with it. The last cluster is composed for itself; unless that begins like the whole
+        cluster, the pre-token before it is cut again with it, or, if that is long, goes on
+        from its walk. So the cost is linear in the chunk, and in a cluster's marks squared.
         """
-        prefixes = [chunk[:k] for k in range(1, len(chunk) + 1)]
-        out = [0]
-        for group in bpe.groups(prefixes, max(1, CELLS // (4 * len(chunk) + 1))):
-            cuts = [self.v.cut(p) for p in group]
-            _, known = self.count_pieces(list({w for p in cuts for w in p}))
-            out += [sum(int(known[w][-1]) for w in p) for p in cuts]
+        v = self.v
+        late = v.rare is not None and v.rare.search(chunk) is not None
+        split = (v.strict if late else v.split).findall  # parts are folded already, and must not be composed again
+        small = lambda t: v.normal(t.translate(bpe.ADDED_SMALL) if late and v.fold else t)
+        begins = [0, *(i for i in range(1, len(chunk)) if stands_apart(chunk[i])), len(chunk)]
+        pieces = v.cut(chunk)
+        _, known = self.count_pieces(list(self._needed(pieces)))
+        counts = self._joined(pieces, known)
+        ends = np.cumsum([0, *map(len, pieces)])
+        before = np.cumsum([0, *(int(known[p][-1]) for p in pieces)]).tolist()
+        composed = small(chunk)
+        out, again = [0] * (len(chunk) + 1), []  # again: place, count so far, pre-tokens to add
+        walk, walked, walk_of = None, 0, -1
+        at = 0  # characters of the composed chunk before the cluster
+        for lo, hi in zip(begins, begins[1:]):
+            whole = small(chunk[lo:hi])
+            for k in range(lo + 1, hi + 1):
+                part = whole if k == hi else small(chunk[lo:k])
+                if whole.startswith(part):
+                    out[k] = int(counts[at + len(part)])
+                    continue
+                j = int(np.searchsorted(ends, at, side="left")) - 1 if at else 0  # the pre-token of the character before
+                start = int(ends[j])
+                if at - start <= 2 * NEAR:
+                    again.append((k, before[j], split(composed[start:at] + part)))
+                    continue
+                if walk_of != j:
+                    walk, walked, walk_of = Walk(self), start, j
+                walk.push(composed[walked:at].encode())
+                walked = at
+                first, *rest = split(composed[at - NEAR : at] + part)
+                more = first[NEAR:].encode()
+                walk.push(more)
+                again.append((k, before[j] + walk.tokens(), rest))
+                walk.pop(len(more))
+            at += len(whole)
+        for group in bpe.groups(again, bpe.TOGETHER):
+            _, known = self.count_pieces(list({w for _, _, ws in group for w in ws}))
+            for k, n, ws in group:
+                out[k] = n + sum(int(known[w][-1]) for w in ws)
         return np.array(out)
 
     def table_of(self, text: str) -> tuple[bytes, int]:

@@ -122,3 +122,34 @@ def test_searches_skip_stripes(spark, tmp_path):
     assert rows == [3, 3] and 0 < seen <= 2 * token_orc.ROW_GROUP
     assert read([4]) == ([], 0)  # within the range of a row group; only the Bloom filter says no
     assert token_orc.read_tokens(spark, out).count() == 20_002
+
+
+def test_prefix_counts_of_long_texts_without_blanks():
+    """A megabyte of composed and of decomposed text each takes seconds, and sampled prefixes equal the library's."""
+    import time
+    import unicodedata
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, c, rnd = Tokenizer.from_file(path), token_counts.counter(path), random.Random(6)
+    han = [chr(x) for x in range(0x4E00, 0x4F00)]
+    kana = [unicodedata.normalize("NFD", chr(x)) for x in range(0x304B, 0x3070)]
+    for letters in (han, [*han, "塚"], kana):
+        text = "".join(rnd.choices(letters, k=340_000))
+        assert len(text.encode()) > 1_000_000
+        began = time.time()
+        packed, n = c.prefix_table([text])[0]
+        assert time.time() - began < 60
+        counts = np.cumsum(np.frombuffer(packed, "<i2"), dtype=np.int64)
+        assert len(counts) == len(text) and counts[-1] == n
+        for k in [1, 2, 3, *rnd.sample(range(1, 30_000), 12), len(text)]:
+            assert counts[k - 1] == len(lib.encode(text[:k], add_special_tokens=False).ids)
+
+
+def test_prefix_counts_of_marks_that_move():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib, c, rnd = Tokenizer.from_file(path), token_counts.counter(path), random.Random(7)
+    pool = ["é", "Ệ", "o", "ᄀ", "ᅡ", "'s", "!", "́", "Å", "İ", "ͅ", "9", "Σ", "ệ", "̸", "̣", "=", "יִ", "ো", "Ᲊ", "が"]
+    for _ in range(150):
+        text = "".join(rnd.choices(pool, k=rnd.randrange(1, 60)))
+        counts = np.cumsum(np.frombuffer(c.prefix_table([text])[0][0], "<i2")).tolist()
+        assert counts == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
