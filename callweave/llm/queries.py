@@ -24,7 +24,7 @@ def op2_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     pages = warc.with_roles(_table(spark, sf_dir, "pages"))
     warc.write_archives(warc.record_text(warc.chunk_rows(pages)), path)
-    return warc.record_heads(warc.read_archives(spark, path))
+    return warc.record_heads(warc.read_archives(spark, path)).drop("n_chunks")
 
 
 def op3_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ END = "\r\n\r\n"
 CHUNK_BYTES = 1 << 18
 #: Bytes of chunks that are handed on together.
 TOGETHER = 4 << 20
+#: Parts in which pages of one digest meet their role.
+ROLE_PARTS = 16
 
 CHUNKS = "page_id bigint, url string, role string, refers_to bigint, payload_bytes bigint, payload_digest string, chunk_no int, chunk_bytes bigint, bytes_so_far bigint, digest_so_far string, last boolean, data string"
 
@@ -122,22 +124,24 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     largest id is the response and the others revisit it; shorter ones are all responses.
     Rows that repeat the largest id with that payload are responses too. Null ids never
     win against others; a null payload is an empty one; an empty table gives none, and other
-    columns are left out. Partial maxima are made before the shuffle, and the join back can
-    split a digest that many pages share.
+    columns are left out. Partial maxima are made before the shuffle, and a digest that many
+    pages share is joined back in parts.
     """
     base = pages.select(
         F.col(id_col).cast("bigint").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"),
     ).withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": sha1_base32(F.col("payload"))})
+    # roles come from ids, lengths and digests alone; a digest that very many pages share meets its role in parts
     shared = (
         base.where(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest", "payload_bytes")
         .agg(F.max("page_id").alias("__kept"), F.count("*").alias("__n"))
         .where("__n > 1")
-        .drop("__n")
+        .select("payload_digest", "payload_bytes", "__kept", F.explode(F.sequence(F.lit(0), F.lit(ROLE_PARTS - 1))).alias("__part"))
     )
-    joined = base.join(shared, ["payload_digest", "payload_bytes"], "left")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(ROLE_PARTS)).cast("int")
+    joined = base.withColumn("__part", salt).join(shared, ["payload_digest", "payload_bytes", "__part"], "left").drop("__part")
     again = F.col("__kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__kept"))
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
