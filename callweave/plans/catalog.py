@@ -2,36 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from callweave.operators import annotate, documents, eligibility, evaluate, explore, facts, ingest, learning, matching, normalise, requirements
+from callweave.plans.registry import ORACLE, QUERIES, query
 from callweave.plans.scratch import materialise, new_path
 from callweave.plans.views import by_template, load, with_views
 from callweave.sources import stages
 from callweave.streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Callable], Callable]:
-    """Register ``f(t)``, where ``t(name)`` loads a table or view, under the name of ``f``."""
-
-    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: load(spark, sf_dir, name))
-        if sql:
-            ORACLE[f.__name__] = with_views(sql)
-        return f
-
-    return add
-
-
 # --- corpus analysis
 
 
@@ -1654,3 +1635,9 @@ def m17_options(t):
 def m17_page(t):
     order = F.row_number().over(Window.partitionBy("persona").orderBy(F.desc("sim"), "item"))
     return matching.page_of(t("judgments").withColumn("pos", order), "persona", 5, 5).select("persona", "item", "pos")
+
+
+# the other modules register their own queries
+from callweave.plans import verdict_queries  # noqa: E402, F401
+
+__all__ = ["ORACLE", "QUERIES"]
