@@ -84,6 +84,13 @@ def text_values(texts: DataFrame, names: DataFrame, languages: dict[str, str], d
     )
 
 
+def typed(rows: DataFrame, readings: DataFrame) -> DataFrame:
+    """The requirement table with the ``value`` (VALUE) that each row's text states for its label; waived rows have none."""
+    parsed = readings.select(F.col("text").alias("__text"), "parsed")
+    value = F.when(F.col("polarity") != "WAIVES", F.try_element_at("parsed", F.col("label")))
+    return rows.join(parsed, F.col("text") == F.col("__text"), "left").withColumn("value", value).drop("__text", "parsed")
+
+
 def rules(requirements: DataFrame, reviews: DataFrame, readings: DataFrame, names: DataFrame) -> DataFrame:
     """The distinct rules of ``text, heading, is_heading, label, suspected, why, polarity``, with all that does not depend on a profile.
 

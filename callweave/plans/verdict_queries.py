@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from callweave.operators import eligibility, engine, requirements
 from callweave.plans import catalog
 from callweave.plans.registry import query
+from callweave.plans.scratch import materialise
 from callweave.plans.views import by_template
 
 #: The reading of each wording (by_template), reviews of two thirds of the texts, membership, and the ladder.
@@ -67,7 +68,8 @@ def _evaluation(t) -> engine.Evaluation:
     pairs = orders.select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("opportunity_id"))
     people = t("profiles").select("profile_id", "birth_date", F.array("nationality").alias("nationalities"), "residence_country", "applicant_type")
     calls = t("calls").select("opportunity_id", "deadline_date", F.when(F.col("kind") != "P", F.col("title")).alias("requirements_text"), F.col("has_fee").alias("rules_elsewhere"))
-    return engine.evaluate(pairs, people, calls, _requirements(t), _reviews(t), catalog._names(t), {"english": "en", "german": "de"}, ["painting", "film"], "1996-06-01")
+    rows = materialise(_requirements(t), "requirements")  # the table of T21 is read several times
+    return engine.evaluate(pairs, people, calls, rows, _reviews(t), catalog._names(t), {"english": "en", "german": "de"}, ["painting", "film"], "1996-06-01")
 
 
 @query(f"WITH {ENGINE_ITEMS} SELECT profile_id, opportunity_id, chunk_index, label, polarity, outcome FROM items")
@@ -87,3 +89,36 @@ def e01_e14_engine_items(t):
   FROM full_""")
 def e17_e18_engine_verdicts(t):
     return _evaluation(t).verdicts
+
+
+# the typed value of each row of the requirement table: ages, types and countries by the wording, none of waived rows
+_COUNTRIES = "CASE WHEN tpl IN (0, 4, 5, 10, 13, 15) THEN n_name WHEN tpl = 28 THEN array_to_string(list_sort(list_distinct(list_concat(c[1:4], [n_name]))), ',') END"
+_KEPT = f"""{catalog.TABLE_SQL}, g AS (SELECT *, label IN ('NATIONALITY', 'RESIDENCE') AND NOT ((tpl IN (3, 13) AND label = 'NATIONALITY') OR (tpl = 29 AND label = 'RESIDENCE') OR (tpl = 29 AND label = 'NATIONALITY')) AS geo FROM r),
+  kept AS (SELECT * FROM g QUALIFY NOT coalesce(geo, false) OR row_number() OVER (PARTITION BY opportunity_id, chunk_index, coalesce(geo, false) ORDER BY confidence DESC, label) = 1),
+  named AS (SELECT k.*, ws.n_name, c FROM kept k JOIN wordings ws USING (opportunity_id, chunk_index, tpl), (SELECT list(n_name ORDER BY n_name) AS c FROM nation) cs),
+  typed AS (SELECT opportunity_id, chunk_index, tpl, label, CASE label
+    WHEN 'AGE' THEN CASE WHEN tpl <> 27 THEN CAST({by_template(5)} AS VARCHAR) END WHEN 'APPLICANT_TYPE' THEN NULL ELSE NULL END AS least,
+    CASE WHEN label = 'AGE' AND tpl <> 27 THEN CAST({by_template(6)} AS VARCHAR) END AS most,
+    CASE WHEN label = 'APPLICANT_TYPE' AND tpl NOT IN (7) THEN nullif({by_template(7)}, '') END AS types,
+    CASE WHEN label IN ('NATIONALITY', 'RESIDENCE') AND NOT (tpl = 13 AND label = 'NATIONALITY') THEN {_COUNTRIES} END AS countries FROM named)"""
+
+
+def _typed(t):
+    rows = materialise(catalog._table(t), "requirements")
+    return engine.typed(rows, engine.text_values(rows, catalog._names(t), {"english": "en", "german": "de"}, ["painting", "film"]))
+
+
+@query(f"WITH {_KEPT} SELECT opportunity_id, chunk_index, label, least, most, types, countries FROM typed WHERE coalesce(least, most, types, countries) IS NOT NULL")
+def t21_typed_values(t):
+    """The values that requirement rows of ages, types and countries state, in text form."""
+    rows = _typed(t).where("value is not null and label in ('AGE', 'APPLICANT_TYPE', 'NATIONALITY', 'RESIDENCE')")
+    text = lambda c: F.nullif(F.concat_ws(",", c), F.lit(""))
+    return rows.select("opportunity_id", "chunk_index", "label", F.col("value.least").cast("string").alias("least"), F.col("value.most").cast("string").alias("most"), text("value.types").alias("types"), text("value.countries").alias("countries"))
+
+
+@query(f"""WITH {_KEPT} SELECT label, count(*) AS n, count(*) FILTER (WHERE coalesce(least, most, types, countries) IS NOT NULL) AS n_read FROM typed
+  WHERE label IN ('AGE', 'APPLICANT_TYPE') AND NOT (label = 'AGE' AND tpl IN (2, 29)) AND NOT (label = 'APPLICANT_TYPE' AND tpl = 29) GROUP BY 1""")
+def t22_value_rates(t):
+    """By class, rows that could have a value (waived ones have none) and those with one."""
+    rows = _typed(t).withColumn("has_value", F.col("value").isNotNull())
+    return requirements.value_rates(rows.where("suspected is null"), ["AGE", "APPLICANT_TYPE"])
