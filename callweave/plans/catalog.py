@@ -836,7 +836,7 @@ def v01_group_folds(t):
 @query("""WITH c AS (SELECT grp, label, count(*) AS n FROM annotations GROUP BY 1, 2), m AS (SELECT grp, max_by(label, lpad(CAST(n AS VARCHAR), 9, '0') || label) AS main FROM c GROUP BY 1)
   SELECT grp, CAST((row_number() OVER (PARTITION BY main ORDER BY md5(concat('1/', grp)), grp) - 1) % 4 AS INTEGER) AS fold FROM m""")
 def v01_stratified_folds(t):
-    return learning.stratified_folds(t("annotations"), "grp", "label", 4)
+    return learning.dealt_folds(t("annotations"), "grp", "label", 4)
 
 
 @query("""WITH f AS (SELECT DISTINCT label, chunk_id % 40 AS fold FROM annotations) SELECT fold, label FROM (SELECT DISTINCT fold FROM f), (SELECT DISTINCT label FROM f) EXCEPT SELECT fold, label FROM f""")
@@ -850,8 +850,10 @@ def _labelled(t):
 
 @query()
 def v02_grid_search(t):
-    rows = _labelled(t).select("text", F.col("quality").cast("string").alias("label"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).cast("int").alias("fold"))
-    return learning.grid_search(rows, [("lr", 10.0, 1, 2.0), ("svm", 10.0, 2, 3.0)], 2, iterations=6)
+    rows = _labelled(t).join(t("documents").select("doc_id", "source"), "doc_id").withColumn("label", F.col("quality").cast("string"))
+    folds = materialise(learning.stratified_folds(rows, "source", "label", 2), "folds")
+    placed = rows.join(folds, rows["source"].eqNullSafe(folds["grp"])).select("text", "label", "fold")
+    return learning.grid_search(placed, [("lr", 10.0, 1, 2.0), ("svm", 10.0, 2, 3.0)], 2)
 
 
 @query()
@@ -1638,6 +1640,6 @@ def m17_page(t):
 
 
 # the other modules register their own queries
-from callweave.plans import verdict_queries  # noqa: E402, F401
+from callweave.plans import learning_queries, verdict_queries  # noqa: E402, F401
 
 __all__ = ["ORACLE", "QUERIES"]
