@@ -90,13 +90,13 @@ def labels_missing(df: DataFrame, label: str, fold: str) -> DataFrame:
     return every.join(seen, ["fold", "label"], "left_anti")
 
 
-def grid_search(df: DataFrame, grid: Sequence[tuple[str, float, int, float]], folds: int, tolerance: float = 1e-5) -> DataFrame:
+def grid_search(df: DataFrame, grid: Sequence[tuple[str, float, int, float]], folds: int, tolerance: float = 1e-4, most_passes: int = 60) -> DataFrame:
     """``model, c, grams, least_df, macro_f1`` over out-of-fold predictions of ``text, label, fold`` rows.
 
     Models: balanced logistic regression ("lr") or a linear machine ("svm"), one against the
     rest. Terms are counted once for all folds; a model's scale takes out terms that are too
     rare in the folds that it sees or too long for it, and weighs the others by their
-    inverse document frequency there. All points, folds and labels are fitted in the same
+    inverse document frequency there; rows have length 1. All points, folds and labels are fitted in the same
     passes. One row a grid point comes to the driver.
     """
     rows = df.where("text is not null and label is not null")
@@ -113,7 +113,7 @@ def grid_search(df: DataFrame, grid: Sequence[tuple[str, float, int, float]], fo
             fits = (seen >= least) & (np.array([n for _, n, _ in terms]) <= grams)
             scales.append(np.where(fits, np.log((total + 1) / (seen + 1)), 0.0))
             models += [many_models.Model(k, fold, 1.0, 1 / c, "logistic" if kind == "lr" else "hinge", True, len(scales) - 1) for k in range(1 if len(labels) == 2 else 0, len(labels))]
-    fitted = many_models.fit(data, models, len(terms), len(labels), np.array(scales), tolerance)
+    fitted = many_models.fit(data, models, len(terms), len(labels), np.array(scales), tolerance, most_passes)
     guessed = _guesses(data, fitted, len(terms), len(labels), per_point=folds)
     out = []
     for point, (kind, c, grams, least) in enumerate(grid):
@@ -126,13 +126,14 @@ def _guesses(data: DataFrame, fitted: many_models.Fit, width: int, labels: int,
     """(point, true label, guessed label, rows) over out-of-fold scores, counted in the tasks; models lie point by point, fold by fold, label by label."""
     each = 1 if labels == 2 else labels
     points = len(fitted.models) // (each * per_point)
-    fold = np.array([m.fold for m in fitted.models])
-    sent = data.sparkSession.sparkContext.broadcast(fitted.effective())
+    fold, scale = np.array([m.fold for m in fitted.models]), np.array([m.scale for m in fitted.models])
+    sent = data.sparkSession.sparkContext.broadcast((fitted.effective(), fitted.scales))
 
     def make(batches):
+        weights, scales = sent.value
         counts = np.zeros((points, labels, labels), np.int64)
         for rows in many_models.pieces(batches, width, labels):
-            score = rows.scores(sent.value)
+            score = rows.scores(weights, rows.units(scales, scale))
             truth = rows.target.argmax(axis=1)
             own = np.where(rows.fold[:, None] == fold, score, -np.inf).reshape(rows.n, points, per_point, each).max(axis=2)
             guess = (own[:, :, 0] > 0).astype(int) if each == 1 else own.argmax(axis=2)

@@ -9,6 +9,7 @@ but all step together, so passes do not grow with the number of models.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.operators.phrases import WORD
 from callweave.plans.scratch import materialise
 
 #: Rows that are worked on together.
@@ -26,7 +28,7 @@ MEMORY = 10
 
 @dataclass(frozen=True)
 class Model:
-    """``label``: target to tell from the rest; ``fold`` not seen (-1: all are); rows with a place up to ``share``; ``penalty`` on squared weights.
+    """A scale also makes each sparse row one of length 1. ``label``: target to tell from the rest; ``fold`` not seen (-1: all are); rows with a place up to ``share``; ``penalty`` on squared weights.
 
     ``loss``: "logistic" or "hinge" (squared); ``balanced``: both sides of the target weigh alike; ``scale``: row of the scales that multiplies the features.
     """
@@ -86,23 +88,32 @@ class Rows:
             self.val = val.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             self.at = np.repeat(np.arange(n), np.diff(idx.offsets.to_numpy()))
 
-    def scores(self, weights: np.ndarray) -> np.ndarray:
+    def units(self, scales: np.ndarray | None, at: np.ndarray) -> np.ndarray | float:
+        """(rows, models): what makes a row of scaled features one of length 1, for models with these scales; 1 without."""
+        if scales is None or self.x is not None:
+            return 1.0
+        per = np.stack([np.bincount(self.at, (self.val * s[self.idx]) ** 2, self.n) for s in scales], axis=1)
+        one = np.where(per > 0, 1 / np.sqrt(np.maximum(per, 1e-300)), 0.0)
+        return np.where(at >= 0, one[:, at], 1.0)
+
+    def scores(self, weights: np.ndarray, units: np.ndarray | float = 1.0) -> np.ndarray:
         if self.x is not None:
-            return self.x @ weights[:-1] + weights[-1]
+            return self.x @ weights[:-1] * units + weights[-1]
         out = np.empty((self.n, weights.shape[1]))
         for m in range(weights.shape[1]):
-            out[:, m] = np.bincount(self.at, self.val * weights[self.idx, m], self.n) + weights[-1, m]
-        return out
+            out[:, m] = np.bincount(self.at, self.val * weights[self.idx, m], self.n)
+        return out * units + weights[-1]
 
-    def back(self, r: np.ndarray) -> np.ndarray:
+    def back(self, r: np.ndarray, units: np.ndarray | float = 1.0) -> np.ndarray:
         """(features + 1, models): the transposed product with residuals, and their sums."""
         out = np.empty((self.width + 1, r.shape[1]))
+        sums, r = r.sum(axis=0), r * units
         if self.x is not None:
             out[:-1] = self.x.T @ r
         else:
             for m in range(r.shape[1]):
                 out[:-1, m] = np.bincount(self.idx, self.val * r[self.at, m], self.width)
-        out[-1] = r.sum(axis=0)
+        out[-1] = sums
         return out
 
 
@@ -158,19 +169,20 @@ def losses(data: DataFrame, models: Sequence[Model], weights: np.ndarray, sides:
     """Mean losses with penalties (models), and gradients (features + 1, models): one pass."""
     width, m = weights.shape[0] - 1, len(models)
     hinge = np.array([x.loss == "hinge" for x in models])
-    label = [x.label for x in models]
-    sent = data.sparkSession.sparkContext.broadcast(_scaled(models, weights, scales))
+    label, at = [x.label for x in models], np.array([x.scale for x in models])
+    sent = data.sparkSession.sparkContext.broadcast((_scaled(models, weights, scales), scales))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        w = sent.value
+        w, scales = sent.value
         for rows in pieces(batches, width, labels):
             seen = _seen(rows, models, sides)
             sign = np.where(rows.target[:, label], 1.0, -1.0)
-            margin = sign * rows.scores(w)
+            units = rows.units(scales, at)
+            margin = sign * rows.scores(w, units)
             gap = np.maximum(0, 1 - margin)
             loss = np.where(hinge, gap * gap, np.logaddexp(0, -margin))
             slope = np.where(hinge, -2 * gap, -1 / (1 + np.exp(np.minimum(margin, 700))))
-            yield np.r_[(seen * loss).sum(axis=0), rows.back(seen * slope * sign).ravel()]
+            yield np.r_[(seen * loss).sum(axis=0), rows.back(seen * slope * sign, units).ravel()]
 
     found = _summed(data, make, m + (width + 1) * m)
     sent.unpersist()
@@ -238,55 +250,67 @@ def fit(data: DataFrame, models: Sequence[Model], width: int, labels: int, scale
 
 def out_of_fold(data: DataFrame, fitted: Fit, width: int, labels: int, key: str = "key") -> DataFrame:
     """``key, model, score``: each row's score from the models that did not see its fold; the margin, not a probability."""
-    fold = np.array([m.fold for m in fitted.models])
-    sent = data.sparkSession.sparkContext.broadcast(fitted.effective())
+    fold, scale = np.array([m.fold for m in fitted.models]), np.array([m.scale for m in fitted.models])
+    sent = data.sparkSession.sparkContext.broadcast((fitted.effective(), fitted.scales))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, scales = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, TOGETHER)]) for c in batch.columns], names=batch.schema.names)
                 rows = Rows(part, width, labels)
                 r, m = np.nonzero(rows.fold[:, None] == fold)
-                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(r)), pa.array(m.astype(np.int32)), pa.array(rows.scores(sent.value)[r, m])], names=["key", "model", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(r)), pa.array(m.astype(np.int32)), pa.array(rows.scores(weights, rows.units(scales, scale))[r, m])], names=["key", "model", "score"])
 
     kind = dict(data.dtypes)[key]
     return data.mapInArrow(make, f"key {kind}, model int, score double")
 
 
+def grams_of(text: str | None, grams: int) -> Iterator[tuple[str, int]]:
+    """Runs of up to ``grams`` words in lower case, with their number of words."""
+    words = WORD.findall((text or "").lower())
+    for n in range(1, grams + 1):
+        for i in range(len(words) - n + 1):
+            yield " ".join(words[i : i + n]), n
+
+
 def gram_table(df: DataFrame, grams: int, least: int, most_terms: int) -> DataFrame:
-    """``gram, n, id, df``: runs of up to ``grams`` words of ``text``, by the rows (``df`` array by fold) that hold them; the ``most_terms`` most frequent of ``least`` rows or more."""
-    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    each = df.select("fold", F.array_distinct(_grams(words, grams)).alias("g")).select("fold", F.explode("g").alias("g")).groupBy("g", "fold").count()
-    per = each.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("fold", "count"))).alias("df"), F.sum("count").alias("total")).where(F.col("total") >= least)
-    return per.orderBy(F.desc("total"), "g").limit(most_terms).select(F.col("g.gram").alias("gram"), F.col("g.n").alias("n"), "df")
+    """``gram, n, df``: runs of up to ``grams`` words of ``text``, by the rows (``df``, a map by fold) that hold them; the ``most_terms`` most frequent of ``least`` rows or more.
+
+    Each batch counts its own grams first.
+    """
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part, counts = batch.slice(at, TOGETHER), Counter()
+                for text, fold in zip(part.column("text").to_pylist(), part.column("fold").to_pylist(), strict=True):
+                    counts.update((g, n, fold) for g, n in set(grams_of(text, grams)))
+                if counts:
+                    columns = zip(*((*k, c) for k, c in counts.items()), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["gram", "n", "fold", "k"])
 
-def _grams(words, grams: int):
-    run = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("gram"), F.lit(n).alias("n")))
-    empty = F.array().cast("array<struct<gram:string,n:int>>")
-    return F.concat(*(F.when(F.size(words) >= n, run(n)).otherwise(empty) for n in range(1, grams + 1)))
+    each = df.select("text", F.col("fold").cast("int").alias("fold")).mapInArrow(make, "gram string, n int, fold int, k bigint").groupBy("gram", "n", "fold").agg(F.sum("k").alias("k"))
+    per = each.groupBy("gram", "n").agg(F.map_from_entries(F.collect_list(F.struct("fold", "k"))).alias("df"), F.sum("k").alias("total")).where(F.col("total") >= least)
+    return per.orderBy(F.desc("total"), "gram").limit(most_terms).select("gram", "n", "df")
 
 
 def text_rows(df: DataFrame, keys: Sequence[str], grams: int, least: int, most_terms: int = 1 << 18) -> tuple[DataFrame, list[tuple[str, int, dict[int, int]]]]:
     """Sparse counts (``idx, val``) of the terms of ``text``, with ``keys``, and the terms (gram, words, rows by fold), ``most_terms`` at most."""
     terms = [(r.gram, r.n, r.df) for r in gram_table(df, grams, least, most_terms).collect()]
     sent = df.sparkSession.sparkContext.broadcast({g: i for i, (g, _, _) in enumerate(terms)})
-    words = F.filter(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
-    said = df.select(*keys, F.transform(_grams(words, grams), lambda g: g["gram"]).alias("__g"))
-    types = dict(said.dtypes)
+    types = dict(df.dtypes)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
-            idx, val = [], []
-            for gs in batch.column("__g").to_pylist():
-                own: dict[int, float] = {}
-                for g in gs or ():
-                    if (i := known.get(g)) is not None:
-                        own[i] = own.get(i, 0.0) + 1.0
-                idx.append(list(own))
-                val.append(list(own.values()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))], names=[*keys, "idx", "val"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch, idx, val = whole.slice(at, TOGETHER), [], []
+                for text in batch.column("text").to_pylist():
+                    own = Counter(i for g, _ in grams_of(text, grams) if (i := known.get(g)) is not None)
+                    idx.append(list(own))
+                    val.append([float(n) for n in own.values()])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))], names=[*keys, "idx", "val"])
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", idx array<int>, val array<double>"
-    return materialise(said.mapInArrow(make, schema), "terms"), terms
+    return materialise(df.select("text", *keys).mapInArrow(make, schema), "terms"), terms

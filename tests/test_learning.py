@@ -58,12 +58,16 @@ def test_sparse_rows_equal_dense_ones(spark):
     sparse = spark.createDataFrame([(*r[:4], [i for i, v in enumerate(r[4]) if v], [v for v in r[4] if v]) for r in few], "key int, y array<int>, fold int, place double, idx array<int>, val array<double>")
     models = [many_models.Model(0, 1, 1.0, 0.01, scale=0)]
     scales = np.array([[1.0, 2.0, 0.0, 1.0, 0.5, 1.0]])
-    a, b = (many_models.fit(d, models, 6, 3, scales, tolerance=1e-9) for d in (dense, sparse))
-    assert np.abs(a.weights - b.weights).max() < 1e-6 and a.weights[2, 0] == 0
+    one = lambda v: [x * k for x, k in zip(v, scales[0])]
+    scaled = [(*r[:4], (np.array(one(r[4])) / max(np.linalg.norm(one(r[4])), 1e-12)).tolist()) for r in few]
+    dense = spark.createDataFrame(scaled, SCHEMA)
+    a = many_models.fit(dense, [many_models.Model(0, 1, 1.0, 0.01)], 6, 3, tolerance=1e-9)
+    b = many_models.fit(sparse, models, 6, 3, scales, tolerance=1e-9)
+    assert np.abs(a.weights - b.weights).max() < 1e-6 and b.weights[2, 0] == 0
     scores = [{(r.key, r.model): r.score for r in many_models.out_of_fold(d, f, 6, 3).collect()} for d, f in ((dense, a), (sparse, b))]
     assert scores[0].keys() == scores[1].keys() and len(scores[0]) == sum(r[2] == 1 for r in few)
     assert max(abs(scores[0][k] - scores[1][k]) for k in scores[0]) < 1e-5
-    none = many_models.fit(dense.where("false"), models, 6, 3, scales)
+    none = many_models.fit(sparse.where("false"), models, 6, 3, scales)
     assert not none.weights.any()
 
 
