@@ -944,11 +944,6 @@ LINES_SQL = r"""
   lines AS (SELECT key, CAST(pos AS INTEGER) AS pos, line FROM (SELECT key, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM l))"""
 
 
-@query(f"WITH {LINES_SQL}, n AS (SELECT *, sum(length(line)) OVER (PARTITION BY key ORDER BY pos) AS n FROM lines) SELECT key, pos, regexp_replace(line, '^#{{1,6}} ', '') AS line FROM n WHERE n <= 2000")
-def s11_line_table(t):
-    return documents.line_table(t("documents"), "doc_id", "text", most=2000).drop("marked")
-
-
 @query(f"WITH {LINES_SQL} SELECT key, pos, regexp_replace(line, '^#{{1,6}} ', '') AS line FROM lines")
 def s11_whole_lines(t):
     return documents.line_table(t("documents"), "doc_id", "text").drop("marked")
@@ -1295,14 +1290,6 @@ def s10_vector_index(t):
 # --- the rest of ingest, normalisation, matching, documents and annotation
 
 
-@query("""WITH c AS (SELECT conv_id AS key, string_agg('## ' || role || chr(10) || substr(text, 1, 100), chr(10) ORDER BY turn) AS m FROM conversations GROUP BY 1)
-  SELECT doc_id AS key, d.lang || CASE WHEN m IS NULL THEN '' ELSE chr(10) || m END AS text FROM documents d LEFT JOIN c ON d.doc_id = c.key""")
-def c12_attach_texts(t):
-    pages = t("documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("text"))
-    attached = t("conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("rank"), F.col("role").alias("title"), "text")
-    return ingest.attach_texts(pages, attached, most=100)
-
-
 @query("""WITH c AS (SELECT conv_id AS key, string_agg('## ' || role || chr(10) || text, chr(10) ORDER BY turn) AS m FROM conversations GROUP BY 1)
   SELECT doc_id AS key, d.lang || CASE WHEN m IS NULL THEN '' ELSE chr(10) || m END AS text FROM documents d LEFT JOIN c ON d.doc_id = c.key""")
 def c12_whole_texts(t):

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callweave.operators.ingest import gate, make_id, merge_by_id
 from callweave.plans.scratch import files, new_path
@@ -75,32 +75,155 @@ def discovered(stream: DataFrame, seen: DataFrame, delay: str) -> DataFrame:
     return named.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"]).join(seen.select("id"), "id", "left_anti")
 
 
-def upsert(stream: DataFrame, key: str, order: str, at: str | None = None) -> DataFrame:
-    """The table of latest rows, with each micro-batch's rows in place of old ones."""
+#: Buckets of an upserted table.
+BUCKETS = 64
 
-    def merged(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        return merge_by_id(batch.where("false") if old is None else old, batch, key, order)
 
-    return _replace(stream, "append", at or new_path(stream.sparkSession, "upsert"), merged)
+def _manifest(spark: SparkSession, at: str, below: int | None = None) -> tuple[int, dict[int, int]]:
+    """The number of the last batch (before ``below``) whose manifest stands, and its version of each bucket; -1 without any."""
+    fs, path = files(spark, f"{at}/manifest")
+    if not fs.exists(path):
+        return -1, {}
+    found = [int(s.getPath().getName()) for s in fs.listStatus(path) if s.getPath().getName().isdigit()]
+    last = max((n for n in found if below is None or n < below), default=-1)
+    if last < 0:
+        return -1, {}
+    return last, {r.bucket: r.version for r in spark.read.schema("bucket int, version bigint").parquet(f"{at}/manifest/{last}").collect()}  # a row a bucket
 
 
-def changed_pages(stream: DataFrame) -> DataFrame:
-    """``key, hash, ts`` of a crawl, only where a page's hash differs from the one before it.
+def _bucket_paths(at: str, versions: dict[int, int]) -> list[str]:
+    return [f"{at}/data/{v}/bucket={b}" for b, v in sorted(versions.items())]
+
+
+def read_upserted(spark: SparkSession, at: str, schema) -> DataFrame:
+    """The table as the last manifest has it."""
+    _, versions = _manifest(spark, at)
+    return spark.read.schema(schema).parquet(*_bucket_paths(at, versions)) if versions else spark.createDataFrame([], schema)
+
+
+def upsert(stream: DataFrame, key: str, order: str, at: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """The table of latest rows, with each micro-batch's rows in place of old ones.
 
-    The state of a page is its last hash. A page's rows within one micro-batch are put in
-    order by time; the number of files a micro-batch reads bounds them.
+    Rows lie in hash buckets of their key. A batch reads and writes only the buckets that it
+    touches, as files of its own number, and then writes a manifest of the version that
+    holds for each bucket. Readers follow the last manifest, so files of a batch that broke
+    off before it are not seen, and a batch that is run again starts from the manifest
+    before it and gives the same table. Files that the last two manifests do not name go.
     """
+    spark, at = stream.sparkSession, at or new_path(stream.sparkSession, "upsert")
+    columns = stream.columns
+    place = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+    def put(batch: DataFrame, number: int) -> None:
+        before, versions = _manifest(spark, at, below=number)
+        rows = batch.withColumn("bucket", place).persist()
+        try:
+            touched = {r.bucket for r in rows.select("bucket").distinct().collect()}  # at most ``buckets``
+            if not touched:
+                return
+            old = _bucket_paths(at, {b: v for b, v in versions.items() if b in touched})
+            known = spark.read.schema(batch.schema).parquet(*old) if old else spark.createDataFrame([], batch.schema)
+            merged = merge_by_id(known, rows.select(*columns), key, order).withColumn("bucket", place)
+            merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/data/{number}")
+        finally:
+            rows.unpersist()
+        now = versions | dict.fromkeys(touched, number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{at}/manifest/{number}")
+        kept = set(now.values()) | set(versions.values())
+        for folder, live in ((f"{at}/data", kept), (f"{at}/manifest", {number, before})):
+            fs, path = files(spark, folder)
+            for s in fs.listStatus(path):
+                if s.getPath().getName().isdigit() and int(s.getPath().getName()) not in live:
+                    fs.delete(s.getPath(), True)
+
+    stream.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{at}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return read_upserted(spark, at, stream.schema)
+
+
+#: State that a processor keeps by key needs this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+DAY = 86_400
+
+
+class _Kept(StatefulProcessor):
+    """A processor whose keys have one value, which goes once the watermark is ``span`` seconds past the key's last event."""
+
+    def __init__(self, kind: str, span: float, columns: list[str]):
+        self.kind, self.span, self.columns = kind, span, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", f"{self.kind}, last double")
+
+    def take(self, rows: Iterator[pd.DataFrame], by: list[str]) -> tuple[pd.DataFrame, tuple | None, float]:
+        """The key's rows in order, its value, and the time of its last event with these rows."""
+        found = pd.concat(rows).sort_values(by, kind="stable")
+        before = self.value.get() if self.value.exists() else None
+        return found, before, max(found["ts"].iloc[-1].timestamp(), before[-1] if before else float("-inf"))
+
+    def keep(self, value: tuple, last: float) -> None:
+        self.value.update((*value, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((last + self.span) * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        self.value.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class _Changes(_Kept):
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found, before, last = self.take(rows, ["ts", "hash"])
+        earlier, times = found["hash"].shift(), found["ts"].map(lambda t: t.timestamp())
+        gap = times.diff()
+        if before:
+            earlier.iloc[0], gap.iloc[0] = before[0], times.iloc[0] - before[1]
+        self.keep((found["hash"].iloc[-1],), last)
+        new = found[(found["hash"] != earlier) | (gap > self.span)]  # what is too old to count is too old in any batch
+        if len(new):
+            yield new[self.columns]
+
+
+class _Throttle(_Kept):
+    def __init__(self, span: float, failed: str, success: str, most: int):
+        super().__init__("times array<double>", span, ["id", "ts"])
+        self.failed, self.success, self.most = failed, success, most
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found, before, last = self.take(rows, ["ts", "event_type"])
+        times, out = list(before[0]) if before else [], []
+        for at, kind in zip(found["ts"], found["event_type"], strict=True):
+            second = at.timestamp()
+            if kind == self.success:
+                times = []
+            elif kind == self.failed:
+                times = [t for t in times if t > second - self.span][-(self.most - 1) :] + [second] if self.most > 1 else [second]
+                if len(times) >= self.most:
+                    out.append(at)
+        self.keep((times,), last)
+        if out:
+            yield pd.DataFrame({"id": [key[0]] * len(out), "ts": out})
 
-    def compare(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(chunks).sort_values(["ts", "hash"], kind="stable")
-        before = rows["hash"].shift()
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        state.update((rows["hash"].iloc[-1],))
-        yield rows[rows["hash"] != before]
 
-    schema = stream.select("key", "hash", "ts").schema
-    return stream.select("key", "hash", "ts").groupBy("key").applyInPandasWithState(compare, schema, "hash string", "append", GroupStateTimeout.NoTimeout)
+def _with_state(stream: DataFrame, key: str, processor: _Kept, schema, delay: str) -> DataFrame:
+    stream.sparkSession.conf.set(*STORE)
+    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="eventTime")
+
+
+def changed_pages(stream: DataFrame, keep_days: float = 400, delay: str = "1 hour") -> DataFrame:
+    """``key, hash, ts`` of a crawl, only where a page's hash differs from the one before it.
+
+    The state of a page is its last hash, which goes ``keep_days`` after its last visit (by
+    the watermark); a page that comes back later counts as new. A page's rows within one
+    micro-batch are put in order by time; the number of files a micro-batch reads bounds
+    them. Rows later than ``delay`` are left out.
+    """
+    rows = stream.select("key", "hash", "ts")
+    return _with_state(rows, "key", _Changes("hash string", keep_days * DAY, ["key", "hash", "ts"]), rows.schema, delay)
 
 
 def blocked(stream: DataFrame, failed: str, most: int, span: str = "15 minutes", slide: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
@@ -110,28 +233,15 @@ def blocked(stream: DataFrame, failed: str, most: int, span: str = "15 minutes",
     return counts.where(F.col("n") >= most).select("id", F.col("window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def throttled(stream: DataFrame, failed: str, success: str, most: int, seconds: int) -> DataFrame:
+def throttled(stream: DataFrame, failed: str, success: str, most: int, seconds: int, delay: str = "1 hour") -> DataFrame:
     """``id, ts`` of each failure that is the ``most``-th or a later one within ``seconds``, counted since the last success.
 
-    The state of a key is the times of its last ``most`` failures at most.
+    The state of a key is the times of its last ``most`` failures at most; it goes once the
+    watermark is ``seconds`` past the key's last event, when no failure in it counts any
+    more. Rows later than ``delay`` are left out.
     """
-
-    def judge(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        rows, out = pd.concat(chunks), []
-        for at, kind in sorted(zip(rows["ts"], rows["event_type"], strict=True)):
-            second = at.timestamp()
-            if kind == success:
-                times = []
-            elif kind == failed:
-                times = [t for t in times if t > second - seconds][-(most - 1) :] + [second] if most > 1 else [second]
-                if len(times) >= most:
-                    out.append(at)
-        state.update((times,))
-        yield pd.DataFrame({"id": [key[0]] * len(out), "ts": out})
-
-    schema = stream.select("id", "ts").schema
-    return stream.select("id", "ts", "event_type").groupBy("id").applyInPandasWithState(judge, schema, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("id", "ts", "event_type")
+    return _with_state(rows, "id", _Throttle(seconds, failed, success, most), rows.select("id", "ts").schema, delay)
 
 
 def routed(stream: DataFrame, rules, delay: str = "1 hour") -> DataFrame:
