@@ -44,6 +44,46 @@ def quota_sample(df: DataFrame, quotas: dict[str, int], test_size: int, per_call
     return taken.withColumn("split", F.when(F.row_number().over(Window.orderBy("__o", "chunk_id")) <= test_size, "test").otherwise("dev")).drop("__o", "__r")
 
 
+#: Rows that the walk of a quota sample takes to the driver at a time.
+WALKED_TOGETHER = 10_000
+
+
+def quota_walk(df: DataFrame, quotas: dict[str, int], test_size: int, per_call: int = 2, seed: int = 1, together: int = WALKED_TOGETHER) -> DataFrame:
+    """A13, one walk: rows of ``chunk_id, opportunity_id, family, text`` in seeded order, each taken unless its family's quota, its call or its text is used up.
+
+    The next ``together`` rows that nothing taken so far rules out are walked at a time; what
+    they use up is then kept from the following ones before these are put in order. The
+    first row left is always taken, so there are no more rounds than the quotas together,
+    and usually few. Only ids, digests and what was taken (bounded by the quotas) are held.
+    The first ``test_size`` are the test split. Families without a quota give none; ties in
+    the order go by ``chunk_id``; a chunk that comes again is one row.
+    """
+    lean = df.where(F.col("family").isin(*quotas)).select("chunk_id", "opportunity_id", "family", F.sha2(F.coalesce("text", F.lit("")), 256).alias("d"), seeded(F.col("chunk_id"), seed=seed).alias("o"))
+    rows = materialise(lean.dropDuplicates(["chunk_id"]), "walk")
+    spark, left, calls, texts, taken = df.sparkSession, dict(quotas), {}, set(), []
+    at: tuple[str, object] | None = None  # the last row walked
+    while any(n > 0 for n in left.values()):
+        open_ = rows.where(F.col("family").isin(*(f for f, n in left.items() if n > 0)))
+        if at is not None:
+            open_ = open_.where((F.col("o") > at[0]) | ((F.col("o") == at[0]) & (F.col("chunk_id") > at[1])))
+            used = [c for c, n in calls.items() if n >= per_call]
+            open_ = open_.join(F.broadcast(spark.createDataFrame([(d,) for d in texts], "d string")), "d", "left_anti")  # a row a taken one at most
+            if used:
+                open_ = open_.where(~F.coalesce(F.col("opportunity_id").isin(*used), F.lit(False)))
+        found = open_.orderBy("o", "chunk_id").limit(together).collect()
+        for r in found:
+            if left[r.family] > 0 and calls.get(r.opportunity_id, 0) < per_call and r.d not in texts:
+                left[r.family] -= 1
+                calls[r.opportunity_id] = calls.get(r.opportunity_id, 0) + 1
+                texts.add(r.d)
+                taken.append(r.chunk_id)
+        if len(found) < together:
+            break
+        at = (found[-1].o, found[-1].chunk_id)
+    split = spark.createDataFrame([(c, "test" if i < test_size else "dev") for i, c in enumerate(taken)], f"chunk_id {dict(df.dtypes)['chunk_id']}, split string")
+    return df.dropDuplicates(["chunk_id"]).join(F.broadcast(split), "chunk_id")  # a row a taken one
+
+
 def halved_sample(calls: DataFrame, used: DataFrame, size: int, per_source: int = 3, seed: int = 1) -> DataFrame:
     """Half of ``size`` calls that can be rejected and half that can't, ``per_source`` a source in all, without used ones, in seeded order.
 

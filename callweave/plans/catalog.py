@@ -783,6 +783,12 @@ def a13_quota_sample(t):
     return annotate.quota_sample(_families(t), {"dropped": 20, "check_only": 15, "safety_net": 30}, 25)
 
 
+@query()
+def a13_quota_walk(t):
+    """One walk under all three limits; the tests hold a plain walk."""
+    return annotate.quota_walk(_families(t), {"dropped": 20, "check_only": 15, "safety_net": 30}, 25).select("chunk_id", "opportunity_id", "text", "family", "split")
+
+
 @query("""WITH c AS (SELECT opportunity_id, source, opportunity_id % 3 = 0 AS r, md5(concat('1/', CAST(opportunity_id AS VARCHAR))) AS o FROM calls WHERE opportunity_id NOT IN (SELECT opportunity_id FROM requirements WHERE max_age > 60)),
   a AS (SELECT * FROM (SELECT * FROM c WHERE r QUALIFY row_number() OVER (PARTITION BY source ORDER BY o, opportunity_id) <= 3) ORDER BY o, opportunity_id LIMIT 10),
   b AS (SELECT c.* FROM c LEFT JOIN (SELECT source, count(*) AS s FROM a GROUP BY 1) s ON c.source = s.source WHERE NOT r QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY o, opportunity_id) <= 3 - coalesce(s, 0))
