@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,43 +270,108 @@ def content_text(df: DataFrame, key: str, html: str, most: int | None = None, le
     return out if most is None else out.withColumn("text", F.substring("text", 1, most))
 
 
+#: Elements whose text nobody sees, and those that have no end.
+HIDDEN = {"script", "style", "template"}
+VOID = {"br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track"}
+Path = tuple[tuple[str, int], ...]
+
+
+class Page(HTMLParser):
+    """One page, read as a stream of tags: pieces of text and anchors, each with the elements around it."""
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, int]] = []
+        self.count = 0
+        self.pieces: list[tuple[str, Path]] = []
+        self.anchors: list[tuple[str, list[str], Path]] = []
+        self.inside: list[int] = []  # numbers of open anchors, by the element that opened them
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        self.count += 1
+        if tag == "a" and (href := dict(attrs).get("href")) is not None:
+            self.anchors.append((href, [], tuple(self.open)))
+            self.inside.append(self.count)
+        self.open = [*self.open, (tag, self.count)]
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            self.inside = [n for n in self.inside if n not in {k for _, k in self.open[at:]}]
+            self.open = self.open[:at]
+
+    def handle_data(self, data):
+        if data.strip() and not any(t in HIDDEN for t, _ in self.open):
+            said = " ".join(data.split())
+            self.pieces.append((said, tuple(self.open)))
+            if self.inside:
+                self.anchors[-1][1].append(said)
+
+    def first(self, tag: str) -> tuple[str, int] | None:
+        """The page's first element of a kind that holds text or a link."""
+        paths = [p for _, p in self.pieces] + [p for *_, p in self.anchors]
+        return min((e for p in paths for e in p if e[0] == tag), key=lambda e: e[1], default=None)
+
+    def content(self, least: int) -> tuple[str, int] | None:
+        """The element that holds the call: the first article with ``least`` characters, else main; none for the page."""
+        for tag in ("article", "main"):
+            found = self.first(tag)
+            if found and len(" ".join(t for t, p in self.pieces if found in p)) >= least:
+                return found
+        return None
+
+
+def is_chrome(path: Path) -> bool:
+    """Whether something lies in a menu, or in the head or foot of the page rather than of its content."""
+    tags = [t for t, _ in path]
+    outer = [i for i, t in enumerate(tags) if t in ("header", "footer")]
+    return "nav" in tags or any(not {"article", "main", "section"} & set(tags[:i]) for i in outer)
+
+
 def page_text(html: str, least: int) -> str:
     """The text of one page's content scope, its pieces joined by one space."""
-    from html.parser import HTMLParser
-
-    hidden, void = {"script", "style", "template"}, {"br", "hr", "img", "input", "link", "meta", "wbr", "area", "base", "col", "embed", "source", "track"}
-    pieces: list[tuple[str, tuple[tuple[str, int], ...]]] = []
-
-    class Reader(HTMLParser):
-        open: list[tuple[str, int]] = []
-        count = 0
-
-        def handle_starttag(self, tag, attrs):
-            if tag not in void:
-                self.count += 1
-                self.open = [*self.open, (tag, self.count)]
-
-        def handle_endtag(self, tag):
-            at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-            if at is not None:
-                self.open = self.open[:at]
-
-        def handle_data(self, data):
-            if data.strip() and not any(t in hidden for t, _ in self.open):
-                pieces.append((" ".join(data.split()), tuple(self.open)))
-
-    Reader(convert_charrefs=True).feed(html)
-    scope = pieces
-    for wanted in ("article", "main"):
-        first = min((n for _, path in pieces for t, n in path if t == wanted), default=None)
-        inside = [p for p in pieces if first is not None and (wanted, first) in p[1]]
-        if len(" ".join(t for t, _ in inside)) >= least:
-            scope = inside
-            break
-
-    def chrome(path: tuple[tuple[str, int], ...]) -> bool:
-        tags = [t for t, _ in path]
-        outer = [i for i, t in enumerate(tags) if t in ("header", "footer")]
-        return "nav" in tags or any(not {"article", "main", "section"} & set(tags[:i]) for i in outer)
-
-    return " ".join(t for t, path in scope if not chrome(path))
+    page = Page(html)
+    scope = page.content(least)
+    return " ".join(t for t, path in page.pieces if (scope is None or scope in path) and not is_chrome(path))
+
+
+def page_links(pages: DataFrame, key: str, base: str, html: str, least: int = 300) -> DataFrame:
+    """``key, pos, url, title, in_main, in_content, in_chrome, same_host`` of all anchors of a page with a place to go.
+
+    ``in_main``: within <main>, or the page has none; ``in_content``: within the element that
+    holds the call, or there is none; ``in_chrome``: within a menu, or the page's head or foot;
+    ``same_host``: the link stays on the page's host. Null pages give none. Pages are read a
+    batch at a time by the standard library's parser.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for k, where, text in zip(*(batch.column(c).to_pylist() for c in ("key", "base", "html")), strict=True):
+                page = Page(text or "")
+                main, scope = page.first("main"), page.content(least)
+                out += [(k, where, i, href, " ".join(said), main is None or main in path, scope is None or scope in path, is_chrome(path)) for i, (href, said, path) in enumerate(page.anchors)]
+            types = (batch.column("key").type, pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "base", "pos", "href", "title", "in_main", "in_content", "in_chrome"])
+
+    rows = pages.select(F.col(key).alias("key"), F.col(base).alias("base"), F.col(html).alias("html"))
+    found = rows.mapInArrow(read, f"key {kind}, base string, pos int, href string, title string, in_main boolean, in_content boolean, in_chrome boolean")
+    host = lambda c: F.lower(F.regexp_extract(c, "^[a-zA-Z]+://([^/?#]+)", 1))
+    named = found.withColumn("url", normalise_link(F.col("href"), F.col("base"))).where("url is not null")
+    return named.select("key", "pos", "url", "title", "in_main", "in_content", "in_chrome", (host(F.col("url")) == host(F.col("base"))).alias("same_host"))
+
+
+def main_links(links: DataFrame) -> DataFrame:
+    """``key, pos, url, title`` of the links that a crawl follows: within <main>, with text, the first of each URL; ``pos`` counts a page's anchors there."""
+    inner = links.where("in_main")
+    first = inner.where("title <> ''").groupBy("key", "url").agg(F.min(F.struct("pos", "title")).alias("m"))
+    start = inner.groupBy("key").agg(F.min("pos").alias("__p"))
+    return first.join(start, "key").select("key", (F.col("m.pos") - F.col("__p")).alias("pos"), "url", "m.title")

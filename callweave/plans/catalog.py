@@ -279,6 +279,26 @@ def c09_rank_documents(t):
     return ingest.rank_documents(links, "th|en", "login")
 
 
+@query(f"WITH {LINKS_SQL} SELECT key, url, title FROM links")
+def c03_tree_links(t):
+    return ingest.main_links(ingest.page_links(t("pages"), "page_id", "url", "html")).drop("pos")
+
+
+# a page without a long <article> is all content, else the anchors within it are; hosts are read from the URLs
+@query(f"""WITH {LINKS_SQL}, art AS (SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)^(.*?)<article', 1), '(?s)<a [^>]*>.*?</a>')) AS n0, len(regexp_extract_all(body, '(?s)<a [^>]*>.*?</a>')) AS n1,
+      length(regexp_replace(regexp_replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g'), '^ | $', '', 'g')) AS size
+    FROM (SELECT *, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages)),
+  s AS (SELECT l.key, l.pos, l.url, CASE WHEN regexp_matches(lower(translate(concat(l.url, ' ', l.title), 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc')), 'th|en') THEN 3 ELSE 0 END
+      + CASE WHEN art.size < 300 OR l.pos BETWEEN n0 AND n0 + n1 - 1 THEN 2 ELSE 0 END + CASE WHEN lower(regexp_extract(l.url, '^[a-zA-Z]+://([^/?#]+)', 1)) = lower(regexp_extract(p.url, '^[a-zA-Z]+://([^/?#]+)', 1)) THEN 1 ELSE 0 END AS score,
+    lower(concat(l.url, ' ', l.title)) AS f FROM links l JOIN pages p ON p.page_id = l.key JOIN art ON art.page_id = l.key)
+  SELECT key, rank, url, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, pos) AS INTEGER) AS rank FROM s WHERE score >= 2 AND NOT regexp_matches(f, 'login')) WHERE rank <= 3""")
+def c09_tree_documents(t):
+    """The place and host of each link come from its page."""
+    links = ingest.page_links(t("pages"), "page_id", "url", "html")
+    once = links.where("title <> ''").groupBy("key", "url").agg(F.min(F.struct("pos", "title", "in_content", "same_host")).alias("m")).select("key", "url", "m.*")
+    return ingest.rank_documents(once, "th|en", "login")
+
+
 @query(f"WITH {LINKS_SQL} SELECT url, count(DISTINCT key) AS n_pages FROM links GROUP BY url HAVING count(DISTINCT key) >= 2")
 def c10_site_wide(t):
     return ingest.site_wide(_links(t), least=2)
