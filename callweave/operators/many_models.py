@@ -124,7 +124,7 @@ def pieces(batches: Iterator[pa.RecordBatch], width: int, labels: int) -> Iterat
             yield Rows(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, TOGETHER)]) for c in batch.columns], names=batch.schema.names), width, labels)
 
 
-def _summed(df: DataFrame, make, size: int, fan: int = 32) -> np.ndarray:
+def summed(df: DataFrame, make, size: int, fan: int = 32) -> np.ndarray:
     """Adds up the arrays of ``size`` numbers that tasks make: within ``fan`` groups of tasks, then all."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +158,7 @@ def side_weights(data: DataFrame, models: Sequence[Model], width: int, labels: i
             on = rows.target[:, [x.label for x in models]]
             yield np.r_[(seen * ~on).sum(axis=0), (seen * on).sum(axis=0)]
 
-    n = _summed(data, make, 2 * m).reshape(2, m)
+    n = summed(data, make, 2 * m).reshape(2, m)
     total = n.sum(axis=0)
     even = np.where(n > 0, total / np.maximum(2 * n, 1), 0)
     weights = np.where([x.balanced for x in models], even, 1.0)
@@ -184,7 +184,7 @@ def losses(data: DataFrame, models: Sequence[Model], weights: np.ndarray, sides:
             slope = np.where(hinge, -2 * gap, -1 / (1 + np.exp(np.minimum(margin, 700))))
             yield np.r_[(seen * loss).sum(axis=0), rows.back(seen * slope * sign, units).ravel()]
 
-    found = _summed(data, make, m + (width + 1) * m)
+    found = summed(data, make, m + (width + 1) * m)
     sent.unpersist()
     gradient = _scaled(models, found[m:].reshape(width + 1, m), scales) / total
     penalty = np.array([x.penalty for x in models])

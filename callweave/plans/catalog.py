@@ -1653,6 +1653,6 @@ def m17_page(t):
 
 
 # the other modules register their own queries
-from callweave.plans import learning_queries, verdict_queries  # noqa: E402, F401
+from callweave.plans import discover_queries, learning_queries, verdict_queries  # noqa: E402, F401
 
 __all__ = ["ORACLE", "QUERIES"]
