@@ -1652,6 +1652,15 @@ def m17_page(t):
     return matching.page_of(t("judgments").withColumn("pos", order), "persona", 5, 5).select("persona", "item", "pos")
 
 
+# a page number ends a description
+@query("""SELECT key, CAST(p.pos AS BIGINT) AS pos, p.line AS title, regexp_extract(d.line, '([0-9]{4}(?: - [0-9]{4})?)', 1) AS years, CASE WHEN contains(d.line, 'video') THEN 'video and sound' WHEN starts_with(d.line, 'Oil') THEN 'Oil on paper' END AS medium,
+    b.line || CASE WHEN c.line = '17' THEN '' ELSE ' ' || c.line || ' ' || e.line END AS summary
+  FROM portfolio_lines p JOIN portfolio_lines d USING (key) JOIN portfolio_lines b USING (key) JOIN portfolio_lines c USING (key) JOIN portfolio_lines e USING (key)
+  WHERE p.pos % 8 = 0 AND d.pos = p.pos + 2 AND b.pos = p.pos + 3 AND c.pos = p.pos + 4 AND e.pos = p.pos + 5""")
+def d15_work_pages(t):
+    return facts.work_pages(t("portfolio_lines"), "2020-01-01").select("key", "pos", "title", "years", "medium", "summary")
+
+
 # the other modules register their own queries
 from callweave.plans import discover_queries, learning_queries, verdict_queries  # noqa: E402, F401
 

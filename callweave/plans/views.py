@@ -72,6 +72,13 @@ VIEWS = {
           WHEN 12 THEN '2018 Many hands, Hall' WHEN 13 THEN 'Low Water, 2024 – 2026' WHEN 14 THEN 'A film about the shore.' WHEN 15 THEN 'I am working on a choir of bells.' ELSE 'My next project is a map.' END AS line
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey CROSS JOIN (VALUES (0, NULL), (1, NULL), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, 'Education'), (8, 'Education'),
           (9, 'Solo exhibitions'), (10, 'Solo exhibitions'), (11, 'Solo exhibitions'), (12, 'Group exhibitions'), (13, 'Portfolio'), (14, 'Portfolio'), (15, 'Statement'), (16, 'Statement')) AS v(i, section)""",
+    "portfolio_lines": """
+        SELECT l_orderkey AS key, CAST(8 * item + i AS INTEGER) AS pos, CASE WHEN l_linestatus = 'O' THEN 'Selected works' END AS section, CASE i
+          WHEN 0 THEN concat(CASE l_returnflag WHEN 'A' THEN 'Night Study ' WHEN 'N' THEN 'Harbour Song ' ELSE 'Glass Field ' END, CAST(l_partkey AS VARCHAR(9)))
+          WHEN 1 THEN '(for two voices)' WHEN 2 THEN CASE WHEN l_tax < 0.03 THEN concat(CAST(y AS VARCHAR(9)), ' - video and sound') WHEN l_tax < 0.06 THEN concat('Oil on paper. ', CAST(y AS VARCHAR(9))) ELSE concat(CAST(y AS VARCHAR(9)), ' - ', CAST(y + 1 AS VARCHAR(9))) END
+          WHEN 3 THEN 'A work about the shore.' WHEN 4 THEN CASE WHEN l_discount < 0.05 THEN 'It was shown at night.' ELSE '17' END ELSE 'The last line, in smaller type.' END AS line
+        FROM (SELECT *, year(l_shipdate) + 20 AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS item FROM {lineitem}) w
+          CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS v(i) WHERE i <> 1 OR l_quantity > 25""",
     "wordings": f"""
         SELECT l_orderkey AS opportunity_id, chunk_index, n_name, n_nationkey, tpl, CASE tpl {" ".join(f"WHEN {i} THEN {_said(w[0])}" for i, w in enumerate(WORDINGS))} END AS text, {by_template(1)} AS heading, {by_template(2)} AS label
         FROM (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS chunk_index,

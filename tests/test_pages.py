@@ -27,3 +27,21 @@ def test_a_page_is_read_once_for_text_and_links():
     page = ingest.Page(PAGE)
     assert page.content(300)[0] == "article" and page.content(10_000) is None and page.first("main")[0] == "main"
     assert ingest.page_text(PAGE, 300).startswith("Top The form Long text") and "Menu" not in ingest.page_text(PAGE, 10_000)
+
+
+def test_work_pages(spark):
+    from callweave.operators import facts
+
+    lines = [
+        ("Ada Field", None), ("Surplus", None), ("2026 - 1 channel video - 14 min", None), ("A film of found footage.", None), ("It goes on.", None), ("12", None), ("Not told any more.", None),
+        ("City Loop", None), ("(for six screens)", None), ("Sound piece. 2018 - 2019", None), ("Walks on rubble.", None), ("Installation view", None),
+        ("MFA Painting", "Education"), ("2016 - 2018", "Education"), ("Lives in Wells", None), ("Lives in Wells since 2018", None), ("Memories", "Works"), ("2021", "Other"), ("Last Work", "Works"), ("2012", "Works"),
+    ]
+    df = spark.createDataFrame([(1, i, t, s) for i, (t, s) in enumerate(lines)] + [(2, 0, "2020", None), (2, 1, "Only a title", None)], "key int, pos int, line string, section string")
+    got = {r.title: (r.pos, r.years, r.medium, r.summary, r.status) for r in facts.work_pages(df, "2026-05-01").collect()}
+    assert got == {
+        "Surplus": (1, "2026", "1 channel video - 14 min", "A film of found footage. It goes on.", "current"),
+        "City Loop": (7, "2018 - 2019", "Sound piece", "Walks on rubble.", "past"),
+        "Last Work": (18, "2012", None, None, "past"),
+    }
+    assert facts.work_pages(df.where("false"), "2026-05-01").count() == 0
