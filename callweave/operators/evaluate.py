@@ -74,6 +74,38 @@ def multilabel_scores(df: DataFrame, key: str, truth: str, guess: str) -> DataFr
     )
 
 
+def label_counts(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """``label, tp, fp, fn, tn, precision, recall, f1`` of label arrays, a row for each label that either side holds.
+
+    Both sides are exploded with their share in each cell, so that tasks add up before
+    the shuffle; null arrays hold nothing.
+    """
+    none = F.array().cast("array<string>")
+    t, g = F.array_distinct(F.coalesce(truth, none)), F.array_distinct(F.coalesce(guess, none))
+    cells = F.concat(
+        F.transform(F.array_intersect(t, g), lambda x: F.struct(x.alias("label"), F.lit("tp").alias("k"))),
+        F.transform(F.array_except(g, t), lambda x: F.struct(x.alias("label"), F.lit("fp").alias("k"))),
+        F.transform(F.array_except(t, g), lambda x: F.struct(x.alias("label"), F.lit("fn").alias("k"))),
+    )
+    each = df.select(F.explode(cells).alias("c")).select("c.*")
+    n = df.count()
+    per = each.groupBy("label").agg(*(F.count_if(F.col("k") == k).alias(k) for k in ("tp", "fp", "fn"))).withColumn("tn", F.lit(n) - F.col("tp") - F.col("fp") - F.col("fn"))
+    rate = lambda a, b: F.round(F.coalesce(_ratio(a, b), F.lit(0.0)), 6)
+    return per.select("label", "tp", "fp", "fn", "tn", rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), rate(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), rate(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def multilabel_more(df: DataFrame, truth: str, guess: str, labels: int) -> DataFrame:
+    """Macro F1 over ``labels`` classes (0 for those that never occur), the share of wrong cells (Hamming loss), and the recall of rows with two labels or more."""
+    none = F.array().cast("array<string>")
+    t, g = F.array_distinct(F.coalesce(truth, none)), F.array_distinct(F.coalesce(guess, none))
+    both = F.size(F.array_intersect(t, g))
+    sized = df.select(both.alias("tp"), F.size(t).alias("t"), F.size(g).alias("g"))
+    many = F.col("t") >= 2
+    s = sized.agg(F.sum(F.col("t") + F.col("g") - 2 * F.col("tp")).alias("wrong"), F.count("*").alias("n"), F.sum(F.when(many, F.col("tp"))).alias("ctp"), F.sum(F.when(many, F.col("t"))).alias("ct"))
+    f1 = label_counts(df, truth, guess).agg((F.sum("f1") / labels).alias("macro"))
+    return s.join(F.broadcast(f1)).select(F.round("macro", 5).alias("macro_f1"), F.round(F.col("wrong") / (F.col("n") * labels), 6).alias("hamming"), F.round(_ratio(F.col("ctp"), F.col("ct")), 6).alias("compound_recall"))  # a row each
+
+
 def verdict_counts(df: DataFrame, by: str | None = None) -> DataFrame:
     """Wrong and found verdicts of each kind against gold, overall or by a column."""
     yes, no = "ELIGIBLE", "NOT_ELIGIBLE"

@@ -134,6 +134,29 @@ def v05_multilabel_scores(t):
     return evaluate.multilabel_scores(sets, "opportunity_id", "a", "b")
 
 
+SETS_SQL = """k AS (SELECT DISTINCT opportunity_id, label, polarity FROM requirements),
+  g AS (SELECT opportunity_id, coalesce(list(DISTINCT label) FILTER (WHERE polarity <> 'WAIVES'), []) AS a, coalesce(list(DISTINCT label) FILTER (WHERE polarity <> 'UNCLEAR'), []) AS b FROM k GROUP BY 1),
+  c AS (SELECT l.label, list_contains(a, l.label) AS t, list_contains(b, l.label) AS p, len(a) AS size FROM g, (SELECT DISTINCT label FROM requirements) l),
+  m AS (SELECT label, count(*) FILTER (t AND p) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM c GROUP BY 1)"""
+
+
+def _sets(t):
+    kept = lambda other: F.collect_set(F.when(F.col("polarity") != other, F.col("label")))
+    return t("requirements").groupBy("opportunity_id").agg(kept("WAIVES").alias("a"), kept("UNCLEAR").alias("b"))
+
+
+@query(f"""WITH {SETS_SQL} SELECT label, tp, fp, fn, tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1
+  FROM m WHERE tp + fp + fn > 0""")
+def v05_label_counts(t):
+    return evaluate.label_counts(_sets(t), "a", "b")
+
+
+@query(f"""WITH {SETS_SQL}, f AS (SELECT avg(round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)) AS macro FROM m)
+  SELECT round(any_value(macro), 5) AS macro_f1, round(avg(CASE WHEN t <> p THEN 1.0 ELSE 0.0 END), 6) AS hamming, round(count(*) FILTER (t AND p AND size >= 2) / count(*) FILTER (t AND size >= 2), 6) AS compound_recall FROM c, f""")
+def v05_macro_hamming_compound(t):
+    return evaluate.multilabel_more(_sets(t), "a", "b", 5)
+
+
 VERDICT_SQL = """count(*) FILTER (WHERE status = 'NOT_ELIGIBLE' AND expected <> 'NOT_ELIGIBLE') AS wrong_no, count(*) FILTER (WHERE expected <> 'NOT_ELIGIBLE') AS of_not_no,
   count(*) FILTER (WHERE status = 'ELIGIBLE' AND expected = 'NOT_ELIGIBLE') AS wrong_yes, count(*) FILTER (WHERE expected = 'NOT_ELIGIBLE') AS of_no,
   count(*) FILTER (WHERE status = 'ELIGIBLE' AND expected = 'ELIGIBLE') AS found_yes, count(*) FILTER (WHERE expected = 'ELIGIBLE') AS of_yes,
