@@ -15,6 +15,25 @@ from callweave.operators.many_models import summed
 from callweave.plans.scratch import materialise
 
 
+def _unit(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors ``v`` of a batch, each of length 1; zero vectors stay."""
+    x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(norm > 0, norm, 1)
+
+
+def unit_rows(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``name`` (the ``key``) and ``__name``, its vector of length 1; rows without a vector are left out."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(list(_unit(batch)), pa.list_(pa.float64()))], names=[name, f"__{name}"])
+
+    kind = dict(df.dtypes)[key]
+    return df.where(F.size("v") > 0).select(F.col(key).alias("key"), "v").mapInArrow(make, f"{name} {kind}, __{name} array<double>")
+
+
 def spread(queries: DataFrame, items: DataFrame) -> DataFrame:
     """``key, mean, std`` of each query's cosine with all items, without meeting any pair.
 
@@ -22,12 +41,12 @@ def spread(queries: DataFrame, items: DataFrame) -> DataFrame:
     sum of squares its quadratic form with the sum of their outer products; tasks add up
     both, dimensions squared in size. ``queries``: ``key, v``; ``items``: ``v``.
     """
-    rows = items.select(matching.unit(F.col("v").cast("array<double>")).alias("v")).where(F.size("v") > 0)
+    rows = items.select("v").where(F.size("v") > 0)
     width = len((rows.select("v").first() or [[]])[0])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            x = _unit(batch) if batch.num_rows else np.zeros((0, width))
             yield np.r_[len(x), x.sum(axis=0), (x.T @ x).ravel()]
 
     found = summed(rows, make, 1 + width + width * width)
@@ -35,14 +54,13 @@ def spread(queries: DataFrame, items: DataFrame) -> DataFrame:
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            q = _unit(batch) if batch.num_rows else np.zeros((0, width))
             mean = q @ total / n
             std = np.sqrt(np.maximum(0, ((q @ outer) * q).sum(axis=1) / n - mean * mean))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(mean), pa.array(np.where(std < 1e-9, 0.0, std))], names=["key", "mean", "std"])
 
     kind = dict(queries.dtypes)["key"]
-    unit = queries.select("key", matching.unit(F.col("v").cast("array<double>")).alias("v")).where(F.size("v") == width)
-    return unit.mapInArrow(tell, f"key {kind}, mean double, std double")
+    return queries.select("key", "v").where(F.size("v") == width).mapInArrow(tell, f"key {kind}, mean double, std double")
 
 
 def groups(pairs: DataFrame, verdicts: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
@@ -66,15 +84,18 @@ def matched(grouped: DataFrame, queries: DataFrame, items: DataFrame, mine: Data
     read; these are put in order by percent, then by nearness, ties to the smaller call.
     Pairs without a vector on either side are left out.
     """
-    unit = lambda df, key, name: df.select(F.col(key).alias(name), matching.unit(F.col("v").cast("array<double>")).alias(f"__{name}"))
+    unit = lambda df, key, name: materialise(unit_rows(df, key, name), "units")
     near = grouped.join(unit(queries, "key", "profile_id"), "profile_id").join(unit(items, "item", "opportunity_id"), "opportunity_id")
     sim = F.round(F.aggregate(F.zip_with("__profile_id", "__opportunity_id", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 12)
     w = Window.partitionBy("profile_id", "grp").orderBy(F.desc("sim"), "opportunity_id")
     kept = near.select("profile_id", "opportunity_id", "grp", "mismatch", sim.alias("sim")).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
     kept = materialise(kept, "kept")
-    pairs = kept.select(F.col("profile_id").alias("a"), F.col("opportunity_id").alias("b"))
-    shared = matching.shared_of(pairs, mine, theirs, specific).groupBy("a", "b").agg(F.count("*").alias("n_shared"))
-    full = kept.join(spread(queries, items).withColumnRenamed("key", "profile_id"), "profile_id").join(shared, (F.col("a") == F.col("profile_id")) & (F.col("b") == F.col("opportunity_id")), "left")
+    # each text's specific words as one list, so that pairs are not multiplied by words
+    word = specific.select("word")
+    listed = lambda texts, key, name: texts.select(F.col("key").alias(key), F.explode(matching.topic_words(F.col("text"))).alias("word")).join(word, "word").groupBy(key).agg(F.collect_list("word").alias(name))
+    both = kept.join(listed(mine, "profile_id", "__a"), "profile_id", "left").join(listed(theirs, "opportunity_id", "__b"), "opportunity_id", "left")
+    shared = both.withColumn("n_shared", F.size(F.array_intersect("__a", "__b")).cast("bigint")).drop("__a", "__b")
+    full = shared.join(spread(queries, items).withColumnRenamed("key", "profile_id"), "profile_id")
     rated = matching.match_percent(full.withColumn("n_shared", F.coalesce("n_shared", F.lit(0))), weights, intercept)
     order = Window.partitionBy("profile_id", "grp").orderBy(F.desc("percent"), F.desc("sim"), "opportunity_id")
     return rated.withColumn("pos", F.row_number().over(order)).select("profile_id", "grp", "pos", "opportunity_id", "percent", "n_shared", "sim")
