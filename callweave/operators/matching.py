@@ -168,10 +168,13 @@ def specific_words(df: DataFrame, text: str, share: float = 0.10) -> DataFrame:
 
 
 def shared_words(left: DataFrame, right: DataFrame, specific: DataFrame, key: str, text: str, other_key: str, other_text: str) -> DataFrame:
-    """How many specific words two texts share, by an inverted index over these alone."""
-    word = specific.select("word")
-    a = left.select(F.col(key).alias("a"), F.explode(topic_words(F.col(text))).alias("word")).join(word, "word")
-    b = right.select(F.col(other_key).alias("b"), F.explode(topic_words(F.col(other_text))).alias("word")).join(word, "word")
+    """How many specific words two texts share, by an inverted index over these alone.
+
+    The left texts' specific words are written first: where their table is small, the right texts meet it where
+    they lie, and only counts of pairs are shuffled.
+    """
+    a = materialise(left.select(F.col(key).alias("a"), F.explode(topic_words(F.col(text))).alias("word")).join(specific.select("word"), "word"), "wanted")
+    b = right.select(F.col(other_key).alias("b"), F.explode(topic_words(F.col(other_text))).alias("word"))
     return a.join(b, "word").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
@@ -208,7 +211,7 @@ def shared_of(pairs: DataFrame, left: DataFrame, right: DataFrame, specific: Dat
     """``a, b, word`` of given pairs; ``left`` and ``right``: ``key, text``."""
     word = specific.select("word")
     a = pairs.select("a", "b").join(left.select(F.col("key").alias("a"), F.explode(topic_words(F.col("text"))).alias("word")), "a")
-    b = right.select(F.col("key").alias("b"), F.explode(topic_words(F.col("text"))).alias("word"))
+    b = right.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), F.explode(topic_words(F.col("text"))).alias("word"))
     return a.join(word, "word").join(b, ["b", "word"]).select("a", "b", "word")
 
 
@@ -220,7 +223,8 @@ def best_sentence(shared: DataFrame, sentences: DataFrame, side: str, least_word
     shared words in some form, the first on a tie; ``words`` are those words, in order. Words
     meet by four leading letters, so only texts of a pair do.
     """
-    long = sentences.where(word_count(F.col("chunk")) >= least_words)
+    shared = materialise(shared, "shared")
+    long = sentences.join(shared.select(F.col(side).alias("key")).distinct(), "key", "left_semi").where(word_count(F.col("chunk")) >= least_words)
     said = long.select(F.col("key").alias(side), "idx", "chunk", F.posexplode(topic_words(F.col("chunk"))).alias("pos", "said")).withColumn("__p", F.left("said", F.lit(4)))
     near = shared.withColumn("__p", F.left("word", F.lit(4))).join(said, [side, "__p"]).where(same_word(F.col("said"), F.col("word")))
     words = F.transform(F.array_sort(F.collect_set(F.struct("pos", "said"))), lambda x: x["said"]).alias("words")

@@ -772,8 +772,9 @@ def m15_best_sentences(t):
     left, right = t("benchmark").select(F.col("item_id").alias("key"), "text"), t("documents").select(F.col("doc_id").alias("key"), "text")
     specific = materialise(matching.specific_words(right, "text"), "specific")
     pairs = materialise(matching.top_shared(matching.shared_words(left, right, specific, "key", "text", "key", "text"), 2), "pairs")
-    shared = matching.shared_of(pairs, left, right, specific)
-    best = matching.best_sentence(shared, requirements.split_sentences(right, "key", "text"), "b", 5)
+    told = materialise(right.join(pairs.select(F.col("b").alias("key")).distinct(), "key", "left_semi"), "told")  # texts of a pair alone are split
+    shared = matching.shared_of(pairs, left, told, specific)
+    best = matching.best_sentence(shared, requirements.split_sentences(told, "key", "text"), "b", 5)
     return best.select("a", "b", "idx", F.size(F.split("words", " ")).cast("bigint").alias("n"))
 
 
