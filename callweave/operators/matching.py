@@ -159,9 +159,14 @@ def same_word_forms(words: DataFrame) -> DataFrame:
 
 def specific_words(df: DataFrame, text: str, share: float = 0.10) -> DataFrame:
     """Words that with all their forms occur in less than a share of the texts."""
-    freq = word_frequency(df, text)
-    forms = same_word_forms(freq.select("word"))
-    added = forms.join(freq.select(F.col("word").alias("form"), F.col("df").alias("__d")), "form").groupBy("word").agg(F.sum("__d").alias("__more"))
+    freq = materialise(word_frequency(df, text), "frequency")  # the texts are read once; what follows is of the vocabulary's size
+    # a word's forms by beginning: those at least as long as it are summed by its length, shorter ones by their own
+    long = freq.where("length(word) >= 5").withColumn("n", F.length("word"))
+    start = lambda n: F.left("word", F.greatest(F.lit(5), F.col(n) - 2)).alias("p")
+    each = long.select("word", "df", F.col("n").alias("own"), F.explode(F.sequence(F.lit(5), F.col("n"))).alias("n")).select("word", "df", "own", "n", start("n"))
+    sums = each.groupBy("n", "p").agg(F.sum("df").alias("__longer"), F.coalesce(F.sum(F.when(F.col("own") == F.col("n"), F.col("df"))), F.lit(0)).alias("__same"))
+    met = each.join(sums, ["n", "p"])
+    added = met.groupBy("word").agg(F.sum(F.when(F.col("n") == F.col("own"), F.col("__longer") - F.col("df")).otherwise(F.col("__same"))).alias("__more"))
     total = df.select(F.count("*").alias("__n"))
     summed = freq.join(added, "word", "left").select("word", (F.col("df") + F.coalesce("__more", F.lit(0))).alias("n"))
     return summed.where(F.col("n") < share * F.lit(total.scalar())).select("word", "n")

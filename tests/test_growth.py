@@ -22,3 +22,18 @@ def test_shared_words_meet_the_index_where_the_texts_lie(spark):
     pairs = matching.shared_words(left, right, specific, "k", "t", "k", "t")
     assert sorted((r.a, r.b, r.n_shared) for r in pairs.collect()) == [(1, 7, 2), (2, 7, 2)]
     assert "BroadcastHashJoin" in plan(pairs) and "SortMergeJoin" not in plan(pairs)
+
+
+def test_specific_words_count_all_forms_without_pairs(spark):
+    words = ["painter", "painters", "painting", "paint", "painted", "river", "rivers", "sea"]
+    df = spark.createDataFrame([(w,) for w in words for _ in range(len(w))], "t string")
+
+    def form(a, b):
+        k = max(5, min(len(a), len(b)) - 2)
+        return a != b and min(len(a), len(b)) >= 5 and a[:k] == b[:k]
+
+    known = [w for w in words if len(w) >= 4]
+    want = {w: len(w) + sum(len(o) for o in known if form(w, o)) for w in known}
+    specific = matching.specific_words(df, "t", 2.0)
+    assert {r.word: r.n for r in specific.collect()} == want
+    assert "frequency-" in "".join(specific.inputFiles())  # the texts are not read again
