@@ -250,6 +250,21 @@ def applied(raw: DataFrame, rejected: DataFrame, processed: DataFrame, pages: Da
     return new_raw, new_rejected, processed.join(changed, "id", "left_anti"), judged.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+#: Pages whose texts a worker holds before it hands them on.
+PAGES_AT_ONCE = 256
+
+
+def read_pages(batches, least: int):
+    """C11: ``key, text`` of batches of ``key, html``; only a few pages at a time are Python strings."""
+    import pyarrow as pa
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAGES_AT_ONCE):
+            batch = whole.slice(at, PAGES_AT_ONCE)
+            texts = [page_text(h or "", least) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
+
+
 def content_text(df: DataFrame, key: str, html: str, most: int | None = None, least: int = 300) -> DataFrame:
     """C11: ``key, text`` of the part of a page that holds the call, without menus and the page's own head and foot.
 
@@ -259,11 +274,7 @@ def content_text(df: DataFrame, key: str, html: str, most: int | None = None, le
     """
 
     def read(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = [page_text(h or "", least) for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
+        return read_pages(batches, least)
 
     kind = df.schema[key].dataType.simpleString()
     out = df.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInArrow(read, f"key {kind}, text string")

@@ -1,6 +1,8 @@
 """What a job does once, not for each row or pair, and what bounds a task."""
 
-from callweave.operators import facts, matching, requirements
+import pyarrow as pa
+
+from callweave.operators import facts, ingest, matching, requirements
 
 
 def plan(df):
@@ -63,3 +65,10 @@ def test_sections_are_read_once(spark):
     works = facts.work_pages(lines, "2020-01-01")
     assert [(r.title, r.years, r.medium, r.summary) for r in works.collect()] == [("Tide", "2015", "video", "About the shore.")]
     assert "ArrowEvalPython" not in plan(works)
+
+
+def test_pages_are_handed_on_a_few_at_a_time():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["<p>Call</p>", None] * 300)], names=["key", "html"])
+    out = list(ingest.read_pages(iter([batch]), 300))
+    assert [b.num_rows for b in out] == [256, 256, 88]
+    assert [k for b in out for k in b.column("key").to_pylist()] == list(range(600))
