@@ -1,8 +1,10 @@
 """What a job does once, not for each row or pair, and what bounds a task."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from callweave.operators import facts, ingest, matching, requirements
+from callweave.plans import views
 
 
 def plan(df):
@@ -72,3 +74,13 @@ def test_pages_are_handed_on_a_few_at_a_time():
     out = list(ingest.read_pages(iter([batch]), 300))
     assert [b.num_rows for b in out] == [256, 256, 88]
     assert [k for b in out for k in b.column("key").to_pylist()] == list(range(600))
+
+
+def test_a_views_window_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    lines = spark.range(40).select((F.col("id") % 8).alias("l_orderkey"), F.col("id").cast("int").alias("l_linenumber"), F.lit(1).alias("l_partkey"), F.lit(1).alias("l_suppkey"), F.lit(1.0).alias("l_quantity"), F.lit(1.0).alias("l_extendedprice"), F.lit("1994-01-01").cast("date").alias("l_shipdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(8).select(F.col("id").alias("o_orderkey"), (F.col("id") % 2).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(views, "ROWS_A_TASK", 5)
+    df = views.load(spark, str(tmp_path), "judgments")
+    assert "hashpartitioning(l_orderkey" in plan(df) and ", 8), REPARTITION_BY_NUM" in plan(df)
+    assert df.count() == 40 and df.select("item").distinct().count() == 40
