@@ -124,3 +124,11 @@ def test_each_combination_is_worked_out_once(spark):
     assert found.items.count() == 20 * 20 * 3
     # four birth dates, two countries, and a rule that no field matters to
     assert found.combinations.count() == 4 + 2 + 1
+
+
+def test_the_last_exchange_is_dealt_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(engine, "ROWS_A_TASK", 1)
+    calls = {i: [("Applicants must live in Sweden.", "RESIDENCE"), ("Painters only.", "DISCIPLINE")] for i in (1, 2, 3)}
+    found = run(spark, calls)
+    assert ", 6), REPARTITION_BY_NUM" in found.items._jdf.queryExecution().executedPlan().toString()
+    assert found.items.count() == 6
