@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from callweave.operators import facts, ingest, matching, requirements
+from callweave.operators import facts, ingest, matching, ordered, requirements
 from callweave.plans import views
 
 
@@ -84,3 +84,12 @@ def test_a_views_window_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
     df = views.load(spark, str(tmp_path), "judgments")
     assert "hashpartitioning(l_orderkey" in plan(df) and ", 8), REPARTITION_BY_NUM" in plan(df)
     assert df.count() == 40 and df.select("item").distinct().count() == 40
+
+
+def test_places_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    df = spark.range(40).select("id", (F.col("id") % 2).alias("k"))
+    want = sorted((r.id, r.k, r.run, r.total) for r in ordered.running_sum(df, F.lit(1), ["id"], ["k"]).collect())
+    monkeypatch.setattr(ordered, "ROWS_A_TASK", 5)
+    placed = ordered.running_sum(df, F.lit(1), ["id"], ["k"])
+    assert "hashpartitioning(__run_p" in plan(placed) and ", 8), REPARTITION_BY_NUM" in plan(placed)
+    assert sorted((r.id, r.k, r.run, r.total) for r in placed.collect()) == want == [(i, i % 2, i // 2 + 1, 20) for i in range(40)]
