@@ -3,7 +3,7 @@
 Rows have a vector, targets, a fold and a place between 0 and 1. A model is a column of one weight matrix:
 its label, the fold that it does not see, the share of places that it sees, its loss and its penalty. A pass
 over the rows makes the scores of all models by one matrix product a batch, and their gradients by another;
-sums are added up in two levels and only weights come to the driver. Each model has its own L-BFGS steps,
+sums are added up in the tasks, and one gradient a pass comes to the driver, without the features that a model's scale takes out. Each model has its own L-BFGS steps,
 but all step together, so passes do not grow with the number of models.
 """
 
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.operators.ordered import running_sum
 from callweave.operators.phrases import WORD
 from callweave.plans.scratch import materialise
 
@@ -124,21 +125,31 @@ def pieces(batches: Iterator[pa.RecordBatch], width: int, labels: int) -> Iterat
             yield Rows(pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, TOGETHER)]) for c in batch.columns], names=batch.schema.names), width, labels)
 
 
-def summed(df: DataFrame, make, size: int, fan: int = 32) -> np.ndarray:
-    """Adds up the arrays of ``size`` numbers that tasks make: within ``fan`` groups of tasks, then all."""
+#: Numbers of an array that are added up together.
+SLICE = 8192
+
+
+def summed(df: DataFrame, make, size: int) -> np.ndarray:
+    """Adds up the arrays of ``size`` numbers that tasks make, slice by slice over the tasks, so that one array alone comes to the driver."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for part in make(batches):
             total += part
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+        cuts = range(0, size, SLICE)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cuts), dtype=np.int32)), pa.array([total[at : at + SLICE].tobytes() for at in cuts], pa.binary())], names=["g", "s"])
 
     def add(t: pa.Table) -> pa.Table:
-        return pa.table({"s": pa.array([np.sum([np.frombuffer(s) for s in t.column("s").to_pylist()], axis=0).tobytes()], pa.binary())})
+        total = 0.0
+        for s in t.column("s"):
+            total = total + np.frombuffer(s.as_buffer())
+        return pa.table({"g": t.column("g").slice(0, 1), "s": pa.array([total.tobytes()], pa.binary())})
 
-    parts = df.mapInArrow(one, "s binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(fan)))
-    groups = parts.groupBy("g").applyInArrow(lambda t: add(t), "s binary").collect()  # ``fan`` rows at most
-    return np.sum([np.frombuffer(r.s) for r in groups], axis=0) if groups else np.zeros(size)
+    slices = df.mapInArrow(one, "g int, s binary").groupBy("g").applyInArrow(lambda t: add(t), "g int, s binary").collect()  # ``size`` numbers
+    out = np.zeros(size)
+    for r in slices:
+        out[r.g * SLICE : (r.g + 1) * SLICE] = np.frombuffer(r.s)
+    return out
 
 
 def _seen(rows: Rows, models: Sequence[Model], weights: np.ndarray) -> np.ndarray:
@@ -170,10 +181,12 @@ def losses(data: DataFrame, models: Sequence[Model], weights: np.ndarray, sides:
     width, m = weights.shape[0] - 1, len(models)
     hinge = np.array([x.loss == "hinge" for x in models])
     label, at = [x.label for x in models], np.array([x.scale for x in models])
-    sent = data.sparkSession.sparkContext.broadcast((_scaled(models, weights, scales), scales))
+    factor = _scaled(models, np.ones_like(weights), scales)
+    kept = np.flatnonzero(factor)  # elsewhere the gradient is 0
+    sent = data.sparkSession.sparkContext.broadcast((weights * factor, scales, kept))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        w, scales = sent.value
+        w, scales, kept = sent.value
         for rows in pieces(batches, width, labels):
             seen = _seen(rows, models, sides)
             sign = np.where(rows.target[:, label], 1.0, -1.0)
@@ -182,11 +195,13 @@ def losses(data: DataFrame, models: Sequence[Model], weights: np.ndarray, sides:
             gap = np.maximum(0, 1 - margin)
             loss = np.where(hinge, gap * gap, np.logaddexp(0, -margin))
             slope = np.where(hinge, -2 * gap, -1 / (1 + np.exp(np.minimum(margin, 700))))
-            yield np.r_[(seen * loss).sum(axis=0), rows.back(seen * slope * sign, units).ravel()]
+            yield np.r_[(seen * loss).sum(axis=0), rows.back(seen * slope * sign, units).ravel()[kept]]
 
-    found = summed(data, make, m + (width + 1) * m)
+    found = summed(data, make, m + len(kept))
     sent.unpersist()
-    gradient = _scaled(models, found[m:].reshape(width + 1, m), scales) / total
+    raw = np.zeros((width + 1) * m)
+    raw[kept] = found[m:]
+    gradient = raw.reshape(width + 1, m) * factor / total
     penalty = np.array([x.penalty for x in models])
     gradient[:-1] += penalty * weights[:-1]
     return found[:m] / total + penalty / 2 * (weights[:-1] ** 2).sum(axis=0), gradient
@@ -292,7 +307,9 @@ def gram_table(df: DataFrame, grams: int, least: int, most_terms: int) -> DataFr
 
     each = df.select("text", F.col("fold").cast("int").alias("fold")).mapInArrow(make, "gram string, n int, fold int, k bigint").groupBy("gram", "n", "fold").agg(F.sum("k").alias("k"))
     per = each.groupBy("gram", "n").agg(F.map_from_entries(F.collect_list(F.struct("fold", "k"))).alias("df"), F.sum("k").alias("total")).where(F.col("total") >= least)
-    return per.orderBy(F.desc("total"), "gram").limit(most_terms).select("gram", "n", "df")
+    # places come from range partitions: a sort with a limit would send the first rows of every task to the driver
+    frequent = materialise(per.select("gram", "n", "df", (-F.col("total")).alias("o")), "frequent")
+    return running_sum(frequent, F.lit(1), ["o", "gram"]).where(F.col("run") <= most_terms).orderBy("run").select("gram", "n", "df")
 
 
 def text_rows(df: DataFrame, keys: Sequence[str], grams: int, least: int, most_terms: int = 1 << 18) -> tuple[DataFrame, list[tuple[str, int, dict[int, int]]]]:

@@ -1,9 +1,10 @@
 """What a job does once, not for each row or pair, and what bounds a task."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from callweave.operators import facts, ingest, matching, ordered, requirements
+from callweave.operators import facts, ingest, many_models, matching, ordered, requirements
 from callweave.plans import views
 
 
@@ -93,3 +94,28 @@ def test_places_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     placed = ordered.running_sum(df, F.lit(1), ["id"], ["k"])
     assert "hashpartitioning(__run_p" in plan(placed) and ", 8), REPARTITION_BY_NUM" in plan(placed)
     assert sorted((r.id, r.k, r.run, r.total) for r in placed.collect()) == want == [(i, i % 2, i // 2 + 1, 20) for i in range(40)]
+
+
+def test_one_array_comes_to_the_driver(spark, tmp_path):
+    spark.range(40).repartition(8).write.parquet(f"{tmp_path}/rows")
+    df, size = spark.read.parquet(f"{tmp_path}/rows").repartition(8), 3 * many_models.SLICE // 2
+    taken, collect = [], type(df).collect
+
+    def counted(self):
+        out = collect(self)
+        taken.append(sum(len(r.s) for r in out))
+        return out
+
+    type(df).collect = counted
+    try:
+        total = many_models.summed(df, lambda batches: (np.arange(size) * float(b.num_rows) for b in batches), size)
+    finally:
+        type(df).collect = collect
+    assert (total == np.arange(size) * 40.0).all() and taken == [8 * size]
+
+
+def test_the_most_frequent_terms_are_placed_before_they_are_taken(spark):
+    df = spark.createDataFrame([(f"{'red ' * (i % 2)}{'blue ' * (i % 3 > 0)}green", i % 2) for i in range(12)], "text string, fold int")
+    terms = many_models.gram_table(df, 1, 1, 2)
+    assert [(r.gram, r.n, r.df) for r in terms.collect()] == [("green", 1, {0: 6, 1: 6}), ("blue", 1, {0: 4, 1: 4})]
+    assert "TakeOrdered" not in plan(terms)
