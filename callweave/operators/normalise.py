@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,21 +146,88 @@ def headline_funding(df: DataFrame, rates: dict[str, float], least: float, most:
     return one.where((F.col("n") == 1) & F.col("eur").between(least, most)).select("opportunity_id", F.round("eur", 2).alias("eur"))
 
 
+#: Texts that are cut into trigrams together, and numbers of a table that goes to the tasks.
+TEXTS_TOGETHER, KNOWN_NUMBERS = 256, 1 << 20
+
+
+def padded_letters(text: Column) -> Column:
+    """A text's lower-cased letters, with one space between words and at either end."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+", " ")), F.lit(" "))
+
+
 def letter_trigrams(text: Column) -> Column:
     """All trigrams of a text's lower-cased letters, with one space between words and at either end.
 
     Three copies of the text, shifted by one, are cut into pieces of three characters, so that no
     piece is found by walking the text from its start.
     """
-    padded = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+", " ")), F.lit(" "))
+    padded = padded_letters(text)
     pieces = lambda shift: F.regexp_extract_all(F.substring(padded, 1 + shift, 1 << 30), F.lit("(?s)(...)"), F.lit(1))
     return F.when(F.length(padded) < 3, F.array(padded)).otherwise(F.concat(pieces(0), pieces(1), pieces(2)))
 
 
+def _codes(texts: Sequence[str]) -> np.ndarray:
+    """The characters' numbers of texts put together, with zeros before texts of less than three."""
+    return np.frombuffer("".join(t.rjust(3, "\0") for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def trigram_numbers(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of padded texts as numbers, 21 bits a character, and the place of each one's text."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c, row = _codes(texts), np.repeat(np.arange(len(texts)), [max(3, len(t)) for t in texts])
+    inside = row[:-2] == row[2:]
+    return ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[inside], row[:-2][inside]
+
+
+def _gram(number: int) -> str:
+    return "".join(chr(x) for x in (number >> 42, (number >> 21) & 0x1FFFFF, number & 0x1FFFFF) if x)
+
+
+def _counted(numbers: np.ndarray, of: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds (below ``kinds``), trigrams and how often each pair occurs; in a table over the letters at hand, unless these are many."""
+    parts = [numbers >> 42, (numbers >> 21) & 0x1FFFFF, numbers & 0x1FFFFF]
+    seen = np.zeros(1 << 21, bool)
+    for x in parts:
+        seen[x] = True
+    letters = np.flatnonzero(seen)
+    k = len(letters)
+    if kinds * k**3 > 1 << 24:
+        each = [np.unique(numbers[of == i], return_counts=True) for i in range(kinds)]
+        return np.repeat(np.arange(kinds), [len(x) for x, _ in each]), np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
+    place = np.cumsum(seen) - 1
+    a, b, c = (place[x] for x in parts)
+    table = np.bincount(((of * k + a) * k + b) * k + c)
+    at = np.flatnonzero(table)
+    return at // k**3, (letters[at // k**2 % k] << 42) | (letters[at // k % k] << 21) | letters[at % k], table[at]
+
+
+def trigram_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
+    """``lang, gram, n``: letter trigrams of each language, null aside, counted within batches of texts first."""
+    kind = dict(df.dtypes)[lang]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named, each = batch.column("lang").dictionary_encode(), {}
+            which = named.indices.to_numpy()
+            for at in range(0, batch.num_rows, TEXTS_TOGETHER):
+                numbers, row = trigram_numbers(batch.column("t").slice(at, TEXTS_TOGETHER).to_pylist())
+                spoken, of = np.unique(which[at : at + TEXTS_TOGETHER], return_inverse=True)
+                kinds, numbers, n = _counted(numbers, of[row], len(spoken))
+                for i, x in enumerate(spoken):
+                    each.setdefault(x, []).append((numbers[kinds == i], n[kinds == i]))
+            for i, found in each.items():
+                numbers, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([k for _, k in found])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([named.dictionary.take(pa.array(np.full(len(n), i))), pa.array([_gram(x) for x in numbers.tolist()], pa.string()), pa.array(n)], names=["lang", "gram", "n"])
+
+    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), padded_letters(F.col(text)).alias("t"))
+    return rows.mapInArrow(make, f"lang {kind}, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def language_profiles(df: DataFrame, lang: str, text: str, most: int = 500) -> DataFrame:
     """``lang, gram, logp``: each language's most frequent letter trigrams; counts are summed in tasks first."""
-    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode_outer(letter_trigrams(F.col(text))).alias("gram"))
-    counts = rows.groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counts = trigram_counts(df, lang, text)
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counts.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     return top.select("lang", "gram", F.log(F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).alias("logp"))
@@ -221,17 +290,54 @@ def card_funding(df: DataFrame, raw: str = "funding", light: Sequence[str] = ("m
     return joined.select(key, F.when(label != "", first).otherwise(F.coalesce("__raw", F.lit("Not stated"))).alias("label"))
 
 
+def _joined_sums(df: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
+    """``key, lang, s``: as ``_known_sums``, by a join of each text's trigrams with the profiles, which may be of any size."""
+    counts = df.select(F.col(key).alias("key"), F.explode(letter_trigrams(F.col(text))).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n"))
+    floor = profiles.groupBy("lang").agg(F.min("logp").alias("least"))
+    every = profiles.select("gram").distinct().crossJoin(floor).join(profiles, ["lang", "gram"], "left").select("gram", "lang", F.coalesce("logp", "least").alias("logp"))
+    return counts.join(every, "gram").groupBy("key", "lang").agg(F.sum(F.col("n") * F.col("logp")).alias("s"))
+
+
+def _known_sums(df: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
+    """``key, lang, s``: log-probabilities of each text by language, summed where the text lies; the profiles go to the tasks."""
+    rows = profiles.collect()  # KNOWN_NUMBERS at most
+    langs, grams = sorted({r.lang for r in rows}), sorted({r.gram for r in rows})
+    known = np.array([trigram_numbers([g])[0][0] for g in grams], np.int64)
+    order = np.argsort(known)
+    place, column = {grams[i]: k for k, i in enumerate(order)}, {x: i for i, x in enumerate(langs)}
+    logp = np.full((len(grams), len(langs)), np.nan)
+    for r in rows:
+        logp[place[r.gram], column[r.lang]] = r.logp
+    sent = df.sparkSession.sparkContext.broadcast((known[order], np.where(np.isnan(logp), np.nanmin(logp, axis=0), logp)))
+    together, types = max(1, min(TEXTS_TOGETHER, (1 << 22) // len(grams))), [dict(df.dtypes)[key], dict(profiles.dtypes)["lang"]]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logp = sent.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, together):
+                part = batch.slice(start, together)
+                numbers, row = trigram_numbers(part.column("t").to_pylist())
+                at = np.minimum(np.searchsorted(known, numbers), len(known) - 1)
+                hit = known[at] == numbers
+                counts = np.bincount(row[hit] * len(known) + at[hit], minlength=part.num_rows * len(known)).reshape(part.num_rows, -1)
+                told = np.flatnonzero(counts.any(axis=1))
+                keys = part.column("key").take(pa.array(np.repeat(told, len(langs))))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(langs * len(told)), pa.array((counts[told] @ logp).ravel())], names=["key", "lang", "s"])
+
+    texts = df.select(F.col(key).alias("key"), padded_letters(F.col(text)).alias("t"))
+    return texts.mapInArrow(make, f"key {types[0]}, lang {types[1]}, s double").groupBy("key", "lang").agg(F.sum("s").alias("s"))
+
+
 def language_scores(df: DataFrame, key: str, text: str, profiles: DataFrame) -> DataFrame:
     """``key, detected, confidence``: the language whose trigram profile gives a text the largest log-probability, and its softmax share.
 
-    A text's distinct trigrams are counted, joined with the profiles and summed by language; a
+    Each text's trigrams are looked up in the profiles where the text lies; profiles beyond
+    ``KNOWN_NUMBERS`` (trigrams times languages) are joined instead. A
     trigram that a profile lacks has the profile's least probability, one that no profile
     has is left out. Texts without any known trigram are absent.
     """
-    counts = df.select(F.col(key).alias("key"), F.explode(letter_trigrams(F.col(text))).alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n"))
-    floor = profiles.groupBy("lang").agg(F.min("logp").alias("least"))
-    every = profiles.select("gram").distinct().crossJoin(floor).join(profiles, ["lang", "gram"], "left").select("gram", "lang", F.coalesce("logp", "least").alias("logp"))
-    sums = counts.join(every, "gram").groupBy("key", "lang").agg(F.sum(F.col("n") * F.col("logp")).alias("s"))
+    size = profiles.agg(F.count_distinct("lang").alias("langs"), F.count_distinct("gram").alias("grams")).first()
+    sums = (_known_sums if 0 < size.langs * size.grams <= KNOWN_NUMBERS else _joined_sums)(df, key, text, profiles)
     all_of = Window.partitionBy("key")
     share = F.exp(F.col("s") - F.max("s").over(all_of))
     placed = sums.withColumn("share", share).withColumn("confidence", F.col("share") / F.sum("share").over(all_of)).withColumn("r", F.row_number().over(all_of.orderBy(F.desc("s"), "lang")))

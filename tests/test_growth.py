@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from callweave.operators import facts, ingest, many_models, matching, ordered, requirements
+from callweave.operators import facts, ingest, many_models, matching, normalise, ordered, requirements
 from callweave.plans import views
 
 
@@ -119,3 +119,24 @@ def test_the_most_frequent_terms_are_placed_before_they_are_taken(spark):
     terms = many_models.gram_table(df, 1, 1, 2)
     assert [(r.gram, r.n, r.df) for r in terms.collect()] == [("green", 1, {0: 6, 1: 6}), ("blue", 1, {0: 4, 1: 4})]
     assert "TakeOrdered" not in plan(terms)
+
+
+def test_trigrams_are_looked_up_where_the_texts_lie(spark, monkeypatch):
+    texts = ["Ein Haus am Meer", "a house by the sea", "", None, "字字字 𝔘𝔫 é", "x", "a house"]
+    df = spark.createDataFrame([(min(i, 5), t, "de" if i in (0, 4) else "en" if i != 3 else None) for i, t in enumerate(texts)], "key long, text string, lang string")
+    profiles = normalise.language_profiles(df, "lang", "text", 50)
+    counts = {(r.lang, r.gram): r.n for r in normalise.trigram_counts(df, "lang", "text").collect()}
+    each = df.where("lang is not null").select("lang", F.explode(normalise.letter_trigrams(F.col("text"))).alias("gram"))
+    assert counts == {(r.lang, r.gram): r["count"] for r in each.groupBy("lang", "gram").count().collect()}
+    found = normalise.language_scores(df, "key", "text", profiles)
+    assert "Generate" not in plan(found) and "Generate" not in plan(profiles)
+    told = lambda d: {r.key: (r.detected, round(r.confidence, 9)) for r in d.collect()}
+    near = told(found)
+    monkeypatch.setattr(normalise, "KNOWN_NUMBERS", 0)
+    assert near == told(normalise.language_scores(df, "key", "text", profiles)) and near[0][0] == "de" and near[1][0] == "en"
+
+
+def test_many_letters_are_counted_without_a_table():
+    numbers = np.array([normalise.trigram_numbers([chr(0x4E00 + i) + "ab"])[0][0] for i in range(300)] * 2)
+    kinds, found, n = normalise._counted(numbers, np.arange(600) % 2, 2)
+    assert len(n) == 300 and n.sum() == 600 and set(found) == set(numbers) and set(kinds) == {0, 1}
