@@ -198,10 +198,11 @@ def missed_causes(df: DataFrame) -> DataFrame:
 
 
 def aligned_sentences(left: DataFrame, right: DataFrame, share: float = 0.8) -> DataFrame:
-    """Pairs of one call's sentences whose common words make up a share of the smaller set; by an index of words within the call."""
-    words = lambda d, n: d.select("opportunity_id", F.col("idx").alias(n), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")).withColumn(f"{n}_n", F.size("w")).withColumn("word", F.explode("w")).drop("w")
-    both = words(left, "a").join(words(right, "b"), ["opportunity_id", "word"]).groupBy("opportunity_id", "a", "b", "a_n", "b_n").agg(F.count("*").alias("n"))
-    return both.where(F.col("n") >= share * F.least("a_n", "b_n")).select("opportunity_id", "a", "b")
+    """Pairs of one call's sentences whose common words make up a share of the smaller set; sentences meet within the call, so that their words aren't shuffled."""
+    words = lambda d, n: d.select("opportunity_id", F.col("idx").alias(n), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))).alias(f"{n}_w"))
+    common = F.size(F.array_intersect("a_w", "b_w"))
+    both = words(left, "a").join(words(right, "b"), "opportunity_id").withColumn("n", common)
+    return both.where((F.col("n") > 0) & (F.col("n") >= share * F.least(F.size("a_w"), F.size("b_w")))).select("opportunity_id", "a", "b")
 
 
 def learning_curve(df: DataFrame, group: str, right: Column, shares: Sequence[float]) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from callweave.operators import facts, ingest, many_models, matching, normalise, ordered, requirements
+from callweave.operators import evaluate, facts, ingest, many_models, matching, normalise, ordered, requirements
 from callweave.plans import views
 
 
@@ -140,3 +140,11 @@ def test_many_letters_are_counted_without_a_table():
     numbers = np.array([normalise.trigram_numbers([chr(0x4E00 + i) + "ab"])[0][0] for i in range(300)] * 2)
     kinds, found, n = normalise._counted(numbers, np.arange(600) % 2, 2)
     assert len(n) == 300 and n.sum() == 600 and set(found) == set(numbers) and set(kinds) == {0, 1}
+
+
+def test_words_of_sentences_are_not_shuffled(spark):
+    rows = [(1, 0, "Artists based in Oslo"), (1, 1, "artists BASED in Oslo, or near"), (1, 2, "..."), (1, 3, None), (2, 0, "Artists based in Oslo"), (None, 0, "x")]
+    df = spark.createDataFrame(rows, "opportunity_id long, idx int, text string")
+    pairs = evaluate.aligned_sentences(df, df)
+    assert sorted((r.opportunity_id, r.a, r.b) for r in pairs.collect()) == [(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1), (2, 0, 0)]
+    assert "Generate" not in plan(pairs)
