@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,32 +144,52 @@ def upsert(stream: DataFrame, key: str, order: str, at: str | None = None, bucke
 #: State that a processor keeps by key needs this store.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 DAY = 86_400
+#: Groups in which a processor sees its keys; a call for each key alone would cost more than its rows.
+KEYED = 1024
 
 
 class _Kept(StatefulProcessor):
-    """A processor whose keys have one value, which goes once the watermark is ``span`` seconds past the key's last event."""
+    """A processor whose keys have one value, which goes once the watermark is ``span`` seconds past the key's last event.
 
-    def __init__(self, kind: str, span: float, columns: list[str]):
-        self.kind, self.span, self.columns = kind, span, columns
+    It sees hash buckets of keys, each with a map of its keys' values and one timer. The timer looks through the
+    bucket, not more often than sixteen times a span, so a value may stay for a sixteenth longer.
+    """
+
+    def __init__(self, kind: str, span: float, by: list[str], columns: list[str]):
+        self.kind, self.span, self.by, self.columns = kind, span, by, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("value", f"{self.kind}, last double")
-
-    def take(self, rows: Iterator[pd.DataFrame], by: list[str]) -> tuple[pd.DataFrame, tuple | None, float]:
-        """The key's rows in order, its value, and the time of its last event with these rows."""
-        found = pd.concat(rows).sort_values(by, kind="stable")
-        before = self.value.get() if self.value.exists() else None
-        return found, before, max(found["ts"].iloc[-1].timestamp(), before[-1] if before else float("-inf"))
-
-    def keep(self, value: tuple, last: float) -> None:
-        self.value.update((*value, last))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int((last + self.span) * 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        self.value.clear()
+        self.values = handle.getMapState("values", "name string", f"{self.kind}, last double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        found = pd.concat(rows).set_axis(self.names, axis=1)  # Spark leaves out the names of computed columns
+        found = found.sort_values(["__name", *self.by], kind="stable", ignore_index=True)
+        names, times = found["__name"].to_numpy(object), (found["ts"] - pd.Timestamp(0)).dt.total_seconds().to_numpy()
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        ends = np.r_[starts[1:], len(names)]
+        before = [self.values.getValue((names[lo],)) for lo in starts]
+        kept, new = self.told(found, times, starts, ends, before)
+        lasts = [max(times[hi - 1], old[-1] if old else float("-inf")) for hi, old in zip(ends, before, strict=True)]
+        for lo, value, last in zip(starts, kept, lasts, strict=True):
+            self.values.updateValue((names[lo],), (value, float(last)))
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(int((min(lasts) + self.span) * 1000))
+        if len(new):
+            yield found.loc[new, self.columns]
+
+    def told(self, found: pd.DataFrame, times: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: list) -> tuple[list, np.ndarray]:
+        """The value of each key whose rows lie from its start to its end, and the places of the rows to hand on."""
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        lasts = [(name, value[-1]) for name, value in self.values.iterator()]
+        for name, last in lasts:
+            if last + self.span <= now:
+                self.values.removeKey(name)
+        if left := [last for _, last in lasts if last + self.span > now]:
+            self.handle.registerTimer(int(max(min(left) + self.span, now + self.span / 16) * 1000))
         yield from ()
 
     def close(self) -> None:
@@ -176,42 +197,42 @@ class _Kept(StatefulProcessor):
 
 
 class _Changes(_Kept):
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found, before, last = self.take(rows, ["ts", "hash"])
-        earlier, times = found["hash"].shift(), found["ts"].map(lambda t: t.timestamp())
-        gap = times.diff()
-        if before:
-            earlier.iloc[0], gap.iloc[0] = before[0], times.iloc[0] - before[1]
-        self.keep((found["hash"].iloc[-1],), last)
-        new = found[(found["hash"] != earlier) | (gap > self.span)]  # what is too old to count is too old in any batch
-        if len(new):
-            yield new[self.columns]
+    def told(self, found, times, starts, ends, before):
+        hashes = found["hash"].to_numpy(object)
+        earlier, gap = np.r_[[None], hashes[:-1]].astype(object), np.diff(times, prepend=np.nan)
+        for at, old in zip(starts, before, strict=True):
+            earlier[at], gap[at] = (old[0], times[at] - old[1]) if old else (None, np.nan)
+        # what is too old to count is too old in any batch
+        new = (pd.Series(hashes, dtype=object) != pd.Series(earlier, dtype=object)).to_numpy() | (gap > self.span)
+        return [hashes[hi - 1] for hi in ends], np.flatnonzero(new)
 
 
 class _Throttle(_Kept):
     def __init__(self, span: float, failed: str, success: str, most: int):
-        super().__init__("times array<double>", span, ["id", "ts"])
+        super().__init__("times array<double>", span, ["ts", "event_type"], ["id", "ts"])
         self.failed, self.success, self.most = failed, success, most
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found, before, last = self.take(rows, ["ts", "event_type"])
-        times, out = list(before[0]) if before else [], []
-        for at, kind in zip(found["ts"], found["event_type"], strict=True):
-            second = at.timestamp()
-            if kind == self.success:
-                times = []
-            elif kind == self.failed:
-                times = [t for t in times if t > second - self.span][-(self.most - 1) :] + [second] if self.most > 1 else [second]
-                if len(times) >= self.most:
-                    out.append(at)
-        self.keep((times,), last)
-        if out:
-            yield pd.DataFrame({"id": [key[0]] * len(out), "ts": out})
+    def told(self, found, times, starts, ends, before):
+        kinds, kept, new = found["event_type"].to_list(), [], []
+        for lo, hi, old in zip(starts, ends, before, strict=True):
+            last = list(old[0]) if old else []
+            for at in range(lo, hi):
+                second = float(times[at])
+                if kinds[at] == self.success:
+                    last = []
+                elif kinds[at] == self.failed:
+                    last = [t for t in last if t > second - self.span][-(self.most - 1) :] + [second] if self.most > 1 else [second]
+                    if len(last) >= self.most:
+                        new.append(at)
+            kept.append(last)
+        return kept, np.array(new, int)
 
 
 def _with_state(stream: DataFrame, key: str, processor: _Kept, schema, delay: str) -> DataFrame:
     stream.sparkSession.conf.set(*STORE)
-    return stream.withWatermark("ts", delay).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="eventTime")
+    named = stream.withColumns({"__name": F.coalesce(F.concat(F.lit("="), F.col(key)), F.lit("")), "__bucket": F.pmod(F.xxhash64(key), F.lit(KEYED)).cast("int")})
+    processor.names = named.columns
+    return named.withWatermark("ts", delay).groupBy("__bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="eventTime")
 
 
 def changed_pages(stream: DataFrame, keep_days: float = 400, delay: str = "1 hour") -> DataFrame:
@@ -223,7 +244,7 @@ def changed_pages(stream: DataFrame, keep_days: float = 400, delay: str = "1 hou
     them. Rows later than ``delay`` are left out.
     """
     rows = stream.select("key", "hash", "ts")
-    return _with_state(rows, "key", _Changes("hash string", keep_days * DAY, ["key", "hash", "ts"]), rows.schema, delay)
+    return _with_state(rows, "key", _Changes("hash string", keep_days * DAY, ["ts", "hash"], ["key", "hash", "ts"]), rows.schema, delay)
 
 
 def blocked(stream: DataFrame, failed: str, most: int, span: str = "15 minutes", slide: str = "5 minutes", delay: str = "1 hour") -> DataFrame:

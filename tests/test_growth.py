@@ -1,11 +1,14 @@
 """What a job does once, not for each row or pair, and what bounds a task."""
 
+import datetime as dt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from callweave.operators import evaluate, facts, ingest, many_models, matching, normalise, ordered, requirements
 from callweave.plans import views
+from callweave.streaming import jobs
 
 
 def plan(df):
@@ -148,3 +151,17 @@ def test_words_of_sentences_are_not_shuffled(spark):
     pairs = evaluate.aligned_sentences(df, df)
     assert sorted((r.opportunity_id, r.a, r.b) for r in pairs.collect()) == [(1, 0, 0), (1, 0, 1), (1, 1, 0), (1, 1, 1), (2, 0, 0)]
     assert "Generate" not in plan(pairs)
+
+
+def test_a_processor_sees_buckets_of_keys(spark, tmp_path):
+    spark.createDataFrame([], "key string, hash string, ts timestamp").write.parquet(f"{tmp_path}/in")
+    changes = jobs.changed_pages(jobs.stream_of(spark, f"{tmp_path}/in"))
+    assert "__bucket" in changes._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_missing_page_key_is_a_key_of_its_own(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(None, "x", at(0)), (None, "x", at(1)), ("", "x", at(2)), ("a", None, at(3)), ("a", None, at(4)), (None, "y", at(5))]
+    spark.createDataFrame(rows, "key string, hash string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = jobs.drain(jobs.changed_pages(jobs.stream_of(spark, f"{tmp_path}/in")))
+    assert sorted((str(r.key), str(r.hash), r.ts.hour) for r in got.collect()) == [("", "x", 2), ("None", "x", 0), ("None", "y", 5), ("a", "None", 3), ("a", "None", 4)]
