@@ -84,8 +84,7 @@ def matched(grouped: DataFrame, queries: DataFrame, items: DataFrame, mine: Data
     read; these are put in order by percent, then by nearness, ties to the smaller call.
     Pairs without a vector on either side are left out.
     """
-    unit = lambda df, key, name: materialise(unit_rows(df, key, name), "units")
-    near = grouped.join(unit(queries, "key", "profile_id"), "profile_id").join(unit(items, "item", "opportunity_id"), "opportunity_id")
+    near = grouped.join(unit_rows(queries, "key", "profile_id"), "profile_id").join(unit_rows(items, "item", "opportunity_id"), "opportunity_id")
     sim = F.round(F.aggregate(F.zip_with("__profile_id", "__opportunity_id", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 12)
     w = Window.partitionBy("profile_id", "grp").orderBy(F.desc("sim"), "opportunity_id")
     kept = near.select("profile_id", "opportunity_id", "grp", "mismatch", sim.alias("sim")).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")

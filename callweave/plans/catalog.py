@@ -647,8 +647,12 @@ GROUPS_SQL = f"""{ITEMS_SQL},
     UNION ALL SELECT profile_id, opportunity_id, chunk_index, label, polarity, text, outcome, outcome FROM items WHERE outcome IN ('NO_RESTRICTION', 'INFO') OR label = 'OTHER')"""
 
 
-def _items(t):
-    pairs = t("orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("opportunity_id"))
+def _pairs(t):
+    return t("orders").select(F.col("o_custkey").alias("profile_id"), F.col("o_orderkey").alias("opportunity_id"))
+
+
+def _items(t, pairs=None):
+    pairs = _pairs(t) if pairs is None else pairs
     return pairs, eligibility.assess(pairs, t("profiles").select("profile_id", "birth_date", "nationality", "residence_country", "applicant_type"), t("calls"), t("requirements").drop("confidence"), "1996-06-01")
 
 

@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from callweave.operators import evaluate, facts, ingest, many_models, matching, normalise, ordered, requirements
-from callweave.plans import views
+from callweave.operators import discover, evaluate, facts, ingest, many_models, matching, normalise, ordered, requirements
+from callweave.plans import catalog, views
 from callweave.streaming import jobs
 
 
@@ -165,3 +165,24 @@ def test_a_missing_page_key_is_a_key_of_its_own(spark, tmp_path):
     spark.createDataFrame(rows, "key string, hash string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
     got = jobs.drain(jobs.changed_pages(jobs.stream_of(spark, f"{tmp_path}/in")))
     assert sorted((str(r.key), str(r.hash), r.ts.hour) for r in got.collect()) == [("", "x", 2), ("None", "x", 0), ("None", "y", 5), ("a", "None", 3), ("a", "None", 4)]
+
+
+def test_vectors_of_calls_are_not_written_again(spark, monkeypatch):
+    written, write = [], discover.materialise
+    monkeypatch.setattr(discover, "materialise", lambda df, name: written.append(name) or write(df, name))
+    grouped = spark.createDataFrame([(1, 7, "fit", False), (1, 8, "fit", False), (2, 7, "fit", True)], "profile_id long, opportunity_id long, grp string, mismatch boolean")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "key long, v array<double>")
+    items = spark.createDataFrame([(7, [3.0, 0.0]), (8, [0.0, 1.0])], "item long, v array<double>")
+    texts = spark.createDataFrame([(1, "harbour"), (7, "harbour"), (8, None)], "key long, text string")
+    specific = spark.createDataFrame([("harbour", 2)], "word string, n long")
+    found = discover.matched(grouped, queries, items, texts, texts, specific, 3)
+    assert sorted((r.profile_id, r.pos, r.opportunity_id, r.n_shared, r.sim) for r in found.collect()) == [(1, 1, 7, 1, 1.0), (1, 2, 8, 0, 0.0), (2, 1, 7, 0, 0.0)]
+    assert written == ["kept"]
+
+
+def test_only_kept_pairs_are_judged(spark, tmp_path, monkeypatch):
+    pairs = spark.createDataFrame([(1, 7), (1, 8)], "profile_id long, opportunity_id long")
+    monkeypatch.setattr(catalog.eligibility, "assess", lambda pairs, *_: pairs)
+    blank = spark.createDataFrame([], "profile_id long, birth_date date, nationality string, residence_country string, applicant_type string, confidence double")
+    judged, items = catalog._items(lambda _: blank, pairs.where("opportunity_id = 7"))
+    assert [r.opportunity_id for r in items.collect()] == [r.opportunity_id for r in judged.collect()] == [7]
