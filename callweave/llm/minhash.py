@@ -224,11 +224,11 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     name = F.concat_ws("/", "component", "block").alias("cell")
     cells = pivot.select(name, "node", F.lit(True).alias("first"), "text").union(large.where("block > 0").select(name, "node", F.lit(False), "text"))
     found = materialise(small.union(linked(cells, p)), "found")
-    if large.isEmpty():
-        links = found
-    else:
-        links = found.union(_rest(large, found, p))
-    exact = components(links)
+    exact = components(found)
+    if not large.isEmpty():
+        # the components known so far go in as stars, which are joined by what is left
+        known = exact.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        exact = components(known.union(_rest(large, exact, p)))
     owner = classes.select("class", "node").join(exact, "node", "left").select("class", F.coalesce("component", "node").alias("__c"))
     return base.join(owner, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("__c", "doc_id").alias("component_id"),
@@ -236,13 +236,12 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     ).select("doc_id", "n_shingles", "component_id", F.coalesce("__kept", F.lit(True)).alias("kept"))
 
 
-def _rest(large: DataFrame, found: DataFrame, p: Params) -> DataFrame:
+def _rest(large: DataFrame, known: DataFrame, p: Params) -> DataFrame:
     """Links between blocks of large groups, of all pairs that no component holds yet.
 
     Members of a group's largest component need no comparison with each other. All other
     members, in blocks of their own, are compared with all blocks of the group.
     """
-    known = components(found)
     label = large.select("component", "node", "block", "blocks", "text").join(known.withColumnRenamed("component", "__l"), "node", "left")
     label = materialise(label.withColumn("__l", F.coalesce("__l", "node")), "labels")
     counts = label.groupBy("component", "__l").agg(F.count("*").alias("__n"))

@@ -76,6 +76,55 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100} | {i: 150 for i in (150, 200, 5000, *range(1000, 4000))}
 
 
+@pytest.fixture
+def file_by_file(spark):
+    """Every file is a partition of its own, as it is where tables are large."""
+    sizes = {f"spark.sql.files.{k}": "256k" for k in ("maxPartitionBytes", "openCostInBytes")}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    yield
+    for k in sizes:
+        spark.conf.unset(k)
+
+
+def test_components_equal_a_plain_walk(spark, file_by_file):
+    rnd = random.Random(11)
+    links = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(700)] + [(i + 1, i) for i in range(1000, 1200)]
+    links += [(5000 - i, 5001) for i in range(500)] + [(3000, 5100 + i) for i in range(500)] + [(2**62, 4999), (-5, 17), (8, 8)]
+    parent = {i: i for x in links if x[0] != x[1] for i in x}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for u, v in (x for x in links if x[0] != x[1]):
+        x, y = sorted((root(u), root(v)))
+        parent[y] = x
+    for spread in (1, 40):  # in one partition, and dealt so that few links of a node meet
+        edges = spark.createDataFrame([*links, *links[:300], (None, 4), (4, None)], "u bigint, v bigint").repartition(spread)
+        got = [tuple(r) for r in components.components(edges).collect()]
+        assert sorted(got) == sorted((i, root(i)) for i in parent)
+    assert components.components(edges.where("false")).count() == 0
+
+
+def test_components_take_few_shuffles(spark, file_by_file, monkeypatch):
+    shuffles, plain = [], components.materialise
+
+    def counted(df, name):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count(" Exchange "))
+        return plain(df, name)
+
+    monkeypatch.setattr(components, "materialise", counted)
+    stars = spark.createDataFrame([(1000 * i + j, 1000 * i) for i in range(20) for j in range(1, 40)], "u bigint, v bigint")
+    assert components.components(stars).count() == 800
+    assert sum(shuffles) == 0, shuffles
+    shuffles.clear()
+    chains = spark.createDataFrame([(100 * i + j + 1, 100 * i + j) for i in range(50) for j in range(20)], "u bigint, v bigint").repartition(16)
+    assert {r.component % 100 for r in components.components(chains).collect()} == {0}
+    assert 0 < sum(shuffles) <= 40, shuffles
+
+
 def test_archives_round_trip(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nWARC/1.1\r\n" + "é" * 3000
     rows = [(1, "http://a", tricky, 1), (2, "u", "same", 1), (5, "u", "same", 1), (5, "u", "same", 1), (3, None, None, 1), (4, "u", "", 1), (None, "u", "z", 1)]
