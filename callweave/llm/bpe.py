@@ -36,6 +36,9 @@ RUN = re.compile(r"\s ")
 ENDS = {".", ",", ";", ":", "!", "?"}
 #: Pre-tokens that a worker remembers; beyond that it forgets them all.
 REMEMBERED = 400_000
+#: The same where whole texts are encoded, and the bytes of text that are encoded together:
+#: what a slice makes on the way takes some fifty times its text.
+ENCODED, SLICE = 100_000, 2 << 20
 #: Chunks that share one pair index.
 TOGETHER = 200_000
 NONE = -1
@@ -157,19 +160,19 @@ class Vocabulary:
             ids = dict(zip(words, encode_words(self, [w.encode() for w in words]), strict=True))
             self.known.update((c, ids[w[0]] if len(w) == 1 else b"".join(map(ids.__getitem__, w))) for c, w in zip(chunks, cuts, strict=True))
 
-    def meet(self, texts: list[str], known: dict) -> set[str]:
+    def meet(self, texts: list[str], known: dict, most: int = REMEMBERED) -> set[str]:
         """The distinct chunks of the texts that ``known`` lacks; it is emptied first where it would grow too large."""
         new: set[str] = set()
         for text in texts:  # chunks are split again later, as holding all of them takes many times the text
             for part, _ in self.segments(text):
                 new.update(self.chunks(part))
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > most:
             known.clear()
         return new - known.keys()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        self.learn(self.meet(texts, self.known))
+        self.learn(self.meet(texts, self.known, ENCODED))
         get = self.known.__getitem__
         tail = {i: int(i).to_bytes(4, "little") for i in self.special.values()} | {None: b""}
         return [b"".join([b"".join(map(get, self.chunks(part))) + tail[i] for part, i in self.segments(text)]) for text in texts]
@@ -311,7 +314,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 ids = v.encode([t or "" for t in batch.column(text_col).to_pylist()])
                 more = {ids_col: pa.array(ids, pa.binary()), count_col: pa.array([len(x) // 4 for x in ids], pa.int64())}
                 if decoded_col:

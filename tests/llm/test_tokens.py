@@ -1,11 +1,14 @@
 import random
+import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from callweave.llm import bpe, token_counts, token_orc
@@ -153,3 +156,28 @@ def test_prefix_counts_of_marks_that_move():
         text = "".join(rnd.choices(pool, k=rnd.randrange(1, 60)))
         counts = np.cumsum(np.frombuffer(c.prefix_table([text])[0][0], "<i2")).tolist()
         assert counts == [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(1, len(text) + 1)]
+
+
+class Captured:
+    """Stands for a DataFrame: gives the function that its rows would go through."""
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+    def mapInArrow(self, make, schema):  # noqa: N802
+        return make
+
+
+def test_encoding_a_large_batch_takes_bounded_memory():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=15)) for _ in range(2000)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    make = bpe.encode(Captured(), path)
+    assert [len(b) for b in make(iter([batch.slice(0, 2)]))] == [2]
+    bpe.vocabulary(path).known.clear()
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in make(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    bpe.vocabulary(path).known.clear()
+    assert rows == 200 and peak < 200 << 20, peak >> 20
