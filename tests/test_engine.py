@@ -132,3 +132,31 @@ def test_the_last_exchange_is_dealt_by_its_rows(spark, monkeypatch):
     found = run(spark, calls)
     assert ", 6), REPARTITION_BY_NUM" in found.items._jdf.queryExecution().executedPlan().toString()
     assert found.items.count() == 6
+
+
+def test_combinations_follow_ages_instead_of_dates(spark):
+    """60 birth dates of two ages, on calls without a deadline, with one that is over and with one ahead."""
+    people = [ANA | {"profile_id": i, "birth_date": dt.date(1990 + i // 30 * 10, 1, 1 + i % 30)} for i in range(60)]
+    for deadline, ages in ((None, 2), (dt.date(2023, 9, 1), 2), (dt.date(2024, 9, 1), 2), (dt.date(2025, 1, 15), 4)):
+        found = run(spark, {1: [("Applicants must be under 30 years old.", "AGE")]}, [review("Applicants must be under 30 years old.", "AGE", most=29)], people, deadline)
+        assert found.combinations.count() == ages, deadline
+        by_age = {(r.profile_id >= 30, r.status) for r in found.verdicts.collect()}
+        assert by_age == {(False, "LIKELY_NOT_ELIGIBLE"), (True, "ELIGIBLE")}
+
+
+def test_reviews_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    reviews = spark.createDataFrame([review("Applicants must live in Sweden.", "RESIDENCE", countries=["SE"])], engine.REVIEWS)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    names = spark.createDataFrame(NAMES, "name string, kind string, countries array<string>")
+    req = spark.createDataFrame([(1, 0, "Applicants must live in Sweden.", None, False, "RESIDENCE", None, None, "REQUIRES")], ROW)
+    people = spark.createDataFrame([(1, "SE"), (2, "NO")], "profile_id int, residence_country string")
+    calls = spark.createDataFrame([(1, None, "some text", False)], CALLS)
+    found = engine.evaluate(people.selectExpr("profile_id", "1 as opportunity_id"), people, calls, req, reviews.mapInArrow(counted, reviews.schema), names, {}, [], TODAY)
+    assert {r.profile_id: r.status for r in found.verdicts.collect()} == {1: "ELIGIBLE", 2: "LIKELY_NOT_ELIGIBLE"}
+    assert read.value == 1
