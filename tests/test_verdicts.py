@@ -1,6 +1,8 @@
 """Literal cases of verdicts, sentence rules, samples, page texts and streams."""
 
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +36,44 @@ def test_status(spark, rows, want):
     assert status(spark, rows).status == want
 
 
+def test_runs_are_those_of_pairs_whatever_the_batches(spark):
+    """Random rows, some with unknown polarity, outcome or position, against a plain walk over each pair and class; batches of three rows cut pairs."""
+    r = random.Random(4)
+    labels, polarities, outcomes = ["AGE", "NATIONALITY", "RESIDENCE", "DISCIPLINE", "OTHER", None], ["REQUIRES", "EXCLUDES", "UNCLEAR", None], ["PASS", "FAIL", "CHECK", "INFO", "NO_RESTRICTION", None]
+    rows = [(p, o, r.choice([*range(6), None]), r.choice(labels), r.choice(polarities), r.choice(outcomes), f"{p},{o},{i}", "why") for p in (1, 2, None) for o in range(8) for i in range(r.randint(1, 9))]
+    group = {"AGE": "AGE", "NATIONALITY": "GEO", "RESIDENCE": "GEO", "DISCIPLINE": "DISCIPLINE"}
+    want, by = {}, {}
+    for x in rows:
+        want[x[6]] = x[5]
+        if x[3] in group and x[5] not in (None, "INFO", "NO_RESTRICTION"):
+            by.setdefault((x[0], x[1], group[x[3]]), []).append(x)
+    for some in by.values():
+        place = lambda x: (x[2] is not None, x[2] or 0, x[3])
+        runs, number, before = {}, 0, None
+        for _, same in itertools.groupby(sorted(some, key=place), place):  # what stands in one place with one label is of one run
+            peers = list(same)
+            for x in peers:
+                number += None in (x[2], before) or x[2] != before + 1
+                before = x[2]
+            runs.setdefault(number, []).extend(peers)
+        for run in (run for run in runs.values() if len(run) > 1):
+            known = [x for x in run if x[4]]
+            clean = any(x[4] != "EXCLUDES" for x in known) or any(x[5] == "PASS" for x in run)
+            clean &= all(x[5] == "PASS" for x in known if x[4] == "EXCLUDES")
+            asks = [x[5] == "PASS" for x in known if x[4] != "EXCLUDES"]
+            met = any(asks) or (not asks and bool(known))
+            for x in run:
+                want[x[6]] = "FAIL" if all(y[5] == "FAIL" for y in run) else "PASS" if clean and met else "CHECK"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        found = eligibility.or_groups(spark.createDataFrame(rows, ITEMS))
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # one sort a pair instead of four
+        assert {x.text: x.effective for x in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_summary_quotes_the_first_failing_row(spark):
     got = status(spark, [("AGE", "REQUIRES", "FAIL"), ("APPLICANT_TYPE", "REQUIRES", "FAIL")])
     assert got.summary == "Against: s0 - why (and 1 more)"
